@@ -20,8 +20,25 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_texts(table(spark, sf_dir, "documents"), BPE_FILE).drop("loss_tokens")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+    from .toxicity import held_out
+
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", "text", held_out(docs.doc_id).alias("held_out"))
+    return langid.identify(rows, langid.fit(docs)).drop("text")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs.select("doc_id", "text", toxicity.held_out(docs.doc_id).alias("held_out")), model).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing}
+    return {"op1_packing": op1_packing, "op7_language_id": op7_language_id, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,6 +9,7 @@ weigh more than its parts.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,8 +28,9 @@ class Settings:
     sample: int = 16_000
     bits: int = 18
     factors: int = 8
-    least_documents: int = 6
-    epochs: int = 8
+    least_documents: int = 5
+    least_apart: float = 4.0
+    epochs: int = 10
     rate: float = 0.08
     decay: float = 2e-4
     seed: int = 7
@@ -39,9 +41,12 @@ _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 el
 
 
 def terms(text: str | None, mask: int) -> list[int]:
-    """Hashes of the distinct words of a whole text and of their first 3 and 5 characters."""
+    """Hashes of a whole text's distinct words, of their first 5 bytes, and of such a
+    beginning together with "two" or "four" if that many distinct words share it."""
     words = set((text or "").lower().encode("utf-8", "replace").translate(_LETTERS).split())
-    found = words | {b"^" + w[:5] for w in words if len(w) > 5} | {b"~" + w[:3] for w in words if len(w) > 3}
+    begins = Counter(w[:5] for w in words if len(w) > 5)
+    found = words | {b"^" + b for b in begins}
+    found |= {b"2^" + b for b, n in begins.items() if n > 1} | {b"4^" + b for b, n in begins.items() if n > 3}
     return sorted({zlib.crc32(w) & mask for w in found})
 
 
@@ -78,19 +83,21 @@ def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def learn(rows: list, labels: np.ndarray, s: Settings = Settings()) -> Model:
     """Fit a machine to hashed term lists and 0/1 labels (stochastic, with Adagrad).
 
-    A term counts by its inverse document frequency; terms in fewer than
-    ``least_documents`` rows are left out.  No rows, or rows of one kind only:
-    a model that gives the smoothed share of ones.
+    Terms in fewer than ``least_documents`` rows are left out, and those whose
+    count among ones is less than ``least_apart`` standard deviations from what
+    chance gives.  No rows, or rows of one kind only: a model that gives the
+    smoothed share of ones.
     """
     n, width = len(rows), 1 << s.bits
     rng = np.random.default_rng(s.seed)
     weight, factor = np.zeros(width), np.zeros((width, s.factors))
     share = (labels.sum() + 0.1) / (n + 1.0)
     bias = float(np.log(share / (1 - share)))
-    _, flat = _ragged(rows)
-    seen = np.bincount(flat, minlength=width)
-    scale = np.where(seen >= s.least_documents, np.log((n + 1) / np.maximum(seen, 1)), 0.0) / np.log(n + 2)
-    scale[seen > 0.2 * n] = 0.0
+    seen = np.bincount(_ragged(rows)[1], minlength=width)
+    ones = np.bincount(_ragged([r for r, y in zip(rows, labels, strict=True) if y])[1], minlength=width)
+    usual = seen * share
+    apart = np.abs(ones - usual) / np.sqrt(np.maximum(usual * (1 - share) * (1 - seen / (n + 1)), 1e-9))
+    scale = ((seen >= s.least_documents) & (apart >= s.least_apart)).astype(np.float64)
     model = Model(bias, weight, factor, scale)
     if n == 0 or labels.min() == labels.max():
         return model
