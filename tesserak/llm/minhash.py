@@ -25,8 +25,8 @@ class Settings:
     ``bands`` of ``rows`` coordinates each.  With 32 bands of 4, a pair at 0.80
     shares no band with a chance of 5e-8.  ``agree``: coordinates that a pair
     needs before its full sets are compared; 0.6 of them is 5.7 standard
-    deviations under what a pair at 0.80 has.  ``group``: rows of a band that one
-    task compares at once."""
+    deviations under what a pair at 0.80 has.  ``group``: classes of a band that
+    one task compares at once."""
 
     words: int = 5
     share: int = 80
@@ -127,24 +127,56 @@ def _similar(left: pa.Array, right: pa.Array, s: Settings) -> pa.Array:
     return pa.array(keep, pa.bool_())
 
 
-def _shared_shingles(ids: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, shared): how many shingles of each document another of ``ids`` has too.
-
-    No pair of them can have more in common than the lesser of their numbers, an
-    exact bound that drops copies which are each edited too much in their own way.
-    """
+def _sets(ids: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+    """(doc_id, shingles): the full set of each document of ``ids``, as 64-bit hashes."""
 
     def run(batches):
         for batch in batches:
             for at, to, words in word_chunks(batch.column("text"), s.lower):
                 text, hashed = words.shingle_sets(s.words)
-                yield pa.record_batch([batch.column("doc_id").slice(at, to - at).take(pa.array(text)), pa.array(hashed.view(np.int64))], ["doc_id", "shingle"])
+                ends = np.searchsorted(text, np.arange(to - at + 1))
+                yield pa.record_batch([batch.column("doc_id").slice(at, to - at), pa.array([hashed[ends[i] : ends[i + 1]].tobytes() for i in range(to - at)], pa.binary())], ["doc_id", "shingles"])
+
+    return docs.join(ids, "doc_id").select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
 
-    sets = docs.join(ids, "doc_id").select("doc_id", "text").mapInArrow(run, "doc_id long, shingle long")
-    own = sets.groupBy("shingle").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last"))
-    kinds = own.select("doc_id", (F.col("doc_id") == F.col("last")).alias("alone")).where("alone").groupBy("doc_id").agg(F.count("*").alias("alone"))
-    sizes = sets.groupBy("doc_id", "shingle").agg(F.lit(1).alias("one")).groupBy("doc_id").agg(F.count("*").alias("size"))
-    return sizes.join(kinds, "doc_id", "left").select("doc_id", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
+
+def _group_links(s: Settings):
+    """Links between components of one group, by full sets; a forest of them is enough."""
+
+    def run(key, table):
+        left, right = key[1].as_py(), key[2].as_py()
+        ids, part, met = (table.column(c).to_numpy() for c in ("doc_id", "part", "component"))
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("shingles").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        kinds, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(sets)), size)
+        number = np.cumsum(times > 1) - 1
+        many = times[column] > 1
+        has = np.zeros((len(sets), int((times > 1).sum())), dtype=np.float32)
+        has[row[many], number[column[many]]] = 1
+        root = {int(c): int(c) for c in met}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        out = []
+        columns = np.flatnonzero(part == right)
+        rows = np.flatnonzero(part == left)
+        for at in range(0, len(rows), 128):
+            some = rows[at : at + 128]
+            both = has[some] @ has[columns].T
+            near = (100 * both >= s.share * (size[some, None] + size[columns] - both)) & (both > 0) & (met[some, None] != met[columns])
+            for i, j in zip(*np.nonzero(near), strict=True):
+                a, b = some[i], columns[j]
+                x, y = find(int(met[a])), find(int(met[b]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    out.append((min(ids[a], ids[b]), max(ids[a], ids[b])))
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+    return run
 
 
 def _group_pairs(s: Settings):
@@ -152,18 +184,14 @@ def _group_pairs(s: Settings):
     need = s.agree * s.bands * s.rows
 
     def run(key, table):
-        _, left, right = (k.as_py() for k in key)
         ids = table.column("doc_id").to_numpy()
-        part, size, met, shared = (table.column(c).to_numpy() for c in ("part", "n_shingles", "component", "shared"))
+        size, met = table.column("n_shingles").to_numpy(), table.column("component").to_numpy()
         rows = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint16).reshape(len(ids), -1)
-        columns = np.flatnonzero(part == right)
         a_out, b_out = [], []
-        for i in np.flatnonzero(part == left):
-            j = columns[(met[columns] != met[i]) & (ids[columns] != ids[i])]
-            if left == right:
-                j = j[ids[j] > ids[i]]
-            both = np.minimum(shared[i], shared[j])
-            j = j[100 * both >= s.share * (size[i] + size[j] - both)]
+        for i in range(len(ids)):
+            j = np.flatnonzero((met != met[i]) & (ids > ids[i]))
+            low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+            j = j[100 * low >= s.share * high]
             j = j[(rows[j] == rows[i]).sum(axis=1) >= need]
             a_out.append(np.minimum(ids[i], ids[j]))
             b_out.append(np.maximum(ids[i], ids[j]))
@@ -182,8 +210,11 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     1. in each band, every class is checked against the band's first one, which
        costs a row per class and not a pair;
-    2. bands that still hold classes of several components compare those classes,
-       in groups of bounded size, and their likely pairs are checked on full sets.
+    2. a band of up to ``group`` classes that still holds several components gives
+       the pairs of them whose sketches agree enough, for a check on full sets;
+    3. larger ones that share classes are joined, each class is taken once, dealt
+       to parts of bounded size, and every two parts are compared on full sets in
+       one task, which returns a forest of links and no pairs.
 
     A text that is null or has no words is empty: 0 shingles and its own
     component.  Rows with the same doc_id are one document to links; each row is
@@ -204,15 +235,20 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     links = cut(verified(stars, docs, s), "links")
     labels = components(links)
 
-    named = members.where("held > 2").join(labels, members.doc_id == labels.node, "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    split = named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    open_bands = cut(split, "split")
-    # the members of a band differ from its first one where links don't join them to it
-    left = cut(named.join(open_bands, "band"), "open")
-    able = cut(_shared_shingles(left.select("doc_id").distinct(), docs, s).join(heads, "doc_id").where(100 * F.col("shared") >= s.share * F.col("n_shingles")), "able")
-    grouped = part_pairs(in_bounded_groups(left.join(able.select("doc_id"), "doc_id", "left_semi"), "band", "doc_id", s.group)).join(able, "doc_id")
-    likely = grouped.groupBy("band", "left", "right").applyInArrow(_group_pairs(s), "a long, b long")
+    named = members.where("held > 2").join(labels, members.doc_id == labels.node, "left").select("band", "doc_id", "held", F.coalesce("component", "doc_id").alias("component"))
+    split = cut(named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band"), "split")
+    left = cut(named.join(split, "band"), "open")
+    likely = left.where(F.col("held") <= s.group).join(heads, "doc_id").groupBy("band").applyInArrow(_group_pairs(s), "a long, b long")
     more = cut(likely.distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
+
+    large = left.where(F.col("held") > s.group)
+    ties = large.groupBy("doc_id").agg(F.min("band").alias("a"))
+    one = components(cut(large.join(ties, "doc_id").select("a", F.col("band").alias("b")).distinct(), "ties"))
+    large = large.join(one, large.band == one.node, "left").select(F.coalesce(one.component, F.col("band")).alias("band"), "doc_id", large.component.alias("component")).distinct()
+    large = part_pairs(in_bounded_groups(cut(large, "large"), "band", "doc_id", s.group))
+    sets = cut(_sets(left.where(F.col("held") > s.group).select("doc_id").distinct(), docs, s), "sets")
+    dense = large.join(sets, "doc_id").groupBy("band", "left", "right").applyInArrow(_group_links(s), "a long, b long")
+    links = links.unionByName(cut(dense, "dense"))
     found = links.unionByName(verified(more, docs, s)).unionByName(copies)
     labels = components(found)
     out = rows.select("doc_id", "n_shingles").join(labels, rows.doc_id == labels.node, "left")

@@ -20,6 +20,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_texts(table(spark, sf_dir, "documents"), BPE_FILE).drop("loss_tokens")
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import minhash
+
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Settings(words=2))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
     from .toxicity import held_out
@@ -38,7 +44,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op7_language_id": op7_language_id, "op10_toxicity": op10_toxicity}
+    return {"op1_packing": op1_packing, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op7_language_id": op7_language_id, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
