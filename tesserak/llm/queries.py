@@ -26,6 +26,12 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Settings(words=2))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substring
+
+    return substring.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
     from .toxicity import held_out
@@ -35,6 +41,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(rows, langid.fit(docs)).drop("text")
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import bpe
+
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), BPE_FILE), BPE_FILE)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
@@ -44,7 +56,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_minhash_near_dedup": op2_minhash_near_dedup, "op7_language_id": op7_language_id, "op10_toxicity": op10_toxicity}
+    return {
+        "op1_packing": op1_packing,
+        "op2_minhash_near_dedup": op2_minhash_near_dedup,
+        "op3_substring_dedup": op3_substring_dedup,
+        "op7_language_id": op7_language_id,
+        "op8_bpe": op8_bpe,
+        "op10_toxicity": op10_toxicity,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
