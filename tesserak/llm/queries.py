@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_FILE = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,24 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lattice
+
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import unigram
+
+    return unigram.count_tokens(table(spark, sf_dir, "documents"), unigram.sentencepiece_vocabulary(PIECE_FILE))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import licenses
+
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
     from .toxicity import held_out
@@ -47,6 +66,13 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), BPE_FILE), BPE_FILE)
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ann
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
@@ -60,8 +86,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": op1_packing,
         "op2_minhash_near_dedup": op2_minhash_near_dedup,
         "op3_substring_dedup": op3_substring_dedup,
+        "op4_embedding_near_dedup": op4_embedding_near_dedup,
+        "op5_token_counts": op5_token_counts,
+        "op6_license_scan": op6_license_scan,
         "op7_language_id": op7_language_id,
         "op8_bpe": op8_bpe,
+        "op9_nearest_neighbours": op9_nearest_neighbours,
         "op10_toxicity": op10_toxicity,
     }
 
