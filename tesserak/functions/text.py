@@ -45,7 +45,7 @@ def symbol_text(text: Column) -> Column:
 def query_parts(text: Column, most: int = 8) -> Column:
     """A query's parts: cut at semicolons, line feeds and words of comparison."""
     parts = F.split(F.lower(text), r"\s*(?:;|\n|\bversus\b|\bvs\b|\bfrente a\b|\bcontra\b)\s*")
-    return F.slice(F.array_distinct(F.filter(F.transform(parts, F.trim), lambda p: p != "")), 1, most)
+    return F.slice(F.array_distinct(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")), 1, most)
 
 
 def intent(text: Column) -> Column:

@@ -132,8 +132,8 @@ def ppr(seeds: DataFrame, edges: DataFrame, rounds: int = 5, restart: float = 0.
     """(node, score): personalized PageRank of rows (seed, weight).
 
     Equal edges keep the greatest weight.  What nodes without outgoing edges hold
-    goes back to the seeds.  Runs ``rounds`` rounds, or stops once scores change
-    by ``tolerance`` in sum.
+    goes back to the seeds.  Runs ``rounds`` rounds; looks every ``cut_every``
+    rounds, when lineage is cut, and stops if scores change by ``tolerance`` in sum.
     """
     e = edges.groupBy("from_id", "to_id", "relation").agg(F.max("weight").alias("weight")).groupBy("from_id", "to_id").agg(F.sum("weight").alias("weight"))
     share = cut(e.withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy("from_id"))).select("from_id", "to_id", "share"))
@@ -148,10 +148,11 @@ def ppr(seeds: DataFrame, edges: DataFrame, rounds: int = 5, restart: float = 0.
         stuck = state.agg(F.sum(F.when(~F.col("out"), F.col("score")).otherwise(0.0)).alias("stuck"))
         new = state.join(flow, "node", "left").crossJoin(F.broadcast(stuck))  # one row
         new = new.select("node", "p", "out", F.col("score").alias("was"), (restart * F.col("p") + (1 - restart) * (F.coalesce("got", F.lit(0.0)) + F.col("stuck") * F.col("p"))).alias("score"))
-        if tolerance is not None or (i + 1) % cut_every == 0:
+        looked = (i + 1) % cut_every == 0
+        if looked:
             new = cut(new)
         state = new.select("node", "p", "out", "score")
-        if tolerance is not None and new.agg(F.sum(F.abs(F.col("score") - F.col("was")))).first()[0] <= tolerance:
+        if looked and tolerance is not None and new.agg(F.sum(F.abs(F.col("score") - F.col("was")))).first()[0] <= tolerance:
             break
     return state.select("node", F.round("score", 8).alias("score"))
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import relational, retrieval
+from . import analytics, relational, retrieval, streams
 
-MODULES = [retrieval, relational]
+MODULES = [retrieval, relational, analytics, streams]
 
 
 def queries() -> dict:
