@@ -25,14 +25,16 @@ class Settings:
     ``bands`` of ``rows`` coordinates each.  With 32 bands of 4, a pair at 0.80
     shares no band with a chance of 5e-8.  ``agree``: coordinates that a pair
     needs before its full sets are compared; 0.6 of them is 5.7 standard
-    deviations under what a pair at 0.80 has.  ``group``: classes of a band that
-    one task compares at once."""
+    deviations under what a pair at 0.80 has.  ``pairs``: classes of a band up to
+    which its pairs are listed; ``group``: classes that one task compares at once
+    beyond that."""
 
     words: int = 5
     share: int = 80
     bands: int = 32
     rows: int = 4
     agree: float = 0.6
+    pairs: int = 48
     group: int = 512
     lower: bool = True
 
@@ -95,9 +97,34 @@ def _bands(rows: DataFrame, s: Settings) -> DataFrame:
     return rows.select(F.explode(keys).alias("band"), "doc_id")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """The texts of some documents, written once for the joins that need them."""
+    return cut(docs.join(ids, "doc_id", "left_semi"), "texts")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+
+
+def likely(pairs: DataFrame, heads: DataFrame, s: Settings) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow the wanted similarity."""
+    both = pairs
+    for side in ("a", "b"):
+        both = both.join(heads.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(batch.num_rows, -1) for c in ("s_a", "s_b"))
+            keep = pa.array((x == y).sum(axis=1) >= s.agree * s.bands * s.rows)
+            yield pa.record_batch([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+
+    sized = both.where(100 * F.least("n_a", "n_b") >= s.share * F.greatest("n_a", "n_b"))
+    return sized.select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
-    text = docs.select("doc_id", "text")
+    text = texts.select("doc_id", "text")
     left = pairs.join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = left.join(text.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -127,8 +154,8 @@ def _similar(left: pa.Array, right: pa.Array, s: Settings) -> pa.Array:
     return pa.array(keep, pa.bool_())
 
 
-def _sets(ids: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, shingles): the full set of each document of ``ids``, as 64-bit hashes."""
+def _sets(texts: DataFrame, s: Settings) -> DataFrame:
+    """(doc_id, shingles): the full set of each document, as 64-bit hashes."""
 
     def run(batches):
         for batch in batches:
@@ -137,7 +164,7 @@ def _sets(ids: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
                 ends = np.searchsorted(text, np.arange(to - at + 1))
                 yield pa.record_batch([batch.column("doc_id").slice(at, to - at), pa.array([hashed[ends[i] : ends[i + 1]].tobytes() for i in range(to - at)], pa.binary())], ["doc_id", "shingles"])
 
-    return docs.join(ids, "doc_id").select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
 
 
 def _group_links(s: Settings):
@@ -210,7 +237,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
     1. in each band, every class is checked against the band's first one, which
        costs a row per class and not a pair;
-    2. a band of up to ``group`` classes that still holds several components gives
+    2. a band of up to ``pairs`` classes that still holds several components gives
        the pairs of them whose sketches agree enough, for a check on full sets;
     3. larger ones that share classes are joined, each class is taken once, dealt
        to parts of bounded size, and every two parts are compared on full sets in
@@ -232,24 +259,26 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     shared = cut(bands.groupBy("band").agg(F.min("doc_id").alias("head"), F.count("*").alias("held")).where("held > 1"), "bands")
     members = cut(bands.join(shared, "band"), "members")
     stars = cut(members.where("doc_id > head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
-    links = cut(verified(stars, docs, s), "links")
+    near = cut(likely(stars, heads, s), "near")
+    links = cut(verified(near, _texts(_ends(near), docs), s), "links")
     labels = components(links)
 
     named = members.where("held > 2").join(labels, members.doc_id == labels.node, "left").select("band", "doc_id", "held", F.coalesce("component", "doc_id").alias("component"))
     split = cut(named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band"), "split")
     left = cut(named.join(split, "band"), "open")
-    likely = left.where(F.col("held") <= s.group).join(heads, "doc_id").groupBy("band").applyInArrow(_group_pairs(s), "a long, b long")
-    more = cut(likely.distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
+    listed = left.where(F.col("held") <= s.pairs).join(heads, "doc_id").groupBy("band").applyInArrow(_group_pairs(s), "a long, b long")
+    more = cut(listed.distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
 
-    large = left.where(F.col("held") > s.group)
+    large = left.where(F.col("held") > s.pairs)
     ties = large.groupBy("doc_id").agg(F.min("band").alias("a"))
     one = components(cut(large.join(ties, "doc_id").select("a", F.col("band").alias("b")).distinct(), "ties"))
     large = large.join(one, large.band == one.node, "left").select(F.coalesce(one.component, F.col("band")).alias("band"), "doc_id", large.component.alias("component")).distinct()
     large = part_pairs(in_bounded_groups(cut(large, "large"), "band", "doc_id", s.group))
-    sets = cut(_sets(left.where(F.col("held") > s.group).select("doc_id").distinct(), docs, s), "sets")
+    texts = _texts(_ends(more).union(left.where(F.col("held") > s.pairs).select("doc_id")).distinct(), docs)
+    sets = cut(_sets(texts.join(large.select("doc_id").distinct(), "doc_id", "left_semi"), s), "sets")
     dense = large.join(sets, "doc_id").groupBy("band", "left", "right").applyInArrow(_group_links(s), "a long, b long")
     links = links.unionByName(cut(dense, "dense"))
-    found = links.unionByName(verified(more, docs, s)).unionByName(copies)
+    found = links.unionByName(verified(more, texts, s)).unionByName(copies)
     labels = components(found)
     out = rows.select("doc_id", "n_shingles").join(labels, rows.doc_id == labels.node, "left")
     component = F.coalesce("component", "doc_id")
