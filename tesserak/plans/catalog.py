@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analytics, relational, retrieval, streams
+from . import analytics, assurance, relational, retrieval, streams
 
-MODULES = [retrieval, relational, analytics, streams]
+MODULES = [retrieval, relational, analytics, assurance, streams]
 
 
 def queries() -> dict:
