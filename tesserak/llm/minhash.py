@@ -98,8 +98,11 @@ def _bands(rows: DataFrame, s: Settings) -> DataFrame:
 
 
 def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """The texts of some documents, written once for the joins that need them."""
-    return cut(docs.join(ids, "doc_id", "left_semi"), "texts")
+    """The texts of some documents, written once for the joins that need them.
+
+    The ids grow with the corpus, so both sides are shuffled at every size.
+    """
+    return cut(docs.join(ids.hint("merge"), "doc_id", "left_semi"), "texts")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
