@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at once; a longer text is hashed alone.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
