@@ -99,7 +99,7 @@ def ppr_k_iterations(spark, d):
 
 def ppr_converged(spark, d):
     seeds = bind.table(spark, d, "supplier").select(F.concat(F.lit("S:"), F.col("s_suppkey").cast("string")).alias("seed"), F.lit(1.0).alias("weight"))
-    return graph.ppr(seeds, bind.edges(spark, d), rounds=30, tolerance=1e-4)
+    return graph.ppr(seeds, bind.edges(spark, d), rounds=20, tolerance=1e-4)
 
 
 def leiden_communities(spark, d):
