@@ -18,9 +18,12 @@ import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import cut
+
 #: Fixed values of the format: the split pattern and the printable stand-ins of bytes.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -143,127 +146,141 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "id int, piece binary")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], part: int, most: int) -> Iterator[tuple[str, list, list[str]]]:
-    """Runs of rows with about ``most`` characters, named by partition and number."""
-    rows, size, n = [], 0, 0
+def _blocks(batches: Iterator[pa.RecordBatch], path: str, buckets: int, most: int) -> Iterator[tuple]:
+    """(block, doc ids, places of each document, words, first place of each bucket).
+
+    A block is a run of rows of one task with about ``most`` characters.  Its
+    distinct words are numbered by bucket (a hash) and then by text.
+    """
+    from pyspark import TaskContext
+
+    part, rows, size, n = TaskContext.get().partitionId(), [], 0, 0
+
+    def block() -> tuple:
+        table: dict[str, int] = {}
+        parts = Splitter(path, lambda w: table.setdefault(w, len(table)), 1 << 40).parts
+        places = [np.asarray(parts(text or ""), dtype=np.int64) for _, text in rows]
+        keyed = sorted((zlib.crc32(w.encode()) % buckets, w, i) for w, i in table.items())
+        rank = np.empty(len(keyed), dtype="<u4")
+        rank[[k[2] for k in keyed]] = np.arange(len(keyed), dtype="<u4")
+        firsts = np.searchsorted([k[0] for k in keyed], np.arange(buckets + 1))
+        return (part << 32) | n, [r[0] for r in rows], [rank[x] for x in places], [k[1] for k in keyed], firsts
+
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for row in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             rows.append(row)
             size += len(row[1] or "") + 50
             if size >= most:
-                yield f"{part}-{n}", rows
+                yield block()
                 rows, size, n = [], 0, n + 1
     if rows:
-        yield f"{part}-{n}", rows
+        yield block()
+
+
+def _squeeze(x: np.ndarray) -> bytes:
+    """Numbers by byte planes, compressed."""
+    x = np.ascontiguousarray(x)
+    return zstandard.compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), 3)
 
 
-_SPLIT_SCHEMA = "block string, doc_id long, place int, word string, places binary"
+def _spread(data: bytes, kind: str) -> np.ndarray:
+    raw, size = zstandard.decompress(data), np.dtype(kind).itemsize
+    return np.frombuffer(raw, dtype=np.uint8).reshape(size, -1).T.copy().reshape(-1).view(kind)
 
 
-def split_words(docs: DataFrame, path: str, block_chars: int = 8 << 20) -> DataFrame:
-    """Split texts to words, block by block: one row per distinct word of a block
-    (block, place, word) and one per document (block, doc_id, places).
+def split_words(docs: DataFrame, path: str, buckets: int, block_chars: int) -> tuple[DataFrame, DataFrame]:
+    """Split texts to words, block by block, as two tables.
 
-    ``places`` are the compressed numbers, in order, of the document's words among
-    the block's distinct words.  A block is a run of rows in one scan task, so
-    even a word that every document holds has only one row per block.
+    (bucket, block, first, sizes, words): a block's distinct words of a bucket, of
+    which the first has the place ``first``; and (block, doc_id, n_words, places):
+    the places, in order, of a document's words among the block's.  Even a word
+    that every document holds stands only once in a block.
     """
 
-    def run(batches):
-        from pyspark import TaskContext
-
-        for block, rows in _blocks(batches, TaskContext.get().partitionId(), block_chars):
-            table: dict[str, int] = {}
-            parts = Splitter(path, lambda w, t=table: t.setdefault(w, len(t)), 1 << 40).parts
-            packed = [zlib.compress(np.asarray(parts(text or ""), dtype="<u4").tobytes(), 1) for _, text in rows]
-            n = len(rows)
-            yield pa.record_batch([pa.array([block] * n), pa.array([r[0] for r in rows], pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.array(packed, pa.binary())], ["block", "doc_id", "place", "word", "places"])
-            words = list(table)
-            for at in range(0, len(words), 50_000):
-                some = words[at : at + 50_000]
+    def words(batches):
+        for block, _, _, words, firsts in _blocks(batches, path, buckets, block_chars):
+            rows = [(b, firsts[b], [w.encode() for w in words[firsts[b] : firsts[b + 1]]]) for b in range(buckets) if firsts[b] < firsts[b + 1]]
+            for at in range(0, len(rows), 100):
+                some = rows[at : at + 100]
+                sizes = [_squeeze(np.array([len(w) for w in r[2]], dtype="<u4")) for r in some]
+                texts = [zstandard.compress(b"".join(r[2]), 3) for r in some]
+                yield pa.record_batch([pa.array([r[0] for r in some], pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([r[1] for r in some], pa.int64()), pa.array(sizes, pa.binary()), pa.array(texts, pa.binary())], ["bucket", "block", "first", "sizes", "words"])
+
+    def places(batches):
+        for block, ids, found, words, _ in _blocks(batches, path, buckets, block_chars):
+            for at in range(0, len(ids), 500):
+                some = ids[at : at + 500]
                 n = len(some)
-                yield pa.record_batch([pa.array([block] * n), pa.nulls(n, pa.int64()), pa.array(range(at, at + n), pa.int32()), pa.array(some), pa.nulls(n, pa.binary())], ["block", "doc_id", "place", "word", "places"])
+                yield pa.record_batch([pa.array([block] * n, pa.int64()), pa.array(some, pa.int64()), pa.array([len(words)] * n, pa.int64()), pa.array([_squeeze(x) for x in found[at : at + 500]], pa.binary())], ["block", "doc_id", "n_words", "places"])
 
-    return docs.mapInArrow(run, _SPLIT_SCHEMA)
+    return docs.mapInArrow(words, "bucket int, block long, first long, sizes binary, words binary"), docs.mapInArrow(places, "block long, doc_id long, n_words long, places binary")
 
 
-def encode_distinct(words: DataFrame, path: str) -> DataFrame:
-    """(block, place, word) -> (block, place, ids), each distinct word encoded once.
+def encode_distinct(words: DataFrame, path: str, most: int = 500_000) -> DataFrame:
+    """(block, first, sizes, ids) of rows (bucket, block, first, sizes, words).
 
-    Rows are dealt by a word's hash and sorted, and a task walks through runs of
-    equal words, so it holds one batch at a time and never a word's whole list.
+    All occurrences of a word are in one bucket, so each distinct word is encoded
+    once (again only if a task meets more than ``most`` of them).
     """
 
     def run(batches):
-        one, last, ids = word_encoder(path), None, b""
+        one, known = word_encoder(path), {}
         for batch in batches:
-            out = []
-            for word in batch.column("word").to_pylist():
-                if word != last:
-                    last, ids = word, one(word)
-                out.append(ids)
-            yield pa.record_batch([batch.column("block"), batch.column("place"), pa.array(out, pa.binary())], ["block", "place", "ids"])
+            sizes_out, ids_out = [], []
+            for sizes, texts in zip(batch.column("sizes").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                ends = np.cumsum(_spread(sizes, "<u4")).tolist()
+                text, at, got = zstandard.decompress(texts), 0, []
+                for end in ends:
+                    word, at = text[at:end], end
+                    ids = known.get(word)
+                    if ids is None:
+                        if len(known) >= most:
+                            known.clear()
+                        ids = known[word] = one(word.decode())
+                    got.append(ids)
+                sizes_out.append(_squeeze(np.array([len(x) // 4 for x in got], dtype="<u4")))
+                ids_out.append(_squeeze(np.frombuffer(b"".join(got), dtype="<u4")))
+            yield pa.record_batch([batch.column("block"), batch.column("first"), pa.array(sizes_out, pa.binary()), pa.array(ids_out, pa.binary())], ["block", "first", "sizes", "ids"])
 
     n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = words.select("block", "place", "word").repartition(n, F.xxhash64("word")).sortWithinPartitions("word")
-    return dealt.mapInArrow(run, "block string, place int, ids binary")
-
-
-def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    return words.repartition(n, "bucket").mapInArrow(run, "block long, first long, sizes binary, ids binary")
+
+
+def _join_back(key, table, docs):
+    """A block's words' ids, in the order of places, put back for each document."""
+    order = np.argsort(table.column("first").to_numpy())
+    sizes = [_spread(x, "<u4") for x in table.column("sizes").to_pylist()]
+    ids = [_spread(x, "<u4") for x in table.column("ids").to_pylist()]
+    sizes = np.concatenate([sizes[i] for i in order] + [np.zeros(0, "<u4")]).astype(np.int64)
+    flat = np.concatenate([ids[i] for i in order] + [np.zeros(0, "<u4")])
+    starts, out = np.cumsum(sizes) - sizes, []
+    if set(docs.column("n_words").to_pylist()) - {len(sizes)}:
+        raise RuntimeError(f"block {key[0].as_py()} was read differently: the input isn't a stable table")
+    for packed in docs.column("places").to_pylist():
+        at = _spread(packed, "<u4")
+        n = sizes[at]
+        ends = np.cumsum(n)
+        take = np.repeat(starts[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+        out.append(flat[take].astype("<u4").tobytes())
+    return pa.table({"doc_id": docs.column("doc_id"), "ids": pa.array(out, pa.binary())})
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", stable: bool = False, block_chars: int = 8 << 20) -> DataFrame:
     """(doc_id, ids binary: unsigned little-endian 32-bit numbers) of each row.
 
     As the tokenizer at ``path`` encodes whole texts, without special tokens being
     added; strings of special tokens that a text holds get their ids.  A null or
     empty text has no ids; repeated rows and null keys stay as they are; other
-    columns are dropped.
+    columns are dropped.  The rows are read twice, so they are written first
+    unless they are ``stable``: the plain scan of a table.
     """
-    split = cut_split(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), path)
-    words = encode_distinct(split.where("place is not null"), path)
-    rows = split.where("place is null").select("block", F.lit(-1).alias("place"), "doc_id", "places", F.lit(None).cast("binary").alias("ids"))
-    table = words.select("block", "place", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("places"), "ids")
-
-    def run(batches):
-        yield from _join_back(batches)
-
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = table.unionByName(rows).repartition(n, "block").sortWithinPartitions("block", F.expr("place < 0"), "place")
-    return met.mapInArrow(run, "doc_id long, ids binary")
-
-
-def cut_split(docs: DataFrame, path: str) -> DataFrame:
-    from .shared import cut
-
-    return cut(split_words(docs, path), "split")
-
-
-def _join_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each block, its words' ids come first, by place, and then its documents."""
-    block, table, spans, flat = None, [], None, None
-    for batch in batches:
-        names, places = batch.column("block").to_pylist(), batch.column("place").to_numpy(zero_copy_only=False)
-        ids, docs, packed = batch.column("ids"), batch.column("doc_id").to_pylist(), batch.column("places")
-        keys, out = [], []
-        for i, name in enumerate(names):
-            if name != block:
-                block, table, spans = name, [], None
-            if places[i] >= 0:
-                table.append(np.frombuffer(ids[i].as_py(), dtype="<u4"))
-                continue
-            if spans is None:
-                sizes = np.array([len(x) for x in table], dtype=np.int64)
-                flat = np.concatenate([*table, np.zeros(0, "<u4")])
-                spans, table = (np.cumsum(sizes) - sizes, sizes), []
-            at = np.frombuffer(zlib.decompress(packed[i].as_py()), dtype="<u4")
-            starts, sizes = spans[0][at], spans[1][at]
-            ends = np.cumsum(sizes)
-            take = np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
-            keys.append(docs[i])
-            out.append(flat[take].astype("<u4").tobytes())
-            if len(out) >= 500:
-                yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "ids"])
-                keys, out = [], []
-        if out:
-            yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "ids"])
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    if not stable:
+        rows = cut(rows, "rows")
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words, places = split_words(rows, path, buckets, block_chars)
+    table = encode_distinct(words, path)
+    return table.groupBy("block").cogroup(places.groupBy("block")).applyInArrow(_join_back, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
