@@ -265,7 +265,7 @@ def _join_back(key, table, docs):
     return pa.table({"doc_id": docs.column("doc_id"), "ids": pa.array(out, pa.binary())})
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", stable: bool = False, block_chars: int = 8 << 20) -> DataFrame:
+def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", stable: bool = False, block_chars: int = 4 << 20) -> DataFrame:
     """(doc_id, ids binary: unsigned little-endian 32-bit numbers) of each row.
 
     As the tokenizer at ``path`` encodes whole texts, without special tokens being
