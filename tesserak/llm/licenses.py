@@ -43,7 +43,7 @@ class Settings:
     A block is a line, or, in a line of more words, each run of ``block`` words
     that begins at a multiple of half of that."""
 
-    share: float = 0.8
+    share: float = 0.9
     block: int = 64
     templates: tuple = field(default_factory=lambda: tuple(TEMPLATES))
 
