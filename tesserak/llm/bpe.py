@@ -8,6 +8,7 @@ are cut by the vocabulary's own split pattern.
 from __future__ import annotations
 
 import base64
+import codecs
 import hashlib
 import json
 import zlib
@@ -167,12 +168,14 @@ def _blocks(batches: Iterator[pa.RecordBatch], path: str, buckets: int, most: in
         return (part << 32) | n, [r[0] for r in rows], [rank[x] for x in places], [k[1] for k in keyed], firsts
 
     for batch in batches:
-        for row in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            rows.append(row)
-            size += len(row[1] or "") + 50
-            if size >= most:
-                yield block()
-                rows, size, n = [], 0, n + 1
+        for from_row in range(0, batch.num_rows, 100):
+            some = batch.slice(from_row, 100)
+            for row in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist(), strict=True):
+                rows.append(row)
+                size += len(row[1] or "") + 50
+                if size >= most:
+                    yield block()
+                    rows, size, n = [], 0, n + 1
     if rows:
         yield block()
 
@@ -283,6 +286,19 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id",
     return table.groupBy("block").cogroup(places.groupBy("block")).applyInArrow(_join_back, "doc_id long, ids binary")
 
 
+def _piece_list(spark: SparkSession, path: str) -> list[bytes]:
+    """Pieces by id, from the id-to-piece table; ids without one are empty."""
+    table = {r["id"]: bytes(r["piece"]) for r in pieces(spark, path).collect()}
+    return [table.get(i, b"") for i in range(max(table) + 1)]
+
+
+def _runs(ids: bytes | None, most: int = 1 << 16) -> Iterator[list[int]]:
+    """The ids of one document, a bounded run at a time."""
+    numbers = np.frombuffer(ids or b"", dtype="<u4")
+    for at in range(0, len(numbers), most):
+        yield numbers[at : at + most].tolist()
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """Add ``text`` to rows (doc_id, ids binary): their pieces joined, as UTF-8.
 
@@ -290,30 +306,45 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     task and each id is joined to its piece there, without moving documents.
     Bytes that aren't UTF-8 become U+FFFD; no or null ids give an empty text.
     """
-    spark = encoded.sparkSession
-    table = {r["id"]: bytes(r["piece"]) for r in pieces(spark, path).collect()}
-    shared = spark.sparkContext.broadcast([table.get(i, b"") for i in range(max(table) + 1)])
+    shared = encoded.sparkSession.sparkContext.broadcast(_piece_list(encoded.sparkSession, path))
 
     def run(batches):
         piece = shared.value.__getitem__
         for batch in batches:
-            texts = [b"".join(map(piece, np.frombuffer(x or b"", dtype="<u4").tolist())).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
-            yield pa.record_batch([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+            for at in range(0, batch.num_rows, 200):
+                some = batch.slice(at, 200)
+                texts = [b"".join(b"".join(map(piece, x)) for x in _runs(ids)).decode("utf-8", "replace") for ids in some.column("ids").to_pylist()]
+                yield pa.record_batch([some.column("doc_id"), some.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
 
 
 def digests(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of rows (doc_id, ids)."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of rows (doc_id, ids).
+
+    The hashes of what ``decode`` gives, taken a run of ids at a time, so that a
+    task never holds the decoded texts of a batch.
+    """
+    shared = encoded.sparkSession.sparkContext.broadcast(_piece_list(encoded.sparkSession, path))
+
+    def of(ids: bytes | None) -> tuple[int, str, str]:
+        piece, n = shared.value.__getitem__, 0
+        numbers, texts, utf8 = hashlib.sha256(), hashlib.sha256(), codecs.getincrementaldecoder("utf-8")("replace")
+        for run in _runs(ids):
+            numbers.update((("," if n else "") + ",".join(map(str, run))).encode())
+            texts.update(utf8.decode(b"".join(map(piece, run))).encode())
+            n += len(run)
+        texts.update(utf8.decode(b"", True).encode())
+        return n, numbers.hexdigest(), texts.hexdigest()
 
     def run(batches):
         for batch in batches:
-            ids = [np.frombuffer(x or b"", dtype="<u4").tolist() for x in batch.column("ids").to_pylist()]
-            names = [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids]
-            texts = [hashlib.sha256(x.encode()).hexdigest() for x in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(map(len, ids), pa.int64()), pa.array(names), pa.array(texts)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for at in range(0, batch.num_rows, 200):
+                some = batch.slice(at, 200)
+                n, numbers, texts = zip(*map(of, some.column("ids").to_pylist()), strict=True)
+                yield pa.record_batch([some.column("doc_id"), pa.array(n, pa.int64()), pa.array(numbers, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return decode(encoded, path).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def rank_file_pieces(path: str) -> dict[bytes, int]:

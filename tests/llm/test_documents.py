@@ -251,6 +251,25 @@ def test_bpe_round_trip(docs, texts, tokenizer):
         assert got.text[i] == (t or "")
 
 
+def test_bpe_digests(docs, texts, tokenizer):
+    got = bpe.digests(bpe.encode(docs, BPE_FILE), BPE_FILE).toPandas().set_index("doc_id")
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        ids = ids_of(tokenizer, t)
+        assert got.n_tokens[i] == len(ids)
+        assert got.ids_sha256[i] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got.decoded_sha256[i] == hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_digests_in_runs(spark, tokenizer):
+    ids = [223, 224] * 50_000 + [50256]
+    df = spark.createDataFrame([(1, bytearray(np.asarray(ids, dtype="<u4").tobytes())), (2, None)], "doc_id long, ids binary")
+    got = {r.doc_id: r for r in bpe.digests(df, BPE_FILE).collect()}
+    assert got[1].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    assert got[1].decoded_sha256 == hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    assert got[2].n_tokens == 0 and got[2].ids_sha256 == got[2].decoded_sha256 == hashlib.sha256(b"").hexdigest()
+
+
 def test_decode_of_broken_ids(spark, tokenizer):
     ids = [[220, 50256, 199], [223, 224], []]
     df = spark.createDataFrame([(i, bytearray(np.asarray(x, dtype="<u4").tobytes())) for i, x in enumerate(ids)], "doc_id long, ids binary")
