@@ -88,8 +88,11 @@ class Splitter:
         self.first, self.later = Known(make, "", most), Known(make, " ", most)
         self.rare = regex.compile(SPLIT)
 
+    def has_special(self, text: str) -> bool:
+        return self.apart is not None and "<" in text and self.apart.search(text) is not None
+
     def parts(self, text: str) -> list:
-        if self.apart is None or "<" not in text or not self.apart.search(text):
+        if not self.has_special(text):
             return self._plain(text)
         out, at = [], 0
         for m in self.apart.finditer(text):
@@ -147,37 +150,67 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "id int, piece binary")
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], path: str, buckets: int, most: int) -> Iterator[tuple]:
-    """(block, doc ids, places of each document, words, first place of each bucket).
-
-    A block is a run of rows of one task with about ``most`` characters.  Its
-    distinct words are numbered by bucket (a hash) and then by text.
-    """
+def distinct_words(texts: Iterable[str | None], path: str) -> set[str]:
+    """The words that a ``Splitter`` gives for ``texts``, found without their order."""
+    whole = Splitter(path, str)
+    first, later, other = set(), set(), set()
+    for text in filter(None, texts):
+        heads, tails = set(), set()
+        lines = text.split("\n")
+        for line in lines:
+            words = line.split(" ")
+            heads.add(words[0])
+            tails.update(words[1:])
+        new = (heads - first) | (tails - later)
+        if whole.has_special(text) or any(not w or w[0].isspace() or w[-1].isspace() for w in new):
+            other.update(whole.parts(text))
+            continue
+        first |= heads
+        later |= tails
+        if len(lines) > 1:
+            other.add("\n")
+    return first.union(other, (" " + w for w in later))
+
+
+def _numbered(words: Iterable[str], buckets: int) -> tuple[list[str], np.ndarray]:
+    """Words by bucket (a hash) and then by text, and the first place of each bucket."""
+    words = sorted(words)
+    bucket = np.fromiter((zlib.crc32(w.encode()) % buckets for w in words), dtype=np.int64, count=len(words))
+    order = np.argsort(bucket, kind="stable")
+    return [words[i] for i in order.tolist()], np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def _places(texts: list[str | None], path: str, buckets: int) -> tuple[list[np.ndarray], int]:
+    """The numbers of each text's words, in order, and how many distinct words there are."""
+    table: dict[str, int] = {}
+    parts = Splitter(path, lambda w: table.setdefault(w, len(table)), 1 << 40).parts
+    found = [np.asarray(parts(text or ""), dtype=np.int64) for text in texts]
+    used = np.zeros(len(table), dtype=bool)  # a text that turns out irregular leaves words in the table
+    for x in found:
+        used[x] = True
+    ordered, _ = _numbered((w for w, i in table.items() if used[i]), buckets)
+    rank = np.zeros(len(table), dtype="<u4")
+    rank[[table[w] for w in ordered]] = np.arange(len(ordered), dtype="<u4")
+    return [rank[x] for x in found], len(ordered)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[int, list, list]]:
+    """(block, doc ids, texts): runs of rows of one task with about ``most`` characters."""
     from pyspark import TaskContext
 
-    part, rows, size, n = TaskContext.get().partitionId(), [], 0, 0
-
-    def block() -> tuple:
-        table: dict[str, int] = {}
-        parts = Splitter(path, lambda w: table.setdefault(w, len(table)), 1 << 40).parts
-        places = [np.asarray(parts(text or ""), dtype=np.int64) for _, text in rows]
-        keyed = sorted((zlib.crc32(w.encode()) % buckets, w, i) for w, i in table.items())
-        rank = np.empty(len(keyed), dtype="<u4")
-        rank[[k[2] for k in keyed]] = np.arange(len(keyed), dtype="<u4")
-        firsts = np.searchsorted([k[0] for k in keyed], np.arange(buckets + 1))
-        return (part << 32) | n, [r[0] for r in rows], [rank[x] for x in places], [k[1] for k in keyed], firsts
-
+    part, ids, texts, size, n = TaskContext.get().partitionId(), [], [], 0, 0
     for batch in batches:
-        for from_row in range(0, batch.num_rows, 100):
-            some = batch.slice(from_row, 100)
-            for row in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist(), strict=True):
-                rows.append(row)
-                size += len(row[1] or "") + 50
+        for at in range(0, batch.num_rows, 100):
+            some = batch.slice(at, 100)
+            for doc_id, text in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist(), strict=True):
+                ids.append(doc_id)
+                texts.append(text)
+                size += len(text or "") + 50
                 if size >= most:
-                    yield block()
-                    rows, size, n = [], 0, n + 1
-    if rows:
-        yield block()
+                    yield (part << 32) | n, ids, texts
+                    ids, texts, size, n = [], [], 0, n + 1
+    if ids:
+        yield (part << 32) | n, ids, texts
 
 
 def _squeeze(x: np.ndarray) -> bytes:
@@ -201,20 +234,22 @@ def split_words(docs: DataFrame, path: str, buckets: int, block_chars: int) -> t
     """
 
     def words(batches):
-        for block, _, _, words, firsts in _blocks(batches, path, buckets, block_chars):
+        for block, _, texts in _blocks(batches, block_chars):
+            words, firsts = _numbered(distinct_words(texts, path), buckets)
             rows = [(b, firsts[b], [w.encode() for w in words[firsts[b] : firsts[b + 1]]]) for b in range(buckets) if firsts[b] < firsts[b + 1]]
             for at in range(0, len(rows), 100):
                 some = rows[at : at + 100]
                 sizes = [_squeeze(np.array([len(w) for w in r[2]], dtype="<u4")) for r in some]
-                texts = [zstandard.compress(b"".join(r[2]), 3) for r in some]
-                yield pa.record_batch([pa.array([r[0] for r in some], pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([r[1] for r in some], pa.int64()), pa.array(sizes, pa.binary()), pa.array(texts, pa.binary())], ["bucket", "block", "first", "sizes", "words"])
+                packed = [zstandard.compress(b"".join(r[2]), 3) for r in some]
+                yield pa.record_batch([pa.array([r[0] for r in some], pa.int32()), pa.array([block] * len(some), pa.int64()), pa.array([r[1] for r in some], pa.int64()), pa.array(sizes, pa.binary()), pa.array(packed, pa.binary())], ["bucket", "block", "first", "sizes", "words"])
 
     def places(batches):
-        for block, ids, found, words, _ in _blocks(batches, path, buckets, block_chars):
+        for block, ids, texts in _blocks(batches, block_chars):
+            found, n_words = _places(texts, path, buckets)
             for at in range(0, len(ids), 500):
                 some = ids[at : at + 500]
                 n = len(some)
-                yield pa.record_batch([pa.array([block] * n, pa.int64()), pa.array(some, pa.int64()), pa.array([len(words)] * n, pa.int64()), pa.array([_squeeze(x) for x in found[at : at + 500]], pa.binary())], ["block", "doc_id", "n_words", "places"])
+                yield pa.record_batch([pa.array([block] * n, pa.int64()), pa.array(some, pa.int64()), pa.array([n_words] * n, pa.int64()), pa.array([_squeeze(x) for x in found[at : at + 500]], pa.binary())], ["block", "doc_id", "n_words", "places"])
 
     return docs.mapInArrow(words, "bucket int, block long, first long, sizes binary, words binary"), docs.mapInArrow(places, "block long, doc_id long, n_words long, places binary")
 

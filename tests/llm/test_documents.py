@@ -261,6 +261,15 @@ def test_bpe_digests(docs, texts, tokenizer):
         assert got.decoded_sha256[i] == hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_distinct_words_are_those_of_the_splitter(texts):
+    some = [*texts, "one  two", "a\tb c", "x <|endoftext|> y\nz", "\n", " ", "end\n", None]
+    for one in [some, *([t] for t in some)]:
+        parts = bpe.Splitter(BPE_FILE, str).parts
+        words = {w for t in one for w in parts(t or "")}
+        assert bpe.distinct_words(one, BPE_FILE) == words
+        assert bpe._places(one, BPE_FILE, 7)[1] == len(words)
+
+
 def test_digests_in_runs(spark, tokenizer):
     ids = [223, 224] * 50_000 + [50256]
     df = spark.createDataFrame([(1, bytearray(np.asarray(ids, dtype="<u4").tobytes())), (2, None)], "doc_id long, ids binary")
