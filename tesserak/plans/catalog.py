@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analytics, assurance, relational, retrieval, streams
+from . import analytics, assurance, relational, retrieval, rollups, streams
 
-MODULES = [retrieval, relational, analytics, assurance, streams]
+MODULES = [retrieval, relational, analytics, assurance, rollups, streams]
 
 
 def queries() -> dict:
