@@ -80,27 +80,69 @@ def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return sums[starts[1:]] - sums[starts[:-1]]
 
 
+def _counts(rows: list, width: int) -> np.ndarray:
+    """In how many rows each hashed term stands, counted over 1,000 rows at once."""
+    return sum((np.bincount(_ragged(rows[at : at + 1000])[1], minlength=width) for at in range(0, len(rows), 1000)), np.zeros(width, np.int64))
+
+
+def _unexplained_beside(rows: list, labels: np.ndarray, lifted: np.ndarray, model: Model, s: Settings) -> np.ndarray:
+    """Which terms hold, among the rows of some ``lifted`` term, more or fewer ones
+    than ``model`` and the usual miss in those rows give, by ``least_apart``
+    standard deviations."""
+    given = np.concatenate([model.scores(rows[at : at + 500]) for at in range(0, len(rows), 500)])
+    found = np.zeros(len(lifted), dtype=bool)
+    starts, flat = _ragged(rows)
+    at = np.flatnonzero(lifted[flat])
+    at = at[np.argsort(flat[at], kind="stable")]
+    row = np.searchsorted(starts, at, side="right") - 1
+    for own in np.split(row, np.flatnonzero(np.diff(flat[at])) + 1):
+        if not len(own):
+            continue
+        usual = (labels - given)[own].mean()
+        seen, off, spread = np.zeros(len(lifted), np.int64), np.zeros(len(lifted)), np.zeros(len(lifted))
+        for some in (own[i : i + 1000] for i in range(0, len(own), 1000)):
+            begins, ids = _ragged([rows[i] for i in some])
+            each = lambda x: np.repeat(x, np.diff(begins))  # noqa: B023, E731
+            seen += np.bincount(ids, minlength=len(lifted))
+            off += np.bincount(ids, each((labels - given)[some] - usual), len(lifted))
+            spread += np.bincount(ids, each((given * (1 - given))[some]), len(lifted))
+        # half a row is added, so sure scores don't make a small rest stand out
+        found |= (seen >= s.least_documents) & (np.abs(off) >= s.least_apart * np.sqrt(spread + 0.5))
+    return found
+
+
 def learn(rows: list, labels: np.ndarray, s: Settings = Settings()) -> Model:
     """Fit a machine to hashed term lists and 0/1 labels (stochastic, with Adagrad).
 
     Terms in fewer than ``least_documents`` rows are left out, and those whose
     count among ones is less than ``least_apart`` standard deviations from what
-    chance gives.  No rows, or rows of one kind only: a model that gives the
+    chance gives, unless they are as far from what a machine of the other terms
+    gives among the rows of one of these (a group's name, neutral alone, beside an
+    insult): then all are learned together.  Pairs of terms that are both neutral
+    alone aren't sought.  No rows, or rows of one kind only: a model that gives the
     smoothed share of ones.
     """
     n, width = len(rows), 1 << s.bits
-    rng = np.random.default_rng(s.seed)
-    weight, factor = np.zeros(width), np.zeros((width, s.factors))
     share = (labels.sum() + 0.1) / (n + 1.0)
     bias = float(np.log(share / (1 - share)))
-    seen = np.bincount(_ragged(rows)[1], minlength=width)
-    ones = np.bincount(_ragged([r for r, y in zip(rows, labels, strict=True) if y])[1], minlength=width)
+    seen = _counts(rows, width)
+    ones = _counts([r for r, y in zip(rows, labels, strict=True) if y], width)
     usual = seen * share
     apart = np.abs(ones - usual) / np.sqrt(np.maximum(usual * (1 - share) * (1 - seen / (n + 1)), 1e-9))
-    scale = ((seen >= s.least_documents) & (apart >= s.least_apart)).astype(np.float64)
-    model = Model(bias, weight, factor, scale)
+    lifted = (seen >= s.least_documents) & (apart >= s.least_apart)
     if n == 0 or labels.min() == labels.max():
-        return model
+        return Model(bias, np.zeros(width), np.zeros((width, s.factors)), lifted.astype(np.float64))
+    model = _fitted(rows, labels, bias, lifted, s)
+    more = _unexplained_beside(rows, labels, lifted, model, s) & ~lifted
+    return _fitted(rows, labels, bias, lifted | more, s) if more.any() else model
+
+
+def _fitted(rows: list, labels: np.ndarray, bias: float, learned: np.ndarray, s: Settings) -> Model:
+    """A machine of the ``learned`` terms alone."""
+    n, width = len(rows), len(learned)
+    rng = np.random.default_rng(s.seed)
+    weight, factor, scale = np.zeros(width), np.zeros((width, s.factors)), learned.astype(np.float64)
+    model = Model(bias, weight, factor, scale)
     kept = [np.asarray(r, dtype=np.int64)[scale[np.asarray(r, dtype=np.int64)] > 0] if len(r) else np.zeros(0, np.int64) for r in rows]
     used = np.flatnonzero(scale > 0)
     factor[used] = rng.normal(0, 0.03, (len(used), s.factors))

@@ -234,6 +234,20 @@ def test_toxicity_learns_pairs():
     assert both > 0.5 > max(one, two)
 
 
+def test_toxicity_learns_a_term_that_is_neutral_alone():
+    rnd, mask = random.Random(1), (1 << 18) - 1
+    filler = lambda: ["w" + rnd.choice("abcdefgh") + rnd.choice("abcdefgh") for _ in range(12)]
+    rows, labels = [], []
+    for _ in range(16_000):
+        insult, group, other = rnd.random() < 0.01, rnd.random() < 0.15, rnd.random() < 0.03
+        rows.append(toxicity.terms(" ".join(["insult"] * insult + ["folk"] * group + ["slur"] * other + filler()), mask))
+        labels.append(float((insult and group) or other))
+    model = toxicity.learn(rows, np.array(labels))
+    called = {t: (model.scores([toxicity.terms(" ".join([*t.split(), *filler()]), mask) for _ in range(200)]) >= 0.3).mean() for t in ("insult folk", "insult", "folk", "slur", "")}
+    assert called["insult folk"] > 0.9 and called["slur"] > 0.9
+    assert max(called["insult"], called["folk"], called[""]) < 0.1
+
+
 def test_toxicity_rows(spark, docs, texts):
     labels = spark.createDataFrame([(i, 1 if i % 7 == 0 else 0) for i in range(0, len(texts), 2)] + [(None, 1), (5, None)], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
