@@ -40,8 +40,9 @@ TEMPLATES = [
 @dataclass(frozen=True)
 class Settings:
     """``share``: least part of a template's distinct tokens that a block holds.
-    A block is a line, or, in a line of more words, each run of ``block`` words
-    that begins at a multiple of half of that."""
+    Blocks are runs of ``block`` words (twice the longest template's at least) of
+    the whole text, line feeds or not, and of each line.  Runs overlap by the
+    longest template, so each stretch of so many words lies in one."""
 
     share: float = 0.9
     block: int = 64
@@ -77,7 +78,7 @@ class Join:
 
     def __init__(self, s: Settings, frequency: dict[bytes, int]):
         tokens = sorted({w for _, t in s.templates for w in words_of(t)}, key=lambda w: (frequency.get(w, 0), w))
-        self.share, self.block, self.order = s.share, s.block, {w: i for i, w in enumerate(tokens)}
+        self.share, self.order = s.share, {w: i for i, w in enumerate(tokens)}
         self.sets, self.prefix = [], {}
         for label, text in s.templates:
             ids = sorted({self.order[w] for w in words_of(text)})
@@ -87,17 +88,24 @@ class Join:
             for at, token in enumerate(ids[: len(ids) - need + 1]):
                 self.prefix.setdefault(token, []).append((len(self.sets), at))
             self.sets.append((label, frozenset(ids), len(ids), need))
+        self.longest = max((len(words_of(t)) for _, t in s.templates), default=1)
+        self.block = max(s.block, 2 * self.longest)
         self.least = min((x[3] for x in self.sets), default=1)
         self.first = frozenset(tokens[i] for i in self.prefix)
 
     def blocks(self, text: str) -> Iterator[list[bytes]]:
-        for line in text.encode().translate(_LINES).split(b"\n"):
-            words = line.split()
-            if len(words) <= self.block:
-                yield words
-            else:
-                for at in range(0, len(words) - self.block // 2, self.block // 2):
-                    yield words[at : at + self.block]
+        words = words_of(text)
+        yield from self._runs(words)
+        if len(words) > self.block:
+            for line in text.encode().translate(_LINES).split(b"\n"):
+                yield from self._runs(line.split())
+
+    def _runs(self, words: list[bytes]) -> Iterator[list[bytes]]:
+        if len(words) <= self.block:
+            yield words
+        else:
+            for at in range(0, len(words) - self.longest, self.block - self.longest):
+                yield words[at : at + self.block]
 
     def matches(self, words: list[bytes]) -> dict[str, float]:
         """label -> greatest containment, of templates that reach the share."""

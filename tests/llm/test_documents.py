@@ -186,6 +186,23 @@ def test_licenses(spark):
     assert "gpl" in got[6].labels and got[7].labels == "mit"
 
 
+@pytest.mark.parametrize("width", [25, 72, 10_000])
+def test_wrapped_notices(spark, width):
+    import textwrap
+
+    long = " ".join(f"t{i}" for i in range(50))
+    s = licenses.Settings(templates=(*licenses.TEMPLATES, ("long", long)))
+    rows, want = [], []
+    for label, text in s.templates:
+        for before in range(0, 130, 7):
+            words = " ".join([f"w{i}" for i in range(before)] + [text] + [f"v{i}" for i in range(150)])
+            rows.append((len(rows), textwrap.fill(words, width, initial_indent="# ", subsequent_indent="# ")))
+            want.append(label)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(df, s).collect()}
+    assert all(label in got[i].labels.split(",") and got[i].score == 1 for i, label in enumerate(want))
+
+
 def test_set_join_misses_no_block():
     rnd = random.Random(5)
     tokens = [f"t{i}" for i in range(30)]
