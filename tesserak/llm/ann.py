@@ -3,8 +3,9 @@
 Centroids are fitted on a bounded sample.  Every vector stands in the list of its
 nearest centroid and, near a boundary, in those of the others that are almost as
 near.  A query finds centroids by a best-first walk on a graph of neighbouring
-centroids held in memory, keeps those within a ratio of the nearest distance,
-and its lists are searched exactly.  Long lists are dealt to parts.
+centroids held in memory, keeps those within a ratio of the distance at which
+enough vectors are met, and its lists are searched exactly.  Long lists are
+dealt to parts.
 """
 
 from __future__ import annotations
@@ -26,8 +27,9 @@ class Settings:
     """``sample``: vectors that centroids are fitted on, about, at most;
     ``per_list``: vectors of a list, about; ``lists`` at most (what tasks hold);
     ``copies`` of a boundary vector within ``boundary`` times the nearest distance;
-    ``ratio`` of the nearest distance and ``share`` of the lists that a query
-    searches at most; ``degree`` of the graph; ``group``: rows of a part."""
+    ``ratio`` of the distance at which ``nearest`` candidates are met and ``share``
+    of the lists that a query searches at most, unless they hold too few;
+    ``degree`` of the graph; ``group``: rows of a part."""
 
     nearest: int = 10
     sample: int = 16_000
@@ -73,8 +75,10 @@ class Graph:
         step = max(1, len(center) // 32)
         self.entries = np.arange(0, len(center), step)
 
-    def search(self, q: np.ndarray, most: int, ratio: float) -> np.ndarray:
-        """Up to ``most`` centroids within ``ratio`` of the nearest one's distance."""
+    def search(self, q: np.ndarray, most: int, ratio: float, homes: np.ndarray, least: int) -> np.ndarray:
+        """Up to ``most`` centroids within ``ratio`` of the distance at which the nearer
+        ones are home to ``least`` vectors; all centroids if those found are home to
+        fewer.  ``homes``: of how many vectors each centroid is the nearest."""
         far = lambda ids: np.sqrt(((self.center[ids] - q) ** 2).sum(1))
         seen = np.zeros(len(self.center), dtype=bool)
         seen[self.entries] = True
@@ -97,7 +101,11 @@ class Graph:
                 elif d2 < -best[0]:
                     heapq.heapreplace(best, -d2)
         found.sort()
-        return np.array([j for d, j in found[:most] if d <= ratio * found[0][0] + 1e-12], dtype=np.int64)
+        held = np.cumsum(homes[[j for _, j in found[:most]]])
+        if held[-1] < least:
+            return np.arange(len(self.center))
+        edge = ratio * found[int(np.searchsorted(held, least))][0] + 1e-12
+        return np.array([j for d, j in found[:most] if d <= edge], dtype=np.int64)
 
 
 def _scan(s: Settings):
@@ -167,18 +175,22 @@ def search(vectors: DataFrame, queries: DataFrame, s: Settings = Settings()) ->
                 near = np.argsort(far, axis=1, kind="stable")[:, : s.copies]
                 d = np.take_along_axis(far, near, axis=1)
                 row, col = np.nonzero(d <= s.boundary * d[:, :1] + 1e-12)
-                yield pa.record_batch([pa.array(near[row, col]), b.column("vec_id").take(pa.array(at + row)), b.column("embedding").take(pa.array(at + row))], ["list", "vec_id", "embedding"])
+                yield pa.record_batch([pa.array(near[row, col]), b.column("vec_id").take(pa.array(at + row)), b.column("embedding").take(pa.array(at + row)), pa.array(col == 0)], ["list", "vec_id", "embedding", "home"])
 
     def ask(batches):
         for b in batches:
             x = _matrix(b.column("embedding"))
             for i, q in enumerate(x):
-                found = graph.value.search(q, searched, s.ratio)
+                found = graph.value.search(q, searched, s.ratio, homes, s.nearest + 1)
                 same = pa.array(np.full(len(found), i))
                 yield pa.record_batch([pa.array(found), b.column("query_id").take(same), b.column("embedding").take(same)], ["list", "query_id", "embedding"])
 
-    posted = in_bounded_groups(cut(stored.mapInArrow(post, "list long, vec_id long, embedding array<double>"), "posted"), "list", "vec_id", s.group)
-    parts = cut(posted, "lists")
+    posted = cut(stored.mapInArrow(post, "list long, vec_id long, embedding array<double>, home boolean"), "posted")
+    # a vector has one home, so lists that are home to k vectors hold k distinct ones
+    homes = np.zeros(lists, dtype=np.int64)
+    for r in posted.where("home").groupBy("list").count().collect():
+        homes[r["list"]] = r["count"]
+    parts = cut(in_bounded_groups(posted.drop("home"), "list", "vec_id", s.group), "lists")
     shape = cut(parts.select("list", "part").distinct(), "shape")
     wanted = asked.mapInArrow(ask, "list long, query_id long, embedding array<double>").join(shape, "list")
     near = wanted.groupBy("list", "part").cogroup(parts.groupBy("list", "part")).applyInArrow(_scan(s), "query_id long, vec_id long, score double")

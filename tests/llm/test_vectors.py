@@ -82,6 +82,20 @@ def test_search_recall_and_scores(spark):
     assert hit / 600 >= 0.9
 
 
+def test_small_copy_groups_give_full_rows(spark):
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(300, 16)), rng.integers(2, 10, 300), axis=0)
+    n = len(x)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    for s in (ann.Settings(per_list=4), ann.Settings(per_list=4, share=0.001)):
+        got = ann.search(df, df.where("vec_id % 10 = 0"), s).toPandas()
+        held = got.groupby("query_id").vec_id.nunique()
+        assert set(held.index) == set(range(0, n, 10)) and (held == min(10, n - 1)).all()
+        assert (got.query_id != got.vec_id).all()
+    few = df.where("vec_id < 7")
+    assert (ann.search(few, few, ann.Settings(per_list=1)).groupBy("query_id").count().toPandas()["count"] == 6).all()
+
+
 def test_few_candidates(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = [(r.query_id, r["rank"], r.vec_id) for r in ann.search(df, df.where("vec_id = 0")).orderBy("rank").collect()]
