@@ -3,6 +3,9 @@
 Words are cut so that merges never cross them: at each single space or line feed
 between two characters that are not white space.  Texts with other white space
 are cut by the vocabulary's own split pattern.
+
+Decoding explodes ids, joins each one with the id-to-piece table, which the
+vocabulary bounds, and puts the pieces back by position.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ import codecs
 import hashlib
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,6 +32,11 @@ from .shared import cut
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 
+#: Words of so many characters are split before they are merged, and aren't remembered.
+LONG = 10_000
+#: Characters of text that one task of a shuffle stands for, about.
+TASK_CHARS = 16 << 20
+
 
 @lru_cache(1)
 def byte_of_stand_in() -> dict[str, int]:
@@ -74,7 +82,9 @@ class Known(dict):
             raise _Irregular
         if len(self) >= self.most:
             self.clear()
-        out = self[word] = self.make(self.before + word)
+        out = self.make(self.before + word)
+        if len(word) < LONG:
+            self[word] = out
         return out
 
 
@@ -119,9 +129,21 @@ class Splitter:
 
 
 def word_encoder(path: str):
-    """word -> its ids as little-endian unsigned 32-bit numbers."""
-    encode, special = merger(path).encode_ordinary, vocabulary(path)[1]
-    return lambda word: np.asarray([special[word]] if word in special else encode(word), dtype="<u4").tobytes()
+    """word -> its ids as little-endian unsigned 32-bit numbers.
+
+    A long word is split here and its pieces merged one by one, as the merging
+    library's own matcher gives up on long runs of white space.
+    """
+    merge, special, cut = merger(path), vocabulary(path)[1], regex.compile(SPLIT)
+
+    def one(word: str) -> bytes:
+        if word in special:
+            return np.asarray([special[word]], dtype="<u4").tobytes()
+        if len(word) < LONG:
+            return np.asarray(merge.encode_ordinary(word), dtype="<u4").tobytes()
+        return b"".join(np.asarray(merge._encode_single_piece(m[0]), dtype="<u4").tobytes() for m in cut.finditer(word))
+
+    return one
 
 
 def text_encoder(path: str):
@@ -254,7 +276,7 @@ def split_words(docs: DataFrame, path: str, buckets: int, block_chars: int) -> t
     return docs.mapInArrow(words, "bucket int, block long, first long, sizes binary, words binary"), docs.mapInArrow(places, "block long, doc_id long, n_words long, places binary")
 
 
-def encode_distinct(words: DataFrame, path: str, most: int = 500_000) -> DataFrame:
+def encode_distinct(words: DataFrame, path: str, tasks: int, most: int = 500_000) -> DataFrame:
     """(block, first, sizes, ids) of rows (bucket, block, first, sizes, words).
 
     All occurrences of a word are in one bucket, so each distinct word is encoded
@@ -274,14 +296,15 @@ def encode_distinct(words: DataFrame, path: str, most: int = 500_000) -> DataFra
                     if ids is None:
                         if len(known) >= most:
                             known.clear()
-                        ids = known[word] = one(word.decode())
+                        ids = one(word.decode())
+                        if len(word) < LONG:
+                            known[word] = ids
                     got.append(ids)
                 sizes_out.append(_squeeze(np.array([len(x) // 4 for x in got], dtype="<u4")))
                 ids_out.append(_squeeze(np.frombuffer(b"".join(got), dtype="<u4")))
             yield pa.record_batch([batch.column("block"), batch.column("first"), pa.array(sizes_out, pa.binary()), pa.array(ids_out, pa.binary())], ["block", "first", "sizes", "ids"])
 
-    n = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return words.repartition(n, "bucket").mapInArrow(run, "block long, first long, sizes binary, ids binary")
+    return words.repartition(tasks, "bucket").mapInArrow(run, "block long, first long, sizes binary, ids binary")
 
 
 def _join_back(key, table, docs):
@@ -299,87 +322,131 @@ def _join_back(key, table, docs):
         n = sizes[at]
         ends = np.cumsum(n)
         take = np.repeat(starts[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-        out.append(flat[take].astype("<u4").tobytes())
-    return pa.table({"doc_id": docs.column("doc_id"), "ids": pa.array(out, pa.binary())})
+        out.append(flat[take].astype(np.int32))
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
+    return pa.table({"doc_id": docs.column("doc_id"), "ids": lists})
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", stable: bool = False, block_chars: int = 4 << 20) -> DataFrame:
-    """(doc_id, ids binary: unsigned little-endian 32-bit numbers) of each row.
+    """(doc_id, ids array<int>) of each row.
 
     As the tokenizer at ``path`` encodes whole texts, without special tokens being
     added; strings of special tokens that a text holds get their ids.  A null or
     empty text has no ids; repeated rows and null keys stay as they are; other
-    columns are dropped.  The rows are read twice, so they are written first
-    unless they are ``stable``: the plain scan of a table.
+    columns are dropped.  The rows are read again and again, so they are written
+    first unless they are ``stable``: the plain scan of a table.  The number of
+    tasks follows the number of characters, which are counted first.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     if not stable:
         rows = cut(rows, "rows")
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words, places = split_words(rows, path, buckets, block_chars)
-    table = encode_distinct(words, path)
-    return table.groupBy("block").cogroup(places.groupBy("block")).applyInArrow(_join_back, "doc_id long, ids binary")
+    chars = rows.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = min(10_000, 1 + chars // TASK_CHARS)
+    words, places = split_words(rows, path, tasks, block_chars)
+    table = encode_distinct(words, path, tasks).repartition(tasks, "block")
+    return table.groupBy("block").cogroup(places.repartition(tasks, "block").groupBy("block")).applyInArrow(_join_back, "doc_id long, ids array<int>")
+
 
+def _with_pieces(encoded: DataFrame, path: str) -> DataFrame:
+    """(row, doc_id, pos, id, piece): a row per id, and one for a document without any.
 
-def _piece_list(spark: SparkSession, path: str) -> list[bytes]:
-    """Pieces by id, from the id-to-piece table; ids without one are empty."""
-    table = {r["id"]: bytes(r["piece"]) for r in pieces(spark, path).collect()}
-    return [table.get(i, b"") for i in range(max(table) + 1)]
+    The id-to-piece table goes to every task, so no document moves and the ids of
+    one stay together, in order.
+    """
+    rows = encoded.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "ids")
+    ids = rows.select("row", "doc_id", F.posexplode_outer("ids").alias("pos", "id"))
+    return ids.join(F.broadcast(pieces(encoded.sparkSession, path)), "id", "left").select("row", "doc_id", "pos", "id", "piece")
 
 
-def _runs(ids: bytes | None, most: int = 1 << 16) -> Iterator[list[int]]:
-    """The ids of one document, a bounded run at a time."""
-    numbers = np.frombuffer(ids or b"", dtype="<u4")
-    for at in range(0, len(numbers), most):
-        yield numbers[at : at + most].tolist()
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bool, np.ndarray, bytes]]:
+    """(doc id, whether the document begins here, some of its ids, their pieces' bytes)."""
+    row, pos = -1, -1
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows, found = batch.column("row").to_numpy(), batch.column("pos")
+        cuts = [0, *(np.flatnonzero(rows[1:] != rows[:-1]) + 1).tolist(), len(rows)]
+        places = found.fill_null(-1).to_numpy()
+        ids = batch.column("id").fill_null(-1).to_numpy()
+        piece = batch.column("piece")
+        _, ends, data = piece.buffers()
+        ends = np.frombuffer(ends, dtype=np.int32)[piece.offset : piece.offset + len(piece) + 1]
+        data = memoryview(data or b"")
+        docs = batch.column("doc_id").take(pa.array(cuts[:-1])).to_pylist()
+        for a, b, doc in zip(cuts, cuts[1:], docs, strict=False):
+            new = rows[a] != row
+            first = 0 if new else pos + 1
+            if places[a] < 0:
+                yield doc, True, ids[:0], b""
+            else:
+                if places[a] != first or places[b - 1] != first + b - a - 1:
+                    raise RuntimeError("the ids of a document came out of order")
+                yield doc, bool(new), ids[a:b], bytes(data[ends[a] : ends[b]])
+            row, pos = rows[b - 1], places[b - 1]
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """Add ``text`` to rows (doc_id, ids binary): their pieces joined, as UTF-8.
+    """(doc_id, text) of rows (doc_id, ids array<int>): their pieces joined, as UTF-8.
 
-    The id-to-piece table is bounded by the vocabulary, so it is sent to every
-    task and each id is joined to its piece there, without moving documents.
-    Bytes that aren't UTF-8 become U+FFFD; no or null ids give an empty text.
+    Bytes that aren't UTF-8 become U+FFFD; ids that the vocabulary lacks give
+    nothing; no or null ids give an empty text.  Repeated rows stay as they are.
     """
-    shared = encoded.sparkSession.sparkContext.broadcast(_piece_list(encoded.sparkSession, path))
 
     def run(batches):
-        piece = shared.value.__getitem__
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                some = batch.slice(at, 200)
-                texts = [b"".join(b"".join(map(piece, x)) for x in _runs(ids)).decode("utf-8", "replace") for ids in some.column("ids").to_pylist()]
-                yield pa.record_batch([some.column("doc_id"), some.column("ids"), pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+        keys, parts = [], []
+        for doc, new, _, data in _runs(batches):
+            if new:
+                if len(keys) == 200:
+                    yield batch(keys, parts)
+                    keys, parts = [], []
+                keys.append(doc)
+                parts.append([])
+            parts[-1].append(data)
+        if keys:
+            yield batch(keys, parts)
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")
+    def batch(keys, parts):
+        return pa.record_batch([pa.array(keys, pa.int64()), pa.array([b"".join(p).decode("utf-8", "replace") for p in parts], pa.string())], ["doc_id", "text"])
+
+    return _with_pieces(encoded, path).mapInArrow(run, "doc_id long, text string")
 
 
 def digests(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of rows (doc_id, ids).
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of rows (doc_id, ids array<int>).
 
     The hashes of what ``decode`` gives, taken a run of ids at a time, so that a
-    task never holds the decoded texts of a batch.
+    task never holds a decoded text.
     """
-    shared = encoded.sparkSession.sparkContext.broadcast(_piece_list(encoded.sparkSession, path))
-
-    def of(ids: bytes | None) -> tuple[int, str, str]:
-        piece, n = shared.value.__getitem__, 0
-        numbers, texts, utf8 = hashlib.sha256(), hashlib.sha256(), codecs.getincrementaldecoder("utf-8")("replace")
-        for run in _runs(ids):
-            numbers.update((("," if n else "") + ",".join(map(str, run))).encode())
-            texts.update(utf8.decode(b"".join(map(piece, run))).encode())
-            n += len(run)
-        texts.update(utf8.decode(b"", True).encode())
-        return n, numbers.hexdigest(), texts.hexdigest()
 
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                some = batch.slice(at, 200)
-                n, numbers, texts = zip(*map(of, some.column("ids").to_pylist()), strict=True)
-                yield pa.record_batch([some.column("doc_id"), pa.array(n, pa.int64()), pa.array(numbers, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        rows, open_ = [], None
+        for doc, new, ids, data in _runs(batches):
+            if new:
+                if open_:
+                    rows.append(closed(open_))
+                if len(rows) >= 1000:
+                    yield batch(rows)
+                    rows = []
+                open_ = [doc, 0, hashlib.sha256(), hashlib.sha256(), codecs.getincrementaldecoder("utf-8")("replace")]
+            if len(ids):
+                open_[2].update((("," if open_[1] else "") + ",".join(map(str, ids.tolist()))).encode())
+                open_[3].update(open_[4].decode(data).encode())
+                open_[1] += len(ids)
+        if open_:
+            rows.append(closed(open_))
+        if rows:
+            yield batch(rows)
+
+    def closed(x):
+        x[3].update(x[4].decode(b"", True).encode())
+        return x[0], x[1], x[2].hexdigest(), x[3].hexdigest()
+
+    def batch(rows):
+        columns = zip(*rows, strict=True)
+        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return _with_pieces(encoded, path).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def rank_file_pieces(path: str) -> dict[bytes, int]:

@@ -275,11 +275,33 @@ def test_toxicity_rows(spark, docs, texts):
 
 
 def test_bpe_round_trip(docs, texts, tokenizer):
-    got = bpe.decode(bpe.encode(docs, BPE_FILE), BPE_FILE).toPandas().set_index("doc_id")
-    assert len(got) == len(texts)
+    encoded = bpe.encode(docs.withColumn("ids", F.lit("clash")), BPE_FILE)
+    ids = {r.doc_id: r.ids for r in encoded.collect()}
+    got = {r.doc_id: r.text for r in bpe.decode(encoded, BPE_FILE).collect()}
+    assert len(ids) == len(got) == len(texts)
     for i, t in enumerate(texts):
-        assert np.frombuffer(got.ids[i], dtype="<u4").tolist() == ids_of(tokenizer, t)
-        assert got.text[i] == (t or "")
+        assert ids[i] == ids_of(tokenizer, t)
+        assert got[i] == (t or "")
+
+
+LONG_RUNS = {"spaces": "x " + " " * 2_000_000, "tabs": "\t" * 1_000_001 + "y", "lines": "a" + "\n" * 1_000_000 + "b", "mixed": " \n\t\r\n  " * 200_000 + "end", "word": "ab" * 1_000_000, "signs": "-=" * 300_000}
+
+
+@pytest.mark.parametrize("kind", LONG_RUNS)
+def test_long_runs_are_encoded_as_the_library_does(tokenizer, kind):
+    got = np.frombuffer(bpe.text_encoder(BPE_FILE)(LONG_RUNS[kind]), dtype="<u4")
+    assert np.array_equal(got, np.asarray(ids_of(tokenizer, LONG_RUNS[kind]), dtype="<u4"))
+
+
+def test_very_long_texts_pass_through_spark(spark, tokenizer):
+    some = {i: t for i, t in enumerate([LONG_RUNS["spaces"], LONG_RUNS["mixed"], LONG_RUNS["word"]])}
+    df = spark.createDataFrame(list(some.items()), "doc_id long, text string").repartition(3)
+    n = {i: len(ids_of(tokenizer, t)) for i, t in some.items()}
+    packed = packing.pack_texts(df, BPE_FILE).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.n - 1 for r in packed} == n
+    got = {r.doc_id: r for r in bpe.digests(bpe.encode(df, BPE_FILE), BPE_FILE).collect()}
+    assert {i: r.n_tokens for i, r in got.items()} == n
+    assert all(got[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest() for i, t in some.items())
 
 
 def test_bpe_digests(docs, texts, tokenizer):
@@ -303,7 +325,7 @@ def test_distinct_words_are_those_of_the_splitter(texts):
 
 def test_digests_in_runs(spark, tokenizer):
     ids = [223, 224] * 50_000 + [50256]
-    df = spark.createDataFrame([(1, bytearray(np.asarray(ids, dtype="<u4").tobytes())), (2, None)], "doc_id long, ids binary")
+    df = spark.createDataFrame([(1, ids), (2, None)], "doc_id long, ids array<int>")
     got = {r.doc_id: r for r in bpe.digests(df, BPE_FILE).collect()}
     assert got[1].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
     assert got[1].decoded_sha256 == hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()
@@ -312,7 +334,7 @@ def test_digests_in_runs(spark, tokenizer):
 
 def test_decode_of_broken_ids(spark, tokenizer):
     ids = [[220, 50256, 199], [223, 224], []]
-    df = spark.createDataFrame([(i, bytearray(np.asarray(x, dtype="<u4").tobytes())) for i, x in enumerate(ids)], "doc_id long, ids binary")
+    df = spark.createDataFrame(list(enumerate(ids)), "doc_id long, ids array<int>")
     got = {r.doc_id: r.text for r in bpe.decode(df, BPE_FILE).collect()}
     assert got == {i: tokenizer.decode(x, skip_special_tokens=False) for i, x in enumerate(ids)}
 
