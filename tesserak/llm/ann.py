@@ -1,15 +1,20 @@
 """Approximate nearest neighbours by balanced posting lists.
 
-Centroids are fitted on a bounded sample.  Every vector stands in the list of its
-nearest centroid and, near a boundary, in those of the others that are almost as
-near.  A query finds centroids by a best-first walk on a graph of neighbouring
-centroids held in memory, keeps those within a ratio of the distance at which
-enough vectors are met, and its lists are searched exactly.  Long lists are
-dealt to parts.
+1. Centroids are fitted on a bounded sample, as many as give short lists.
+2. Every vector stands in the list of its nearest centroid and, near a boundary,
+   in those of the others that are almost as near and lie in another direction.
+   Long lists are dealt to parts, so no task holds more than a bounded number.
+3. A query finds centroids by a best-first walk on a graph of neighbouring
+   centroids held in memory and keeps the nearest within a ratio of the distance
+   at which enough vectors are met.  Both are calibrated: a few vectors of the
+   sample are searched exactly over all rows, and the number and ratio are taken
+   that find the wanted share of their neighbours with the least work.
+4. The lists that are left are searched exactly.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 from dataclasses import dataclass
 
@@ -26,19 +31,20 @@ from .shared import cut, in_bounded_groups
 class Settings:
     """``sample``: vectors that centroids are fitted on, about, at most;
     ``per_list``: vectors of a list, about; ``lists`` at most (what tasks hold);
-    ``copies`` of a boundary vector within ``boundary`` times the nearest distance;
-    ``ratio`` of the distance at which ``nearest`` candidates are met and ``share``
-    of the lists that a query searches at most, unless they hold too few;
+    ``copies`` of a boundary vector within ``boundary`` times the nearest distance,
+    whose centroids lie at least ``apart`` times that distance from each other;
+    ``recall`` that pruning is calibrated for, on ``probes`` vectors of the sample;
     ``degree`` of the graph; ``group``: rows of a part."""
 
     nearest: int = 10
-    sample: int = 16_000
-    per_list: int = 128
-    lists: int = 2048
+    sample: int = 32_000
+    per_list: int = 32
+    lists: int = 8192
     copies: int = 4
     boundary: float = 1.1
-    ratio: float = 1.35
-    share: float = 0.35
+    apart: float = 0.5
+    recall: float = 0.96
+    probes: int = 192
     degree: int = 24
     group: int = 1024
     seed: int = 5
@@ -72,40 +78,128 @@ class Graph:
             for j in row:
                 links[j].add(i)
         self.links = [np.array(sorted(x), dtype=np.int64) for x in links]
-        step = max(1, len(center) // 32)
+        step = max(1, len(center) // 48)
         self.entries = np.arange(0, len(center), step)
 
     def search(self, q: np.ndarray, most: int, ratio: float, homes: np.ndarray, least: int) -> np.ndarray:
-        """Up to ``most`` centroids within ``ratio`` of the distance at which the nearer
-        ones are home to ``least`` vectors; all centroids if those found are home to
-        fewer.  ``homes``: of how many vectors each centroid is the nearest."""
+        """The ``most`` nearest centroids within ``ratio`` of the distance at which the
+        nearer ones are home to ``least`` vectors, and more if they hold fewer; all
+        centroids if those met do.  ``homes``: of how many vectors each is the nearest."""
         far = lambda ids: np.sqrt(((self.center[ids] - q) ** 2).sum(1))
         seen = np.zeros(len(self.center), dtype=bool)
         seen[self.entries] = True
         queue = list(zip(far(self.entries).tolist(), self.entries.tolist(), strict=True))
         heapq.heapify(queue)
-        found = sorted(queue)
-        best = [-d for d, _ in found[:most]]
-        heapq.heapify(best)
+        found: list[tuple[float, int]] = []  # in order
         while queue:
             d, i = heapq.heappop(queue)
-            if len(best) >= most and d > -best[0]:
+            if len(found) >= most and d > found[most - 1][0] and _needed(found, homes, least):
                 break
+            bisect.insort(found, (d, i))
             new = self.links[i][~seen[self.links[i]]]
             seen[new] = True
             for d2, j in zip(far(new).tolist(), new.tolist(), strict=True):
                 heapq.heappush(queue, (d2, j))
-                found.append((d2, j))
-                if len(best) < most:
-                    heapq.heappush(best, -d2)
-                elif d2 < -best[0]:
-                    heapq.heapreplace(best, -d2)
-        found.sort()
-        held = np.cumsum(homes[[j for _, j in found[:most]]])
-        if held[-1] < least:
+        needed = _needed(found, homes, least)
+        if not needed:
             return np.arange(len(self.center))
-        edge = ratio * found[int(np.searchsorted(held, least))][0] + 1e-12
-        return np.array([j for d, j in found[:most] if d <= edge], dtype=np.int64)
+        edge = ratio * found[needed - 1][0] + 1e-12
+        return np.array([j for n, (d, j) in enumerate(found) if n < needed or (n < most and d <= edge)], dtype=np.int64)
+
+
+def _needed(found: list[tuple[float, int]], homes: np.ndarray, least: int) -> int:
+    """How many of the nearest centroids are home to ``least`` vectors; 0: not all are."""
+    held = 0
+    for n, (_, j) in enumerate(found):
+        held += homes[j]
+        if held >= least:
+            return n + 1
+    return 0
+
+
+def posts(x: np.ndarray, center: np.ndarray, s: Settings) -> np.ndarray:
+    """The lists of each vector, nearest first, -1 where it has fewer than ``copies``.
+
+    A further list is taken if its centroid is within ``boundary`` of the nearest
+    distance and no centroid taken before is nearer to it than ``apart`` times that.
+    """
+    out = np.full((len(x), s.copies), -1, dtype=np.int64)
+    for at in range(0, len(x), 512):
+        far = _distances(x[at : at + 512], center)
+        k = min(2 * s.copies, far.shape[1])
+        near = np.argpartition(far, k - 1, axis=1)[:, :k]
+        order = np.lexsort((near, np.take_along_axis(far, near, axis=1)))
+        near = np.take_along_axis(near, order, axis=1)
+        d = np.take_along_axis(far, near, axis=1)
+        rows, mine = np.arange(len(near)), out[at : at + 512]
+        mine[:, 0] = near[:, 0]
+        taken = np.zeros(near.shape, dtype=bool)
+        taken[:, 0] = True
+        own = center[near]
+        n = np.ones(len(near), dtype=np.int64)
+        for j in range(1, k):
+            ok = (d[:, j] <= s.boundary * d[:, 0] + 1e-12) & (n < s.copies)
+            apart = np.sqrt(((own[:, :j] - own[:, j : j + 1]) ** 2).sum(axis=2))
+            ok &= ~(taken[:, :j] & (apart < s.apart * d[:, j : j + 1])).any(axis=1)
+            taken[:, j] = ok
+            mine[rows[ok], n[ok]] = near[ok, j]
+            n += ok
+    return out
+
+
+def _exact(vectors: DataFrame, probes: DataFrame, s: Settings) -> DataFrame:
+    """(query_id, vec_id, embedding, score): the exact neighbours of a few probes, in
+    one pass over all vectors; each task sends its own nearest ones on."""
+    rows = probes.toArrow()
+    ids, q = rows.column("vec_id").to_numpy(), _matrix(rows.column("embedding").combine_chunks())
+
+    def run(batches):
+        best: list = [[] for _ in ids]
+        for b in batches:
+            x, own = _matrix(b.column("embedding")), b.column("vec_id").to_numpy()
+            for at in range(0, len(x), 4096):
+                far = _distances(q, x[at : at + 4096])
+                far[ids[:, None] == own[at : at + 4096]] = np.inf
+                k = min(s.nearest, far.shape[1])
+                near = np.argpartition(far, k - 1, axis=1)[:, :k]
+                for i, js in enumerate(near):
+                    best[i] = sorted([*best[i], *((far[i, j], own[at + j], x[at + j]) for j in js if np.isfinite(far[i, j]))], key=lambda r: r[:2])[: s.nearest]
+        for i, found in enumerate(best):
+            if found:
+                yield pa.record_batch([pa.array([ids[i]] * len(found), pa.int64()), pa.array([r[1] for r in found], pa.int64()), pa.array([r[2] for r in found], pa.list_(pa.float64())), pa.array([r[0] for r in found], pa.float64())], ["query_id", "vec_id", "embedding", "score"])
+
+    near = vectors.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, embedding array<double>, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= s.nearest)
+
+
+def calibrated(vectors: DataFrame, probes: DataFrame, graph: Graph, homes: np.ndarray, s: Settings) -> tuple[int, float]:
+    """(lists searched at most, ratio) that find ``recall`` of the probes' exact
+    neighbours with the fewest rows compared."""
+    truth = _exact(vectors, probes, s).select("query_id", "embedding").toArrow()  # at most probes x nearest rows
+    k = len(graph.center)
+    if not truth.num_rows:
+        return k, np.inf
+    asked = {r["vec_id"]: np.asarray(r["embedding"]) for r in probes.toArrow().to_pylist()}
+    lists = posts(_matrix(truth.column("embedding").combine_chunks()), graph.center, s)
+    rank, apart, far_apart = [], [], []
+    for query_id, mine in zip(truth.column("query_id").to_pylist(), lists, strict=True):
+        far = np.sqrt(((graph.center - asked[query_id]) ** 2).sum(1))
+        order = np.argsort(far, kind="stable")
+        needed = min(k - 1, int(np.searchsorted(np.cumsum(homes[order]), s.nearest + 1)))
+        far /= max(far[order[needed]], 1e-12)
+        best = mine[mine >= 0][far[mine[mine >= 0]].argmin()]
+        rank.append(int(np.flatnonzero(order == best)[0]) + 1)
+        apart.append(far[best])
+        far_apart.append(np.sort(far))
+    rank, apart, best = np.array(rank), np.array(apart), (np.inf, k, np.inf)
+    for ratio in np.unique(np.quantile(apart, np.linspace(s.recall, 1, 8), method="higher")):
+        met = np.sort(np.where(apart <= ratio, rank, k + 1))
+        most = int(met[int(np.ceil(s.recall * len(met))) - 1])
+        cost = np.mean([min(most, np.searchsorted(x, ratio, side="right")) for x in far_apart])
+        if most <= k and cost < best[0]:
+            best = (cost, most, max(1.0, float(ratio)))
+    return best[1], best[2]
 
 
 def _scan(s: Settings):
@@ -164,35 +258,36 @@ def search(vectors: DataFrame, queries: DataFrame, s: Settings = Settings()) ->
     if not len(sample):
         sample = _matrix(stored.orderBy("vec_id").limit(1).select("embedding").toArrow().column("embedding").combine_chunks())
     lists = max(1, min(s.lists, n // s.per_list, len(sample) // 4))
-    graph = spark.sparkContext.broadcast(Graph(centroids(sample, lists, s.seed), s.degree))
-    searched = max(1, round(s.share * lists))
+    index = Graph(centroids(sample, lists, s.seed), s.degree)
+    graph = spark.sparkContext.broadcast(index)
 
     def post(batches):
         for b in batches:
-            x = _matrix(b.column("embedding"))
-            for at in range(0, len(x), 1024):
-                far = _distances(x[at : at + 1024], graph.value.center)
-                near = np.argsort(far, axis=1, kind="stable")[:, : s.copies]
-                d = np.take_along_axis(far, near, axis=1)
-                row, col = np.nonzero(d <= s.boundary * d[:, :1] + 1e-12)
-                yield pa.record_batch([pa.array(near[row, col]), b.column("vec_id").take(pa.array(at + row)), b.column("embedding").take(pa.array(at + row)), pa.array(col == 0)], ["list", "vec_id", "embedding", "home"])
+            found = posts(_matrix(b.column("embedding")), graph.value.center, s)
+            row, col = np.nonzero(found >= 0)
+            yield pa.record_batch([pa.array(found[row, col]), b.column("vec_id").take(pa.array(row)), b.column("embedding").take(pa.array(row)), pa.array(col == 0)], ["list", "vec_id", "embedding", "home"])
+
+    posted = cut(stored.mapInArrow(post, "list long, vec_id long, embedding array<double>, home boolean"), "posted")
+    # a vector has one home, so lists that are home to k vectors hold k distinct ones
+    homes = np.zeros(lists, dtype=np.int64)
+    for r in posted.where("home").groupBy("list").count().collect():
+        homes[r["list"]] = r["count"]
+    probes = some.where(F.pmod(F.xxhash64("vec_id", F.lit(s.seed + 1)), F.lit(max(1, min(n, s.sample) // s.probes))) == 0).orderBy("vec_id").limit(2 * s.probes)
+    most, ratio = calibrated(posted.where("home"), probes, index, homes, s)
 
     def ask(batches):
         for b in batches:
             x = _matrix(b.column("embedding"))
             for i, q in enumerate(x):
-                found = graph.value.search(q, searched, s.ratio, homes, s.nearest + 1)
+                found = graph.value.search(q, most, ratio, homes, s.nearest + 1)
                 same = pa.array(np.full(len(found), i))
                 yield pa.record_batch([pa.array(found), b.column("query_id").take(same), b.column("embedding").take(same)], ["list", "query_id", "embedding"])
 
-    posted = cut(stored.mapInArrow(post, "list long, vec_id long, embedding array<double>, home boolean"), "posted")
-    # a vector has one home, so lists that are home to k vectors hold k distinct ones
-    homes = np.zeros(lists, dtype=np.int64)
-    for r in posted.where("home").groupBy("list").count().collect():
-        homes[r["list"]] = r["count"]
     parts = cut(in_bounded_groups(posted.drop("home"), "list", "vec_id", s.group), "lists")
     shape = cut(parts.select("list", "part").distinct(), "shape")
-    wanted = asked.mapInArrow(ask, "list long, query_id long, embedding array<double>").join(shape, "list")
+    # the queries are few and their search is long: spread over tasks at any size
+    spread = asked.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    wanted = spread.mapInArrow(ask, "list long, query_id long, embedding array<double>").join(shape, "list")
     near = wanted.groupBy("list", "part").cogroup(parts.groupBy("list", "part")).applyInArrow(_scan(s), "query_id long, vec_id long, score double")
     once = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tesserak.llm import ann, lattice
 
@@ -87,7 +88,7 @@ def test_small_copy_groups_give_full_rows(spark):
     x = np.repeat(rng.normal(size=(300, 16)), rng.integers(2, 10, 300), axis=0)
     n = len(x)
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
-    for s in (ann.Settings(per_list=4), ann.Settings(per_list=4, share=0.001)):
+    for s in (ann.Settings(per_list=4), ann.Settings(per_list=4, recall=0.05)):
         got = ann.search(df, df.where("vec_id % 10 = 0"), s).toPandas()
         held = got.groupby("query_id").vec_id.nunique()
         assert set(held.index) == set(range(0, n, 10)) and (held == min(10, n - 1)).all()
@@ -96,6 +97,38 @@ def test_small_copy_groups_give_full_rows(spark):
     assert (ann.search(few, few, ann.Settings(per_list=1)).groupBy("query_id").count().toPandas()["count"] == 6).all()
 
 
+def test_an_outlying_clump_gets_full_rows(spark, table):
+    rng = np.random.default_rng(8)
+    x = np.concatenate((rng.normal(size=(1500, 16)), 80 + rng.normal(scale=0.01, size=(4, 16))))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").withColumn("list", F.lit("clash"))
+    odd = table[1].where("vec_id >= 5000 or vec_id is null").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.lit("clash").alias("list"))
+    twice = df.where("vec_id = 1501")  # a repeated row is one vector
+    got = ann.search(df.union(odd).union(twice), df.where("vec_id >= 1500")).toPandas()
+    assert got.groupby("query_id").vec_id.nunique().to_dict() == dict.fromkeys(range(1500, 1504), 10)
+    assert (got[got["rank"] <= 3].vec_id >= 1500).all()
+
+
+def test_pruning_keeps_recall_with_less_work(spark):
+    rng = np.random.default_rng(9)
+    x = (rng.normal(size=(60, 24))[:, None] * 2 + rng.normal(scale=0.5, size=(60, 70, 24))).reshape(-1, 24)
+    s, n = ann.Settings(), len(x)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = ann.search(df, df.where("vec_id % 20 = 0"), s).toPandas()
+    hit = 0
+    for q in range(0, n, 20):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hit += len(set(np.argsort(d)[:10]) & set(got[got.query_id == q].vec_id))
+    assert hit / (n / 20 * 10) >= 0.9
+    graph = ann.Graph(ann.centroids(x, n // s.per_list, s.seed), s.degree)
+    lists = ann.posts(x, graph.center, s)
+    homes = np.bincount(lists[:, 0], minlength=len(graph.center))
+    assert (lists[:, 0] == ann._distances(x, graph.center).argmin(1)).all() and homes.sum() == n
+    found = [graph.search(q, 6, 1.5, homes, 11) for q in x[::20]]
+    assert all(homes[f].sum() >= 11 for f in found)
+    assert np.mean([np.isin(lists, f).sum() for f in found]) < 0.25 * n
+
+
 def test_few_candidates(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = [(r.query_id, r["rank"], r.vec_id) for r in ann.search(df, df.where("vec_id = 0")).orderBy("rank").collect()]
