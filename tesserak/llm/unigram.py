@@ -8,6 +8,7 @@ begins earliest, as the tokenizer does.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import ahocorasick
@@ -23,20 +24,29 @@ UNKNOWN_PENALTY = 10.0
 MARK = "▁"
 
 
-def sentencepiece_vocabulary(path: str, least: float = -1e8) -> list[tuple[str, float]]:
-    """(piece, score) of a sentencepiece file's ordinary pieces, ``<unk>`` first.
+def sentencepiece_vocabulary(path: str, shift: float = 2.7) -> list[tuple[str, float]]:
+    """(piece, log probability) of a sentencepiece file's ordinary pieces, ``<unk>`` first.
 
-    Pieces under ``least``, which stand for runs of spaces, are left out.
+    No unigram file ships with the public tokenizers and none is trained here: the
+    file is a BPE model, whose scores are minus the merge rank and no logarithms.
+    A piece of rank r therefore gets the probability that the law of Zipf and
+    Mandelbrot gives it, in proportion to 1 / (r + ``shift``).  Pieces without a
+    rank, which stand for runs of spaces, are left out.
     """
     from sentencepiece import SentencePieceProcessor
 
     sp = SentencePieceProcessor(model_file=path)
     ids = [i for i in range(sp.get_piece_size()) if not (sp.is_unknown(i) or sp.is_control(i) or sp.is_byte(i) or sp.is_unused(i))]
-    return [("<unk>", 0.0), *((sp.id_to_piece(i), sp.get_score(i)) for i in ids if sp.get_score(i) > least)]
+    ranked = [(sp.id_to_piece(i), -sp.get_score(i)) for i in ids if sp.get_score(i) > -1e8]
+    total = math.log(sum(1 / (r + shift) for _, r in ranked))
+    return [("<unk>", 0.0), *((piece, -math.log(r + shift) - total) for piece, r in ranked)]
 
 
 class PieceCounter:
-    """``count(word)``: pieces of the best path through a word."""
+    """``count(word)``: pieces of the best path through a word.
+
+    Only the last places, as many as the longest piece has characters, are kept.
+    """
 
     def __init__(self, vocabulary: list[tuple[str, float]]):
         self.found = ahocorasick.Automaton()
@@ -44,27 +54,32 @@ class PieceCounter:
             self.found.add_word(piece, (len(piece), score))
         self.found.make_automaton()
         self.unknown = min(s for _, s in vocabulary) - UNKNOWN_PENALTY
+        self.kept = 1 + max((len(p) for p, _ in vocabulary[1:]), default=1)
 
     def count(self, word: str) -> int:
-        n = len(word)
-        ends: list[list] = [[] for _ in range(n)]
-        for end, (size, score) in self.found.iter(word):
-            ends[end].append((size, score))
-        best, pieces, unknown = [0.0] + [0.0] * n, [0] * (n + 1), [False] * (n + 1)
-        for end in range(n):
-            top = None
-            single = False
-            for size, score in sorted(ends[end], reverse=True):  # longest first: begins earliest
+        kept = self.kept
+        best, pieces, unknown = [0.0] * kept, [0] * kept, [False] * kept  # by place modulo ``kept``
+        matches = self.found.iter(word) if len(self.found) else iter(())
+        match = next(matches, None)
+        for end in range(len(word)):
+            here = []
+            while match is not None and match[0] == end:
+                here.append(match[1])
+                match = next(matches, None)
+            if len(here) > 1:
+                here.sort(reverse=True)  # longest first: begins earliest
+            top, single, lone, last = None, False, False, end % kept
+            for size, score in here:
                 single |= size == 1
-                at = end + 1 - size
+                at = (end + 1 - size) % kept
                 if top is None or best[at] + score > top:
                     top, count = best[at] + score, pieces[at] + 1
-                    lone = False
-            if not single and (top is None or best[end] + self.unknown > top):
-                top, lone = best[end] + self.unknown, True
-                count = pieces[end] + (not unknown[end])  # unknown characters in a row are one token
-            best[end + 1], pieces[end + 1], unknown[end + 1] = top, count, lone
-        return pieces[n]
+            if not single and (top is None or best[last] + self.unknown > top):
+                top, lone = best[last] + self.unknown, True
+                count = pieces[last] + (not unknown[last])  # unknown characters in a row are one token
+            at = (end + 1) % kept
+            best[at], pieces[at], unknown[at] = top, count, lone
+        return pieces[len(word) % kept]
 
 
 def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]], most_words: int = 300_000) -> DataFrame:
@@ -72,7 +87,9 @@ def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]], most_word
 
     Words are runs of characters that aren't white space, each with the mark
     before it; pieces never cross words.  Counts of distinct words are kept per
-    task, at most ``most_words`` of them.  A null or empty text has 0 of both.
+    task, at most ``most_words`` of them, none of over 1,000 characters.  A null or
+    empty text has 0 of both; repeated rows and null ids stay as they are; other
+    columns are dropped, whatever their names; no rows: none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
@@ -85,9 +102,11 @@ def count_tokens(docs: DataFrame, vocabulary: list[tuple[str, float]], most_word
                 tokens = 0
                 for w, times in words.items():
                     if (n := known.get(w)) is None:
-                        if len(known) >= most_words:
-                            known.clear()
-                        n = known[w] = counter.count(MARK + w)
+                        n = counter.count(MARK + w)
+                        if len(w) <= 1000:
+                            if len(known) >= most_words:
+                                known.clear()
+                            known[w] = n
                     tokens += n * times
                 words_out.append(words.total())
                 tokens_out.append(tokens)
