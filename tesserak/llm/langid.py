@@ -7,7 +7,8 @@ n-gram lies from its rank there, or the greatest distance if it is absent.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,19 +22,26 @@ from .toxicity import held_out
 @dataclass(frozen=True)
 class Settings:
     """``ranks``: n-grams of a profile.  ``sample``: about how many texts a language
-    is learned from at most.  ``languages``: most frequent ones that are learned."""
+    is learned from at most; profiles grow with the number of languages alone.
+    A text is near its language if its distance is no more than ``margin`` beyond
+    what the share ``usual`` of learned texts of its size keeps to."""
 
     ranks: int = 300
     sample: int = 1200
-    languages: int = 200
+    usual: float = 0.99
+    margin: float = 0.15
 
 
 #: Characters of text that are counted at once; a longer text is counted alone.
 CHUNK = 1 << 20
-_LETTER = np.zeros(1 << 16, dtype=np.uint16)
-for _c in range(1 << 16):
-    if chr(_c).isalpha():
-        _LETTER[_c] = _c if _c < 2048 else 2048 + _c % 2048
+
+
+@lru_cache(1)
+def _letter_numbers() -> np.ndarray:
+    """12-bit numbers of all letters of Unicode by code point; 0 if it isn't one."""
+    points = np.arange(0x110000)
+    letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=len(points))
+    return np.where(letter, np.where(points < 2048, points, 2048 + points % 2048), 0).astype(np.uint16)
 
 
 def _letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -41,7 +49,7 @@ def _letters(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     low = [(t or "").lower() for t in texts]
     codes = np.frombuffer("\n".join([*low, ""]).encode("utf-32-le", "replace"), dtype="<u4")
     ends = np.cumsum([len(t) + 1 for t in low])
-    letter = np.where(codes < 1 << 16, _LETTER[np.minimum(codes, (1 << 16) - 1)], 0).astype(np.int64)
+    letter = _letter_numbers()[codes].astype(np.int64)
     keep = np.ones(len(letter), dtype=bool)
     keep[1:] = (letter[1:] > 0) | (letter[:-1] > 0)
     return letter[keep], np.searchsorted(ends, np.flatnonzero(keep), side="right")
@@ -79,21 +87,32 @@ class Profiles:
     grams: np.ndarray  # sorted n-grams of any profile
     ranks: np.ndarray  # by n-gram and language; Settings.ranks if absent
     far: int
+    #: greatest usual distance of a text with 2^i to 2^(i+1) - 1 ranked n-grams
+    bounds: np.ndarray = field(default_factory=lambda: np.ones(32))
+
+    def nearest(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """(language or ``und``, score 0 to 1, distance 0 to 1, size) of each text.
 
-    def nearest(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """(language or ``und``, score 0 to 1) of each text."""
+        The distance is the mean over its n-grams, as a share of the greatest; the
+        size is the base-2 logarithm of how many there are."""
         if not self.languages:
-            return ["und"] * len(texts), np.zeros(len(texts))
+            return ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts)), np.zeros(len(texts), np.int64)
         owner, gram, rank, _ = ranked(texts, self.far)
         at = np.minimum(np.searchsorted(self.grams, gram), len(self.grams) - 1)
         known = self.grams[at] == gram
-        away = np.where(known[:, None], np.abs(self.ranks[at] - rank[:, None]), self.far)
+        there = self.ranks[at]
+        away = np.where(known[:, None] & (there < self.far), np.abs(there - rank[:, None]), self.far)
         total = np.stack([np.bincount(owner, away[:, j], len(texts)) for j in range(len(self.languages))], axis=1)
-        has = np.bincount(owner, minlength=len(texts)) > 0
-        best = total.argmin(axis=1)
+        held = np.bincount(owner, minlength=len(texts))
+        has, best = held > 0, total.argmin(axis=1)
         near = np.sort(total, axis=1)
         margin = 1 - near[:, 0] / np.maximum(near[:, 1], 1e-9) if len(self.languages) > 1 else np.ones(len(texts))
-        return [self.languages[i] if h else "und" for i, h in zip(best, has, strict=True)], np.where(has, np.clip(margin, 0, 1), 0.0)
+        distance = np.where(has, near[:, 0] / (np.maximum(held, 1) * self.far), 1.0)
+        return [self.languages[i] if h else "und" for i, h in zip(best, has, strict=True)], np.where(has, np.clip(margin, 0, 1), 0.0), distance, np.log2(np.maximum(held, 1)).astype(np.int64)
+
+    def usual(self, langs: list[str], distance: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether texts have a language and are as near to it as texts usually are."""
+        return (distance <= self.bounds[size]) & np.array([x != "und" for x in langs], dtype=bool)
 
 
 def fit(docs: DataFrame, s: Settings = Settings()) -> Profiles:
@@ -101,11 +120,13 @@ def fit(docs: DataFrame, s: Settings = Settings()) -> Profiles:
 
     Texts are chosen per language by a hash of their id; counting them and
     merging the counts run in Spark, and the driver gets the profiles alone.
-    Rows with a null id, text or language are left out.  No rows: no languages.
+    Every language that stands in ``docs`` is learned.  Distances of the same texts
+    give the usual bounds by size.  Rows with a null id or language are left out.
+    No rows: no languages.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(s.languages)
+    sizes = rows.groupBy("lang").count()
     shares = {r["lang"]: min(1.0, s.sample / r["count"]) for r in sizes.collect()}
     if not shares:
         return Profiles([], np.zeros(0, np.int64), np.zeros((0, 0)), s.ranks)
@@ -134,33 +155,61 @@ def fit(docs: DataFrame, s: Settings = Settings()) -> Profiles:
     ranks = np.full((len(grams), len(languages)), s.ranks, dtype=np.int64)
     for r in got:
         ranks[np.searchsorted(grams, r["gram"]), languages.index(r["lang"])] = r["rank"] - 1
-    return Profiles(languages, grams, ranks, s.ranks)
+    return _bounded(chosen, Profiles(languages, grams, ranks, s.ranks), s)
 
 
-def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``: the nearest profile of each whole text.
+def _bounded(chosen: DataFrame, profiles: Profiles, s: Settings) -> Profiles:
+    """``profiles`` with the distances that learned texts keep to, by size."""
+    shared = chosen.sparkSession.sparkContext.broadcast(profiles)
+
+    def run(batches):
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            for at in range(0, len(texts), 100):
+                langs, _, distance, size = shared.value.nearest(texts[at : at + 100])
+                named = np.array([x != "und" for x in langs], dtype=bool)
+                yield pa.record_batch([pa.array(size[named]), pa.array(distance[named])], ["size", "distance"])
 
-    ``score`` is one minus the nearest distance over the second nearest.  A text
-    that is null or has no letters is ``und`` with score 0; ties go to the first
-    language by name.  All rows and columns stay; existing columns of those two
-    names are replaced.
+    if not profiles.languages:
+        return profiles
+    held = chosen.select("text").mapInArrow(run, "size long, distance double")
+    bounds, rows = np.ones(32), held.groupBy("size").agg(F.percentile_approx("distance", s.usual, 1000).alias("bound"), F.count("*").alias("n")).collect()
+    for r in sorted(rows, key=lambda r: r["size"]):
+        if r["n"] >= 50:  # a size that is seldom met takes the bound of the one below
+            bounds[r["size"] :] = min(1.0, r["bound"] + s.margin)
+    return replace(profiles, bounds=bounds)
+
+
+def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
+    """``docs`` with ``lang_pred``, ``score``, ``distance`` and ``usual``: the nearest
+    profile of each whole text.
+
+    ``score`` is one minus the nearest distance over the second nearest; ``distance``
+    is the nearest, from 0 to 1; ``usual`` says that it is no greater than those of
+    learned texts of its size.  A text that is null or has no letters is ``und``
+    with score 0 and not usual; ties go to the first language by name.  All rows
+    and columns stay, repeated rows and null ids too; existing columns of those
+    names are replaced.  No rows: none.
     """
-    kept = docs.drop("lang_pred", "score")
+    kept = docs.drop("lang_pred", "score", "distance", "usual")
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
-    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("distance", T.DoubleType()), T.StructField("usual", T.BooleanType())])
 
     def run(batches):
         for b in batches:
-            names, langs, scores, some, size = b.schema.names, [], [], [], 0
+            names, langs, scores, distances, usual, some, size = b.schema.names, [], [], [], [], [], 0
             for text in [*b.column(names.index("text")).to_pylist(), ...]:
                 if text is not ...:
                     some.append(text)
                     size += len(text or "")
                 if some and (text is ... or size > CHUNK or len(some) == 2000):
-                    lang, score = shared.value.nearest(some)
+                    lang, score, distance, held = shared.value.nearest(some)
                     langs += lang
                     scores.append(score)
+                    distances.append(distance)
+                    usual.append(shared.value.usual(lang, distance, held))
                     some, size = [], 0
-            yield pa.record_batch([*b.columns, pa.array(langs, pa.string()), pa.array(np.concatenate(scores or [np.zeros(0)]))], [*names, "lang_pred", "score"])
+            numbers = [pa.array(np.concatenate(x or [np.zeros(0)])) for x in (scores, distances)]
+            yield pa.record_batch([*b.columns, pa.array(langs, pa.string()), *numbers, pa.array(np.concatenate(usual or [np.zeros(0, bool)]))], [*names, "lang_pred", "score", "distance", "usual"])
 
     return kept.mapInArrow(run, schema)
