@@ -1,16 +1,22 @@
 """Near-duplicate embeddings by E8 lattice hashing.
 
-Each table projects unit vectors to eight dimensions at random and decodes them
-to the nearest point of the E8 lattice.  A vector stands in its own cell and in
-the neighbouring cells that it lies nearest to, so a close pair shares a cell of
-some table almost surely; its cosine is then verified in double precision.
+1. Each table projects unit vectors to blocks of eight dimensions at random and
+   decodes each block to the nearest point of the E8 lattice.  A vector stands in
+   the cell of its own points and in those of the neighbouring points that it lies
+   nearest to.  The number of blocks follows the largest label, so a cell of
+   evenly spread vectors stays small at every size; the number of tables follows
+   from the chance that a pair at the wanted cosine shares a cell of one table.
+2. A cell that holds too many is split by a further block, in several tables,
+   unless most of it stays together: then its vectors really are close, and they
+   are compared in parts of bounded size.  Cells are never joined.
+3. The cosine of every pair that shares a cell is verified in double precision.
 """
 
 from __future__ import annotations
 
 import itertools
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,22 +29,28 @@ from .shared import components, cut, in_bounded_groups, part_pairs
 
 @dataclass(frozen=True)
 class Settings:
-    """``least`` cosine of a link; ``tables``; ``probes``: neighbouring cells per
-    table; ``scale``: lattice units per unit of a projected coordinate.  Of 128
-    random signs a pair may differ in ``differ`` (a pair at 0.93 differs in 15.4,
-    with a deviation of 3.7) to be verified.  Cells of more than ``cell`` vectors
-    are compared in parts of ``group``."""
+    """``least`` cosine of a link; ``recall``: chance that a pair just there shares a
+    cell; ``options``: a block's own point and neighbouring ones; ``scale``: lattice
+    units per unit of a projected coordinate.  Of 128 random signs a pair may differ
+    in ``differ`` (a pair at 0.93 differs in 15.4, with a deviation of 3.7) to be
+    verified.  Cells of more than ``cell`` vectors are split up to ``levels`` times,
+    or compared in parts of ``group``."""
 
     least: float = 0.93
-    tables: int = 10
-    probes: int = 3
+    recall: float = 0.99
+    options: int = 3
     scale: float = 0.6
     differ: int = 38
     cell: int = 96
+    levels: int = 3
     group: int = 512
     seed: int = 17
 
 
+#: The share of evenly spread vectors in a block's fullest cell, neighbours included.
+FULLEST = 0.04
+
+
 @lru_cache(1)
 def shortest() -> np.ndarray:
     """The 240 shortest vectors of E8."""
@@ -69,47 +81,127 @@ def decode(x: np.ndarray) -> np.ndarray:
     return np.where(nearer[:, None], half, whole)
 
 
-def _key(points: np.ndarray, table: int, label: np.ndarray) -> np.ndarray:
-    key = mix(label.astype(np.int64).view(np.uint64) + np.uint64(1 + 7919 * table))
+def _key(points: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """A hash of E8 points and of the key ``before`` them."""
+    key = mix(before.astype(np.int64).view(np.uint64) + np.uint64(1))
     for c in np.rint(2 * points).astype(np.int64).view(np.uint64).T:
         key = mix(key ^ mix(c))
     return key.view(np.int64)
 
 
+def block_keys(y: np.ndarray, before: list[np.ndarray], options: int) -> list[np.ndarray]:
+    """Each key ``before`` with a block's own point and its nearest neighbours."""
+    home = decode(y)
+    toward = (y - home) @ shortest().T
+    near = np.argsort(-toward, axis=1)[:, : options - 1].T
+    points = [home, *(home + shortest()[k] for k in near)]
+    return [_key(p, x) for x in before for p in points]
+
+
+def layout(largest: int, s: Settings) -> tuple[int, int]:
+    """(blocks of a cell, tables) for labels of up to ``largest`` vectors.
+
+    The chance that a pair at the least cosine shares a cell of one table is taken
+    from 2,000 drawn pairs; it doesn't depend on the data or their dimension.
+    """
+    blocks = 1
+    while largest * FULLEST**blocks > s.cell and blocks < 8:
+        blocks += 1
+    rng = np.random.default_rng([s.seed, blocks])
+    x, z = rng.normal(size=(2, 2000, 8 * blocks)) * s.scale
+    both = []
+    for v in (x, s.least * x + np.sqrt(max(0.0, 1 - s.least**2)) * z):
+        keys = [np.zeros(2000, dtype=np.int64)]
+        for b in range(blocks):
+            keys = block_keys(v[:, 8 * b : 8 * b + 8], keys, s.options)
+        both.append(np.stack(keys, axis=1))
+    met = min(0.999, float((both[0][:, :, None] == both[1][:, None]).any(axis=(1, 2)).mean()))
+    return blocks, max(1, int(np.ceil(np.log(1 - s.recall) / np.log(1 - max(met, 1e-3)))))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     """Rows of a list column whose lists have one length."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def _cells(vectors: DataFrame, s: Settings) -> DataFrame:
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1)[:, None]
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def _by_size(batch: pa.RecordBatch):
+    """(rows, unit vectors) of each length of vectors in a batch."""
+    sizes = batch.column("embedding").value_lengths().to_numpy()
+    for size in np.unique(sizes):
+        part = batch.take(pa.array(np.flatnonzero(sizes == size)))
+        yield int(size), part, _unit(_matrix(part.column("embedding")))
+
+
+def _cells(vectors: DataFrame, blocks: int, tables: int, s: Settings) -> DataFrame:
     """(cell, vec, low, high): each vector's cells, with 128 signs of projections."""
 
     def run(batches):
         for batch in batches:
-            sizes = batch.column("embedding").value_lengths().to_numpy()
-            for size in np.unique(sizes):
-                rows = np.flatnonzero(sizes == size)
-                part = batch.take(pa.array(rows))
-                x = _matrix(part.column("embedding"))
-                x = x / np.linalg.norm(x / np.abs(x).max(axis=1)[:, None], axis=1)[:, None] / np.abs(x).max(axis=1)[:, None]
+            for size, part, x in _by_size(batch):
                 label, ids = part.column("label").to_numpy(), part.column("vec").to_numpy()
-                rng = np.random.default_rng([s.seed, int(size)])
+                rng = np.random.default_rng([s.seed, size])
                 signs = np.packbits(x @ rng.normal(size=(size, 128)) > 0, axis=1).view(np.int64)
                 keys = []
-                for table in range(s.tables):
-                    y = x @ rng.normal(size=(size, 8)) * s.scale
-                    home = decode(y)
-                    keys.append(_key(home, table, label))
-                    toward = (y - home) @ shortest().T
-                    for k in np.argsort(-toward, axis=1)[:, : s.probes].T:
-                        keys.append(_key(home + shortest()[k], table, label))
+                for table in range(tables):
+                    mine = [_key(np.full((len(x), 1), table + 1000 * size), label)]
+                    for _ in range(blocks):
+                        mine = block_keys(x @ rng.normal(size=(size, 8)) * s.scale, mine, s.options)
+                    keys += mine
                 n = len(keys)
                 yield pa.record_batch([pa.array(np.concatenate(keys)), pa.array(np.tile(ids, n)), pa.array(np.tile(signs[:, 0], n)), pa.array(np.tile(signs[:, 1], n))], ["cell", "vec", "low", "high"])
 
     return vectors.select("vec", "label", "embedding").mapInArrow(run, "cell long, vec long, low long, high long")
 
 
+def _split(cells: DataFrame, vectors: DataFrame, level: int, s: Settings) -> DataFrame:
+    """(cell, sub, vec, low, high): rows (cell, vec, low, high) in cells of one more
+    block, in as many tables as keep the recall."""
+    tables = layout(1, s)[1]
+
+    def run(batches):
+        for batch in batches:
+            for size, part, x in _by_size(batch):
+                cell, rng, keys = part.column("cell").to_numpy(), np.random.default_rng([s.seed, size, level]), []
+                for table in range(tables):
+                    keys += block_keys(x @ rng.normal(size=(size, 8)) * s.scale, [_key(np.full((len(x), 1), table), cell)], s.options)
+                again = pa.array(np.tile(np.arange(len(x)), len(keys)))
+                columns = [part.column(c).take(again) for c in ("cell", "vec", "low", "high")]
+                yield pa.record_batch([columns[0], pa.array(np.concatenate(keys)), *columns[1:]], ["cell", "sub", "vec", "low", "high"])
+
+    rows = cells.join(vectors.select("vec", "embedding"), "vec").select("cell", "vec", "low", "high", "embedding")
+    return rows.mapInArrow(run, "cell long, sub long, vec long, low long, high long")
+
+
+def sorted_cells(vectors: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """(small, dense): rows (cell, vec, low, high) of cells with at most ``cell``
+    vectors, and rows (cell, vec) of those that stay larger."""
+    largest = vectors.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    open_ = cut(_cells(vectors, *layout(largest, s), s).distinct(), "cells")
+    small, dense = [], []
+    for level in range(s.levels + 1):
+        large = cut(open_.groupBy("cell").agg(F.count("*").alias("held")).where(F.col("held") > s.cell), "large")
+        small.append(open_.join(large, "cell", "left_anti"))
+        over = open_.join(large, "cell")
+        if large.isEmpty():
+            break
+        if level == s.levels:
+            dense.append(over.select("cell", "vec"))
+            break
+        parts = cut(_split(over.drop("held"), vectors, level, s).distinct(), "split")
+        most = parts.groupBy("cell", "sub").count().groupBy("cell").agg(F.max("count").alias("most"))
+        close = cut(most.join(large, "cell").where(2 * F.col("most") > F.col("held")).select("cell"), "close")
+        dense.append(over.join(close, "cell", "left_semi").select("cell", "vec"))
+        open_ = cut(parts.join(close, "cell", "left_anti").select(F.col("sub").alias("cell"), "vec", "low", "high").distinct(), "cells")
+    none = open_.where("false").select("cell", "vec")
+    return reduce(DataFrame.unionByName, small), reduce(DataFrame.unionByName, dense, none)
+
+
 def _near_pairs(s: Settings):
     """Pairs of equal cells, from rows sorted by cell, whose signs mostly agree."""
 
@@ -137,25 +229,44 @@ def _near_pairs(s: Settings):
 
 
 def _group_links(s: Settings):
-    """For one pair of parts: (a, b, n) forest edges, and (a, null, n) link counts."""
+    """For two parts of one cell: (a, b, n) forest edges, and (a, null, n) link counts.
+
+    A pair that also shares a cell with a smaller key is left to that one, so each
+    pair counts once.
+    """
 
     def run(key, table):
-        left, right = key[1].as_py(), key[2].as_py()
+        cell, left, right = (k.as_py() for k in key)
         part, ids, times = (table.column(c).to_numpy() for c in ("part", "vec", "times"))
         x = _matrix(table.column("embedding").combine_chunks())
         norm = np.sqrt((x * x).sum(axis=1))
         rows, columns = np.flatnonzero(part == left), np.flatnonzero(part == right)
         counts, root, edges = np.zeros(len(ids), dtype=np.int64), list(range(len(ids))), []
+        others = table.column("cells").combine_chunks()
+        owner, other = np.repeat(np.arange(len(ids)), others.value_lengths().to_numpy()), others.flatten().to_numpy()
+        owner, other = owner[other < cell], other[other < cell]
+        kinds, place, held = np.unique(other, return_inverse=True, return_counts=True)
+        owner, place = owner[held[place] > 1], (np.cumsum(held > 1) - 1)[place[held[place] > 1]]
+        n_kinds = int((held > 1).sum())
 
         def find(i: int) -> int:
             while root[i] != i:
                 root[i] = i = root[root[i]]
             return i
 
+        def has(some: np.ndarray, first: int) -> np.ndarray:
+            out = np.zeros((len(ids), min(1024, n_kinds - first)), dtype=np.float32)
+            mine = (place >= first) & (place < first + out.shape[1])
+            out[owner[mine], place[mine] - first] = 1
+            return out[some]
+
         for at in range(0, len(rows), 256):
             some = rows[at : at + 256]
             near = (x[some] @ x[columns].T) / (norm[some, None] * norm[columns]) >= s.least
             near &= some[:, None] != columns
+            if near.any():
+                for first in range(0, n_kinds, 1024):
+                    near &= has(some, first) @ has(columns, first).T == 0
             counts[some] += near @ times[columns]
             if left != right:
                 counts[columns] += near.T @ times[some]
@@ -180,30 +291,26 @@ def near_duplicates(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
     is the smallest vec_id that links reach; ``kept`` marks it.  Equal vectors
     form one class, which is searched once and counts as often as it stands.
     Vectors that are null, empty, zero or hold null or non-finite components, and
-    those with a null label or id, have no links and are kept.
+    those with a null label or id, have no links and are kept.  Rows with one
+    vec_id are one vector each and share its component.  Other columns are dropped,
+    whatever their names; no rows: none.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
     fine = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
     good = rows.where(fine & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     classes = cut(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("vec"), F.count("*").alias("times")), "classes")
-    cells = cut(_cells(classes, s).distinct(), "cells")
-    large = cut(cells.groupBy("cell").agg(F.count("*").alias("held")).where(F.col("held") > s.cell).select("cell"), "large")
-
-    # large cells that share vectors are joined, and each vector belongs to one such group
-    held = cut(cells.select("cell", "vec").join(large, "cell"), "held")
-    first = held.groupBy("vec").agg(F.min("cell").alias("a"))
-    joined = components(cut(held.join(first, "vec").select("a", F.col("cell").alias("b")).distinct(), "ties"))
-    groups = cut(first.join(joined, first.a == joined.node, "left").select("vec", F.coalesce("component", "a").alias("cluster")), "groups")
-    parts = part_pairs(in_bounded_groups(groups, "cluster", "vec", s.group))
-    dense = cut(parts.join(classes, "vec").groupBy("cluster", "left", "right").applyInArrow(_group_links(s), "a long, b long, n long"), "dense")
+    small, large = sorted_cells(classes, s)
+    large = cut(large.distinct(), "dense_cells")
+    mine = cut(large.groupBy("vec").agg(F.collect_set("cell").alias("cells")), "cells_of")
+    parts = part_pairs(in_bounded_groups(large, "cell", "vec", s.group))
+    dense = cut(parts.join(mine, "vec").join(classes, "vec").groupBy("cell", "left", "right").applyInArrow(_group_links(s), "a long, b long, n long"), "dense")
 
     n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    small = cells.join(large, "cell", "left_anti").repartition(n, "cell").sortWithinPartitions("cell").select("cell", "vec", "low", "high")
+    small = small.repartition(n, "cell").sortWithinPartitions("cell").select("cell", "vec", "low", "high")
     pairs = small.mapInArrow(_near_pairs(s), "a long, b long").distinct()
     for side in ("a", "b"):
-        mine = groups.select(F.col("vec").alias(side), F.col("cluster").alias(f"cluster_{side}"))
-        pairs = pairs.join(mine, side, "left")
-    pairs = pairs.where("cluster_a is null or cluster_b is null or cluster_a <> cluster_b").select("a", "b")
+        pairs = pairs.join(mine.select(F.col("vec").alias(side), F.col("cells").alias(f"cells_{side}")), side, "left")
+    pairs = pairs.where(~F.coalesce(F.arrays_overlap("cells_a", "cells_b"), F.lit(False))).select("a", "b")
     for side in ("a", "b"):
         pairs = pairs.join(classes.select(F.col("vec").alias(side), F.col("embedding").alias(f"x_{side}"), F.col("times").alias(f"n_{side}")), side)
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u * v), F.lit(0.0), lambda t, v: t + v)

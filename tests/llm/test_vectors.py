@@ -36,7 +36,7 @@ def test_e8_decoding():
 @pytest.mark.parametrize("cell", [96, 4])
 def test_near_duplicates(table, cell):
     rows, df = table
-    got = lattice.near_duplicates(df, lattice.Settings(cell=cell, group=50)).toPandas()
+    got = lattice.near_duplicates(df.withColumn("cell", F.lit("clash")), lattice.Settings(cell=cell, group=50, recall=0.9999)).toPandas()
     assert len(got) == len(rows) + 7
     x = np.array([r[1] for r in rows], dtype=np.float64)
     label = np.array([r[2] for r in rows])
@@ -56,6 +56,35 @@ def test_near_duplicates(table, cell):
     assert (rest.n_links == 0).all() and rest.kept.all()
 
 
+def test_blocks_follow_the_number_of_vectors():
+    s = lattice.Settings()
+    one, two, three = (lattice.layout(n, s) for n in (1_000, 20_000, 1_000_000))
+    assert [x[0] for x in (one, two, three)] == [1, 2, 3] and one[1] < two[1] < three[1]
+
+
+def test_cells_stay_small_and_find_planted_pairs(spark):
+    rng = np.random.default_rng(14)
+    for n in (3000, 12_000):
+        x = rng.normal(size=(n, 64))
+        z = rng.normal(size=(n // 10, 64))
+        y = x[: n // 10] / np.linalg.norm(x[: n // 10], axis=1)[:, None]
+        z -= (z * y).sum(1)[:, None] * y
+        near = 0.935 * y + np.sqrt(1 - 0.935**2) * z / np.linalg.norm(z, axis=1)[:, None]
+        df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(np.concatenate((x, near)))], "vec_id long, embedding array<double>, label int").repartition(4)
+        got = lattice.near_duplicates(df).where(f"vec_id >= {n}").toPandas().set_index("vec_id")
+        assert (got.component_id == got.index - n).mean() >= 0.97
+        classes = df.select(F.col("vec_id").alias("vec"), F.col("label").cast("long").alias("label"), "embedding")
+        small, dense = lattice.sorted_cells(classes, lattice.Settings())
+        assert dense.isEmpty() and small.count() < 60 * 1.2 * n
+
+
+def test_repeated_ids_of_vectors(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [0.0, 1.0], 1), (2, [0.0, 1.0], 1), (3, [1.0, 0.0], 1), (3, [1.0, 0.0], 1), (4, [1.0, 0.0, 0.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in lattice.near_duplicates(df).collect())
+    assert got == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (3, 2, 1), (4, 0, 4)]
+
+
 def test_no_vectors(spark, table):
     none = table[1].where("false")
     assert lattice.near_duplicates(none).count() == 0
