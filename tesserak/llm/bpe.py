@@ -4,15 +4,13 @@ Words are cut so that merges never cross them: at each single space or line feed
 between two characters that are not white space.  Texts with other white space
 are cut by the vocabulary's own split pattern.
 
-Decoding explodes ids, joins each one with the id-to-piece table, which the
-vocabulary bounds, and puts the pieces back by position.
+Decoding joins ids with the id-to-piece table, which the vocabulary bounds, and
+puts the pieces back by position.
 """
 
 from __future__ import annotations
 
 import base64
-import codecs
-import hashlib
 import json
 import zlib
 from collections.abc import Iterable, Iterator
@@ -20,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import regex
 import tiktoken
 import zstandard
@@ -277,17 +276,18 @@ def split_words(docs: DataFrame, path: str, buckets: int, block_chars: int) -> t
 
 
 def encode_distinct(words: DataFrame, path: str, tasks: int, most: int = 500_000) -> DataFrame:
-    """(block, first, sizes, ids) of rows (bucket, block, first, sizes, words).
+    """(block, first, sizes, ids, id) of rows (bucket, block, first, sizes, words).
 
     All occurrences of a word are in one bucket, so each distinct word is encoded
-    once (again only if a task meets more than ``most`` of them).
+    once (again only if a task meets more than ``most`` of them).  Before a row stand
+    rows of only an ``id``, one for each id that the task meets there for the first
+    time: their number is bounded by the vocabulary.
     """
 
     def run(batches):
-        one, known = word_encoder(path), {}
+        one, known, met = word_encoder(path), {}, np.zeros(0, dtype="<u4")
         for batch in batches:
-            sizes_out, ids_out = [], []
-            for sizes, texts in zip(batch.column("sizes").to_pylist(), batch.column("words").to_pylist(), strict=True):
+            for block, first, sizes, texts in zip(*(batch.column(c).to_pylist() for c in ("block", "first", "sizes", "words")), strict=True):
                 ends = np.cumsum(_spread(sizes, "<u4")).tolist()
                 text, at, got = zstandard.decompress(texts), 0, []
                 for end in ends:
@@ -300,43 +300,86 @@ def encode_distinct(words: DataFrame, path: str, tasks: int, most: int = 500_000
                         if len(word) < LONG:
                             known[word] = ids
                     got.append(ids)
-                sizes_out.append(_squeeze(np.array([len(x) // 4 for x in got], dtype="<u4")))
-                ids_out.append(_squeeze(np.frombuffer(b"".join(got), dtype="<u4")))
-            yield pa.record_batch([batch.column("block"), batch.column("first"), pa.array(sizes_out, pa.binary()), pa.array(ids_out, pa.binary())], ["block", "first", "sizes", "ids"])
+                ids = np.frombuffer(b"".join(got), dtype="<u4")
+                new = np.setdiff1d(ids, met)
+                met = np.union1d(met, new)
+                none = [None] * len(new)
+                sizes = _squeeze(np.array([len(x) // 4 for x in got], dtype="<u4"))
+                columns = ([*none, block], [*none, first], [*none, sizes], [*none, _squeeze(ids)], [*new.tolist(), None])
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32()), strict=True)], ["block", "first", "sizes", "ids", "id"])
 
-    return words.repartition(tasks, "bucket").mapInArrow(run, "block long, first long, sizes binary, ids binary")
+    return words.repartition(tasks, "bucket").mapInArrow(run, "block long, first long, sizes binary, ids binary, id int")
+
+
+def with_pieces(encoded: DataFrame, path: str) -> DataFrame:
+    """(block, first, sizes, ids) of rows of encode_distinct(): its whole rows, and for
+    each a row without ``first`` that holds its distinct ids and their pieces.
+
+    The pieces come from a join of a task's ids with the id-to-piece table, which the
+    vocabulary bounds and which goes to every task; the join keeps the rows' order.
+    """
+    joined = encoded.join(F.broadcast(pieces(encoded.sparkSession, path)), "id", "left")
+
+    def run(batches):
+        known: dict[int, bytes] = {}
+        for batch in batches:
+            for i, (number, piece) in enumerate(zip(batch.column("id").to_pylist(), batch.column("piece").to_pylist(), strict=True)):
+                if number is not None:
+                    known[number] = piece
+                    continue
+                row = batch.slice(i, 1).select(["block", "first", "sizes", "ids"])
+                yield row
+                used = np.unique(_spread(row.column("ids")[0].as_py(), "<u4"))
+                mine = [known[x] for x in used.tolist()]
+                sizes = np.concatenate((used, np.array([len(x) for x in mine], dtype="<u4")))
+                yield pa.record_batch([row.column("block"), pa.nulls(1, pa.int64()), pa.array([_squeeze(sizes)], pa.binary()), pa.array([zstandard.compress(b"".join(mine), 3)], pa.binary())], ["block", "first", "sizes", "ids"])
+
+    return joined.select("block", "first", "sizes", "ids", "id", "piece").mapInArrow(run, "block long, first long, sizes binary, ids binary")
 
 
 def _join_back(key, table, docs):
-    """A block's words' ids, in the order of places, put back for each document."""
-    order = np.argsort(table.column("first").to_numpy())
-    sizes = [_spread(x, "<u4") for x in table.column("sizes").to_pylist()]
-    ids = [_spread(x, "<u4") for x in table.column("ids").to_pylist()]
+    """A block's words' ids, in the order of places, put back for each document, and
+    the pieces of those ids, joined."""
+    is_word = table.column("first").is_valid()
+    words, known = table.filter(is_word), table.filter(pa.compute.invert(is_word))
+    piece: dict[int, bytes] = {}
+    for sizes, packed in zip(known.column("sizes").to_pylist(), known.column("ids").to_pylist(), strict=True):
+        ids, n = _spread(sizes, "<u4").reshape(2, -1)
+        data, at = zstandard.decompress(packed), 0
+        for i, end in zip(ids.tolist(), np.cumsum(n).tolist(), strict=True):
+            piece[i], at = data[at:end], end
+    order = np.argsort(words.column("first").to_numpy())
+    sizes = [_spread(x, "<u4") for x in words.column("sizes").to_pylist()]
+    ids = [_spread(x, "<u4") for x in words.column("ids").to_pylist()]
     sizes = np.concatenate([sizes[i] for i in order] + [np.zeros(0, "<u4")]).astype(np.int64)
     flat = np.concatenate([ids[i] for i in order] + [np.zeros(0, "<u4")])
-    starts, out = np.cumsum(sizes) - sizes, []
+    starts = np.cumsum(sizes) - sizes
     if set(docs.column("n_words").to_pylist()) - {len(sizes)}:
         raise RuntimeError(f"block {key[0].as_py()} was read differently: the input isn't a stable table")
+    keys, lists, texts = docs.column("doc_id"), [], []
     for packed in docs.column("places").to_pylist():
         at = _spread(packed, "<u4")
         n = sizes[at]
         ends = np.cumsum(n)
         take = np.repeat(starts[at] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-        out.append(flat[take].astype(np.int32))
-    offsets = np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
-    return pa.table({"doc_id": docs.column("doc_id"), "ids": lists})
-
-
-def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", stable: bool = False, block_chars: int = 4 << 20) -> DataFrame:
-    """(doc_id, ids array<int>) of each row.
-
-    As the tokenizer at ``path`` encodes whole texts, without special tokens being
-    added; strings of special tokens that a text holds get their ids.  A null or
-    empty text has no ids; repeated rows and null keys stay as they are; other
-    columns are dropped.  The rows are read again and again, so they are written
-    first unless they are ``stable``: the plain scan of a table.  The number of
-    tasks follows the number of characters, which are counted first.
+        lists.append(flat[take].astype(np.int32))
+        texts.append(b"".join(map(piece.__getitem__, lists[-1].tolist())).decode("utf-8", "replace"))
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
+    ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int32)))
+    return pa.table({"doc_id": keys, "ids": ids, "decoded": pa.array(texts, pa.string())})
+
+
+def round_trip(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", stable: bool = False, block_chars: int = 4 << 20) -> DataFrame:
+    """(doc_id, ids array<int>, decoded) of each row: its ids and what they decode to.
+
+    Ids are those that the tokenizer at ``path`` gives whole texts, without special
+    tokens being added; strings of special tokens that a text holds get their ids.
+    Decoding joins a block's distinct ids with the id-to-piece table and puts the
+    pieces back by position; bytes that aren't UTF-8 become U+FFFD.  A null or
+    empty text has no ids and decodes to an empty text; repeated rows and null keys
+    stay as they are; other columns are dropped; no rows: none.  The rows are read
+    again and again, so they are written first unless they are ``stable``: the
+    plain scan of a table.  The number of tasks follows the number of characters.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     if not stable:
@@ -344,109 +387,56 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id",
     chars = rows.select(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = min(10_000, 1 + chars // TASK_CHARS)
     words, places = split_words(rows, path, tasks, block_chars)
-    table = encode_distinct(words, path, tasks).repartition(tasks, "block")
-    return table.groupBy("block").cogroup(places.repartition(tasks, "block").groupBy("block")).applyInArrow(_join_back, "doc_id long, ids array<int>")
-
-
-def _with_pieces(encoded: DataFrame, path: str) -> DataFrame:
-    """(row, doc_id, pos, id, piece): a row per id, and one for a document without any.
+    table = with_pieces(encode_distinct(words, path, tasks), path).repartition(tasks, "block")
+    return table.groupBy("block").cogroup(places.repartition(tasks, "block").groupBy("block")).applyInArrow(_join_back, "doc_id long, ids array<int>, decoded string")
 
-    The id-to-piece table goes to every task, so no document moves and the ids of
-    one stay together, in order.
-    """
-    rows = encoded.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "ids")
-    ids = rows.select("row", "doc_id", F.posexplode_outer("ids").alias("pos", "id"))
-    return ids.join(F.broadcast(pieces(encoded.sparkSession, path)), "id", "left").select("row", "doc_id", "pos", "id", "piece")
 
-
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bool, np.ndarray, bytes]]:
-    """(doc id, whether the document begins here, some of its ids, their pieces' bytes)."""
-    row, pos = -1, -1
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows, found = batch.column("row").to_numpy(), batch.column("pos")
-        cuts = [0, *(np.flatnonzero(rows[1:] != rows[:-1]) + 1).tolist(), len(rows)]
-        places = found.fill_null(-1).to_numpy()
-        ids = batch.column("id").fill_null(-1).to_numpy()
-        piece = batch.column("piece")
-        _, ends, data = piece.buffers()
-        ends = np.frombuffer(ends, dtype=np.int32)[piece.offset : piece.offset + len(piece) + 1]
-        data = memoryview(data or b"")
-        docs = batch.column("doc_id").take(pa.array(cuts[:-1])).to_pylist()
-        for a, b, doc in zip(cuts, cuts[1:], docs, strict=False):
-            new = rows[a] != row
-            first = 0 if new else pos + 1
-            if places[a] < 0:
-                yield doc, True, ids[:0], b""
-            else:
-                if places[a] != first or places[b - 1] != first + b - a - 1:
-                    raise RuntimeError("the ids of a document came out of order")
-                yield doc, bool(new), ids[a:b], bytes(data[ends[a] : ends[b]])
-            row, pos = rows[b - 1], places[b - 1]
+def encode(docs: DataFrame, path: str, **options) -> DataFrame:
+    """(doc_id, ids array<int>) of each row: those of round_trip(), whose options it takes."""
+    return round_trip(docs, path, **options).select("doc_id", "ids")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, text) of rows (doc_id, ids array<int>): their pieces joined, as UTF-8.
+    """(doc_id, text) of rows (doc_id, ids array<int>) from anywhere: their pieces, joined.
 
-    Bytes that aren't UTF-8 become U+FFFD; ids that the vocabulary lacks give
-    nothing; no or null ids give an empty text.  Repeated rows stay as they are.
+    Every id is joined with the id-to-piece table, which goes to every task, so no
+    document moves and the ids of one stay together, in order.  Bytes that aren't
+    UTF-8 become U+FFFD; ids that the vocabulary lacks give nothing; no or null ids
+    give an empty text.  Repeated rows stay as they are.
     """
+    rows = encoded.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "ids")
+    ids = rows.select("row", "doc_id", F.posexplode_outer("ids").alias("pos", "id"))
+    joined = ids.join(F.broadcast(pieces(encoded.sparkSession, path)), "id", "left").select("row", "doc_id", "pos", "piece")
 
     def run(batches):
-        keys, parts = [], []
-        for doc, new, _, data in _runs(batches):
-            if new:
-                if len(keys) == 200:
-                    yield batch(keys, parts)
-                    keys, parts = [], []
-                keys.append(doc)
-                parts.append([])
-            parts[-1].append(data)
+        row, place, keys, parts = -1, -1, [], []
+        for batch in batches:
+            for here, doc, pos, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if here != row:
+                    if len(keys) == 200:
+                        yield texts(keys, parts)
+                        keys, parts = [], []
+                    keys.append(doc)
+                    parts.append([])
+                    row, place = here, -1
+                if pos is not None:
+                    if pos != place + 1:
+                        raise RuntimeError("the ids of a document came out of order")
+                    place = pos
+                    parts[-1].append(piece or b"")
         if keys:
-            yield batch(keys, parts)
+            yield texts(keys, parts)
 
-    def batch(keys, parts):
+    def texts(keys, parts):
         return pa.record_batch([pa.array(keys, pa.int64()), pa.array([b"".join(p).decode("utf-8", "replace") for p in parts], pa.string())], ["doc_id", "text"])
 
-    return _with_pieces(encoded, path).mapInArrow(run, "doc_id long, text string")
-
+    return joined.mapInArrow(run, "doc_id long, text string")
 
-def digests(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of rows (doc_id, ids array<int>).
 
-    The hashes of what ``decode`` gives, taken a run of ids at a time, so that a
-    task never holds a decoded text.
-    """
-
-    def run(batches):
-        rows, open_ = [], None
-        for doc, new, ids, data in _runs(batches):
-            if new:
-                if open_:
-                    rows.append(closed(open_))
-                if len(rows) >= 1000:
-                    yield batch(rows)
-                    rows = []
-                open_ = [doc, 0, hashlib.sha256(), hashlib.sha256(), codecs.getincrementaldecoder("utf-8")("replace")]
-            if len(ids):
-                open_[2].update((("," if open_[1] else "") + ",".join(map(str, ids.tolist()))).encode())
-                open_[3].update(open_[4].decode(data).encode())
-                open_[1] += len(ids)
-        if open_:
-            rows.append(closed(open_))
-        if rows:
-            yield batch(rows)
-
-    def closed(x):
-        x[3].update(x[4].decode(b"", True).encode())
-        return x[0], x[1], x[2].hexdigest(), x[3].hexdigest()
-
-    def batch(rows):
-        columns = zip(*rows, strict=True)
-        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return _with_pieces(encoded, path).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+def digests(rows: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of rows of round_trip()."""
+    decimal = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def rank_file_pieces(path: str) -> dict[bytes, int]:

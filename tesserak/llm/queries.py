@@ -63,7 +63,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import bpe
 
-    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), BPE_FILE, stable=True), BPE_FILE)
+    return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), BPE_FILE, stable=True))
 
 
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
