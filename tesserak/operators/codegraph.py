@@ -1,50 +1,95 @@
-"""Code analytics: symbol deltas, reconciliation, impact classes, coverage links."""
+"""Code analytics: symbol deltas, reconciliation, walks, impact classes, coverage links."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Points of a symbol match, by what is equal.
-POINTS = {"hash": 100, "signature": 80, "name": 50, "path": 40, "line": 20}
+POINTS = {"signature": 100, "qualified_name": 80, "name": 50, "hash": 40, "line": 20}
+
+#: Relations that count as calls, as dependencies and as steps of a path.
+CALLS = ["calls"]
+DEPENDENCIES = ["imports", "references", "inherits", "implements"]
+STEPS = ["calls", "imports", "references", "inherits", "implements", "routes_to", "contains", "tests"]
 
 
 def commit_delta(old: DataFrame, new: DataFrame) -> DataFrame:
     """(path, kind, name, change): ADDED, REMOVED or CHANGED symbols of two commits.
 
-    Symbols: (repo, kind, path, name, signature, line, hash); one full outer join
-    on (repo, path, kind, name).  Unchanged symbols are left out.
+    Symbols: (repo, kind, path, name, hash); one full outer join on (repo, path, kind,
+    name).  A symbol that both commits have is CHANGED if its file is modified, that
+    is, if any symbol of the file came, went or has another hash; else it is left out.
     """
     keys = ["repo", "path", "kind", "name"]
     a, b = old.select(*keys, F.col("hash").alias("was")), new.select(*keys, F.col("hash").alias("now"))
-    change = F.when(F.col("was").isNull(), "ADDED").when(F.col("now").isNull(), "REMOVED").when(F.col("was") != F.col("now"), "CHANGED")
-    return a.join(b, keys, "full_outer").select("path", "kind", "name", change.alias("change")).where("change is not null")
+    both = a.join(b, keys, "full_outer")
+    differs = ~F.col("was").eqNullSafe(F.col("now"))
+    touched = both.where(differs).select("repo", "path").distinct()
+    change = F.when(F.col("was").isNull(), "ADDED").when(F.col("now").isNull(), "REMOVED").otherwise("CHANGED")
+    return both.join(touched, ["repo", "path"], "left_semi").select("path", "kind", "name", change.alias("change"))
 
 
 def reconcile(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Where symbols that are gone may have gone: (old_name, old_path, new_name,
-    new_path, kind, score, status).
+    """Where symbols may have come from: (old_id, new_id, relationship, state, score,
+    confidence), the best matches of each new symbol; several best are AMBIGUOUS.
 
-    Only symbols that one commit alone has are matched, by an equal signature or
-    name of the same repository and kind, each an equi join.  A symbol in another
-    file is MOVED, under another name RENAMED.  Two best matches: AMBIGUOUS.
+    Symbols: (symbol_id, repo, kind, path, name, qualified_name, signature, line,
+    hash).  Only symbols of one repository and kind that differ in path, name or
+    qualified name match.  In another file a signature, qualified name or name must
+    be equal; in the same file the signature or the line.  Each way is an equi join.
     """
-    keys = ["repo", "kind", "path", "name"]
-    gone, come = old.join(new, keys, "left_anti"), new.join(old, keys, "left_anti")
-    a = gone.select("repo", F.col("kind").alias("symbol_kind"), *[F.col(c).alias("old_" + c) for c in ("path", "name", "signature", "line", "hash")])
-    b = come.select("repo", F.col("kind").alias("symbol_kind"), *[F.col(c).alias("new_" + c) for c in ("path", "name", "signature", "line", "hash")])
+    fields = ["symbol_id", "path", "name", "qualified_name", "signature", "line", "hash"]
+    a = old.select("repo", "kind", *[F.col(c).alias("old_" + c) for c in fields])
+    b = new.select("repo", "kind", *[F.col(c).alias("new_" + c) for c in fields])
     met = None
-    for c in ("signature", "name"):
-        part = a.withColumn("_key", F.col("old_" + c)).join(b.withColumn("_key", F.col("new_" + c)), ["repo", "symbol_kind", "_key"]).drop("_key")
+    for keys in (["signature"], ["qualified_name"], ["name"], ["path", "line"]):
+        left, right = (df.select("*", *[F.col(side + k).alias("_" + k) for k in keys]) for df, side in ((a, "old_"), (b, "new_")))
+        part = left.join(right, ["repo", "kind", *["_" + k for k in keys]]).drop(*["_" + k for k in keys])
         met = part if met is None else met.unionByName(part)
+    same = {c: F.coalesce(F.col("old_" + c) == F.col("new_" + c), F.lit(False)) for c in fields}
+    moved, renamed = ~same["path"], ~same["name"]
+    allowed = (moved & (same["signature"] | same["qualified_name"] | same["name"])) | (~moved & (renamed | ~same["qualified_name"]) & (same["signature"] | same["line"]))
     score = F.lit(0)
     for c, n in POINTS.items():
-        score = score + F.when(F.col("old_" + c) == F.col("new_" + c), n).otherwise(0)
-    met = met.distinct().withColumn("score", score)
-    w = Window.partitionBy("repo", "symbol_kind", "old_path", "old_name")
-    best = met.withColumn("_top", F.max("score").over(w)).where("score = _top").withColumn("_n", F.count("*").over(w))
-    kind = F.when((F.col("old_path") != F.col("new_path")) & (F.col("old_name") != F.col("new_name")), "MOVED_RENAMED").when(F.col("old_path") != F.col("new_path"), "MOVED").otherwise("RENAMED")
-    return best.select("old_name", "old_path", "new_name", "new_path", kind.alias("kind"), "score", F.when(F.col("_n") > 1, "AMBIGUOUS").otherwise("MATCHED").alias("status"))
+        score = score + F.when(same[c], n).otherwise(0)
+    confidence = (
+        F.when(same["signature"] & same["hash"], 0.98)
+        .when(same["qualified_name"] & same["hash"], 0.94)
+        .when(same["name"] & same["hash"], 0.9)
+        .when(same["signature"], 0.84)
+        .when(same["qualified_name"], 0.78)
+        .when(same["name"], 0.64)
+        .otherwise(0.45)
+    )
+    relationship = F.when(moved & renamed, "MOVED_AND_RENAMED_FROM").when(moved, "MOVED_FROM").otherwise("RENAMED_FROM")
+    rows = met.where(allowed).select(F.col("old_symbol_id").alias("old_id"), F.col("new_symbol_id").alias("new_id"), relationship.alias("relationship"), score.alias("score"), confidence.alias("confidence")).distinct()
+    # the best score and how often it stands are one aggregate; the window would move each row twice
+    best = rows.groupBy("new_id").agg(F.max("score").alias("score"))
+    top = rows.join(best, ["new_id", "score"])
+    n = top.groupBy("new_id").agg(F.count("*").alias("_n"))
+    return top.join(n, "new_id").select("old_id", "new_id", "relationship", F.when(F.col("_n") > 1, "AMBIGUOUS").otherwise("CANDIDATE").alias("state"), "score", "confidence")
+
+
+def one_hop(seeds: DataFrame, edges: DataFrame, relations: list[str], incoming: bool) -> DataFrame:
+    """(seed, node, relation): the other ends of some relations' edges at each seed."""
+    here, there = ("to_id", "from_id") if incoming else ("from_id", "to_id")
+    rows = edges.where(F.col("relation").isin(relations)).select(F.col(here).alias("seed"), F.col(there).alias("node"), "relation")
+    return rows.join(seeds.select("seed"), "seed", "left_semi").where("seed <> node").distinct()
+
+
+def reach(seeds: DataFrame, edges: DataFrame, relations: list[str], hops: int, both_ways: bool = False) -> DataFrame:
+    """(seed, node, hops): nodes within ``hops`` edges, breadth first, with the least
+    number of them.  A node that is reached isn't walked again."""
+    e = edges.where(F.col("relation").isin(relations)).select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"))
+    e = (e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))) if both_ways else e).distinct()
+    reached = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).cast("long").alias("hops"))
+    frontier = reached
+    for hop in range(1, hops + 1):
+        step = frontier.join(e, frontier.node == e.src).select("seed", F.col("dst").alias("node")).distinct()
+        frontier = step.join(reached.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("hops", F.lit(hop).cast("long"))
+        reached = reached.unionByName(frontier)
+    return reached.where("hops > 0")
 
 
 def coverage_links(runs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -57,9 +102,9 @@ def coverage_links(runs: DataFrame, nodes: DataFrame) -> DataFrame:
     return met.select("path", "function", "executions", F.when(F.col("n") == 1, F.col("node_id")).alias("node_id"), status.alias("status"))
 
 
-def impact_partitions(reached: DataFrame) -> DataFrame:
-    """Add ``part`` to rows (node, domain, hops, is_test, confidence): what a change reaches."""
-    part = (
+def impact_partition() -> Column:
+    """The class of a reached row (node, domain, hops, is_test, confidence)."""
+    return (
         F.when(F.col("hops") == 0, "CHANGED")
         .when(F.col("is_test"), "TESTS")
         .when(F.col("confidence") < 0.5, "UNCERTAIN")
@@ -69,4 +114,23 @@ def impact_partitions(reached: DataFrame) -> DataFrame:
         .when(F.col("domain") == "WORK", "WORK")
         .otherwise("OTHER")
     )
-    return reached.withColumn("part", part)
+
+
+def impact_partitions(reached: DataFrame) -> DataFrame:
+    """Add ``part`` to rows (node, domain, hops, is_test, confidence): what a change reaches."""
+    return reached.withColumn("part", impact_partition())
+
+
+#: Evidence tiers, from weakest to strongest.
+TIERS = ["INFERRED", "STATIC", "RUNTIME_OBSERVED", "DYNAMICALLY_PROVEN"]
+
+
+def tier_transitions(edges: DataFrame, observed: DataFrame) -> DataFrame:
+    """(edge_id, was, now): edges whose tier an observation raises; none is lowered.
+
+    ``edges``: (edge_id, tier); ``observed``: (edge_id, tier), several rows an edge.
+    """
+    level = lambda c: F.array_position(F.array(*map(F.lit, TIERS)), F.col(c))
+    best = observed.withColumn("level", level("tier")).groupBy("edge_id").agg(F.max(F.struct("level", "tier")).alias("best"))
+    met = edges.withColumn("level", level("tier")).join(best, "edge_id")
+    return met.where("best.level > level").select("edge_id", F.col("tier").alias("was"), F.col("best.tier").alias("now"))
