@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that carry no meaning of their own in support checks.
-STOP_WORDS = ["the", "and", "for", "with", "that", "this", "from", "are", "was", "que", "los", "las", "una", "por", "para", "con", "del"]
-
-#: Intents and the words that show them, in order of precedence.
-INTENTS = [
-    ("IMPACT_ANALYSIS", "impact|affect|depends on|what breaks"),
-    ("SOURCE_VERIFICATION", "source|evidence|citation|verify"),
-    ("CODE_LOOKUP", "function|class|method|symbol|code"),
-    ("COMPARISON", "compare|versus| vs |difference"),
-    ("WORKFLOW", "how to|steps|workflow|procedure"),
-    ("GLOBAL_OVERVIEW", "overview|summary|overall|themes"),
-    ("EXACT_LOOKUP", "^[a-z]{2,5}-[0-9]+$"),
-]
+STOP_WORDS = """a an and are because can como con cual cuales cuando de del debe durante el en es esta este for from
+how is la las los para por puede que should the un una what when where which why""".split()
+
+#: The shapes of a query and the words or phrases that show them.
+SHAPES = {
+    "NATURAL_LANGUAGE_CONCEPTUAL": ["explain", "what", "why", "how", "concept", "define", "describe", "explica", "que", "qué", "por que", "por qué", "como", "cómo", "concepto"],
+    "VERSION_SENSITIVE_CURRENT": ["current", "currently", "latest", "active", "effective", "today", "now", "vigente", "actual", "actualmente", "ultimo", "último", "ultima", "última", "activo", "activa", "efectivo", "efectiva", "hoy", "ahora"],
+    "AS_OF_TEMPORAL": ["as of", "asof", "historical", "history", "historico", "histórico", "historica", "histórica", "en fecha", "at version", "at revision"],
+    "CODE_SYMBOL_OR_PATH": ["code", "codigo", "código", "symbol", "simbolo", "símbolo", "class", "clase", "function", "funcion", "función", "method", "metodo", "método", "file", "archivo", "path", "ruta", "repository", "repositorio"],
+    "MULTI_HOP": ["multihop", "multi hop", "trace", "traverse", "dependency path", "dependency chain", "impact", "impacto", "afecta", "dependenc", "cadena", "recorrido"],
+    "CORPUS_GLOBAL_SYNTHESIS": ["global", "synthesis", "sintesis", "síntesis", "panorama", "whole corpus", "todo el corpus", "corpus wide"],
+    "TICKET_WORK_PROCESS": ["ticket", "issue", "jira", "linear", "work item", "workitem", "workflow", "process", "task", "handoff", "claim", "incident", "incidente", "tarea", "flujo", "proceso"],
+    "COMPARISON": ["compare", "comparison", "comparar", "versus", "diferencia", "difference", "vs"],
+    "SOURCE_VERIFICATION": ["source", "fuente", "evidence", "evidencia", "verify", "verification", "verifica", "citation", "cita"],
+}
 
 
 def tokens(text: Column) -> Column:
@@ -42,18 +47,27 @@ def symbol_text(text: Column) -> Column:
     return F.trim(F.lower(F.regexp_replace(out, "[^A-Za-z0-9]+", " ")))
 
 
-def query_parts(text: Column, most: int = 8) -> Column:
-    """A query's parts: cut at semicolons, line feeds and words of comparison."""
-    parts = F.split(F.lower(text), r"\s*(?:;|\n|\bversus\b|\bvs\b|\bfrente a\b|\bcontra\b)\s*")
-    return F.slice(F.array_distinct(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")), 1, most)
+#: Fixed value: what cuts a query into parts.
+DELIMITER = r"(?i)(?:\s*;\s*|\s*\n+\s*|\s+\bvs\.?\b\s+|\s+\bversus\b\s+|\s+\bfrente\s+a\b\s+|\s+\bcontra\b\s+)"
+
+
+def query_parts(text: Column, most: int = 4) -> Column:
+    """A query's parts: cut at semicolons and words of comparison that stand alone,
+    distinct, of three characters at least and other than the query itself."""
+    flat = F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " "))
+    parts = F.filter(F.transform(F.split(flat, DELIMITER), F.trim), lambda p: F.length(p) >= 3)
+    return F.slice(F.filter(F.array_distinct(parts), lambda p: F.lower(p) != F.lower(flat)), 1, most)
 
 
-def intent(text: Column) -> Column:
-    """The first intent of INTENTS whose pattern the lower-case text shows."""
-    out = F.lit("CONCEPTUAL")
-    for name, pattern in reversed(INTENTS):
-        out = F.when(F.lower(text).rlike(pattern), F.lit(name)).otherwise(out)
-    return out
+def shapes(text: Column) -> Column:
+    """The names of SHAPES whose words or phrases a text holds, joined by commas."""
+    words, line = tokens(text), F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" "))
+    shown = []
+    for name, cues in SHAPES.items():
+        single = F.arrays_overlap(words, F.array(*[F.lit(c) for c in cues if " " not in c]))
+        phrase = [F.contains(line, F.lit(f" {c} ")) for c in cues if " " in c]
+        shown.append(F.when(reduce(lambda x, y: x | y, phrase, single), F.lit(name)))
+    return F.array_join(F.array(*shown), ",")
 
 
 def first_line(text: Column) -> Column:

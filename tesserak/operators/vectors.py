@@ -26,6 +26,49 @@ def topk(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     return scored.orderBy(F.desc("score"), "vec_id").limit(k)
 
 
+def topk_batch(vectors: DataFrame, queries: DataFrame, k: int, most: int = 64 << 20) -> DataFrame:
+    """(query_id, vec_id, score, rank): the k nearest rows by cosine of each query.
+
+    ``vectors``: (vec_id, embedding); ``queries``: (query_id, embedding), whose
+    numbers are sent to every task and must fit ``most`` bytes, or the call is
+    refused and the caller passes blocks of queries.  A task compares its rows with
+    all queries in blocks and sends only its own k nearest on.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    size = asked.agg(F.sum(F.size("embedding"))).first()[0] or 0
+    if 8 * size > most:
+        raise ValueError(f"queries of {8 * size} bytes; pass blocks of at most {most}")
+    rows = asked.orderBy("query_id").collect()
+    if not rows:
+        return queries.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank long")
+    ids, q = [r.query_id for r in rows], np.array([r.embedding for r in rows])
+    unit = queries.sparkSession.sparkContext.broadcast(q / np.maximum(np.linalg.norm(q, axis=1), 1e-300)[:, None])
+
+    def run(batches):
+        best = [np.zeros((0, 2))] * len(ids)
+        for b in batches:
+            flat = b.column("embedding").flatten().to_numpy(zero_copy_only=False)
+            x, own = flat.reshape(b.num_rows, -1), b.column("vec_id").to_numpy()
+            x = x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
+            for at in range(0, len(ids), 256):
+                near = np.round(unit.value[at : at + 256] @ x.T, 9)
+                for i, row in enumerate(near):
+                    edge = np.partition(row, max(0, len(row) - k))[max(0, len(row) - k)]
+                    take = np.flatnonzero(row >= edge)
+                    got = np.concatenate((best[at + i], np.stack((row[take], own[take]), axis=1)))
+                    best[at + i] = got[np.lexsort((got[:, 1], -got[:, 0]))][:k]
+        for i, got in enumerate(best):
+            if len(got):
+                yield pa.record_batch([pa.array([ids[i]] * len(got), pa.int64()), pa.array(got[:, 1].astype(np.int64)), pa.array(got[:, 0])], ["query_id", "vec_id", "score"])
+
+    near = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, "query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("long")
+    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
 def near_duplicate_pairs(vectors: DataFrame, least: float, axes: int = 3, dims: int = 64) -> DataFrame:
     """(a, b, score): pairs of unit vectors with cosine >= least, exactly, a < b.
 

@@ -1,7 +1,8 @@
 """Candidate retrieval, fusion and assembly over documents and benchmark queries.
 
-A benchmark item is a query: its terms are its first three distinct tokens of
-four characters or more.
+A benchmark item is a query, and all its distinct tokens are its terms.  Channels:
+exact and lexical hits, lexical hits among raw rows and context packs, the 20
+nearest vectors, and documents with the text of an exact or lexical hit.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import filters, retrieval
+from ..operators import filters, retrieval, vectors
 from ..sources import bind
 
 SCOPES = [("src0", None), ("src1", "src1/en"), ("src2", "src2/fr"), ("src3", None), ("src4", "src4/de"), ("src5", None), ("src6", None), ("src7", "src7/en"), ("src8", None), ("src9", None), ("src10", None)]
@@ -30,8 +31,7 @@ def lookups(spark, d):
 
 def terms(spark, d):
     b = bind.table(spark, d, "benchmark")
-    some = F.slice(F.array_distinct(F.filter(text.tokens(F.col("text")), lambda t: F.length(t) >= 4)), 1, 3)
-    return b.select(F.col("item_id").alias("query_id"), F.explode(some).alias("term"))
+    return b.select(F.col("item_id").alias("query_id"), F.array_distinct(text.tokens(F.col("text"))).alias("terms"))
 
 
 def scope_trust_filter(spark, d):
@@ -48,18 +48,41 @@ def exact_lookup(spark, d):
     return retrieval.exact_lookup(governed(spark, d), lookups(spark, d))
 
 
-def _lexical(spark, d):
-    return retrieval.lexical_search(retrieval.inverted_index(governed(spark, d), ["title", "body"]), terms(spark, d))
+def lexical_search(spark, d):
+    return retrieval.lexical_search(governed(spark, d), terms(spark, d))
 
 
-def lexical_search(spark, d):
-    return _lexical(spark, d)
+def vector_channel(spark, d):
+    """(query_id, doc_id, score, rank): the 20 governed documents nearest to the vector
+    that has the query's id."""
+    e = bind.table(spark, d, "embeddings")
+    allowed = governed(spark, d).select(F.col("doc_id").alias("vec_id"))
+    asked = e.join(bind.table(spark, d, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "embedding")
+    near = vectors.topk_batch(e.join(allowed, "vec_id", "left_semi").select("vec_id", "embedding"), asked, 20)
+    return near.select("query_id", F.col("vec_id").alias("doc_id"), "score", "rank")
 
 
 def _channels(spark, d):
+    docs = governed(spark, d)
     exact = retrieval.ranked(exact_lookup(spark, d), ["match_rank", "doc_id"], "exact")
-    lexical = retrieval.ranked(_lexical(spark, d), [F.desc("raw_score"), "doc_id"], "lexical")
-    return exact.unionByName(lexical)
+    found = lexical_search(spark, d)
+    lexical = retrieval.ranked(found, [F.desc("raw_score"), "doc_id"], "lexical")
+    layered = found.join(docs.select("doc_id", "layer"), "doc_id")
+    raw = retrieval.ranked(layered.where("layer in ('SOURCE', 'RESOURCE')"), [F.desc("raw_score"), "doc_id"], "raw")
+    packs = retrieval.ranked(layered.where("layer = 'CONTEXT_PACK'"), [F.desc("raw_score"), "doc_id"], "context-pack")
+    vector = vector_channel(spark, d).select("query_id", "doc_id", F.lit("vector").alias("channel"), "rank")
+    same = docs.select("doc_id", F.sha2("body", 256).alias("hash"))
+    seeds = exact.unionByName(lexical).groupBy("query_id", "doc_id").agg(F.min("rank").alias("rank")).join(same, "doc_id")
+    near = seeds.select("query_id", "rank", "hash", F.col("doc_id").alias("seed")).join(same, "hash").where("doc_id <> seed")
+    graph = retrieval.ranked(near.groupBy("query_id", "doc_id").agg(F.min("rank").alias("best")), ["best", "doc_id"], "graph")
+    out = exact
+    for part in (lexical, raw, packs, vector, graph):
+        out = out.unionByName(part)
+    return out
+
+
+def rrf_fuse_rows(channels, limit):
+    return retrieval.rrf_fuse(channels, limit=limit)
 
 
 def hybrid_search_rrf(spark, d):
@@ -119,27 +142,35 @@ exact as (select query_id, doc_id, cast(min(match_rank) as integer) as match_ran
   select query_id, doc_id, 0 as match_rank from governed join lookups on lower(external_id) = wanted
   union all select query_id, doc_id, 2 from governed join lookups on lower(title) = wanted
   union all select query_id, doc_id, 3 from governed join lookups on lower(path) = wanted) group by 1, 2)"""
-LEXICAL = r"""words as (select item_id as query_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda t: length(t) >= 4) as w from benchmark),
-numbered as (select query_id, unnest(w) as term, generate_subscripts(w, 1) as i from words),
-firsts as (select query_id, term, row_number() over (partition by query_id order by min(i)) as n from numbered group by 1, 2),
-terms as (select query_id, term from firsts where n <= 3),
-need as (select query_id, count(*) as need from terms group by 1),
-idx as (select distinct doc_id, 'title' as field, unnest(regexp_extract_all(lower(title), '[\p{L}\p{N}]+')) as term from governed
-  union all select distinct doc_id, 'body', unnest(regexp_extract_all(lower(body), '[\p{L}\p{N}]+')) from governed),
-hits as (select query_id, doc_id, field, count(*) as have from idx join terms using (term) group by 1, 2, 3),
-lexical as (select h.query_id, doc_id, sum(case field when 'title' then 20.0 else 2.0 end)::double as raw_score from hits h join need using (query_id) where have = need group by 1, 2)"""
+_TOKENS = r"list_distinct(regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+'))"
+LEXICAL = f"""terms as (select item_id as query_id, {_TOKENS.format("text")} as terms from benchmark),
+tok as (select doc_id, body, {_TOKENS.format("external_id")} as e, {_TOKENS.format("path")} as p, {_TOKENS.format("title")} as t, {_TOKENS.format("body")} as b from governed),
+met as (select query_id, doc_id, terms, body, list_has_all(e, terms) as e, list_has_all(p, terms) as p, list_has_all(t, terms) as t, list_has_all(b, terms) as b from tok, terms),
+unit as (select *, len(list_filter(string_split(body, chr(10)), lambda x: list_has_all({_TOKENS.format("x")}, terms))) > 0 as u from met where e or p or t or b),
+lexical as (select query_id, doc_id, case when e then 32.0 else 0.0 end::double + case when p then 24.0 else 0.0 end + case when t then 20.0 else 0.0 end + case when b then 2.0 else 0.0 end + case when u then 1.0 else 0.0 end as raw_score,
+  case when e then 'lexical:external-id-terms' when p then 'lexical:path-terms' when t then 'lexical:title-terms' when u then 'lexical:unit-terms' else 'lexical:body-terms' end as reason from unit)"""
+VECTOR = """vector as (select query_id, doc_id, score, rank from (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as rank from (
+  select q.vec_id as query_id, e.vec_id as doc_id, round(list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 9) as score from embeddings q join benchmark on item_id = q.vec_id, embeddings e where e.vec_id in (select doc_id from governed))) where rank <= 20)"""
 
 
 def _fused(weighted: bool) -> str:
-    weight = "case channel when 'exact' then 3.0::double else 1.5::double end" if weighted else "1.0::double"
-    return f"""channels as (
-  select query_id, doc_id, 'exact' as channel, row_number() over (partition by query_id order by match_rank, doc_id) as rank from exact
+    weight = "case channel when 'exact' then 3.0::double when 'context-pack' then 2.5 when 'lexical' then 1.5 when 'graph' then 1.4 when 'raw' then 1.2 else 1.0 end" if weighted else "1.0::double"
+    return f"""x as (select query_id, doc_id, 'exact' as channel, row_number() over (partition by query_id order by match_rank, doc_id) as rank from exact
   union all select query_id, doc_id, 'lexical', row_number() over (partition by query_id order by raw_score desc, doc_id) from lexical),
-fused as (select query_id, doc_id, round(sum({weight} / (60 + rank)), 8) as score, string_agg(channel, ',' order by channel) as channels from channels group by 1, 2),
+same as (select doc_id, sha256(body) as hash, layer from governed),
+seeds as (select query_id, x.doc_id as seed, min(rank) as rank, any_value(hash) as hash from x join same using (doc_id) group by 1, 2),
+near as (select query_id, s.doc_id, min(rank) as best from seeds join same s using (hash) where s.doc_id <> seed group by 1, 2),
+channels as (select * from x
+  union all select query_id, doc_id, 'raw', row_number() over (partition by query_id order by raw_score desc, doc_id) from lexical join same using (doc_id) where layer in ('SOURCE', 'RESOURCE')
+  union all select query_id, doc_id, 'context-pack', row_number() over (partition by query_id order by raw_score desc, doc_id) from lexical join same using (doc_id) where layer = 'CONTEXT_PACK'
+  union all select query_id, doc_id, 'vector', rank from vector
+  union all select query_id, doc_id, 'graph', row_number() over (partition by query_id order by best, doc_id) from near),
+fused as (select query_id, doc_id, round(sum({weight} / (60 + rank) order by channel), 8) as score, string_agg(channel, ',' order by channel) as channels from channels group by 1, 2),
 ranked as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from fused)"""
 
 
-HYBRID = f"{GOVERNED},\n{EXACT},\n{LEXICAL},\n{_fused(True)}"
+BASE = f"{GOVERNED},\n{EXACT},\n{LEXICAL},\n{VECTOR}"
+HYBRID = f"{BASE},\n{_fused(True)}"
 SECTIONS = """units as (select doc_id, unnest(generate_series(0, len(l) - 1)) as section, unnest(l) as content from (select doc_id, string_split(text, chr(10)) as l from documents)),
 sections as (select r.query_id, r.doc_id, r.rank as doc_rank, u.section, cast(ceil(length(u.content) / 4.0) as bigint) as tokens from ranked r join units u using (doc_id) where r.rank <= 10 and trim(u.content) <> ''),
 turns as (select *, row_number() over (partition by query_id, doc_id order by section) as turn from sections),
@@ -151,15 +182,16 @@ def _salient(column: str) -> str:
     return rf"list_distinct(list_filter(regexp_extract_all(lower({column}), '[\p{{L}}\p{{N}}]+'), lambda t: length(t) >= 3 and not list_contains([{_STOP}], t)))"
 
 
-QUERIES = {f.__name__: f for f in (hybrid_search_rrf, exact_lookup, lexical_search, scope_trust_filter, mode_filter, rrf_fuse, lexical_rerank, passage_support, diversity_interleave, pack_context_char4)}
+QUERIES = {f.__name__: f for f in (hybrid_search_rrf, exact_lookup, lexical_search, vector_channel, scope_trust_filter, mode_filter, rrf_fuse, lexical_rerank, passage_support, diversity_interleave, pack_context_char4)}
 
 SQL = {
     "hybrid_search_rrf": f"with {HYBRID} select query_id, doc_id, score, channels, rank from ranked where rank <= 10",
     "exact_lookup": f"with {GOVERNED}, {EXACT} select query_id, doc_id, match_rank from exact",
-    "lexical_search": f"with {GOVERNED}, {LEXICAL} select query_id, doc_id, raw_score from lexical",
+    "lexical_search": f"with {GOVERNED}, {LEXICAL} select query_id, doc_id, raw_score, reason from lexical",
+    "vector_channel": f"with {GOVERNED}, {VECTOR} select query_id, doc_id, score, rank from vector",
     "scope_trust_filter": f"with {GOVERNED} select doc_id, path, trust, lifecycle, freshness from governed where trust in ('MACHINE_SUPPORTED', 'HUMAN_REVIEWED', 'ATTESTED')",
     "mode_filter": f"with {DOCS} select layer, trust, count(*) as n from docs where layer in ('COMPILED', 'PROJECT', 'CONTEXT_PACK') group by 1, 2",
-    "rrf_fuse": f"with {GOVERNED}, {EXACT}, {LEXICAL}, {_fused(False)} select query_id, doc_id, score, rank from ranked",
+    "rrf_fuse": f"with {BASE}, {_fused(False)} select query_id, doc_id, score, rank from ranked",
     "lexical_rerank": rf"""with {HYBRID},
       hit as (select r.query_id, r.doc_id, r.score, r.rank, lower(d.text) as content, list_distinct(list_filter(regexp_extract_all(lower(b.text), '[\p{{L}}\p{{N}}]+'), lambda t: length(t) >= 3)) as terms
         from ranked r join documents d using (doc_id) join benchmark b on b.item_id = r.query_id where r.rank <= 10),
@@ -169,7 +201,7 @@ SQL = {
     "passage_support": f"""with {HYBRID},
       hit as (select r.query_id, r.doc_id, {_salient("b.text")} as want, {_salient("d.text")} as have from ranked r join documents d using (doc_id) join benchmark b on b.item_id = r.query_id where r.rank <= 10),
       n as (select query_id, doc_id, len(want) as n, len(list_intersect(want, have)) as overlap from hit)
-      select query_id, doc_id, cast(overlap as bigint) as overlap, round(overlap / greatest(n, 1)::double, 6) as coverage, overlap >= least(2, greatest(n, 1)) and overlap / greatest(n, 1)::double >= 0.4 as supported from n""",
+      select query_id, doc_id, cast(overlap as bigint) as overlap, round(overlap / greatest(n, 1)::double, 6) as coverage, n > 0 and overlap >= least(2, greatest(n, 1)) and overlap / greatest(n, 1)::double >= 0.4 as supported from n""",
     "diversity_interleave": f"with {HYBRID}, {SECTIONS} select query_id, doc_id, section, turn, place from placed",
     "pack_context_char4": f"""with {HYBRID}, {SECTIONS}, used as (select *, cast(sum(tokens) over (partition by query_id order by place) as bigint) as used from placed)
       select query_id, place, doc_id, section, tokens, used from used where used <= 600""",
