@@ -1,27 +1,31 @@
 """Graph operators over edges (from_id, to_id, relation, weight).
 
 Walks are loops of equi joins over edges ranked once beforehand; fixpoints cut
-their lineage by a reliable checkpoint each round.
+their lineage by a written table each round.
 """
 
 from __future__ import annotations
 
-import hashlib
 import tempfile
+import uuid
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a checkpoint in the folder that the session's cluster shares."""
+    """Cut lineage: write ``df`` to the folder that the session's cluster shares and read
+    it back.  Only a local session may choose a folder of its own."""
     spark = df.sparkSession
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="tesserak-"))
-    return df.checkpoint()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
+        named = "file://" + tempfile.mkdtemp(prefix="tesserak-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    path = f"{named.rstrip('/')}/tesserak-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def oriented(edges: DataFrame) -> DataFrame:
@@ -54,10 +58,11 @@ def walks(seeds: DataFrame, edges: DataFrame, hops: int, decay: float) -> DataFr
     return out
 
 
-def expand_graph(seeds: DataFrame, edges: DataFrame, hops: int = 3, decay: float = 0.5) -> DataFrame:
-    """(node, score): outgoing simple paths from all seeds, their scores summed."""
-    e = edges.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), "weight")
-    return walks(seeds, e, hops, decay).groupBy("node").agg(F.round(F.sum("score"), 6).alias("score"))
+def expand_graph(seeds: DataFrame, edges: DataFrame, hops: int = 3, decay: float = 0.5, fan_out: int = 50) -> DataFrame:
+    """(node, score): outgoing simple paths from all seeds along each node's ``fan_out``
+    strongest edges, their scores summed."""
+    e = edges.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), "weight", "relation")
+    return walks(seeds, strongest(e, fan_out), hops, decay).groupBy("node").agg(F.round(F.sum("score"), 6).alias("score"))
 
 
 def weighted_paths(seeds: DataFrame, edges: DataFrame, hops: int = 3, fan_out: int = 10, decay: float = 0.5, kept: int = 3) -> DataFrame:
@@ -124,8 +129,8 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         met = cut(met.join(jump, "low").select("node", "was", F.least("low", "lower").alias("component")))
         labels = met.select("node", "component")
         if met.where("component <> was").isEmpty():
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components are not found after {rounds} rounds")
 
 
 def ppr(seeds: DataFrame, edges: DataFrame, rounds: int = 5, restart: float = 0.15, tolerance: float | None = None, cut_every: int = 5) -> DataFrame:
@@ -157,61 +162,74 @@ def ppr(seeds: DataFrame, edges: DataFrame, rounds: int = 5, restart: float = 0.
     return state.select("node", F.round("score", 8).alias("score"))
 
 
-def _moves(n: int, rows: np.ndarray, columns: np.ndarray, weights: np.ndarray, resolution: float, seed: int) -> np.ndarray:
-    """Local moves under the constant Potts model, then a split to connected parts."""
-    near: list[dict[int, float]] = [{} for _ in range(n)]
-    for a, b, w in zip(rows, columns, weights, strict=True):
-        if a != b:
-            near[a][b] = near[a].get(b, 0.0) + w
-            near[b][a] = near[b].get(a, 0.0) + w
-    group, size = np.arange(n), np.ones(n)
-    order = np.random.default_rng(seed).permutation(n)
-    for _ in range(50):
-        moved = False
-        for i in order:
-            links: dict[int, float] = {}
-            for j, w in near[i].items():
-                links[group[j]] = links.get(group[j], 0.0) + w
-            own = group[i]
-            size[own] -= 1
-            gain = {g: w - resolution * size[g] for g, w in links.items()} | {own: links.get(own, 0.0) - resolution * size[own]}
-            best = max(gain, key=lambda g: (gain[g], -g))
-            if gain[best] <= gain[own] + 1e-12:
-                best = own
-            moved |= best != own
-            group[i] = best
-            size[best] += 1
-        if not moved:
-            break
-    out = np.full(n, -1)
-    for i in range(n):
-        if out[i] < 0:
-            out[i], stack = i, [i]
-            while stack:
-                a = stack.pop()
-                for b in near[a]:
-                    if out[b] < 0 and group[b] == group[i]:
-                        out[b] = i
-                        stack.append(b)
-    return out
-
-
-def communities(edges: DataFrame, resolution: float = 0.5, seed: int = 42, most: int = 20_000) -> DataFrame:
-    """(scope, node, community) of edges (scope, from_id, to_id, weight).
+def _settled(nodes: DataFrame, links: DataFrame, resolution: float, rounds: int) -> DataFrame:
+    """(node, size, group): groups after local moves under the constant Potts model.
 
-    Local moves on the constant Potts model inside each scope, in sorted order of
-    nodes, and a split of each group to connected parts.  The key is a hash of the
-    sorted members.  A scope with more than ``most`` edges is refused: it is the
-    caller's to divide it.
+    ``nodes``: (node, size); ``links``: (src, dst, weight), both ways, no loops.  Each
+    round sums a node's links per neighbouring group and takes the group with the
+    highest gain, weight less ``resolution`` times both sizes.  Of two nodes that
+    could swap places only one moves: those of one hashed half in turn, and none
+    whose neighbour with a greater hash in the same half would move as well.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError(f"scope {pdf.scope.iloc[0]} has more than {most} edges")
-        pdf = pdf.sort_values(["from_id", "to_id"])
-        names = np.array(sorted(set(pdf.from_id) | set(pdf.to_id)))
-        got = _moves(len(names), np.searchsorted(names, pdf.from_id), np.searchsorted(names, pdf.to_id), pdf.weight.to_numpy(float), resolution, seed)
-        keys = {g: "community:" + hashlib.sha256("\n".join(names[got == g]).encode()).hexdigest()[:20] for g in set(got)}
-        return pd.DataFrame({"scope": pdf.scope.iloc[0], "node": names, "community": [keys[g] for g in got]})
-
-    return edges.groupBy("scope").applyInPandas(run, "scope string, node string, community string")
+    state = cut(nodes.select("node", "size", F.col("node").alias("group")))
+    quiet = 0
+    for i in range(rounds):
+        sizes = state.groupBy("group").agg(F.sum("size").alias("held"))
+        near = links.join(state.select(F.col("node").alias("dst"), "group"), "dst").groupBy(F.col("src").alias("node"), "group").agg(F.sum("weight").alias("weight"))
+        own = state.select("node", "size", F.col("group").alias("own"))
+        met = near.join(own, "node").join(sizes, "group")
+        gain = F.col("weight") - resolution * F.col("size") * (F.col("held") - F.when(F.col("group") == F.col("own"), F.col("size")).otherwise(0))
+        best = met.withColumn("gain", gain).groupBy("node").agg(F.max(F.struct("gain", "group")).alias("best"), F.max(F.when(F.col("group") == F.col("own"), F.col("gain"))).alias("stay"))
+        turn = F.pmod(F.xxhash64("node", F.lit(i // 2)), F.lit(2)) == i % 2
+        alone = own.join(sizes.withColumnRenamed("group", "own"), "own").select("node", "own", (-resolution * F.col("size") * (F.col("held") - F.col("size"))).alias("bare"))
+        wish = best.join(alone, "node").where((F.col("best.gain") > F.coalesce("stay", "bare") + 1e-9) & (F.col("best.group") != F.col("own")) & turn).select("node", F.col("best.group").alias("to"), F.xxhash64("node", F.lit(i)).alias("h"))
+        wish = cut(wish)
+        if wish.isEmpty():
+            quiet += 1
+            if quiet == 2:
+                return state
+            continue
+        quiet = 0
+        other = wish.select(F.col("node").alias("dst"), F.col("h").alias("h2"))
+        held_back = links.join(wish.select(F.col("node").alias("src"), "h"), "src").join(other, "dst").where("h2 > h").select(F.col("src").alias("node")).distinct()
+        go = wish.join(held_back, "node", "left_anti").select("node", "to")
+        state = cut(state.join(go, "node", "left").select("node", "size", F.coalesce("to", "group").alias("group")))
+    return state
+
+
+def communities(edges: DataFrame, resolution: float = 0.5, levels: int = 4, rounds: int = 12) -> DataFrame:
+    """(node, community) of undirected edges (from_id, to_id, weight), by Leiden's scheme.
+
+    Each level moves nodes locally, refines the groups to their connected parts, and
+    aggregates these to the nodes of the next level, until nothing joins any more.
+    All of it runs on tables, so no scope or group is held by one task.  A
+    community is named after its least node; it is always connected.
+    """
+    both = oriented(edges.select("from_id", "to_id", F.lit("").alias("relation"), "weight")).where("src <> dst")
+    links = cut(both.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
+    ends = edges.select(F.col("from_id").alias("node")).union(edges.select("to_id")).distinct()
+    home = cut(ends.select("node", F.col("node").alias("at")))
+    nodes = cut(ends.select("node", F.lit(1).cast("long").alias("size")))
+    for _ in range(levels):
+        state = _settled(nodes, links, resolution, rounds)
+        inner = links.join(state.select(F.col("node").alias("src"), F.col("group").alias("a")), "src").join(state.select(F.col("node").alias("dst"), F.col("group").alias("b")), "dst").where("a = b")
+        parts = connected_components(inner.select(F.col("src").alias("from_id"), F.col("dst").alias("to_id"), F.lit("").alias("relation"), "weight"))
+        merged = cut(nodes.join(parts, "node", "left").select("node", "size", F.coalesce("component", "node").alias("part")))
+        if merged.where("node <> part").isEmpty():
+            break
+        home = cut(home.join(merged.select(F.col("node").alias("at"), "part"), "at").select("node", F.col("part").alias("at")))
+        to = merged.select(F.col("node").alias("src"), F.col("part").alias("a"))
+        links = cut(links.join(to, "src").join(merged.select(F.col("node").alias("dst"), F.col("part").alias("b")), "dst").where("a <> b").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight")))
+        nodes = cut(merged.groupBy(F.col("part").alias("node")).agg(F.sum("size").alias("size")))
+    return home.select("node", F.col("at").alias("community"))
+
+
+def community_quality(edges: DataFrame, groups: DataFrame, resolution: float = 0.5) -> DataFrame:
+    """(community, size, inside, quality) of a partition (node, community) under the
+    constant Potts model: inner weight less ``resolution`` per pair of members."""
+    named = lambda side: groups.select(F.col("node").alias(side), F.col("community").alias("c_" + side))
+    inner = edges.join(named("from_id"), "from_id").join(named("to_id"), "to_id").where("c_from_id = c_to_id and from_id <> to_id").groupBy(F.col("c_from_id").alias("community")).agg(F.sum("weight").alias("inside"))
+    sizes = groups.groupBy("community").agg(F.count("*").alias("size"))
+    met = sizes.join(inner, "community", "left")
+    inside = F.coalesce("inside", F.lit(0.0))
+    return met.select("community", "size", F.round(inside, 6).alias("inside"), F.round(inside - resolution * F.col("size") * (F.col("size") - 1) / 2, 6).alias("quality"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .filters import valid_at
@@ -50,7 +50,7 @@ def supersession_violations(facts: DataFrame, supersessions: DataFrame) -> DataF
 STATES = ["UNSUPPORTED", "DISPUTED", "SUPPORTED"]
 
 
-def support_eval(sets: DataFrame, states: DataFrame, rounds: int = 20) -> DataFrame:
+def support_eval(sets: DataFrame, states: DataFrame, rounds: int = 10_000) -> DataFrame:
     """(set_id, state) of support sets: AND over a group's references, OR over groups.
 
     ``sets``: (set_id, group_no, ref_kind, ref_id); a reference is to a FACT (the
@@ -58,22 +58,50 @@ def support_eval(sets: DataFrame, states: DataFrame, rounds: int = 20) -> DataFr
     level 0 to 2), 2 if it isn't there).  A group is as good as its worst
     reference and a set as its best group.  Sets that refer to each other are
     found from below, so a cycle without outside support stays UNSUPPORTED.
+
+    Runs to the fixpoint.  Sets with a single reference only pass on its state, so
+    chains of them are jumped over first: each round follows a pointer's pointer,
+    and the rest needs as many rounds as it is deep in sets that branch.  Raises
+    after ``rounds``.
     """
     from .graph import cut
 
-    refs = sets.join(states, "ref_id", "left").select("set_id", "group_no", "ref_kind", "ref_id", F.coalesce("level", F.lit(2)).alias("level"))
-    refs = cut(refs)
+    refs = cut(sets.join(states, "ref_id", "left").select("set_id", "group_no", "ref_kind", "ref_id", F.coalesce("level", F.lit(2)).alias("level")))
+    refs = cut(_jumped(refs, cut))
     deep = not refs.where("ref_kind = 'FACT'").isEmpty()
     now = cut(refs.select("set_id").distinct().withColumn("level", F.lit(0)))
-    for _ in range(rounds if deep else 1):
+    for _ in range(rounds):
         below = now.select(F.col("set_id").alias("ref_id"), F.col("level").alias("below"))
         met = refs.join(below, "ref_id", "left").select("set_id", "group_no", F.when(F.col("ref_kind") == "FACT", F.least("level", F.coalesce("below", F.lit(0)))).otherwise(F.col("level")).alias("level"))
         new = met.groupBy("set_id", "group_no").agg(F.min("level").alias("level")).groupBy("set_id").agg(F.max("level").alias("level"))
         changed = cut(new.join(now.withColumnRenamed("level", "was"), "set_id"))
         now = changed.select("set_id", "level")
         if not deep or changed.where("level <> was").isEmpty():
+            return now.select("set_id", F.element_at(F.array(*map(F.lit, STATES)), F.col("level") + 1).alias("state"))
+    raise RuntimeError(f"support is not settled after {rounds} rounds")
+
+
+def _jumped(refs: DataFrame, cut) -> DataFrame:
+    """References with those to sets of a single reference led on to where that leads.
+
+    A pointer carries the least level on its way.  Pointers in a cycle never leave
+    it; they are followed as often as the longest chain could need and then stay
+    references into the cycle, which stays at its lowest state.
+    """
+    own = Window.partitionBy("set_id")
+    single = cut(refs.withColumn("n", F.count("*").over(own)).where("n = 1 and ref_kind = 'FACT'").select("set_id", "ref_id", "level"))
+    total = single.count()
+    steps = 0
+    while (1 << steps) < total + 1:
+        steps += 1
+        further = single.select(F.col("set_id").alias("mid"), F.col("ref_id").alias("on"), F.col("level").alias("low"))
+        met = single.join(further, F.col("ref_id") == F.col("mid"), "left")
+        led = cut(met.select("set_id", F.coalesce("on", "ref_id").alias("ref_id"), F.least("level", F.coalesce("low", F.lit(2))).alias("level"), F.col("mid").isNotNull().alias("moved")))
+        single = led.select("set_id", "ref_id", "level")
+        if led.where("moved").isEmpty():
             break
-    return now.select("set_id", F.element_at(F.array(*map(F.lit, STATES)), F.col("level") + 1).alias("state"))
+    ends = single.select(F.col("set_id").alias("s"), F.col("ref_id").alias("end"), F.col("level").alias("low"))
+    return refs.join(ends, (F.col("ref_kind") == "FACT") & (F.col("ref_id") == F.col("s")), "left").select("set_id", "group_no", "ref_kind", F.coalesce("end", "ref_id").alias("ref_id"), F.least("level", F.coalesce("low", F.lit(2))).alias("level"))
 
 
 def validate_derived(items: DataFrame, dependencies: DataFrame, cutoff: Column) -> DataFrame:
@@ -117,9 +145,24 @@ def latest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFr
 def revision_chain(rows: DataFrame) -> DataFrame:
     """(vault, seq, hash): each revision's hash over the one before and its content.
 
-    ``rows``: (vault, seq, content).  A fold over a vault's ordered revisions.
+    ``rows``: (vault, seq, content).  A hash over a hash can't be taken in parallel, so
+    a vault's revisions go through one task in order; they pass by in batches with
+    the last hash carried, and no vault is held as a whole.
     """
-    ordered = rows.groupBy("vault").agg(F.array_sort(F.collect_list(F.struct("seq", "content"))).alias("all"))
-    grow = F.aggregate("all", F.array(F.struct(F.lit(-1).cast("long").alias("seq"), F.lit("").alias("hash"))), lambda t, r: F.array_append(t, F.struct(r["seq"].cast("long").alias("seq"), F.sha2(F.concat(F.element_at(t, -1)["hash"], F.lit("|"), r["content"]), 256).alias("hash"))))
-    return ordered.select("vault", F.explode(F.slice(grow, F.lit(2), F.size("all"))).alias("r")).select("vault", "r.seq", "r.hash")
-
+    import hashlib
+
+    import pyarrow as pa
+
+    def run(batches):
+        vault, last = None, ""
+        for b in batches:
+            out = []
+            for v, content in zip(b.column("vault").to_pylist(), b.column("content").to_pylist(), strict=True):
+                if v != vault:
+                    vault, last = v, ""
+                last = hashlib.sha256(f"{last}|{content}".encode()).hexdigest()
+                out.append(last)
+            yield pa.record_batch([b.column("vault"), b.column("seq"), pa.array(out, pa.string())], ["vault", "seq", "hash"])
+
+    ordered = rows.select(F.col("vault").cast("string").alias("vault"), F.col("seq").cast("long").alias("seq"), "content").repartition("vault").sortWithinPartitions("vault", "seq")
+    return ordered.mapInArrow(run, "vault string, seq long, hash string")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import evaluation, graph, ordered, truth, vectors
+from ..operators.retrieval import lexical_search as lexical
 from ..sources import bind
 from . import relational, retrieval
 
@@ -24,7 +25,7 @@ def vector_topk(spark, d):
 
 
 def near_duplicate_pairs(spark, d):
-    return vectors.near_duplicate_pairs(bind.table(spark, d, "embeddings"), 0.9)
+    return vectors.near_duplicate_pairs(bind.table(spark, d, "embeddings"), 0.35)
 
 
 def _vector_units(spark, d):
@@ -44,11 +45,14 @@ def embedding_reuse(spark, d):
 
 
 def hash_embedding(spark, d):
-    return vectors.hash_embedding(bind.table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("body")))
+    return vectors.hash_embedding(bind.table(spark, d, "documents").select("doc_id", F.col("text").alias("body")))
 
 
 def l2_violations(spark, d):
-    return vectors.l2_violations(bind.table(spark, d, "embeddings"), 64)
+    """Stored vectors, of which every 37th is scaled and every 41st cut short."""
+    e = bind.table(spark, d, "embeddings")
+    scaled = F.when(F.col("vec_id") % 37 == 0, F.transform("embedding", lambda v: v * F.lit(1.5).cast("float"))).when(F.col("vec_id") % 41 == 0, F.slice("embedding", 1, 63)).otherwise(F.col("embedding"))
+    return vectors.l2_violations(e.select("vec_id", scaled.alias("embedding")), 64)
 
 
 # graph
@@ -88,8 +92,7 @@ def graph_summary(spark, d):
 
 
 def connected_components(spark, d):
-    e = bind.edges(spark, d).where("relation <> 'related_to'")
-    return graph.connected_components(e)
+    return graph.connected_components(bind.edges(spark, d).where("weight >= 0.3"))
 
 
 def ppr_k_iterations(spark, d):
@@ -103,8 +106,9 @@ def ppr_converged(spark, d):
 
 
 def leiden_communities(spark, d):
-    e = bind.edges(spark, d).where("relation <> 'supports'")
-    return graph.communities(e.select(F.lit("org").alias("scope"), "from_id", "to_id", "weight"))
+    """Communities of the whole graph, with their quality."""
+    e = bind.edges(spark, d)
+    return graph.community_quality(e, graph.communities(e))
 
 
 # truth
@@ -178,20 +182,20 @@ def idempotent_dedupe(spark, d):
 
 
 def _gold(spark, d):
-    """(query_id, gold): documents that hold a benchmark passage's first 60 characters.
+    """(query_id, gold): documents that hold a benchmark passage as a whole.
 
-    The passage is looked for only where the item's first five words stand in a
-    row: both sides are keyed by those words, so nothing is compared with all.
+    A document that holds the passage holds its inner words (all but the first and
+    the last, which may be cut), so those alone select candidates, by the rarest of
+    them; the whole passage is then looked for in their texts.
     """
-    b = bind.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("needle"))
-    lead = F.array_join(F.slice(text.tokens(F.col("needle")), 1, 5), " ")
-    b = b.withColumn("key", lead)
+    b = bind.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("needle"))
+    words = text.tokens(F.col("needle"))
+    inner = b.select("query_id", F.array_distinct(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(1)))).alias("terms"))
     docs = bind.table(spark, d, "documents").select("doc_id", "text")
-    words = text.tokens(F.col("text"))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 5), " "))
-    keyed = docs.select("doc_id", words.alias("w")).select("doc_id", F.explode(F.array_distinct(runs)).alias("key"))
-    near = keyed.join(b, "key").select("doc_id", "query_id", "needle")
-    found = near.join(docs, "doc_id").where(F.contains("text", F.col("needle"))).select("query_id", "doc_id").distinct()
+    near = F.lit("").alias
+    shown = docs.select("doc_id", near("external_id"), near("path"), near("title"), F.col("text").alias("body"))
+    met = lexical(shown, inner).select("query_id", "doc_id").join(b, "query_id").join(docs, "doc_id")
+    found = met.where(F.contains("text", F.col("needle"))).select("query_id", "doc_id").distinct()
     gold = found.groupBy("query_id").agg(F.array_sort(F.collect_list("doc_id")).alias("gold"))
     return b.select("query_id").join(gold, "query_id", "left").select("query_id", F.coalesce("gold", F.array().cast("array<long>")).alias("gold"))
 
@@ -210,13 +214,23 @@ def score_observation(spark, d):
     return _observations(spark, d)
 
 
+#: Configurations that are run: name and channels.
+CONFIGURATIONS = {"exact+lexical": ["exact", "lexical"], "lexical": ["lexical"], "vector-only": ["vector"], "lexical+vector": ["lexical", "vector"], "lexical+graph": ["lexical", "graph"], "full-hybrid-rrf": ["exact", "lexical", "vector", "graph", "raw", "context-pack"]}
+
+
 def _run_scores(spark, d):
-    """Scores of three made configurations over the benchmark, by arithmetic on ids."""
-    b = bind.table(spark, d, "benchmark").select(F.col("item_id").alias("q"))
-    rows = b.select("q", F.explode(F.array(F.lit("lexical"), F.lit("lexical+vector"), F.lit("exact"))).alias("configuration"))
-    k = F.when(F.col("configuration") == "lexical", 3).when(F.col("configuration") == "exact", 5).otherwise(2)
-    rr = F.lit(1.0) / (1 + F.col("q") % k)
-    return rows.select("configuration", (1.0 - (F.col("q") % k) / 10.0).alias("recall"), rr.alias("rr"), F.when(F.col("q") % 4 != 0, rr).alias("ndcg"), (F.col("q") % k == 0).alias("passed"))
+    """Scores of every configuration over the benchmark: the channels' rows are copied
+    to the configurations that use them and fused per (configuration, query)."""
+    names = F.create_map(*[x for n, c in CONFIGURATIONS.items() for x in (F.lit(n), F.array(*map(F.lit, c)))])
+    each = F.explode(F.array(*map(F.lit, CONFIGURATIONS))).alias("configuration")
+    rows = retrieval._channels(spark, d).select("*", each).where(F.array_contains(names[F.col("configuration")], F.col("channel")))
+    key = F.concat_ws("#", "configuration", F.col("query_id").cast("string"))
+    fused = retrieval.rrf_fuse_rows(rows.withColumn("query_id", key), 10)
+    cases = _gold(spark, d).select(F.explode(F.array(*map(F.lit, CONFIGURATIONS))).alias("configuration"), "query_id", "gold")
+    scored = evaluation.score_retrieval(cases.select(key.alias("query_id"), "gold"), fused.select("query_id", "doc_id", "rank"))
+    sizes = cases.select(key.alias("query_id"), "configuration", (F.size("gold") == 0).alias("none"))
+    met = scored.join(sizes, "query_id")
+    return met.select("configuration", "recall", "rr", F.when(~F.col("none"), F.col("ndcg")).alias("ndcg"), F.col("hit").alias("passed"))
 
 
 def aggregate_run(spark, d):
@@ -247,14 +261,16 @@ def symbol_text(spark, d):
 
 
 def query_decompose(spark, d):
-    b = bind.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.substring("text", 1, 80), F.lit(" VS "), F.substring("text", 41, 60)).alias("q"))
+    """Whole benchmark texts, each with a comparison after it."""
+    b = bind.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.col("text"), F.lit("; one  thing VS another vs ab versus the "), F.lower("text")).alias("q"))
     return b.select("query_id", F.posexplode(text.query_parts(F.col("q"))).alias("part_no", "part"))
 
 
 def classify_query(spark, d):
-    b = bind.table(spark, d, "benchmark")
-    shown = F.element_at(F.array(*map(F.lit, ["what breaks if", "show the source of", "class method", "compare this vs that", "how to write", "give an overview", "meaning of"])), (F.col("item_id") % 7 + 1).cast("int"))
-    return b.select("item_id", text.intent(F.concat_ws(" ", shown, F.lit("it"))).alias("intent"))
+    """The shapes of whole benchmark texts and of what users say."""
+    b = bind.table(spark, d, "benchmark").select(F.lit("benchmark").alias("kind"), F.col("item_id").alias("id"), F.lit(0).alias("turn"), "text")
+    c = bind.table(spark, d, "conversations").where("role = 'user'").select(F.lit("user").alias("kind"), F.col("conv_id").alias("id"), "turn", "text")
+    return b.unionByName(c).select("kind", "id", "turn", text.shapes(F.col("text")).alias("shapes"))
 
 
 def normalize_identity(spark, d):
@@ -297,15 +313,21 @@ VECTOR_UNITS = """units as (select doc_id as unit_id, sha256(text) as hash from
 own as (select unit_id, case when unit_id % 5 = 0 then 'stale' else hash end as hash, label as generation from units join embeddings on vec_id = unit_id)"""
 INBOX = """inbox as (select user_id as connector, sequence, event_id, 'o' || (event_id % 7) as object, case when event_type = 'error' then 'DELETE' else 'UPSERT' end as change, value
   from (select *, row_number() over (partition by user_id order by ts, event_id) as sequence from events) where event_id % 29 <> 0)"""
-GOLD = """found as (select b.item_id as query_id, d.doc_id from benchmark b join documents d on contains(d.text, substring(b.text, 1, 60))),
+GOLD = """found as (select b.item_id as query_id, d.doc_id from benchmark b join documents d on contains(d.text, b.text)),
 gold as (select b.item_id as query_id, count(f.doc_id) as n_gold from benchmark b left join found f on f.query_id = b.item_id group by 1)"""
 SCORES = f"""{retrieval.HYBRID}, {GOLD},
 per as (select r.query_id, count(*) as n, min(rank) as first, sum(1 / log2(rank + 1)) as dcg from ranked r join found f using (query_id, doc_id) where rank <= 10 group by 1),
 scores as (select g.query_id, case when n_gold = 0 then 1.0 else round(coalesce(n, 0) / n_gold::double, 6) end as recall, round(coalesce(n, 0) / 10.0::double, 6) as precision, round(coalesce(1.0::double / first, 0), 6) as rr,
   round(coalesce(dcg, 0) / list_sum(list_transform(generate_series(1, greatest(least(n_gold, 10), 1)), lambda i: 1 / log2(i + 1))), 6) as ndcg, coalesce(n, 0) > 0 as hit from gold g left join per using (query_id))"""
-RUN = """runs as (select item_id as q, unnest(['lexical', 'lexical+vector', 'exact']) as configuration from benchmark),
-k as (select *, case configuration when 'lexical' then 3 when 'exact' then 5 else 2 end as k from runs),
-s as (select configuration, 1.0::double - (q % k) / 10.0::double as recall, 1.0::double / (1 + q % k) as rr, case when q % 4 <> 0 then 1.0::double / (1 + q % k) end as ndcg, q % k = 0 as passed from k),
+_USES = " union all ".join(f"select '{n}' as configuration, '{c}' as channel" for n, cs in CONFIGURATIONS.items() for c in cs)
+RUN = f"""{retrieval.HYBRID}, {GOLD}, uses as ({_USES}), names as (select distinct configuration from uses),
+weights as (select * from (values ('exact', 3.0::double), ('context-pack', 2.5), ('lexical', 1.5), ('graph', 1.4), ('raw', 1.2), ('vector', 1.0)) t(channel, weight)),
+cf as (select configuration, query_id, doc_id, round(sum(weight / (60 + rank) order by channel), 8) as score from channels join uses using (channel) join weights using (channel) group by 1, 2, 3),
+cr as (select *, row_number() over (partition by configuration, query_id order by score desc, doc_id) as rank from cf),
+cp as (select configuration, r.query_id, count(*) as n, min(rank) as first, sum(1 / log2(rank + 1)) as dcg from cr r join found f using (query_id, doc_id) where rank <= 10 group by 1, 2),
+s as (select configuration, case when n_gold = 0 then 1.0 else round(coalesce(n, 0) / n_gold::double, 6) end as recall, round(coalesce(1.0::double / first, 0), 6) as rr,
+  case when n_gold > 0 then round(coalesce(dcg, 0) / list_sum(list_transform(generate_series(1, greatest(least(n_gold, 10), 1)), lambda i: 1 / log2(i + 1))), 6) end as ndcg, coalesce(n, 0) > 0 as passed
+  from gold cross join names left join cp using (configuration, query_id)),
 agg as (select configuration, count(*) as cases, round(avg(recall), 6) as mean_recall, round(avg(rr), 6) as mrr, round(avg(ndcg), 6) as mean_ndcg, round(avg(passed::int), 6) as pass_rate, round(count(ndcg) / count(*)::double, 6) as ndcg_coverage from s group by 1)"""
 
 
@@ -320,17 +342,29 @@ def _ppr(rounds: int) -> str:
       s0 as materialized (select n.node, coalesce(p, 0) as p, n.node in (select from_id from share) as out, coalesce(p, 0) as score from nodes n left join start using (node)), {steps} select node, round(score, 8) as score from s{rounds}"""
 
 
+
+def _shapes_sql() -> str:
+    cases = []
+    for name, cues in text.SHAPES.items():
+        single = ", ".join(f"'{c}'" for c in cues if " " not in c)
+        phrases = "".join(f" or contains(line, ' {c} ')" for c in cues if " " in c)
+        cases.append(f"case when list_has_any(w, [{single}]){phrases} then '{name}' end")
+    return f"""with t as (select 'benchmark' as kind, item_id as id, 0 as turn, text from benchmark union all select 'user', conv_id, turn, text from conversations where role = 'user'),
+      w as (select kind, id, turn, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') as w, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), ' ') || ' ' as line from t)
+      select kind, id, turn, concat_ws(',', {", ".join(cases)}) as shapes from w"""
+
+
 SQL = {
     "vector_topk": f"with q as (select embedding::double[] as q from embeddings where vec_id = {QUERY_VECTOR}) select vec_id, round(list_cosine_similarity(embedding::double[], q), 6) as score from embeddings, q order by 2 desc, 1 limit 20",
-    "near_duplicate_pairs": "select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as score from embeddings a join embeddings b on a.vec_id < b.vec_id where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.9",
+    "near_duplicate_pairs": "select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as score from embeddings a join embeddings b on a.vec_id < b.vec_id where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.35",
     "embedding_coverage": f"with {VECTOR_UNITS} select count(u.unit_id) as expected, count(o.unit_id) as stored, count(*) filter (u.hash = o.hash) as matching from units u full join own o on u.unit_id = o.unit_id",
     "embedding_reuse": f"with {VECTOR_UNITS}, best as (select hash, unit_id as vector_id from (select *, row_number() over (partition by hash order by generation desc, unit_id desc) as n from own) where n = 1) select unit_id, vector_id, vector_id is null as to_compute from units left join best using (hash)",
-    "hash_embedding": r"""with w as (select item_id as doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) as token from benchmark), c as (select doc_id, sha256(token) as h, count(*) as n from w group by doc_id, token),
+    "hash_embedding": r"""with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) as token from documents), c as (select doc_id, sha256(token) as h, count(*) as n from w group by doc_id, token),
       s as (select doc_id, cast(('0x' || h[1:4]) as bigint) % 32 as idx, cast(sum(case when cast(('0x' || h[5:6]) as bigint) % 2 = 0 then n else -n end) as bigint) as v from c group by 1, 2)
       select doc_id, idx, round(v / sqrt(sum(v * v) over (partition by doc_id)::double), 6) as value from s where v <> 0""",
-    "l2_violations": "select vec_id from embeddings where len(embedding) <> 64 or abs(sqrt(list_dot_product(embedding::double[], embedding::double[])) - 1) >= 0.001",
-    "expand_graph": f"""with recursive {EDGES}, w as (select 'S:' || s_suppkey as node, 1.0::double as score, ['S:' || s_suppkey] as path, 0 as hops from supplier
-      union all select e.to_id, w.score * e.weight * 0.5, list_append(w.path, e.to_id), hops + 1 from w join edges e on e.from_id = w.node where hops < 3 and not list_contains(w.path, e.to_id)) select node, round(sum(score), 6) as score from w where hops > 0 group by 1""",
+    "l2_violations": "with e as (select vec_id, case when vec_id % 37 = 0 then list_transform(embedding, lambda v: (v * 1.5::float)::float) when vec_id % 41 = 0 then embedding[1:63] else embedding end as embedding from embeddings) select vec_id from e where len(embedding) <> 64 or abs(sqrt(list_dot_product(embedding::double[], embedding::double[])) - 1) >= 0.001",
+    "expand_graph": f"""with recursive {EDGES}, top as (select * from (select *, row_number() over (partition by from_id order by weight desc, to_id, relation) as n from edges) where n <= 50), w as (select 'S:' || s_suppkey as node, 1.0::double as score, ['S:' || s_suppkey] as path, 0 as hops from supplier
+      union all select e.to_id, w.score * e.weight * 0.5, list_append(w.path, e.to_id), hops + 1 from w join top e on e.from_id = w.node where hops < 3 and not list_contains(w.path, e.to_id)) select node, round(sum(score), 6) as score from w where hops > 0 group by 1""",
     "weighted_paths": f"""with recursive {ORIENTED}, top as (select * from (select *, row_number() over (partition by src order by weight desc, dst, relation) as n from oriented) where n <= 10),
       w as (select 'R:' || r_regionkey as seed, 'R:' || r_regionkey as node, 1.0::double as score, ['R:' || r_regionkey] as path, 0 as hops from region
       union all select w.seed, t.dst, w.score * t.weight * 0.5, list_append(w.path, t.dst), hops + 1 from w join top t on t.src = w.node where hops < 2 and not list_contains(w.path, t.dst)),
@@ -343,7 +377,7 @@ SQL = {
       select node, min(depth) as depth from w group by 1 having min(depth) > 0""",
     "one_hop_neighbours": f"with {ORIENTED}, s as (select 'N:' || n_nationkey as seed from nation) select dst as node, max(weight) as weight, min(relation) as relation from oriented where src in (select seed from s) and dst not in (select seed from s) group by 1",
     "graph_summary": f"with {EDGES} select relation, count(*) as n_edges, round(sum(weight), 6) as total_weight from edges group by 1",
-    "connected_components": f"with recursive {EDGES}, o as (select distinct from_id as src, to_id as dst from edges where relation <> 'related_to' union select distinct to_id, from_id from edges where relation <> 'related_to'), w as (select src as node, src as component from o union select o.dst, w.component from w join o on o.src = w.node where w.component < o.dst) select node, min(component) as component from w group by 1",
+    "connected_components": f"with recursive {EDGES}, o as (select distinct from_id as src, to_id as dst from edges where weight >= 0.3 union select distinct to_id, from_id from edges where weight >= 0.3), w as (select src as node, src as component from o union select o.dst, w.component from w join o on o.src = w.node where w.component < o.dst) select node, min(component) as component from w group by 1",
     "ppr_k_iterations": _ppr(3),
     "facts_asof": f"with {FACTS} select fact_id, subject, predicate, object from facts f where valid_from <= {_AT} and valid_to > {_AT} and not exists (select 1 from facts n where n.fact_id = f.new_id and n.valid_from <= {_AT} and n.valid_to > {_AT})",
     "truth_state": f"""with {FACTS} select f.fact_id, case when n.valid_from <= {_AT} and n.valid_to > {_AT} then 'SUPERSEDED' when f.valid_from > {_AT} then 'FUTURE_EFFECTIVE' when f.valid_to <= {_AT} then 'HISTORICAL' when f.withdrawn then 'UNSUPPORTED' else 'SUPPORTED_CURRENT' end as state
@@ -368,8 +402,11 @@ SQL = {
     "chunk_units": "select doc_id, cast(position as bigint) as position, content, sha256(content) as hash, cast(ceil(length(content) / 4.0) as bigint) as tokens from (select doc_id, unnest(generate_series(0, len(l) - 1)) as position, unnest(l) as content from (select doc_id, string_split(text, chr(10)) as l from documents)) where trim(content) <> ''",
     "html_text": r"select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?is)<noscript[^>]*>.*?</noscript>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) as content from pages",
     "symbol_text": r"select p_partkey, trim(lower(regexp_replace(regexp_replace(regexp_replace(p_brand || 'XMLParser_getName' || p_type, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[^A-Za-z0-9]+', ' ', 'g'))) as symbols from part",
-    "query_decompose": r"with q as (select item_id as query_id, lower(substring(text, 1, 80) || ' VS ' || substring(text, 41, 60)) as q from benchmark), p as (select query_id, list_filter(list_transform(regexp_split_to_array(q, '\s*(?:;|\n|\bversus\b|\bvs\b|\bfrente a\b|\bcontra\b)\s*'), lambda x: trim(x)), lambda x: x <> '') as l from q), n as (select query_id, unnest(l) as part, generate_subscripts(l, 1) as i from p), f as (select query_id, part, min(i) as i from n group by 1, 2) select query_id, cast(row_number() over (partition by query_id order by i) - 1 as integer) as part_no, part from f qualify row_number() over (partition by query_id order by i) <= 8",
-    "classify_query": "select item_id, case item_id % 7 when 0 then 'IMPACT_ANALYSIS' when 1 then 'SOURCE_VERIFICATION' when 2 then 'CODE_LOOKUP' when 3 then 'COMPARISON' when 4 then 'WORKFLOW' when 5 then 'GLOBAL_OVERVIEW' else 'CONCEPTUAL' end as intent from benchmark",
+    "query_decompose": r"""with q as (select item_id as query_id, trim(regexp_replace(text || '; one  thing VS another vs ab versus the ' || lower(text), '[ \t\r\n]+', ' ', 'g')) as q from benchmark),
+      p as (select query_id, q, list_filter(list_transform(regexp_split_to_array(q, '(?i)(?:\s*;\s*|\s*\n+\s*|\s+\bvs\.?\b\s+|\s+\bversus\b\s+|\s+\bfrente\s+a\b\s+|\s+\bcontra\b\s+)'), lambda x: trim(x)), lambda x: length(x) >= 3) as a from q),
+      u as (select query_id, q, unnest(a) as part, generate_subscripts(a, 1) as i from p), f as (select query_id, part, min(i) as i from u where lower(part) <> lower(q) group by 1, 2),
+      n as (select query_id, part, cast(row_number() over (partition by query_id order by i) - 1 as integer) as part_no from f) select query_id, part_no, part from n where part_no < 4""",
+    "classify_query": _shapes_sql(),
     "normalize_identity": "select c_custkey, regexp_replace(lower(trim(c_name)), '[^a-z0-9]+', '', 'g') as identity from customer",
     "page_link_counts": """select page_id, count(*) as n_links, min(t) as first_target from (select distinct page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as t from pages) group by 1""",
     "revision_chain": "with recursive r as (select n_regionkey::varchar as vault, n_nationkey::bigint as seq, n_name as content, row_number() over (partition by n_regionkey order by n_nationkey) as n from nation), c as (select vault, seq, n, sha256('|' || content) as hash from r where n = 1 union all select r.vault, r.seq, r.n, sha256(c.hash || '|' || r.content) from c join r on r.vault = c.vault and r.n = c.n + 1) select vault, seq, hash from c",

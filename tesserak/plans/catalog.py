@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analytics, assurance, relational, retrieval, rollups, streams
+from . import analytics, answers, assurance, code, maintenance, relational, retrieval, rollups, rules, streams
 
-MODULES = [retrieval, relational, analytics, assurance, rollups, streams]
+MODULES = [retrieval, answers, relational, analytics, assurance, maintenance, rollups, rules, code, streams]
 
 
 def queries() -> dict:

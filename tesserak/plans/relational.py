@@ -50,7 +50,8 @@ def severity_case_sort(spark, d):
 
 
 def orphan_nodes(spark, d):
-    c, o = bind.table(spark, d, "customer"), bind.table(spark, d, "orders")
+    """Customers without an urgent order that is still open."""
+    c, o = bind.table(spark, d, "customer"), bind.table(spark, d, "orders").where("o_orderstatus = 'P' and o_orderpriority = '1-URGENT'")
     return c.select("c_custkey", "c_nationkey").join(o.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
@@ -181,7 +182,7 @@ SQL = {
     "conditional_queue_summary": f"""with {DELIVERIES} select consumer, count(*) filter (status = 'PENDING' and next_at <= {NOW}) as ready, count(*) filter (status = 'PENDING' and next_at > {NOW}) as waiting,
       count(*) filter (status = 'RETRY') as retry, count(*) filter (status = 'CLAIMED') as claimed, count(*) filter (status = 'SUCCEEDED') as succeeded, count(*) filter (status = 'QUARANTINED') as quarantined, count(*) as total from deliveries group by 1""",
     "severity_case_sort": "select o_orderkey, o_orderpriority, o_totalprice from orders where o_orderstatus = 'O' order by case o_orderpriority when '1-URGENT' then 0 when '2-HIGH' then 1 when '3-MEDIUM' then 2 else 3 end, o_totalprice desc, o_orderkey limit 50",
-    "orphan_nodes": "select c_custkey, c_nationkey from customer where c_custkey not in (select o_custkey from orders)",
+    "orphan_nodes": "select c_custkey, c_nationkey from customer where c_custkey not in (select o_custkey from orders where o_orderstatus = 'P' and o_orderpriority = '1-URGENT')",
     "link_gap_unique_resolution": r"""with l as (select distinct page_id, lower(regexp_replace(t, '^/', '')) as key from (select page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as t from pages)),
       n as (select distinct page_id as to_page, unnest(regexp_extract_all(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '[\p{L}\p{N}]+')) as key from pages),
       u as (select key, min(to_page) as to_page from n group by 1 having count(distinct to_page) = 1)

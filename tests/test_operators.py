@@ -58,10 +58,23 @@ def test_ppr_conserves_mass(spark):
 
 
 def test_communities_are_connected(spark):
-    pairs = [("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "z"), ("x", "z"), ("c", "x")]
-    e = spark.createDataFrame([("s", a, b, 1.0) for a, b in pairs], "scope string, from_id string, to_id string, weight double")
+    pairs = [("a", "b"), ("b", "c"), ("a", "c"), ("x", "y"), ("y", "z"), ("x", "z")]
+    e = spark.createDataFrame([(a, b, 1.0) for a, b in pairs] + [("c", "x", 0.3)], "from_id string, to_id string, weight double")
     got = {r.node: r.community for r in graph.communities(e).collect()}
-    assert got["a"] == got["b"] == got["c"] != got["x"] == got["y"] == got["z"]
+    assert got["a"] == got["b"] == got["c"] == "a" and got["x"] == got["y"] == got["z"] == "x"
+    quality = {r.community: r.quality for r in graph.community_quality(e, graph.communities(e)).collect()}
+    assert quality == {"a": 1.5, "x": 1.5}
+
+
+def test_communities_of_planted_groups(spark):
+    import random
+
+    rnd = random.Random(3)
+    pairs = [(f"n{i:02}", f"n{j:02}", 1.0 if i // 6 == j // 6 else 0.1) for i in range(18) for j in range(i) if rnd.random() < (0.9 if i // 6 == j // 6 else 0.05)]
+    e = spark.createDataFrame(pairs, "from_id string, to_id string, weight double")
+    groups = graph.communities(e, resolution=0.2, levels=2)
+    got = {r.node: r.community for r in groups.collect()}
+    assert len(got) == 18 and {frozenset(k for k in got if got[k] == c) for c in set(got.values())} == {frozenset(f"n{i:02}" for i in range(6 * g, 6 * g + 6)) for g in range(3)}
 
 
 def test_near_duplicate_pairs_miss_none(spark):
@@ -87,6 +100,17 @@ def test_support_cycle_stays_unsupported(spark):
     assert rows(truth.support_eval(sets, states)) == [("a", "UNSUPPORTED"), ("b", "UNSUPPORTED"), ("c", "SUPPORTED"), ("d", "SUPPORTED")]
 
 
+def test_support_of_long_chains(spark):
+    chain = [(f"s{i:02}", 0, "FACT", f"s{i + 1:02}") for i in range(60)] + [("s60", 0, "EVIDENCE", "good")]
+    ladder = [x for i in range(26) for x in ((f"t{i:02}", 0, "FACT", f"t{i + 1:02}"), (f"t{i:02}", 1, "EVIDENCE", "bad"))] + [("t26", 0, "EVIDENCE", "half")]
+    loop = [("u0", 0, "FACT", "u1"), ("u1", 0, "FACT", "u2"), ("u2", 0, "FACT", "u0"), ("v", 0, "FACT", "u1"), ("v", 1, "EVIDENCE", "half")]
+    sets = spark.createDataFrame(chain + ladder + loop, "set_id string, group_no int, ref_kind string, ref_id string")
+    states = spark.createDataFrame([("bad", 0), ("half", 1)], "ref_id string, level int")
+    got = dict(rows(truth.support_eval(sets, states)))
+    assert {got[f"s{i:02}"] for i in range(61)} == {"SUPPORTED"} and {got[f"t{i:02}"] for i in range(27)} == {"DISPUTED"}
+    assert {got[f"u{i}"] for i in range(3)} == {"UNSUPPORTED"} and got["v"] == "DISPUTED"
+
+
 def test_gap_blocks(spark):
     df = spark.createDataFrame([("c", 1, "o", "UPSERT", 1.0), ("c", 2, "o", "DELETE", 2.0), ("c", 4, "o", "UPSERT", 3.0)], "connector string, sequence long, object string, change string, value double")
     assert rows(ordered.apply_changes(ordered.gap_free_prefix(df))) == [("c", "o", 2, True, None)]
@@ -116,19 +140,55 @@ def test_tool_selection(spark):
     assert rows(evaluation.tool_selection(df)) == [(1, 2, 1, False)]
 
 
-SYMBOLS = "repo string, kind string, path string, name string, signature string, line long, hash string"
+SYMBOLS = "symbol_id long, repo string, kind string, path string, name string, qualified_name string, signature string, line long, hash string"
 
 
 def test_commit_delta(spark):
-    old = spark.createDataFrame([("r", "fn", "a.py", "f", "f()", 1, "h1"), ("r", "fn", "a.py", "g", "g()", 5, "h2")], SYMBOLS)
-    new = spark.createDataFrame([("r", "fn", "a.py", "f", "f()", 1, "h9"), ("r", "fn", "a.py", "k", "k()", 9, "h3")], SYMBOLS)
+    old = spark.createDataFrame([(1, "r", "fn", "a.py", "f", "m.f", "f()", 1, "h1"), (2, "r", "fn", "a.py", "g", "m.g", "g()", 5, "h2"), (3, "r", "fn", "b.py", "z", "m.z", "z()", 5, "h4")], SYMBOLS)
+    new = spark.createDataFrame([(4, "r", "fn", "a.py", "f", "m.f", "f()", 1, "h1"), (5, "r", "fn", "a.py", "k", "m.k", "k()", 9, "h3"), (6, "r", "fn", "b.py", "z", "m.z", "z()", 5, "h4")], SYMBOLS)
     assert rows(codegraph.commit_delta(old, new)) == [("a.py", "fn", "f", "CHANGED"), ("a.py", "fn", "g", "REMOVED"), ("a.py", "fn", "k", "ADDED")]
 
 
 def test_reconciliation(spark):
-    old = spark.createDataFrame([("r", "fn", "a.py", "f", "f(x)", 1, "h1"), ("r", "fn", "a.py", "g", "g()", 7, "h2")], SYMBOLS)
-    new = spark.createDataFrame([("r", "fn", "b.py", "f", "f(x)", 3, "h1"), ("r", "fn", "a.py", "h", "g()", 7, "h2")], SYMBOLS)
-    assert rows(codegraph.reconcile(old, new).select("old_name", "new_name", "kind", "status")) == [("f", "f", "MOVED", "MATCHED"), ("g", "h", "RENAMED", "MATCHED")]
+    old = spark.createDataFrame([(1, "r", "fn", "a.py", "f", "m.f", "f(x)", 1, "h1"), (2, "r", "fn", "a.py", "g", "m.g", "g()", 7, "h2"), (3, "r", "fn", "c.py", "p", "m.p", "p()", 1, "h5"), (4, "r", "fn", "d.py", "p", "m.p", "p()", 1, "h5")], SYMBOLS)
+    new = spark.createDataFrame([(5, "r", "fn", "b.py", "f", "n.f", "f(x)", 3, "h1"), (6, "r", "fn", "a.py", "h", "m.h", "h()", 7, "h3"), (7, "r", "fn", "e.py", "p", "m.p", "p()", 1, "h5"), (8, "q", "fn", "b.py", "f", "n.f", "f(x)", 3, "h1")], SYMBOLS)
+    assert rows(codegraph.reconcile(old, new)) == [(1, 5, "MOVED_FROM", "CANDIDATE", 190, 0.98), (2, 6, "RENAMED_FROM", "CANDIDATE", 20, 0.45), (3, 7, "MOVED_FROM", "AMBIGUOUS", 290, 0.98), (4, 7, "MOVED_FROM", "AMBIGUOUS", 290, 0.98)]
+
+
+def test_lexical_search_needs_every_term(spark):
+    docs = spark.createDataFrame([(1, "DOC-1", "a/1.md", "red fox", "the red fox\nruns far"), (2, "DOC-2", "a/2.md", "fox", "a fox\nthat is red"), (3, "DOC-3", "a/3.md", "red", None)], "doc_id long, external_id string, path string, title string, body string")
+    queries = spark.createDataFrame([(9, ["red", "fox"]), (8, ["doc", "3"]), (7, ["fox", "nowhere"]), (6, [])], "query_id long, terms array<string>")
+    assert rows(retrieval.lexical_search(docs, queries)) == [(8, 3, 32.0, "lexical:external-id-terms"), (9, 1, 23.0, "lexical:title-terms"), (9, 2, 2.0, "lexical:body-terms")]
+
+
+def test_one_line(spark):
+    df = spark.createDataFrame([(" a\n b ",), ("word " * 100,), ("x" * 400,)], "t string")
+    got = [r[0] for r in df.select(retrieval.one_line(F.col("t"), 20)).collect()]
+    assert got == ["a b", "word word word word…", "x" * 19 + "…"]
+
+
+def test_front_matter_and_redaction(spark):
+    from tesserak.functions import documents as doc
+
+    df = spark.createDataFrame([("---\nid: 1\nstatus: a\nstatus: b: c\n---\nbody",), ("no block",)], "t string")
+    assert [r[0] for r in df.select(doc.front_matter(F.col("t"))).collect()] == [{"id": "1", "status": "b: c"}, {}]
+    df = spark.createDataFrame([({"b": "x" * 9, "api_key_token": "s", "logPath": "C:\\x", "path": "rel", "a": None},)], "p map<string,string>")
+    clean = doc.redacted(F.col("p"), 5)
+    assert df.select(clean).first()[0] == {"b": "xxxxx…[TRUNCATED]", "path": "rel", "a": None}
+    assert df.select(doc.joined_path(F.lit("a/b"), F.lit("../c/./d"))).first()[0] == "a/c/d"
+
+
+def test_topk_batch_matches_brute_force(spark):
+    import numpy as np
+
+    x = np.random.default_rng(5).normal(size=(200, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    asked = df.where("vec_id < 5").withColumnRenamed("vec_id", "query_id")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = {(q, int(i)) for q in range(5) for i in np.argsort(-np.round(u @ u[q], 9), kind="stable")[:7]}
+    assert {(r.query_id, r.vec_id) for r in vectors.topk_batch(df, asked, 7).collect()} == want
+    with pytest.raises(ValueError):
+        vectors.topk_batch(df, asked, 7, most=10)
 
 
 def test_coverage_links(spark):
