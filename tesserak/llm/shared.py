@@ -14,10 +14,12 @@ def shared_dir(spark: SparkSession) -> str:
 
     It is what the cluster names in ``spark.checkpoint.dir``.  Only where that is
     unset (a local session, as in tests) a temporary folder is chosen, once per
-    session.
+    session; a session on a cluster is refused, as its machines share no such folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
         named = "file://" + tempfile.mkdtemp(prefix="tesserak-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
