@@ -26,8 +26,8 @@ def apply_changes(applied: DataFrame) -> DataFrame:
 
 
 def claimable(deliveries: DataFrame, now: Column) -> DataFrame:
-    """Deliveries that are due and whose parent event, if it has a delivery to the
-    same consumer, succeeded there."""
+    """Deliveries that are due and whose parent event isn't in the way: it is none,
+    isn't known, or its delivery to the same consumer succeeded."""
     due = (F.col("status").isin("PENDING", "RETRY") & (F.col("next_at") <= now)) | ((F.col("status") == "CLAIMED") & (F.col("next_at") <= now))
     parent = deliveries.select(F.col("event_id").alias("parent_id"), F.col("consumer").alias("_consumer"), F.col("status").alias("_status"))
     mine = deliveries.where(due).join(parent, "parent_id", "left")

@@ -214,8 +214,19 @@ def score_observation(spark, d):
     return _observations(spark, d)
 
 
-#: Configurations that are run: name and channels.
-CONFIGURATIONS = {"exact+lexical": ["exact", "lexical"], "lexical": ["lexical"], "vector-only": ["vector"], "lexical+vector": ["lexical", "vector"], "lexical+graph": ["lexical", "graph"], "full-hybrid-rrf": ["exact", "lexical", "vector", "graph", "raw", "context-pack"]}
+#: Configurations that are run, with their channels.
+CONFIGURATIONS = {
+    "context-pack-only": ["context-pack"],
+    "exact+lexical": ["exact", "lexical"],
+    "vector-only": ["vector"],
+    "graph-only": ["graph"],
+    "lexical+vector": ["lexical", "vector"],
+    "lexical+graph": ["lexical", "graph"],
+    "vector+graph": ["vector", "graph"],
+    "context-pack+lexical+graph": ["context-pack", "lexical", "graph"],
+    "full-hybrid-rrf": ["context-pack", "exact", "lexical", "vector", "graph"],
+    "lexical+vector+graph": ["lexical", "vector", "graph"],
+}
 
 
 def _run_scores(spark, d):
@@ -238,7 +249,7 @@ def aggregate_run(spark, d):
 
 
 def select_default(spark, d):
-    runs = aggregate_run(spark, d).select("configuration", F.col("configuration").contains("vector").alias("uses_vectors"), "mrr", "mean_recall")
+    runs = aggregate_run(spark, d).select("configuration", F.col("configuration").isin([n for n, c in CONFIGURATIONS.items() if "vector" in c]).alias("uses_vectors"), "mrr", "mean_recall")
     return evaluation.select_default(runs)
 
 
@@ -397,7 +408,7 @@ SQL = {
     "score_observation": f"""with {SCORES}, o as (select s.query_id, n_gold = 0 as expect_no_answer, case when n_gold = 0 then 1.0 else recall end as recall, rr, ndcg, (s.query_id in (select query_id from ranked where rank <= 10)) <> (n_gold = 0) as no_answer_right from scores s join gold g using (query_id))
       select query_id, expect_no_answer, recall, rr, ndcg, no_answer_right, case when expect_no_answer then no_answer_right else recall > 0 end as passed from o""",
     "aggregate_run": f"with {RUN} select * from agg",
-    "select_default": f"""with {RUN}, r as (select configuration, contains(configuration, 'vector') as v, mrr, mean_recall from agg), p as (select max(mrr) as bm, max(mean_recall) as br from r where not v),
+    "select_default": f"""with {RUN}, r as (select configuration, configuration in (select configuration from uses where channel = 'vector') as v, mrr, mean_recall from agg), p as (select max(mrr) as bm, max(mean_recall) as br from r where not v),
       g as (select r.*, not v or (mrr >= bm + 0.02 and mean_recall >= br) as eligible from r, p) select configuration, mrr, mean_recall, eligible, eligible and row_number() over (partition by eligible order by mrr desc, mean_recall desc, configuration) = 1 as selected from g""",
     "chunk_units": "select doc_id, cast(position as bigint) as position, content, sha256(content) as hash, cast(ceil(length(content) / 4.0) as bigint) as tokens from (select doc_id, unnest(generate_series(0, len(l) - 1)) as position, unnest(l) as content from (select doc_id, string_split(text, chr(10)) as l from documents)) where trim(content) <> ''",
     "html_text": r"select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?is)<noscript[^>]*>.*?</noscript>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) as content from pages",

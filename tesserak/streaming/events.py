@@ -20,6 +20,8 @@ from ..sources import bind
 
 def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
     return f"{named.rstrip('/') if named else 'file://' + tempfile.gettempdir()}/stream-{uuid.uuid4().hex}"
 
 

@@ -66,17 +66,6 @@ def test_communities_are_connected(spark):
     assert quality == {"a": 1.5, "x": 1.5}
 
 
-def test_communities_of_planted_groups(spark):
-    import random
-
-    rnd = random.Random(3)
-    pairs = [(f"n{i:02}", f"n{j:02}", 1.0 if i // 6 == j // 6 else 0.1) for i in range(18) for j in range(i) if rnd.random() < (0.9 if i // 6 == j // 6 else 0.05)]
-    e = spark.createDataFrame(pairs, "from_id string, to_id string, weight double")
-    groups = graph.communities(e, resolution=0.2, levels=2)
-    got = {r.node: r.community for r in groups.collect()}
-    assert len(got) == 18 and {frozenset(k for k in got if got[k] == c) for c in set(got.values())} == {frozenset(f"n{i:02}" for i in range(6 * g, 6 * g + 6)) for g in range(3)}
-
-
 def test_near_duplicate_pairs_miss_none(spark):
     import numpy as np
 
