@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import filters, retrieval, vectors
+from ..operators.graph import cut
 from ..sources import bind
 
 SCOPES = [("src0", None), ("src1", "src1/en"), ("src2", "src2/fr"), ("src3", None), ("src4", "src4/de"), ("src5", None), ("src6", None), ("src7", "src7/en"), ("src8", None), ("src9", None), ("src10", None)]
@@ -64,8 +65,9 @@ def vector_channel(spark, d):
 
 def _channels(spark, d):
     docs = governed(spark, d)
-    exact = retrieval.ranked(exact_lookup(spark, d), ["match_rank", "doc_id"], "exact")
-    found = lexical_search(spark, d)
+    # both results are small and used by several channels, so they are written once
+    exact = cut(retrieval.ranked(exact_lookup(spark, d), ["match_rank", "doc_id"], "exact"))
+    found = cut(lexical_search(spark, d))
     lexical = retrieval.ranked(found, [F.desc("raw_score"), "doc_id"], "lexical")
     layered = found.join(docs.select("doc_id", "layer"), "doc_id")
     raw = retrieval.ranked(layered.where("layer in ('SOURCE', 'RESOURCE')"), [F.desc("raw_score"), "doc_id"], "raw")
