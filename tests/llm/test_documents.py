@@ -330,6 +330,66 @@ def test_unusual_texts(spark):
     assert {r.doc_id for r in got if not r.usual} == {1000, 1001, 1002, 2000} and len(got) == 405
 
 
+def test_toxicity_scores_are_sums_over_pairs():
+    rng = np.random.default_rng(2)
+    model = toxicity.Model(-0.3, rng.normal(size=16), rng.normal(size=(16, 3)), (rng.random(16) < 0.7).astype(float))
+    rows = [[1, 5, 9], [], [2], list(range(16))]
+    for row, got in zip(rows, model.scores(rows), strict=True):
+        x = model.scale[row]
+        total = model.bias + float(model.weight[row] @ x)
+        for i in range(len(row)):
+            for j in range(i):
+                total += float(model.factor[row[i]] @ model.factor[row[j]]) * x[i] * x[j]
+        assert got == pytest.approx(1 / (1 + math.exp(-total)))
+
+
+def slow_packer(sizes, limits):
+    """The dot-product rule over (key, size), all waiting at once: (key, start, length, sequence, offset)."""
+    waiting, out, sequence = [(k, 0, n) for k, n in sizes], [], 0
+    while waiting:
+        left = sum(n for _, _, n in waiting)
+        room = tokens = min(limits.tokens, 1 << (left.bit_length() - 1))
+        segments, loss = 0, limits.loss
+        while waiting and room and segments < limits.segments:
+            dots = [n * room / limits.tokens**2 + n * loss / limits.loss**2 + (limits.segments - segments) / limits.segments**2 for _, _, n in waiting]
+            fits = [n <= room and n <= loss for _, _, n in waiting]
+            i = max((j for j in range(len(waiting)) if fits[j] or not any(fits)), key=lambda j: (dots[j], -j))
+            k, at, n = waiting[i]
+            take = min(n, room, loss)
+            out.append((k, at, take, sequence, tokens - room))
+            room, loss, segments = room - take, loss - take, segments + 1
+            if take == n:
+                waiting[i] = waiting[-1]
+                waiting.pop()
+            else:
+                waiting[i] = (k, at + take, n - take)
+        sequence += 1
+    return out
+
+
+def test_packing_follows_the_dot_product_rule():
+    rnd, limits = random.Random(4), packing.Limits(tokens=64, segments=6, loss=64, waiting=200)
+    sizes = [(i, rnd.randint(1, 63)) for i in range(120)]
+    packer = packing.Packer(limits, 0)
+    for k, n in sizes:
+        assert not list(packer.add(k, b"\0" * 4 * n, None))
+    got = [(k, start, length, sequence, offset) for k, start, length, _, _, sequence, offset, _, _ in packer.rest()]
+    assert got == slow_packer(sizes, limits)
+
+
+def test_clashing_columns_and_odd_ids(spark):
+    df = spark.createDataFrame([(None, "x y"), (1, "x y"), (1, "x y"), (2, None)], "doc_id long, text string")
+    for c in ("labels", "score", "predicted", "lang_pred", "usual", "ids", "block", "sequence_id", "n_words", "length"):
+        df = df.withColumn(c, F.lit("clash"))
+    assert sorted(r.n_words for r in licenses.scan(df).collect()) == [0, 2, 2, 2]
+    assert packing.pack_texts(df, BPE_FILE).where("start = 0").count() == 4
+    assert bpe.encode(df, BPE_FILE).count() == 4
+    model = toxicity.learn([], np.zeros(0))
+    assert toxicity.score(df, model).where("predicted = 0").count() == 4
+    assert toxicity.score(df.where("false"), model).count() == 0
+    assert packing.pack_examples(spark.createDataFrame([], "doc_id long, ids array<int>, bears array<boolean>")).count() == 0
+
+
 def test_toxicity_learns_pairs():
     rnd = random.Random(4)
     rows, labels = [], []
