@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -89,3 +89,24 @@ def part_pairs(df: DataFrame) -> DataFrame:
     """
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
     return df.select("*", other).withColumn("left", F.least("part", "other")).withColumn("right", F.greatest("part", "other")).drop("other")
+
+
+def numbered(rows: DataFrame, scope: str, order: list[str], name: str, total: str = "of") -> DataFrame:
+    """Add ``name``, each row's place from 0 within its ``scope``, and ``total``, the
+    scope's number of rows.
+
+    ``rows`` is best a written table, as it is counted and sampled first.  A range
+    sort deals a scope of any size to tasks; a row's place is its running number in
+    its task, moved by what the scope has in tasks before.  Rows that are equal in
+    ``order`` (nulls first) are dealt out by the partition they come from.
+    """
+    n, usual = rows.count(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(min(usual, -(-n // 4096)), -(-n // 2_000_000), 1)
+    by = [scope, *order, "_origin"]
+    placed = rows.withColumn("_origin", F.spark_partition_id()).repartitionByRange(tasks, *by).sortWithinPartitions(*by)
+    placed = cut(placed.drop("_origin").withColumn("_task", F.spark_partition_id()).withColumn("_no", F.monotonically_increasing_id()), "sorted")
+    held = placed.groupBy(scope, "_task").agg(F.min("_no").alias("_first"), F.count("*").alias("_held"))
+    whole = Window.partitionBy(scope)
+    before = F.coalesce(F.sum("_held").over(whole.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    moves = held.select(scope, "_task", (before - F.col("_first")).alias("_move"), F.sum("_held").over(whole).alias(total))
+    return placed.join(moves, [scope, "_task"]).withColumn(name, F.col("_no") + F.col("_move")).drop("_task", "_no", "_move")
