@@ -62,14 +62,14 @@ def sketches(text: np.ndarray, hashed: np.ndarray, n: int, t: int) -> np.ndarray
     return out.reshape(n, t)
 
 
-_SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, sketch binary"
+_SKETCH = "doc_id long, same long, n_shingles long, set_a long, set_b long, sketch binary"
 
 
 def sketch(docs: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, sketch) of rows (doc_id, text).
+    """(doc_id, same, n_shingles, set_a, set_b, sketch) of rows (doc_id, same, text).
 
     (set_a, set_b) is a 128-bit hash of the shingle set; ``sketch`` holds one byte
-    pair per coordinate.
+    pair per coordinate; ``same`` tells the texts of one doc_id apart.
     """
     t = s.bands * s.rows
 
@@ -85,35 +85,37 @@ def sketch(docs: DataFrame, s: Settings) -> DataFrame:
                     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashed ^ _SEEDS[-seed]))))
                     digest.append(mix(sums[ends[1:]] - sums[ends[:-1]]).view(np.int64))
                 coordinates = mix(sketches(text, hashed, n, t)).astype(np.uint16)
-                yield pa.record_batch([batch.column("doc_id").slice(at, n), pa.array(size.astype(np.int64)), *map(pa.array, digest), pa.array([x.tobytes() for x in coordinates], pa.binary())], ["doc_id", "n_shingles", "set_a", "set_b", "sketch"])
+                yield pa.record_batch([batch.column("doc_id").slice(at, n), batch.column("same").slice(at, n), pa.array(size.astype(np.int64)), *map(pa.array, digest), pa.array([x.tobytes() for x in coordinates], pa.binary())], ["doc_id", "same", "n_shingles", "set_a", "set_b", "sketch"])
 
     return docs.mapInArrow(run, _SKETCH)
 
 
 def _bands(rows: DataFrame, s: Settings) -> DataFrame:
-    """One row (band, doc_id, ...) per band of each sketch."""
+    """One row (band, node) per band of each sketch."""
     width = 2 * s.rows
     keys = F.transform(F.sequence(F.lit(0), F.lit(s.bands - 1)), lambda i: F.xxhash64(i, F.substring("sketch", i * width + 1, F.lit(width))))
-    return rows.select(F.explode(keys).alias("band"), "doc_id")
+    return rows.select(F.explode(keys).alias("band"), "node")
 
 
-def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """The texts of some documents, written once for the joins that need them.
+def _texts(nodes: DataFrame, heads: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text): a text of each node, written once for the joins that need it.
 
-    The ids grow with the corpus, so both sides are shuffled at every size.
+    The nodes grow with the corpus, so both sides are shuffled at every size; a row
+    that repeats is taken once.
     """
-    return cut(docs.join(ids.hint("merge"), "doc_id", "left_semi"), "texts")
+    wanted = heads.join(nodes, "node").select("doc_id", "same", "node")
+    return cut(docs.join(wanted.hint("merge"), ["doc_id", "same"]).dropDuplicates(["doc_id", "same"]).select("node", "text"), "texts")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
 def likely(pairs: DataFrame, heads: DataFrame, s: Settings) -> DataFrame:
     """The pairs (a, b) whose sizes and sketches allow the wanted similarity."""
     both = pairs
     for side in ("a", "b"):
-        both = both.join(heads.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
+        both = both.join(heads.select(F.col("node").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
 
     def run(batches):
         for batch in batches:
@@ -127,9 +129,8 @@ def likely(pairs: DataFrame, heads: DataFrame, s: Settings) -> DataFrame:
 
 def verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
-    text = texts.select("doc_id", "text")
-    left = pairs.join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(text.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches):
         for batch in batches:
@@ -158,16 +159,43 @@ def _similar(left: pa.Array, right: pa.Array, s: Settings) -> pa.Array:
 
 
 def _sets(texts: DataFrame, s: Settings) -> DataFrame:
-    """(doc_id, shingles): the full set of each document, as 64-bit hashes."""
+    """(node, shingles): the full set of each text, as 64-bit hashes in order."""
 
     def run(batches):
         for batch in batches:
             for at, to, words in word_chunks(batch.column("text"), s.lower):
                 text, hashed = words.shingle_sets(s.words)
                 ends = np.searchsorted(text, np.arange(to - at + 1))
-                yield pa.record_batch([batch.column("doc_id").slice(at, to - at), pa.array([hashed[ends[i] : ends[i + 1]].tobytes() for i in range(to - at)], pa.binary())], ["doc_id", "shingles"])
+                yield pa.record_batch([batch.column("node").slice(at, to - at), pa.array([hashed[ends[i] : ends[i + 1]].tobytes() for i in range(to - at)], pa.binary())], ["node", "shingles"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles binary")
+
+
+#: Elements of the sets of a group that are compared at once.
+BLOCK = 1 << 16
+
+
+def shared_counts(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """How many elements sets ``rows`` and ``columns`` share, each in ascending order.
+
+    The hash space is gone through in ranges of about BLOCK elements, each a small
+    dense product, so memory doesn't grow with the sets.
+    """
+    blocks = max(1, -(-sum(map(len, sets)) // BLOCK))
+    bounds = np.array([(i << 64) // blocks for i in range(1, blocks)], dtype=np.uint64)
+    ends = np.array([[0, *np.searchsorted(x, bounds), len(x)] for x in sets], dtype=np.int64)
+    both = np.zeros((len(rows), len(columns)), dtype=np.float32)
+    for i in range(blocks):
+        elements = np.concatenate([x[e[i] : e[i + 1]] for x, e in zip(sets, ends, strict=True)])
+        if not len(elements):
+            continue
+        row = np.repeat(np.arange(len(sets)), ends[:, i + 1] - ends[:, i])
+        _, column, times = np.unique(elements, return_inverse=True, return_counts=True)
+        many = times[column] > 1
+        has = np.zeros((len(sets), int((times > 1).sum())), dtype=np.float32)
+        has[row[many], (np.cumsum(times > 1) - 1)[column[many]]] = 1
+        both += has[rows] @ has[columns].T
+    return both
 
 
 def _group_links(s: Settings):
@@ -175,15 +203,9 @@ def _group_links(s: Settings):
 
     def run(key, table):
         left, right = key[1].as_py(), key[2].as_py()
-        ids, part, met = (table.column(c).to_numpy() for c in ("doc_id", "part", "component"))
+        ids, part, met = (table.column(c).to_numpy() for c in ("node", "part", "component"))
         sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("shingles").to_pylist()]
         size = np.array([len(x) for x in sets])
-        kinds, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(len(sets)), size)
-        number = np.cumsum(times > 1) - 1
-        many = times[column] > 1
-        has = np.zeros((len(sets), int((times > 1).sum())), dtype=np.float32)
-        has[row[many], number[column[many]]] = 1
         root = {int(c): int(c) for c in met}
 
         def find(x: int) -> int:
@@ -194,9 +216,9 @@ def _group_links(s: Settings):
         out = []
         columns = np.flatnonzero(part == right)
         rows = np.flatnonzero(part == left)
+        shared = shared_counts(sets, rows, columns)
         for at in range(0, len(rows), 128):
-            some = rows[at : at + 128]
-            both = has[some] @ has[columns].T
+            some, both = rows[at : at + 128], shared[at : at + 128]
             near = (100 * both >= s.share * (size[some, None] + size[columns] - both)) & (both > 0) & (met[some, None] != met[columns])
             for i, j in zip(*np.nonzero(near), strict=True):
                 a, b = some[i], columns[j]
@@ -214,7 +236,7 @@ def _group_pairs(s: Settings):
     need = s.agree * s.bands * s.rows
 
     def run(key, table):
-        ids = table.column("doc_id").to_numpy()
+        ids = table.column("node").to_numpy()
         size, met = table.column("n_shingles").to_numpy(), table.column("component").to_numpy()
         rows = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint16).reshape(len(ids), -1)
         a_out, b_out = [], []
@@ -247,42 +269,45 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
        one task, which returns a forest of links and no pairs.
 
     A text that is null or has no words is empty: 0 shingles and its own
-    component.  Rows with the same doc_id are one document to links; each row is
-    returned.  A null doc_id has null component and is kept.  No rows: none.
+    component.  Rows with the same doc_id are one document to links, with all their
+    texts; each row is returned.  A null doc_id has null component and is kept.  No rows: none.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("same"), "text")
     rows = cut(sketch(docs, s), "sketches")
     real = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = cut(real.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last"), "classes")
     again = real.select("doc_id", "set_a", "set_b").join(classes, ["set_a", "set_b"])
-    copies = cut(again.where("doc_id > first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct(), "copies")
-    heads = cut(real.join(copies.select(F.col("b").alias("doc_id")), "doc_id", "left_anti").dropDuplicates(["doc_id", "set_a", "set_b"]).select("doc_id", "n_shingles", "sketch"), "heads")
+    copies = cut(again.where("doc_id > first").select("first", "doc_id", "set_a", "set_b").distinct(), "copies")
+    # a node is one class of equal sets, whatever else its ids stand with
+    heads = real.join(copies.drop("first"), ["doc_id", "set_a", "set_b"], "left_anti").dropDuplicates(["doc_id", "set_a", "set_b"])
+    heads = cut(heads.select(F.monotonically_increasing_id().alias("node"), "doc_id", "same", "n_shingles", "sketch"), "heads")
 
     bands = _bands(heads, s)
-    shared = cut(bands.groupBy("band").agg(F.min("doc_id").alias("head"), F.count("*").alias("held")).where("held > 1"), "bands")
+    shared = cut(bands.groupBy("band").agg(F.min("node").alias("head"), F.count("*").alias("held")).where("held > 1"), "bands")
     members = cut(bands.join(shared, "band"), "members")
-    stars = cut(members.where("doc_id > head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
+    stars = cut(members.where("node > head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     near = cut(likely(stars, heads, s), "near")
-    links = cut(verified(near, _texts(_ends(near), docs), s), "links")
-    labels = components(links)
+    links = cut(verified(near, _texts(_ends(near), heads, docs), s), "links")
+    labels = components(links).withColumnRenamed("node", "named")
 
-    named = members.where("held > 2").join(labels, members.doc_id == labels.node, "left").select("band", "doc_id", "held", F.coalesce("component", "doc_id").alias("component"))
+    named = members.where("held > 2").join(labels, members.node == labels.named, "left").select("band", "node", "held", F.coalesce("component", "node").alias("component"))
     split = cut(named.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band"), "split")
     left = cut(named.join(split, "band"), "open")
-    listed = left.where(F.col("held") <= s.pairs).join(heads, "doc_id").groupBy("band").applyInArrow(_group_pairs(s), "a long, b long")
+    listed = left.where(F.col("held") <= s.pairs).join(heads, "node").groupBy("band").applyInArrow(_group_pairs(s), "a long, b long")
     more = cut(listed.distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
 
     large = left.where(F.col("held") > s.pairs)
-    ties = large.groupBy("doc_id").agg(F.min("band").alias("a"))
-    one = components(cut(large.join(ties, "doc_id").select("a", F.col("band").alias("b")).distinct(), "ties"))
-    large = large.join(one, large.band == one.node, "left").select(F.coalesce(one.component, F.col("band")).alias("band"), "doc_id", large.component.alias("component")).distinct()
-    large = part_pairs(in_bounded_groups(cut(large, "large"), "band", "doc_id", s.group))
-    texts = _texts(_ends(more).union(left.where(F.col("held") > s.pairs).select("doc_id")).distinct(), docs)
-    sets = cut(_sets(texts.join(large.select("doc_id").distinct(), "doc_id", "left_semi"), s), "sets")
-    dense = large.join(sets, "doc_id").groupBy("band", "left", "right").applyInArrow(_group_links(s), "a long, b long")
-    links = links.unionByName(cut(dense, "dense"))
-    found = links.unionByName(verified(more, texts, s)).unionByName(copies)
-    labels = components(found)
+    ties = large.groupBy("node").agg(F.min("band").alias("a"))
+    one = components(cut(large.join(ties, "node").select("a", F.col("band").alias("b")).distinct(), "ties")).withColumnsRenamed({"node": "tied", "component": "group"})
+    large = large.join(one, large.band == one.tied, "left").select(F.coalesce("group", "band").alias("band"), "node", "component").distinct()
+    large = part_pairs(in_bounded_groups(cut(large, "large"), "band", "node", s.group))
+    texts = _texts(_ends(more).union(left.where(F.col("held") > s.pairs).select("node")).distinct(), heads, docs)
+    sets = cut(_sets(texts.join(large.select("node").distinct(), "node", "left_semi"), s), "sets")
+    dense = large.join(sets, "node").groupBy("band", "left", "right").applyInArrow(_group_links(s), "a long, b long")
+    found = links.unionByName(cut(dense, "dense")).unionByName(verified(more, texts, s))
+    of = lambda side: heads.select(F.col("node").alias(side), F.col("doc_id").alias("doc_" + side))
+    found = found.join(of("a"), "a").join(of("b"), "b").select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
+    labels = components(found.unionByName(copies.select(F.col("first").alias("a"), F.col("doc_id").alias("b"))))
     out = rows.select("doc_id", "n_shingles").join(labels, rows.doc_id == labels.node, "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
