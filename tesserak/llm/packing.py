@@ -20,7 +20,11 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Limits:
-    """What one sequence holds at most, and how many examples wait for a place."""
+    """What one sequence holds at most, and how many examples wait for a place.
+
+    A sequence that ends on its segments is padded, so their limit belongs to data
+    that needs one: instruction data, as pack_examples() takes it.
+    """
 
     tokens: int = 2048
     segments: int = 512
@@ -127,7 +131,11 @@ def _packed(examples: Iterator[tuple], limits: Limits, with_ids: bool) -> Iterat
         yield out()
 
 
-def pack_texts(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", end_id: int = 1, limits: Limits = Limits(), with_ids: bool = False) -> DataFrame:
+#: For plain texts: every text has a token, so segments never end a sequence.
+PLAIN = Limits(segments=Limits.tokens)
+
+
+def pack_texts(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", end_id: int = 1, limits: Limits = PLAIN, with_ids: bool = False) -> DataFrame:
     """Encode whole texts, add ``end_id`` to each and pack them: one row per piece.
 
     Each task encodes and packs its own rows, so nothing is shuffled and a lost
