@@ -34,7 +34,8 @@ class Settings:
     ``copies`` of a boundary vector within ``boundary`` times the nearest distance,
     whose centroids lie at least ``apart`` times that distance from each other;
     ``recall`` that pruning is calibrated for, on ``probes`` vectors of the sample;
-    ``degree`` of the graph; ``group``: rows of a part."""
+    ``degree`` of the graph; ``group``: rows of a part; ``per_task``: queries that one
+    task looks the lists of up for."""
 
     nearest: int = 10
     sample: int = 32_000
@@ -47,6 +48,7 @@ class Settings:
     probes: int = 192
     degree: int = 24
     group: int = 1024
+    per_task: int = 16
     seed: int = 5
 
 
@@ -72,7 +74,8 @@ class Graph:
 
     def __init__(self, center: np.ndarray, degree: int):
         self.center = center
-        near = np.argsort(_distances(center, center), axis=1, kind="stable")[:, 1 : degree + 1]
+        blocks = (_distances(center[i : i + 512], center) for i in range(0, len(center), 512))
+        near = np.concatenate([np.argsort(b, axis=1, kind="stable")[:, 1 : degree + 1] for b in blocks])
         links: list[set] = [set(map(int, row)) for row in near]
         for i, row in enumerate(near):
             for j in row:
@@ -234,8 +237,9 @@ def search(vectors: DataFrame, queries: DataFrame, s: Settings = Settings()) ->
     Every vector but the query's own id is a candidate; equal distances go to the
     smaller vec_id; fewer candidates than wanted give what there is.  Vectors that
     are null, empty, zero or hold null or non-finite components, vectors with a
-    null id, and those of another length than most take no part.  Rows with one
-    vec_id are one vector.
+    null id, and those of another length than most take no part.  Of several rows with
+    one vec_id the least such vector counts, by its components in order, as a stored
+    row and as a query.
     """
     spark = vectors.sparkSession
 
@@ -243,7 +247,7 @@ def search(vectors: DataFrame, queries: DataFrame, s: Settings = Settings()) ->
         x = F.col("embedding").cast("array<double>")
         rows = df.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("embedding")).where("vec_id is not null")
         fine = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
-        return rows.where(fine).dropDuplicates(["vec_id"])
+        return rows.where(fine).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
     stored = good(vectors)
     sizes = stored.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
@@ -285,8 +289,9 @@ def search(vectors: DataFrame, queries: DataFrame, s: Settings = Settings()) ->
 
     parts = cut(in_bounded_groups(posted.drop("home"), "list", "vec_id", s.group), "lists")
     shape = cut(parts.select("list", "part").distinct(), "shape")
-    # the queries are few and their search is long: spread over tasks at any size
-    spread = asked.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # a search is long: a task gets few queries, and more tasks come with more of them
+    asked = cut(asked, "asked")
+    spread = asked.repartition(max(1, -(-asked.count() // s.per_task)))
     wanted = spread.mapInArrow(ask, "list long, query_id long, embedding array<double>").join(shape, "list")
     near = wanted.groupBy("list", "part").cogroup(parts.groupBy("list", "part")).applyInArrow(_scan(s), "query_id long, vec_id long, score double")
     once = near.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
