@@ -15,7 +15,6 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
@@ -118,10 +117,10 @@ class Plan:
     capacity: int
 
     def shard(self, digest: Column) -> Column:
-        after = reduce(lambda a, b: a + b, ((digest >= b).cast("int") for b in self.begins), F.lit(len(self.alone)))
-        for i, own in enumerate(self.alone):
-            after = F.when(digest == own, i).otherwise(after)
-        return after.cast("int")
+        every = lambda values: F.array(*map(F.lit, values)).cast("array<string>")
+        before = F.size(F.filter(every(self.begins), lambda b: digest >= b))
+        own = F.array_position(every(self.alone), digest)
+        return F.when(own > 0, own - 1).otherwise(len(self.alone) + before).cast("int")
 
 
 def plan(groups: DataFrame, shards: int) -> Plan:
