@@ -536,6 +536,68 @@ def test_pipeline_keeps_and_drops(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen["packing"])
 
 
+def test_pipeline_stages_keep_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(8)
+    words = [f"{a}{b}" for a in ("wor", "thi", "sen", "lam", "pol") for b in ("ka", "de", "mi", "tor", "sal", "ren")]
+    body = [" ".join(rnd.choice(words) for _ in range(70)) for _ in range(80)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(body)] + [(None, body[3], "en", "s", 1), (None, None, None, None, None), (90, "", "en", "s", 0), (4, body[4], "en", "s", 1)]
+    spark.createDataFrame([(i, 1, 0) for i in range(80)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    names = ["score", "_score", "predicted", "usual", "distance", "lang_pred", "gone", "kept", "node", "component_id", "same", "starts", "n_removed", "key"]
+    for i, c in enumerate(names):
+        docs = docs.withColumn(c, F.lit(7.5 + i))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, str(tmp_path))
+        assert got.columns == docs.columns, name
+        assert got.select(*names).distinct().count() == 1 and [got.first()[c] for c in names] == [7.5 + i for i in range(len(names))], name
+        assert got.count() > 75
+        assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, docs, str(tmp_path)).where("start = 0").count() == len(rows) and last(spark, docs.where("false"), str(tmp_path)).count() == 0
+
+
+def test_minhash_with_ids_that_stand_with_two_texts(spark):
+    rnd = random.Random(11)
+    a, b, c = (" ".join(str(rnd.random()) for _ in range(150)) for _ in range(3))
+    near = lambda t: " ".join([*t.split()[:-1], "other"])
+    rows = [(1, a), (5, a), (5, b), (9, near(b)), (9, c), (9, c), (12, near(c)), (13, near(a)), (20, "x y z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("same", F.lit("clash")).withColumn("node", F.lit("clash"))
+    got = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(df, minhash.Settings(words=2)).collect())
+    assert got == sorted((i, 20 if i == 20 else 1) for i, _ in rows)
+
+
+def test_shared_counts_in_blocks(monkeypatch):
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 2**64 - 1, 3000, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool, rng.integers(0, 900))) for _ in range(40)]
+    rows, columns = np.arange(25), np.arange(25, 40)
+    want = [[len(np.intersect1d(sets[i], sets[j])) for j in columns] for i in rows]
+    for block in (1 << 16, 500):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        assert minhash.shared_counts(sets, rows, columns).tolist() == want
+
+
+def test_large_families_of_long_documents_stay_in_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    base = [np.unique(rng.integers(0, 2**64 - 1, 20_000, dtype=np.uint64)) for _ in range(6)]
+    sets = [np.unique(np.concatenate((base[i % 6][rng.random(len(base[i % 6])) > 0.05], rng.integers(0, 2**64 - 1, 500, dtype=np.uint64)))) for i in range(600)]
+    tracemalloc.start()
+    both = minhash.shared_counts(sets, np.arange(300), np.arange(300, 600))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20 and both[0, 0] > 17_000 and both[0, 1] == 0
+
+
+def test_short_texts_are_packed_without_padding(spark):
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("ab").alias("text")).coalesce(1)
+    got = packing.pack_texts(df, BPE_FILE).groupBy("sequence_id").agg(F.sum("length").alias("n")).toPandas()
+    assert set(got.n) - {2048} <= {1 << i for i in range(11)} and (got.n == 2048).sum() >= len(got) - 11
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the test tables")
 def test_held_out_accuracy(spark):
     from tesserak.llm.queries import op7_language_id, op10_toxicity

@@ -162,3 +162,20 @@ def test_few_candidates(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = [(r.query_id, r["rank"], r.vec_id) for r in ann.search(df, df.where("vec_id = 0")).orderBy("rank").collect()]
     assert got == [(0, 1, 1), (0, 2, 2)]
+
+
+@pytest.mark.parametrize("parts", [1, 3, 7])
+def test_the_least_vector_of_a_repeated_id_counts(spark, parts):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(600, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100, x[5].tolist()), (7, x[8].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(parts)
+    y = x.copy()
+    for i, j in ((100, 5), (7, 8)):
+        y[i] = min(x[i].tolist(), x[j].tolist())
+    got = ann.search(df, df.where("vec_id % 100 = 0"), ann.Settings(recall=1.0)).toPandas()
+    for q in range(0, 600, 100):
+        mine = got[got.query_id == q].sort_values("rank")
+        assert np.allclose(mine.score, np.sqrt(((y[mine.vec_id] - y[q]) ** 2).sum(1)), atol=1e-9)
+    best = np.argsort(((y - y[100]) ** 2).sum(1))
+    assert got[(got.query_id == 100) & (got["rank"] == 1)].vec_id.tolist() == [best[best != 100][0]]
