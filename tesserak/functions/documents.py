@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Keys that an export leaves out, as a pattern on the key and as names
 #: without underscores and hyphens.
 SENSITIVE_KEY = r"(?i)(?:secret|token|password|credential|authorization|private[_-]?key|object[_-]?key|blob|binary|raw(?:_|$)|body(?:_|$)|bytes|(?:^|_)content[_-]?bytes$|(?:^|_)data$|(?:^|_)(?:source|local|canonical|host|absolute|file)[_-]?path$|(?:^|_)source[_-]?uri$)"
-SENSITIVE_NAMES = ["privatekey", "objectkey", "rawbody", "rawcontent", "rawdata", "bodycache", "contentbytes", "sourceuri", "localpath", "canonicalpath", "hostpath", "absolutepath"]
+SENSITIVE_NAMES = ["privatekey", "objectkey", "rawbody", "rawcontent", "rawdata", "bodycache", "contentbytes", "sourceuri", "localpath", "canonicalpath", "hostpath", "absolutepath", "filepath", "licensedoriginal", "licensoriginal", "originalblob", "originalbytes"]
 #: File endings of simple documents, and words of a name that show a complexity.
 SIMPLE = [".md", ".markdown", ".txt", ".html", ".htm", ".docx", ".pptx", ".xlsx"]
 HINTS = {"scanned": "scanned", "ocr": "scanned", "formula": "formula", "equation": "formula", "table": "table-heavy", "complex": "complex", "academic": "complex", "scientific": "formula", "slide": "complex"}

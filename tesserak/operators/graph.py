@@ -9,21 +9,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage: write ``df`` to the folder that the session's cluster shares and read
-    it back.  Only a local session may choose a folder of its own."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the session's cluster shares.  Only a local session may choose a
+    folder of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
         named = "file://" + tempfile.mkdtemp(prefix="tesserak-")
         spark.conf.set("spark.checkpoint.dir", named)
-    path = f"{named.rstrip('/')}/tesserak-{uuid.uuid4().hex}"
+    return named.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage: write ``df`` to the shared folder and read it back."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tesserak-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -144,8 +149,8 @@ def ppr(seeds: DataFrame, edges: DataFrame, rounds: int = 5, restart: float = 0.
     share = cut(e.withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy("from_id"))).select("from_id", "to_id", "share"))
     start = seeds.groupBy(F.col("seed").alias("node")).agg(F.sum("weight").alias("w"))
     nodes = share.select(F.col("from_id").alias("node")).union(share.select("to_id")).union(start.select("node")).distinct()
-    total = F.sum("w").over(Window.partitionBy())
-    start = start.withColumn("p", F.col("w") / total).select("node", "p")
+    total = start.agg(F.sum("w").alias("total"))
+    start = start.crossJoin(F.broadcast(total)).select("node", (F.col("w") / F.col("total")).alias("p"))  # one row
     base = cut(nodes.join(start, "node", "left").join(share.select(F.col("from_id").alias("node"), F.lit(True).alias("out")).distinct(), "node", "left").select("node", F.coalesce("p", F.lit(0.0)).alias("p"), F.coalesce("out", F.lit(False)).alias("out")))
     state = base.select("node", "p", "out", F.col("p").alias("score"))
     for i in range(rounds):
@@ -162,66 +167,144 @@ def ppr(seeds: DataFrame, edges: DataFrame, rounds: int = 5, restart: float = 0.
     return state.select("node", F.round("score", 8).alias("score"))
 
 
-def _settled(nodes: DataFrame, links: DataFrame, resolution: float, rounds: int) -> DataFrame:
-    """(node, size, group): groups after local moves under the constant Potts model.
+#: Gains below this are none: sums of weights differ by their order.
+TINY = 1e-9
+
+
+def _wishes(state: DataFrame, links: DataFrame, resolution: float, turn: int, tag: str) -> DataFrame:
+    """(node, size, own, to, gain, own_key, to_key): the best other group of each node
+    that gains by it, or a group of its own if leaving alone gains more.
 
-    ``nodes``: (node, size); ``links``: (src, dst, weight), both ways, no loops.  Each
-    round sums a node's links per neighbouring group and takes the group with the
-    highest gain, weight less ``resolution`` times both sizes.  Of two nodes that
-    could swap places only one moves: those of one hashed half in turn, and none
-    whose neighbour with a greater hash in the same half would move as well.
+    Keys order groups by size and a hash that changes with ``turn``.
     """
-    state = cut(nodes.select("node", "size", F.col("node").alias("group")))
-    quiet = 0
-    for i in range(rounds):
-        sizes = state.groupBy("group").agg(F.sum("size").alias("held"))
-        near = links.join(state.select(F.col("node").alias("dst"), "group"), "dst").groupBy(F.col("src").alias("node"), "group").agg(F.sum("weight").alias("weight"))
-        own = state.select("node", "size", F.col("group").alias("own"))
-        met = near.join(own, "node").join(sizes, "group")
-        gain = F.col("weight") - resolution * F.col("size") * (F.col("held") - F.when(F.col("group") == F.col("own"), F.col("size")).otherwise(0))
-        best = met.withColumn("gain", gain).groupBy("node").agg(F.max(F.struct("gain", "group")).alias("best"), F.max(F.when(F.col("group") == F.col("own"), F.col("gain"))).alias("stay"))
-        turn = F.pmod(F.xxhash64("node", F.lit(i // 2)), F.lit(2)) == i % 2
-        alone = own.join(sizes.withColumnRenamed("group", "own"), "own").select("node", "own", (-resolution * F.col("size") * (F.col("held") - F.col("size"))).alias("bare"))
-        wish = best.join(alone, "node").where((F.col("best.gain") > F.coalesce("stay", "bare") + 1e-9) & (F.col("best.group") != F.col("own")) & turn).select("node", F.col("best.group").alias("to"), F.xxhash64("node", F.lit(i)).alias("h"))
-        wish = cut(wish)
+    sizes = state.groupBy("group").agg(F.sum("size").alias("held"))
+    sizes = sizes.withColumn("key", F.struct("held", F.xxhash64("group", F.lit(turn)).alias("h")))
+    own = state.select("node", "size", F.col("group").alias("own"))
+    near = links.join(state.select(F.col("node").alias("dst"), "group"), "dst").groupBy(F.col("src").alias("node"), "group").agg(F.sum("weight").alias("weight"))
+    met = near.join(own, "node").join(sizes, "group")
+    worth = F.col("weight") - resolution * F.col("size") * (F.col("held") - F.when(F.col("group") == F.col("own"), F.col("size")).otherwise(0))
+    other = F.col("group") != F.col("own")
+    met = met.withColumn("worth", F.round(worth, 9))
+    best = met.groupBy("node").agg(F.max(F.when(other, F.struct("worth", "key", "group"))).alias("best"), F.max(F.when(~other, F.col("worth"))).alias("stay"))
+    held = own.join(sizes.select(F.col("group").alias("own"), F.col("held"), F.col("key").alias("own_key")), "own").join(best, "node", "left")
+    stay = F.coalesce("stay", F.round(-resolution * F.col("size") * (F.col("held") - F.col("size")), 9))
+    alone = F.struct(F.lit(0.0).alias("worth"), F.struct(F.lit(0).cast("long").alias("held"), F.lit(0).cast("long").alias("h")).alias("key"), F.concat("node", F.lit(f"~{tag}{turn}")).alias("group"))
+    to = F.when(F.coalesce(F.col("best.worth") >= 0, F.lit(False)), F.col("best")).otherwise(alone)
+    held = held.select("node", "size", "own", "own_key", stay.alias("stay"), to.alias("to"))
+    return held.select("node", "size", "own", "own_key", F.col("to.group").alias("to"), F.col("to.key").alias("to_key"), (F.col("to.worth") - F.col("stay")).alias("gain")).where(F.col("gain") > TINY)
+
+
+def _agreed(wish: DataFrame, links: DataFrame, resolution: float, turn: int, up: bool) -> DataFrame:
+    """(node, to): wishes that are granted together; their joint gain is above zero.
+
+    A group's nodes go to one other group, to those with greater keys (``up``) or lesser
+    ones, and no group that nodes leave takes any in, so gains add up over groups that
+    take nodes in.  For one such group nested random halves of the nodes that wish for
+    it are weighed, pairs that meet or part included, and the best set is taken; the
+    node with the highest gain alone is always one of them.  All of it is sums by
+    group, so a group that all nodes wish for is no single task's.
+    """
+    agreed = wish.groupBy("own", "to").agg(F.sum("gain").alias("gain")).groupBy("own").agg(F.max(F.struct("gain", "to")).alias("best"))
+    movers = wish.join(agreed.select("own", F.col("best.to").alias("to")), ["own", "to"])
+    movers = movers.where(F.col("to_key") > F.col("own_key") if up else F.col("to_key") < F.col("own_key"))
+    leaving = movers.select(F.col("own").alias("to")).distinct()
+    half = (F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 40)) + 1) / F.lit(float(1 << 40))
+    movers = cut(movers.join(leaving, "to", "left_anti").select("node", "size", "own", "to", "gain", F.floor(-F.log2(half)).cast("int").alias("level")))
+    each = lambda level: F.explode(F.sequence(F.lit(0), level)).alias("k")
+    side = lambda name: movers.select(F.col("node").alias(name), F.col("to").alias("to_" + name), F.col("own").alias("own_" + name), F.col("level").alias("level_" + name))
+    pairs = links.where("src < dst").join(side("src"), "src").join(side("dst"), "dst").where("to_src = to_dst")
+    pairs = pairs.select(F.col("to_src").alias("to"), "own_src", (F.col("own_src") == F.col("own_dst")).alias("parted"), "weight", each(F.least("level_src", "level_dst")))
+    joined = pairs.groupBy("to", "k").agg(F.sum("weight").alias("joined"))
+    parted = pairs.where("parted").groupBy("to", F.col("own_src").alias("own"), "k").agg(F.sum("weight").alias("parted"))
+    penalty = lambda total, squares: resolution * (total * total - squares) / 2
+    per = movers.select("to", "own", "size", "gain", each(F.col("level"))).groupBy("to", "own", "k").agg(F.sum("size").alias("s"), F.sum(F.col("size") * F.col("size")).alias("q"), F.sum("gain").alias("gain"))
+    per = per.join(parted, ["to", "own", "k"], "left")
+    left = F.coalesce("parted", F.lit(0.0)) - penalty(F.col("s"), F.col("q"))
+    sets = per.groupBy("to", "k").agg(F.sum(F.col("gain") + left).alias("gain"), F.sum("s").alias("s"), F.sum("q").alias("q")).join(joined, ["to", "k"], "left")
+    joint = F.col("gain") + F.coalesce("joined", F.lit(0.0)) - penalty(F.col("s"), F.col("q"))
+    best = sets.groupBy("to").agg(F.max(F.struct(F.round(joint, 9).alias("gain"), (-F.col("k")).alias("k"))).alias("set"))
+    first = movers.groupBy("to").agg(F.max(F.struct("gain", "node")).alias("first"))
+    chosen = best.join(first, "to").select("to", (F.col("set.gain") > F.col("first.gain")).alias("many"), (-F.col("set.k")).alias("k"), F.col("first.node").alias("first"))
+    return movers.join(chosen, "to").where(F.when(F.col("many"), F.col("level") >= F.col("k")).otherwise(F.col("node") == F.col("first"))).select("node", "to")
+
+
+def _moved(state: DataFrame, links: DataFrame, resolution: float, most: int = 1000) -> tuple[DataFrame, bool]:
+    """(node, size, group) when no node gains by moving, under the constant Potts model,
+    and whether any did move.
+
+    ``state``: groups to start from; ``links``: (src, dst, weight), both ways, no loops.
+    Every round's moves raise the quality, so it ends.
+    """
+    state, tag = cut(state), uuid.uuid4().hex[:8]  # a group that a node begins has a name of its own
+    for turn in range(most):
+        wish = cut(_wishes(state, links, resolution, turn, tag))
         if wish.isEmpty():
-            quiet += 1
-            if quiet == 2:
-                return state
-            continue
-        quiet = 0
-        other = wish.select(F.col("node").alias("dst"), F.col("h").alias("h2"))
-        held_back = links.join(wish.select(F.col("node").alias("src"), "h"), "src").join(other, "dst").where("h2 > h").select(F.col("src").alias("node")).distinct()
-        go = wish.join(held_back, "node", "left_anti").select("node", "to")
+            return state, turn > 0
+        go = _agreed(wish, links, resolution, turn, up=turn % 2 == 0)
         state = cut(state.join(go, "node", "left").select("node", "size", F.coalesce("to", "group").alias("group")))
-    return state
-
-
-def communities(edges: DataFrame, resolution: float = 0.5, levels: int = 4, rounds: int = 12) -> DataFrame:
-    """(node, community) of undirected edges (from_id, to_id, weight), by Leiden's scheme.
-
-    Each level moves nodes locally, refines the groups to their connected parts, and
-    aggregates these to the nodes of the next level, until nothing joins any more.
-    All of it runs on tables, so no scope or group is held by one task.  A
-    community is named after its least node; it is always connected.
+    raise RuntimeError(f"groups aren't settled after {most} rounds")
+
+
+def _inside(state: DataFrame, links: DataFrame) -> DataFrame:
+    """The links within a group."""
+    named = lambda side: state.select(F.col("node").alias(side), F.col("group").alias("g_" + side))
+    return links.join(named("src"), "src").join(named("dst"), "dst").where("g_src = g_dst").select("src", "dst", "weight")
+
+
+def _refined(state: DataFrame, links: DataFrame, resolution: float) -> DataFrame:
+    """(node, part): well-connected parts of groups.  Nodes that their group holds by at
+    least the expected weight start alone and move within the group; parts that come
+    apart are split."""
+    inner = cut(_inside(state, links))
+    held = state.groupBy("group").agg(F.sum("size").alias("held"))
+    weight = inner.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("weight"))
+    firm = state.join(held, "group").join(weight, "node").where(F.col("weight") >= resolution * F.col("size") * (F.col("held") - F.col("size")) - TINY)
+    ends = firm.select(F.col("node").alias("end"))
+    kept = cut(inner.join(ends, inner.src == ends.end, "left_semi").join(ends.withColumnRenamed("end", "other"), F.col("dst") == F.col("other"), "left_semi"))
+    settled, _ = _moved(state.select("node", "size", F.col("node").alias("group")), kept, resolution)
+    joined = _inside(settled, kept).select(F.col("src").alias("from_id"), F.col("dst").alias("to_id"), F.lit("").alias("relation"), "weight")
+    parts = connected_components(joined)
+    return cut(state.select("node").join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("part")))
+
+
+def _merged(state: DataFrame, links: DataFrame, parts: DataFrame, resolution: float, together: bool) -> tuple[DataFrame, bool]:
+    """``state`` after moves of whole parts (node, part), which start in their groups
+    (``together``) or each alone, and whether any moved."""
+    held = state.join(parts, "node")
+    home = F.min("group") if together else F.first("part")
+    nodes = held.groupBy(F.col("part").alias("node")).agg(F.sum("size").alias("size"), home.alias("group"))
+    of = lambda side: parts.select(F.col("node").alias(side), F.col("part").alias("p_" + side))
+    between = links.join(of("src"), "src").join(of("dst"), "dst").where("p_src <> p_dst").groupBy(F.col("p_src").alias("src"), F.col("p_dst").alias("dst")).agg(F.sum("weight").alias("weight"))
+    after, changed = _moved(nodes, cut(between), resolution)
+    if not changed:
+        return state, False
+    return cut(held.drop("group").join(after.select(F.col("node").alias("part"), "group"), "part").select("node", "size", "group")), True
+
+
+def communities(edges: DataFrame, resolution: float = 0.5) -> DataFrame:
+    """(node, community), as strings, of undirected edges (from_id, to_id, weight), by
+    Leiden's scheme.
+
+    Until nothing changes: nodes move; groups are refined to well-connected parts, which
+    move as wholes from their groups; groups move as wholes, so they merge.  At the
+    end no move of a node, of a part or of a group raises the quality under the constant
+    Potts model.  All of it runs on tables; no scope or group is held by one task.  A
+    community is named after its least node.  Loops and weights that aren't above zero
+    count for nothing; a node without other edges is its own community.
     """
-    both = oriented(edges.select("from_id", "to_id", F.lit("").alias("relation"), "weight")).where("src <> dst")
-    links = cut(both.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
+    edges = edges.select(F.col("from_id").cast("string").alias("from_id"), F.col("to_id").cast("string").alias("to_id"), "weight")
+    plain = edges.where("weight > 0").select("from_id", "to_id", F.lit("").alias("relation"), "weight")
+    links = cut(oriented(plain).where("src <> dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
     ends = edges.select(F.col("from_id").alias("node")).union(edges.select("to_id")).distinct()
-    home = cut(ends.select("node", F.col("node").alias("at")))
-    nodes = cut(ends.select("node", F.lit(1).cast("long").alias("size")))
-    for _ in range(levels):
-        state = _settled(nodes, links, resolution, rounds)
-        inner = links.join(state.select(F.col("node").alias("src"), F.col("group").alias("a")), "src").join(state.select(F.col("node").alias("dst"), F.col("group").alias("b")), "dst").where("a = b")
-        parts = connected_components(inner.select(F.col("src").alias("from_id"), F.col("dst").alias("to_id"), F.lit("").alias("relation"), "weight"))
-        merged = cut(nodes.join(parts, "node", "left").select("node", "size", F.coalesce("component", "node").alias("part")))
-        if merged.where("node <> part").isEmpty():
-            break
-        home = cut(home.join(merged.select(F.col("node").alias("at"), "part"), "at").select("node", F.col("part").alias("at")))
-        to = merged.select(F.col("node").alias("src"), F.col("part").alias("a"))
-        links = cut(links.join(to, "src").join(merged.select(F.col("node").alias("dst"), F.col("part").alias("b")), "dst").where("a <> b").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight")))
-        nodes = cut(merged.groupBy(F.col("part").alias("node")).agg(F.sum("size").alias("size")))
-    return home.select("node", F.col("at").alias("community"))
+    state = cut(ends.select("node", F.lit(1).cast("long").alias("size"), F.col("node").alias("group")))
+    changed = True
+    while changed:
+        state, _ = _moved(state, links, resolution)
+        state, parted = _merged(state, links, _refined(state, links, resolution), resolution, together=True)
+        state, merged = _merged(state, links, cut(state.select("node", F.col("group").alias("part"))), resolution, together=False)
+        changed = parted or merged
+    named = state.groupBy("group").agg(F.min("node").alias("community"))
+    return state.join(named, "group").select("node", "community")
 
 
 def community_quality(edges: DataFrame, groups: DataFrame, resolution: float = 0.5) -> DataFrame:

@@ -17,18 +17,33 @@ UNIT_WEIGHT = 1.0
 DIRECT_CHANNELS = ["exact", "code", "raw", "context-pack", "temporal"]
 
 
+#: An abbreviation inside a question of several words, and how many count.
+ACRONYM = r"\b[A-Z][A-Z0-9]{2,7}\b"
+ACRONYMS = 3
+
+
 def exact_lookup(docs: DataFrame, lookups: DataFrame) -> DataFrame:
-    """(query_id, doc_id, match_rank): rows whose id (0), title (2) or path (3) equals
-    the lookup, without regard to case; the best rank of a pair counts.
+    """(query_id, doc_id, match_rank): rows whose id (0), an alias (1), title (2) or path
+    (3) equals the lookup, without regard to case, or whose id ends with an abbreviation
+    of the lookup, or has it as alias (4); the best rank of a pair counts.
 
-    Three equi joins, one per key, so that each can shuffle on its own key.
+    Abbreviations count for a lookup only if they lead to one document.  Each key is an
+    equi join of its own, so it can shuffle on that key.
     """
     wanted = lookups.select("query_id", F.lower("lookup").alias("wanted"))
+    named = docs.select("doc_id", F.explode("aliases").alias("alias"))
+    keys = {0: docs.select("doc_id", F.lower("external_id").alias("wanted")), 1: named.select("doc_id", F.lower("alias").alias("wanted")), 2: docs.select("doc_id", F.lower("title").alias("wanted")), 3: docs.select("doc_id", F.lower("path").alias("wanted"))}
     found = None
-    for rank, column in ((0, "external_id"), (2, "title"), (3, "path")):
-        keys = docs.select("doc_id", F.lower(column).alias("wanted"))
-        part = keys.join(wanted, "wanted").select("query_id", "doc_id", F.lit(rank).alias("match_rank"))
+    for rank, rows in keys.items():
+        part = rows.join(wanted, "wanted").select("query_id", "doc_id", F.lit(rank).alias("match_rank"))
         found = part if found is None else found.unionByName(part)
+    several = F.size(F.split(F.trim("lookup"), r"\s+")) > 1
+    short = F.slice(F.array_distinct(F.regexp_extract_all("lookup", F.lit(ACRONYM), F.lit(0))), 1, ACRONYMS)
+    asked = lookups.where(several).select("query_id", "lookup", F.explode(short).alias("acronym")).select("query_id", "lookup", F.lower("acronym").alias("wanted"))
+    ends = docs.where(F.contains("external_id", F.lit("-"))).select("doc_id", F.lower(F.substring_index("external_id", "-", -1)).alias("wanted"))
+    led = ends.unionByName(keys[1]).join(asked, "wanted").select("query_id", "lookup", "doc_id").distinct()
+    lone = led.groupBy("query_id", "lookup").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).where("n = 1")
+    found = found.unionByName(lone.select("query_id", "doc_id", F.lit(4).alias("match_rank")))
     return found.groupBy("query_id", "doc_id").agg(F.min("match_rank").alias("match_rank"))
 
 

@@ -29,44 +29,99 @@ def topk(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
 def topk_batch(vectors: DataFrame, queries: DataFrame, k: int, most: int = 64 << 20) -> DataFrame:
     """(query_id, vec_id, score, rank): the k nearest rows by cosine of each query.
 
-    ``vectors``: (vec_id, embedding); ``queries``: (query_id, embedding), whose
-    numbers are sent to every task and must fit ``most`` bytes, or the call is
-    refused and the caller passes blocks of queries.  A task compares its rows with
-    all queries in blocks and sends only its own k nearest on.
+    ``vectors``: (vec_id, embedding), where rows of one vec_id count by their nearest;
+    ``queries``: (query_id, embedding).  Queries go to every task in blocks of ``most``
+    bytes, one block after the other.  A task compares its rows with a block and sends
+    only its own k nearest on.
     """
+    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    size = 8 * (asked.agg(F.sum(F.size("embedding"))).first()[0] or 0)
+    blocks = max(1, math.ceil(size / most))
+    near = None
+    for i in range(blocks):
+        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        part = _nearest(vectors, block, k)
+        near = part if near is None else near.unionByName(part)
+    near = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("long")
+    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _nearest(vectors: DataFrame, block: DataFrame, k: int) -> DataFrame:
     import numpy as np
     import pyarrow as pa
 
-    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
-    size = asked.agg(F.sum(F.size("embedding"))).first()[0] or 0
-    if 8 * size > most:
-        raise ValueError(f"queries of {8 * size} bytes; pass blocks of at most {most}")
-    rows = asked.orderBy("query_id").collect()
+    rows = block.orderBy("query_id").collect()
     if not rows:
-        return queries.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank long")
+        return block.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
     ids, q = [r.query_id for r in rows], np.array([r.embedding for r in rows])
-    unit = queries.sparkSession.sparkContext.broadcast(q / np.maximum(np.linalg.norm(q, axis=1), 1e-300)[:, None])
+    shared = block.sparkSession.sparkContext.broadcast((q, np.maximum((q * q).sum(axis=1), 1e-300)))
 
     def run(batches):
+        q, norms = shared.value
         best = [np.zeros((0, 2))] * len(ids)
         for b in batches:
             flat = b.column("embedding").flatten().to_numpy(zero_copy_only=False)
             x, own = flat.reshape(b.num_rows, -1), b.column("vec_id").to_numpy()
-            x = x / np.maximum(np.linalg.norm(x, axis=1), 1e-300)[:, None]
+            order = np.argsort(own, kind="stable")
+            x, own = x[order], own[order]
+            starts = np.flatnonzero(np.diff(own, prepend=own[0] - 1))
+            size = np.maximum((x * x).sum(axis=1), 1e-300)
             for at in range(0, len(ids), 256):
-                near = np.round(unit.value[at : at + 256] @ x.T, 9)
+                near = np.round(q[at : at + 256] @ x.T / np.sqrt(norms[at : at + 256, None] * size), 9)
+                near = np.maximum.reduceat(near, starts, axis=1)
                 for i, row in enumerate(near):
                     edge = np.partition(row, max(0, len(row) - k))[max(0, len(row) - k)]
                     take = np.flatnonzero(row >= edge)
-                    got = np.concatenate((best[at + i], np.stack((row[take], own[take]), axis=1)))
-                    best[at + i] = got[np.lexsort((got[:, 1], -got[:, 0]))][:k]
+                    got = np.concatenate((best[at + i], np.stack((row[take], own[starts[take]]), axis=1)))
+                    got = got[np.lexsort((got[:, 1], -got[:, 0]))]
+                    _, first = np.unique(got[:, 1], return_index=True)
+                    best[at + i] = got[np.sort(first)][:k]
         for i, got in enumerate(best):
             if len(got):
                 yield pa.record_batch([pa.array([ids[i]] * len(got), pa.int64()), pa.array(got[:, 1].astype(np.int64)), pa.array(got[:, 0])], ["query_id", "vec_id", "score"])
 
-    near = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("long")
-    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+    return vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, "query_id long, vec_id long, score double")
+
+
+def embedded(rows: DataFrame, dims: int = 64) -> DataFrame:
+    """(id, embedding): signed feature hashing of texts (id, text), not scaled.
+
+    A token (letters, digits, ``_`` and ``-``, without accents, in lower case) counts at
+    the first two bytes of its SHA-256 modulo ``dims``, negatively if byte three is odd.
+    Texts without tokens are left out.  The numbers are whole, so cosines of them are
+    the same on every engine.
+    """
+    import re
+    import unicodedata
+    from functools import lru_cache
+    from hashlib import sha256
+
+    import numpy as np
+    import pyarrow as pa
+
+    token = re.compile(r"[\w-]+")
+
+    def run(batches):
+        @lru_cache(1 << 16)
+        def place(word: str) -> tuple[int, int]:
+            digest = sha256(word.encode()).digest()
+            return int.from_bytes(digest[:2]) % dims, 1 - 2 * (digest[2] % 2)
+
+        for b in batches:
+            ids, out = [], []
+            for key, value in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                bare = "".join(c for c in unicodedata.normalize("NFD", value or "") if unicodedata.category(c) != "Mn")
+                places = [place(w) for w in token.findall(bare.lower())]
+                if places:
+                    at, sign = zip(*places, strict=True)
+                    ids.append(key)
+                    out.append(np.bincount(at, weights=sign, minlength=dims))
+            if ids:
+                flat = pa.array(np.concatenate(out).astype(np.int32))
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(np.arange(0, dims * len(ids) + 1, dims, dtype=np.int32), flat)], ["id", "embedding"])
+
+    return rows.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(run, "id long, embedding array<int>")
 
 
 def near_duplicate_pairs(vectors: DataFrame, least: float, axes: int = 3, dims: int = 64) -> DataFrame:

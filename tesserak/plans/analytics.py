@@ -404,11 +404,11 @@ SQL = {
     "retry_schedule": f"with {relational.DELIVERIES} select event_id, attempts, case when attempts + 1 >= 5 then 'QUARANTINED' else 'RETRY' end as next_status, case when attempts + 1 < 5 then least(300.0::double, round(least(300.0::double, 1.0::double * pow(2.0, attempts)) * (1 + (2 * ((event_id % 11) / 10.0::double) - 1) * 0.2::double), 3)) end as delay from deliveries where status = 'RETRY'",
     "change_coalesce": f"with {INBOX} select connector, object, case when count(*) filter (change = 'DELETE') > 0 then 'DELETE' else 'UPSERT' end as change, count(*) as n from inbox group by 1, 2",
     "idempotent_dedupe": "with a as (select event_id % 2000 as event_id, ts as t, event_type || ':' || (event_id % 3) as content from events) select event_id, first(content order by t, content) as first_content, count(*) - count(distinct content) as repeats, count(distinct content) - 1 as conflicts from a group by 1",
-    "score_retrieval": f"with {SCORES} select query_id, recall, precision, rr, ndcg, hit from scores",
-    "score_observation": f"""with {SCORES}, o as (select s.query_id, n_gold = 0 as expect_no_answer, case when n_gold = 0 then 1.0 else recall end as recall, rr, ndcg, (s.query_id in (select query_id from ranked where rank <= 10)) <> (n_gold = 0) as no_answer_right from scores s join gold g using (query_id))
+    "score_retrieval": f"with recursive {SCORES} select query_id, recall, precision, rr, ndcg, hit from scores",
+    "score_observation": f"""with recursive {SCORES}, o as (select s.query_id, n_gold = 0 as expect_no_answer, case when n_gold = 0 then 1.0 else recall end as recall, rr, ndcg, (s.query_id in (select query_id from ranked where rank <= 10)) <> (n_gold = 0) as no_answer_right from scores s join gold g using (query_id))
       select query_id, expect_no_answer, recall, rr, ndcg, no_answer_right, case when expect_no_answer then no_answer_right else recall > 0 end as passed from o""",
-    "aggregate_run": f"with {RUN} select * from agg",
-    "select_default": f"""with {RUN}, r as (select configuration, configuration in (select configuration from uses where channel = 'vector') as v, mrr, mean_recall from agg), p as (select max(mrr) as bm, max(mean_recall) as br from r where not v),
+    "aggregate_run": f"with recursive {RUN} select * from agg",
+    "select_default": f"""with recursive {RUN}, r as (select configuration, configuration in (select configuration from uses where channel = 'vector') as v, mrr, mean_recall from agg), p as (select max(mrr) as bm, max(mean_recall) as br from r where not v),
       g as (select r.*, not v or (mrr >= bm + 0.02 and mean_recall >= br) as eligible from r, p) select configuration, mrr, mean_recall, eligible, eligible and row_number() over (partition by eligible order by mrr desc, mean_recall desc, configuration) = 1 as selected from g""",
     "chunk_units": "select doc_id, cast(position as bigint) as position, content, sha256(content) as hash, cast(ceil(length(content) / 4.0) as bigint) as tokens from (select doc_id, unnest(generate_series(0, len(l) - 1)) as position, unnest(l) as content from (select doc_id, string_split(text, chr(10)) as l from documents)) where trim(content) <> ''",
     "html_text": r"select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?is)<noscript[^>]*>.*?</noscript>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) as content from pages",

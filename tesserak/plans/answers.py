@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import packets
 from ..operators import retrieval as op
 from ..sources import bind
 from . import retrieval
@@ -111,7 +112,20 @@ def material_conflicts(spark, d):
     return a.join(b, ["query_id", "identity"]).where("doc_id < other and h <> h2").select("query_id", "doc_id", "other")
 
 
-QUERIES = {f.__name__: f for f in (match_reason, support_reasons, answerability, partition_hits, candidate_order, disclosure_levels, best_term_window, evidence_fragment, parent_rehydration, projection_retains_support, material_conflicts)}
+def pack_context(spark, d):
+    """A full and a compact packet of each query's hits, under budgets on their exact size."""
+    rows = _candidates(spark, d)
+    cited = F.when(F.col("doc_id") % 4 > 0, F.array(F.concat(F.lit("cite-"), F.col("doc_id").cast("string")))).otherwise(F.array().cast("array<string>"))
+    one = F.struct("doc_id", F.lit(None).cast("string").alias("unit"), "title", F.col("body").alias("content"), "rank", "score", "mandatory", "trust", "freshness", cited.alias("citations"))
+    found = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("candidates"))
+    pairs = material_conflicts(spark, d).groupBy("query_id", F.col("doc_id").alias("first")).agg(F.array_sort(F.collect_set("other")).alias("others"))
+    side = F.struct(F.concat(F.lit("conflict-"), F.col("first").cast("string")).alias("id"), F.concat(F.array("first"), F.col("others")).alias("documents"))
+    clashes = pairs.groupBy("query_id").agg(F.array_sort(F.collect_list(side)).alias("conflicts"))
+    asked = _queries(spark, d).join(found, "query_id", "left").join(clashes, "query_id", "left")
+    return packets.pack_context(asked)
+
+
+QUERIES = {f.__name__: f for f in (pack_context, match_reason, support_reasons, answerability, partition_hits, candidate_order, disclosure_levels, best_term_window, evidence_fragment, parent_rehydration, projection_retains_support, material_conflicts)}
 
 REASONS = f"""{HYBRID}, hit as (select r.query_id, r.doc_id, r.rank, r.channels, {_salient("b.text")} as want, {_salient("d.text")} as have from ranked r join documents d using (doc_id) join benchmark b on b.item_id = r.query_id where r.rank <= 10),
   sup as (select *, len(want) as n, len(list_intersect(want, have)) as o from hit),
@@ -120,29 +134,29 @@ CANDIDATES = f"{HYBRID}, cand as (select r.query_id, r.doc_id, r.score, r.rank,
 _LINE = "trim(regexp_replace(content, '[ \\t\\r\\n]+', ' ', 'g'))"
 
 SQL = {
-    "match_reason": f"with {HYBRID} select layer, reason, count(*) as n, max(raw_score) as best from lexical join governed using (doc_id) group by 1, 2",
-    "support_reasons": f"with {REASONS} select query_id, doc_id, rank, reason, reason <> 'PASSAGE_SUPPORT_NOT_DEMONSTRATED' as supported from reasons",
-    "answerability": f"""with {REASONS}, k as (select query_id, count(*) as n, count(*) filter (reason <> 'PASSAGE_SUPPORT_NOT_DEMONSTRATED') as n_supported, bool_or(reason = 'DIRECT_CHANNEL_SUPPORT') as direct from reasons group by 1),
+    "match_reason": f"with recursive {HYBRID} select layer, reason, count(*) as n, max(raw_score) as best from lexical join governed using (doc_id) group by 1, 2",
+    "support_reasons": f"with recursive {REASONS} select query_id, doc_id, rank, reason, reason <> 'PASSAGE_SUPPORT_NOT_DEMONSTRATED' as supported from reasons",
+    "answerability": f"""with recursive {REASONS}, k as (select query_id, count(*) as n, count(*) filter (reason <> 'PASSAGE_SUPPORT_NOT_DEMONSTRATED') as n_supported, bool_or(reason = 'DIRECT_CHANNEL_SUPPORT') as direct from reasons group by 1),
       v as (select query_id, max(score) filter (rank = 1) as s1, max(score) filter (rank = 2) as s2, max(score) filter (rank = 3) as s3 from vector group by 1)
       select b.item_id as query_id, coalesce(n_supported, 0) > 0 as supported, case when n is null then 'NO_CANDIDATES' when n_supported = 0 then 'SUPPORT_NOT_DEMONSTRATED' when direct then 'DIRECT_CHANNEL_SUPPORT' else 'PASSAGE_TEXT_SUPPORT' end as reason,
         coalesce(n_supported, 0) as n_supported, s1 as top_vector, round(s1 - s2, 6) as margin, round(s1 - coalesce(s3, s2, s1), 6) as neighbourhood from benchmark b left join k on k.query_id = b.item_id left join v on v.query_id = b.item_id""",
-    "partition_hits": f"""with {REASONS}, p as (select query_id, string_agg(doc_id, ',' order by rank) filter (reason <> 'PASSAGE_SUPPORT_NOT_DEMONSTRATED') as s, string_agg(doc_id, ',' order by rank) filter (reason = 'PASSAGE_SUPPORT_NOT_DEMONSTRATED') as e from reasons group by 1)
+    "partition_hits": f"""with recursive {REASONS}, p as (select query_id, string_agg(doc_id, ',' order by rank) filter (reason <> 'PASSAGE_SUPPORT_NOT_DEMONSTRATED') as s, string_agg(doc_id, ',' order by rank) filter (reason = 'PASSAGE_SUPPORT_NOT_DEMONSTRATED') as e from reasons group by 1)
       select b.item_id as query_id, case when s is not null then 'SUPPORTED' when e is not null then 'EXPLORATORY_ONLY' else 'NO_CANDIDATES' end as outcome, coalesce(s, '') as supported, coalesce(e, '') as exploratory from benchmark b left join p on p.query_id = b.item_id""",
-    "candidate_order": f"""with {CANDIDATES} select query_id, doc_id, row_number() over (partition by query_id order by layer = 'CONTEXT_PACK' desc, case when rank % 3 <> 0 then rank end asc nulls last, case trust when 'ATTESTED' then 1 when 'HUMAN_REVIEWED' then 2 when 'MACHINE_SUPPORTED' then 3 else 4 end,
+    "candidate_order": f"""with recursive {CANDIDATES} select query_id, doc_id, row_number() over (partition by query_id order by layer = 'CONTEXT_PACK' desc, case when rank % 3 <> 0 then rank end asc nulls last, case trust when 'ATTESTED' then 1 when 'HUMAN_REVIEWED' then 2 when 'MACHINE_SUPPORTED' then 3 else 4 end,
       case freshness when 'FRESH' then 1 when 'STALE_PENDING_REVIEW' then 2 else 3 end, doc_id % 4 desc, score desc, doc_id) as place from cand""",
-    "disclosure_levels": f"""with {CANDIDATES}, c as (select query_id, doc_id, 'id=' || external_id || '; title=' || title || '; lifecycle=' || lifecycle || '; refresh=' || freshness as catalog, substring(body, 1, 900) as content, body as f from cand),
+    "disclosure_levels": f"""with recursive {CANDIDATES}, c as (select query_id, doc_id, 'id=' || external_id || '; title=' || title || '; lifecycle=' || lifecycle || '; refresh=' || freshness as catalog, substring(body, 1, 900) as content, body as f from cand),
       l as (select *, {_LINE} as flat from c), h as (select *, substring(flat, 1, 320) as head from l), e as (select *, 320 - case when length(head) < 320 then 320 - length(head) else 0 end - instr(reverse(head), ' ') as last, instr(head, ' ') > 0 as blank from h),
       o as (select *, case when length(flat) <= 320 then flat else rtrim(substring(flat, 1, case when blank and last >= 192 then last else 319 end)) || '…' end as line from e),
       a as (select query_id, doc_id, unnest(['L0', 'L1', 'L2', 'L3']) as level, unnest([catalog, case when line <> '' then line else catalog end, content, case when trim(f) <> '' then trim(f) else content end]) as x from o)
       select query_id, doc_id, level, cast(ceil(length(x) / 4.0) as bigint) as tokens, sha256(x) as digest from a""",
-    "best_term_window": f"""with {HYBRID}, h as (select r.query_id, r.doc_id, d.text, list_distinct(list_filter(regexp_extract_all(lower(b.text), '[\\p{{L}}\\p{{N}}]+'), lambda t: length(t) >= 6 and not list_contains([{retrieval._STOP}], t))) as terms from ranked r join documents d using (doc_id) join benchmark b on b.item_id = r.query_id where r.rank <= 10),
+    "best_term_window": f"""with recursive {HYBRID}, h as (select r.query_id, r.doc_id, d.text, list_distinct(list_filter(regexp_extract_all(lower(b.text), '[\\p{{L}}\\p{{N}}]+'), lambda t: length(t) >= 6 and not list_contains([{retrieval._STOP}], t))) as terms from ranked r join documents d using (doc_id) join benchmark b on b.item_id = r.query_id where r.rank <= 10),
       p as (select *, greatest(coalesce(list_min(list_filter(list_transform(terms, lambda t: instr(lower(text), t)), lambda i: i > 0)), 1) - 60, 1) as s from h) select query_id, doc_id, substring(text, s, 200) as snippet from p""",
     "evidence_fragment": """with l as (select doc_id, unnest(generate_series(0, len(l) - 1)) as p, unnest(l) as c from (select doc_id, string_split(text, chr(10)) as l from documents)), f as (select doc_id, min(p) as line, arg_min(c, p) as c from l where trim(c) <> '' group by 1),
       e as (select doc_id, line, trim(substring(trim(c), 1, 2000)) as x from f) select doc_id, line, length(x) as characters, sha256(x) as digest from e""",
-    "parent_rehydration": f"""with {HYBRID}, l as (select doc_id, unnest(generate_series(0, len(l) - 1)) as line, unnest(l) as content from (select doc_id, string_split(text, chr(10)) as l from documents)),
+    "parent_rehydration": f"""with recursive {HYBRID}, terms as (select item_id as query_id, {retrieval._TOKENS.format("text")} as terms from benchmark), l as (select doc_id, unnest(generate_series(0, len(l) - 1)) as line, unnest(l) as content from (select doc_id, string_split(text, chr(10)) as l from documents)),
       f as (select query_id, doc_id, line as unit from lexical join l using (doc_id) join terms using (query_id) where list_has_all(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+'), terms))
       select query_id, f.doc_id, cast(unit as integer) as unit, string_agg(content, chr(10) order by line) as context, count(*) as lines from f join l on l.doc_id = f.doc_id and l.line between unit - 1 and unit + 1 group by 1, 2, 3""",
-    "projection_retains_support": f"with {CANDIDATES} select query_id, doc_id, trim(b.text) <> '' and contains(lower(substring(body, 1, 900)), lower(trim(b.text))) as retained from cand join benchmark b on b.item_id = query_id",
-    "material_conflicts": f"""with {CANDIDATES}, k as (select query_id, doc_id, regexp_replace(lower(trim(title)), '[^a-z0-9]+', '', 'g') as identity, sha256(body) as h from cand)
+    "projection_retains_support": f"with recursive {CANDIDATES} select query_id, doc_id, trim(b.text) <> '' and contains(lower(substring(body, 1, 900)), lower(trim(b.text))) as retained from cand join benchmark b on b.item_id = query_id",
+    "material_conflicts": f"""with recursive {CANDIDATES}, k as (select query_id, doc_id, regexp_replace(lower(trim(title)), '[^a-z0-9]+', '', 'g') as identity, sha256(body) as h from cand)
       select a.query_id, a.doc_id, b.doc_id as other from k a join k b on a.query_id = b.query_id and a.identity = b.identity and a.doc_id < b.doc_id and a.h <> b.h where a.identity <> ''""",
 }

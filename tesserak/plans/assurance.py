@@ -122,8 +122,8 @@ SQL = {
     "incremental_index": "with n as (select doc_id as unit_id, sha256(text) as hash from documents), o as (select case when unit_id % 11 = 0 then -unit_id - 1 else unit_id end as unit_id, case when unit_id % 7 = 0 then 'old' else hash end as hash from n) select coalesce(o.unit_id, n.unit_id) as unit_id, case when o.unit_id is null then 'ADDED' when n.unit_id is null then 'REMOVED' when o.hash <> n.hash then 'CHANGED' else 'UNCHANGED' end as change from o full join n on o.unit_id = n.unit_id",
     "document_upsert": "with a as (select p_partkey, 1 as version, p_retailprice, false as deleted from part union all select p_partkey + 5, 2, p_retailprice * 2, p_partkey % 9 = 0 from part) select p_partkey, version, p_retailprice, deleted from a qualify row_number() over (partition by p_partkey order by version desc) = 1",
     "state_transitions": f"with s as (select lag(event_type) over (partition by user_id order by ts, event_id) as f, event_type as t from events) select f as from_state, t as to_state, count(*) as n, {_OK} as allowed from s where f is not null group by 1, 2",
-    "identity_check": f"with {_HITS}, e as (select query_id, count(distinct doc_id) as e from exact group by 1), x as (select query_id, count(distinct doc_id) as x from lexical group by 1) select item_id as query_id, case when e = 1 then 'SAME' when e > 1 then 'UNRESOLVED' when x > 0 then 'POSSIBLE_DUPLICATE' else 'DISTINCT' end as outcome from benchmark left join e on e.query_id = item_id left join x on x.query_id = item_id",
-    "community_search": f"with {_HITS}, h as (select query_id, doc_id, 1 as seed, 0 as words from exact union all select query_id, doc_id, 0, 1 from lexical), s as (select vault, count(*) as n from docs group by 1) select query_id, vault as community, round(100.0::double * max(seed) + 10.0::double * max(words) + ln(any_value(n) + 1.0::double), 6) as score from h join docs using (doc_id) join s using (vault) group by 1, 2",
+    "identity_check": f"with recursive {_HITS}, e as (select query_id, count(distinct doc_id) as e from exact group by 1), x as (select query_id, count(distinct doc_id) as x from lexical group by 1) select item_id as query_id, case when e = 1 then 'SAME' when e > 1 then 'UNRESOLVED' when x > 0 then 'POSSIBLE_DUPLICATE' else 'DISTINCT' end as outcome from benchmark left join e on e.query_id = item_id left join x on x.query_id = item_id",
+    "community_search": f"with recursive {_HITS}, h as (select query_id, doc_id, 1 as seed, 0 as words from exact union all select query_id, doc_id, 0, 1 from lexical), s as (select vault, count(*) as n from docs group by 1) select query_id, vault as community, round(100.0::double * max(seed) + 10.0::double * max(words) + ln(any_value(n) + 1.0::double), 6) as score from h join docs using (doc_id) join s using (vault) group by 1, 2",
     "labelled_coverage": "select source, count(*) as n, round(avg(quality), 6) as mean_quality, round(count(quality) / count(*)::double, 6) as coverage from documents d left join labels l on d.doc_id = l.doc_id group by 1",
     "raw_layer_search": f"with {retrieval.DOCS} select vault, doc_id, row_number() over (partition by vault order by case trust when 'UNVERIFIED' then 0 when 'MACHINE_SUPPORTED' then 1 when 'HUMAN_REVIEWED' then 2 else 3 end desc, length(body) desc, doc_id) as place from docs where layer in ('SOURCE', 'RESOURCE') qualify place <= 5",
 }

@@ -9,7 +9,7 @@ from ..functions import text
 from ..operators import evaluation
 from ..operators import retrieval as op
 from ..sources import bind
-from . import analytics, retrieval
+from . import analytics, chunks, retrieval
 
 #: Metrics that are compared; all are better if higher.
 METRICS = ["mean_recall", "mrr", "mean_ndcg", "pass_rate"]
@@ -74,13 +74,13 @@ REPLIES = r"""replies as (select *, list_distinct(list_filter(regexp_extract_all
 rs as (select conv_id, turn, case when conv_id % 2 = 0 then 'A' else 'B' end as arm, case when len(need) = 0 then 1.0::double else len(list_intersect(need, have)) / len(need)::double end as recall, ceil(length(text) / 4.0) as tokens from replies)"""
 
 SQL = {
-    "run_comparison": f"""with {analytics.RUN}, l as (select configuration, unnest(['mean_recall', 'mrr', 'mean_ndcg', 'pass_rate']) as metric, unnest([mean_recall, mrr, mean_ndcg, pass_rate]) as value from agg where configuration in ('{BASELINE}', '{CANDIDATE}')),
+    "run_comparison": f"""with recursive {analytics.RUN}, l as (select configuration, unnest(['mean_recall', 'mrr', 'mean_ndcg', 'pass_rate']) as metric, unnest([mean_recall, mrr, mean_ndcg, pass_rate]) as value from agg where configuration in ('{BASELINE}', '{CANDIDATE}')),
       m as (select metric, max(value) filter (configuration = '{BASELINE}') as baseline, max(value) filter (configuration = '{CANDIDATE}') as candidate from l group by 1) select metric, baseline, candidate, round(candidate - baseline, 6) as delta from m""",
     "ab_scores": f"with {REPLIES} select conv_id, turn, arm, round(recall, 6) as recall, recall = 1 as correct from rs",
     "ab_arms": f"with {REPLIES} select arm, count(*) as tasks, round(avg(recall), 6) as mean_recall, round(avg((recall = 1)::int), 6) as correctness, round(avg(tokens), 6) as mean_tokens from rs group by 1",
     "tool_selection": """with t as (select l_orderkey as case_id, coalesce(list(distinct l_returnflag) filter (l_linenumber <= 2), []) as e, coalesce(list(distinct l_returnflag) filter (l_linenumber > 2), []) as u from lineitem group by 1),
       c as (select case_id, len(u) - len(list_intersect(u, e)) as unexpected, len(e) - len(list_intersect(e, u)) as missing from t) select case_id, unexpected, missing, unexpected = 0 and missing = 0 as exact from c""",
     "packet_benchmark": "select event_type, count(*) as runs, min(value) as minimum, round(avg(value), 6) as mean, quantile_disc(value, 0.5) as p50, quantile_disc(value, 0.95) as p95, max(value) as maximum, count(distinct props) = 1 as stable from events group by 1",
-    "merge_variants": f"""with {retrieval.GOVERNED}, {retrieval.VECTOR}, v as (select query_id - query_id % 2 as query_id, doc_id, score, query_id % 2 as variant from vector)
+    "merge_variants": f"""with recursive {retrieval.GOVERNED}, {chunks.PLAIN_UNITS}, {retrieval.VECTOR}, v as (select query_id - query_id % 2 as query_id, doc_id, score, query_id % 2 as variant from vector)
       select query_id, doc_id, score, variant from (select *, row_number() over (partition by query_id, doc_id order by score desc, variant) as n from v) where n = 1""",
 }

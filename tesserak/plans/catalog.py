@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import analytics, answers, assurance, benchmarks, code, maintenance, relational, retrieval, rollups, rules, streams
+from . import analytics, answers, assurance, benchmarks, chunks, code, maintenance, relational, retrieval, rollups, rules, streams
 
-MODULES = [retrieval, answers, relational, analytics, benchmarks, assurance, maintenance, rollups, rules, code, streams]
+MODULES = [retrieval, answers, relational, analytics, benchmarks, assurance, maintenance, rollups, rules, chunks, code, streams]
 
 
 def queries() -> dict:

@@ -65,10 +65,11 @@ def derived_rebuild(spark, d):
 
 
 def derived_cleanup(spark, d):
-    """Derived items without any supported dependency left: what a cleanup removes."""
+    """Derived items (a user's day) without any supported dependency left (an event that
+    is no error): what a cleanup removes, and how many dependencies it had."""
     e = bind.table(spark, d, "events")
-    n = e.groupBy("user_id").agg(F.count_if(F.col("event_type") != "error").alias("good"), F.count_if((F.col("event_type") == "error") & (F.col("value") > 20)).alias("bad"))
-    return n.where("bad > 0 and good < 60").select("user_id", "good", "bad")
+    n = e.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count_if(F.col("event_type") != "error").alias("good"), F.count("*").alias("bad"))
+    return n.where("good = 0").select("user_id", "day", "bad")
 
 
 def code_graph_freshness(spark, d):
@@ -151,7 +152,7 @@ SQL = {
     "snapshot_unchanged": f"""with s as (select user_id % 60 as scope, count(*) filter (ts <= {_C}) as was, count(*) filter (ts <= {_L}) as now from events group by 1) select scope, was, now, was = now as unchanged from s where now > 0""",
     "dependency_register": "select user_id, event_type, min(event_id) as first_event, max(event_id) as last_event, count(*) as uses from events group by 1, 2",
     "derived_rebuild": """with i as (select user_id as item_id, arg_min(ts, event_id) as built_at from events where user_id % 2 = 0 group by 1) select item_id, built_at, count(*) as changes, max(ts) as last_change from events join i on item_id = user_id where event_type = 'purchase' and ts > built_at group by 1, 2""",
-    "derived_cleanup": "select user_id, count(*) filter (event_type <> 'error') as good, count(*) filter (event_type = 'error' and value > 20) as bad from events group by 1 having count(*) filter (event_type = 'error' and value > 20) > 0 and count(*) filter (event_type <> 'error') < 60",
+    "derived_cleanup": "select user_id, cast(ts as date) as day, count(*) as bad from events group by 1, 2 having count(*) filter (event_type <> 'error') = 0",
     "code_graph_freshness": """with p as (select s_suppkey as project_id, 'c' || s_suppkey as commit, case when s_suppkey % 13 = 0 then 'FAILED' when s_suppkey % 17 = 0 then 'DEGRADED' else 'REQUESTED' end as status from supplier),
       g as (select o_custkey % 101 as project_id, o_orderkey as id, case when o_orderkey % 3 = 0 then 'RUNTIME' else 'CODE' end as domain, case o_orderstatus when 'O' then 'ACTIVE' when 'P' then 'FAILED' else 'RETIRED' end as life, case when starts_with(o_orderpriority, '1') then 'STALE' else 'FRESH' end as fresh,
         case when o_orderkey % 4 = 0 then 'old' else 'c' || (o_custkey % 101) end as rev, o_orderdate as t from orders),

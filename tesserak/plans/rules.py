@@ -138,12 +138,21 @@ def project_snapshot(spark, d):
     return lines.select("p_partkey", (F.col("line") + 1).alias("line"), F.upper(F.regexp_extract("content", r"^(\w+)", 1)).alias("kind"), found.alias("name")).where("name <> ''")
 
 
+LINKS_PER_LINE = 50
+
+
 def jsonld_export(spark, d):
-    """Nodes as JSON-LD lines: an id, a type and where their edges lead."""
-    e = bind.edges(spark, d)
-    ends = e.groupBy("from_id").agg(F.array_sort(F.collect_set("to_id")).alias("to")).where(F.size("to") <= 50)
-    body = F.concat(F.lit('{"@id":"'), F.col("from_id"), F.lit('","@type":"'), F.substring("from_id", 1, 1), F.lit('","links":["'), F.array_join("to", '","'), F.lit('"]}'))
-    return ends.select(F.col("from_id").alias("node"), body.alias("line"))
+    """Every node as JSON-LD lines: an id, a type and where its edges lead.  A node with
+    many links has numbered lines of about LINKS_PER_LINE, dealt by the other's number."""
+    e = bind.edges(spark, d).select("from_id", "to_id").distinct()
+    parts = e.groupBy("from_id").agg(F.ceil(F.count("*") / F.lit(LINKS_PER_LINE)).alias("parts"))
+    part = F.pmod(F.substring_index("to_id", ":", -1).cast("long"), F.col("parts")).alias("part")
+    linked = e.join(parts, "from_id").groupBy("from_id", part).agg(F.array_sort(F.collect_list("to_id")).alias("to"))
+    nodes = e.select(F.col("from_id").alias("node")).union(e.select("to_id")).distinct()
+    met = nodes.join(linked, nodes.node == linked.from_id, "left").select("node", F.coalesce("part", F.lit(0).cast("long")).alias("part"), F.coalesce("to", F.array().cast("array<string>")).alias("to"))
+    links = F.array_join(F.transform("to", lambda t: F.concat(F.lit('"'), t, F.lit('"'))), ",")
+    body = F.concat(F.lit('{"@id":"'), F.col("node"), F.lit('","@type":"'), F.substring("node", 1, 1), F.lit('","part":'), F.col("part").cast("string"), F.lit(',"links":['), links, F.lit("]}"))
+    return met.select("node", "part", body.alias("line"))
 
 
 def graphml_export(spark, d):
@@ -215,8 +224,9 @@ SQL = {
       k as (select doc_id, b, case when regexp_matches(b, '^\s*#{{1,6}}\s') then 'HEADING' when regexp_matches(b, '^\s*```') then 'CODE' when regexp_matches(b, '^\s*\|.*\|') then 'TABLE' when regexp_matches(b, '^\s*([-*+] |[0-9]+[.)] )') then 'LIST' else 'PARAGRAPH' end as kind from b where trim(b) <> '')
       select doc_id, kind, count(*) as n, cast(sum(ceil(length(b) / 4.0)) as bigint) as tokens from k group by 1, 2""",
     "project_snapshot": """select p_partkey, unnest([2, 4, 6]) as line, unnest(['CLASS', 'FUNCTION', 'ENUM']) as kind, unnest([upper(regexp_replace(p_name, '[^a-z]', '', 'g')[1]) || regexp_replace(p_name, '[^a-z]', '', 'g')[2:], lower(regexp_extract(p_type, '^[A-Za-z_]+')) || case when regexp_matches(p_type, '^[A-Za-z_]+$') then p_partkey::varchar else '' end, 'E' || p_size]) as name from part""",
-    "jsonld_export": """with e as (select 'N:' || n_nationkey as f, 'R:' || n_regionkey as t from nation union all select 'S:' || s_suppkey, 'N:' || s_nationkey from supplier union all select 'N:' || c_nationkey, 'C:' || c_custkey from customer),
-      a as (select f, list_sort(list(distinct t)) as l from e group by 1) select f as node, '{"@id":"' || f || '","@type":"' || f[1] || '","links":["' || array_to_string(l, '","') || '"]}' as line from a where len(l) <= 50""",
+    "jsonld_export": f"""with e as (select 'N:' || n_nationkey as f, 'R:' || n_regionkey as t, n_regionkey as k from nation union select 'S:' || s_suppkey, 'N:' || s_nationkey, s_nationkey from supplier union select 'N:' || c_nationkey, 'C:' || c_custkey, c_custkey from customer),
+      p as (select *, cast(ceil(count(*) over (partition by f) / {LINKS_PER_LINE}.0) as bigint) as parts from e), a as (select f, k % parts as part, list_sort(list(t)) as l from p group by 1, 2), n as (select f as node from e union select t from e)
+      select node, coalesce(part, 0) as part, '{{"@id":"' || node || '","@type":"' || node[1] || '","part":' || coalesce(part, 0) || ',"links":[' || array_to_string(list_transform(coalesce(l, []), lambda x: '"' || x || '"'), ',') || ']}}' as line from n left join a on f = node""",
     "graphml_export": """with e as (select 'N:' || n_nationkey as f, 'R:' || n_regionkey as t, 'related_to' as r from nation union all select 'S:' || s_suppkey, 'N:' || s_nationkey, 'derives_from' from supplier union all select 'N:' || c_nationkey, 'C:' || c_custkey, 'supports' from customer)
       select '<edge source="' || f || '" target="' || t || '"><data key="relation">' || r || '</data></edge>' as line from e""",
     "import_plan": "select doc_id, case when doc_id % 9 = 0 then 'REJECT' when doc_id % 4 = 0 then 'CREATE' when doc_id % 3 = 0 then 'UPDATE' else 'KEEP' end as step from documents",

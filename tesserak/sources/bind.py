@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators import chunking
 
 #: Layers by doc_id modulo 5, and trust tiers from least to most.
 LAYERS = ["COMPILED", "SOURCE", "PROJECT", "CONTEXT_PACK", "RESOURCE"]
@@ -29,6 +30,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source").alias("vault"),
         F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("path"),
         F.concat(F.lit("DOC-"), F.col("doc_id").cast("string")).alias("external_id"),
+        F.array(F.concat_ws("-", "source", F.col("doc_id").cast("string")), F.concat(F.lit("D"), F.col("doc_id").cast("string"), F.lit("X"))).alias("aliases"),
         text.first_line(F.col("text")).alias("title"),
         F.col("text").alias("body"),
         F.when(F.col("quality") == 1, "HUMAN_REVIEWED").when(F.col("quality") == 0, "MACHINE_SUPPORTED").otherwise("UNVERIFIED").alias("trust"),
@@ -38,6 +40,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def structural(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The structural units of documents, whose first line is their title."""
+    t = table(spark, sf_dir, "documents")
+    return chunking.structural_units(t.select("doc_id", text.first_line(F.col("text")).alias("title"), F.col("text").alias("body")))
+
+
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One unit per line that isn't blank: (doc_id, position, content, hash, tokens)."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("position", "content"))

@@ -7,7 +7,6 @@ the session's cluster shares.
 from __future__ import annotations
 
 import io
-import tempfile
 import uuid
 
 import pandas as pd
@@ -15,14 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..operators.graph import shared_dir
 from ..sources import bind
 
 
-def shared_dir(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
-    return f"{named.rstrip('/') if named else 'file://' + tempfile.gettempdir()}/stream-{uuid.uuid4().hex}"
+def own_dir(spark: SparkSession) -> str:
+    """A new folder in the one that the cluster shares."""
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +32,7 @@ def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there and read its sink."""
-    spark, at = stream.sparkSession, shared_dir(stream.sparkSession)
+    spark, at = stream.sparkSession, own_dir(stream.sparkSession)
     query = stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", at + "/state").option("path", at + "/rows").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(at + "/rows")
@@ -43,7 +41,7 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
 def upserted(stream: DataFrame, keys: list[str]) -> DataFrame:
     """Like drained(), for aggregates that change: each batch appends its updates with
     the batch's number, and the newest row of a key counts."""
-    spark, at = stream.sparkSession, shared_dir(stream.sparkSession)
+    spark, at = stream.sparkSession, own_dir(stream.sparkSession)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/rows/batch={number}")
@@ -102,7 +100,7 @@ def gap_ordered_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streaming twin of the batch operator, over the bound inbox written as files."""
     from ..operators.ordered import apply_changes
 
-    at = shared_dir(spark)
+    at = own_dir(spark)
     inbox = bind.inbox(spark, sf_dir).select("connector", "sequence", "object", "change", "value")
     part = F.pmod(F.xxhash64("connector", "sequence"), F.lit(3))
     inbox.withColumn("part", part).repartition(3, "part").drop("part").write.parquet(at + "/inbox")
