@@ -111,6 +111,15 @@ def leiden_communities(spark, d):
     return graph.community_quality(e, graph.communities(e))
 
 
+def copy_communities(spark, d):
+    """Communities of documents that are tied to the first one of their text: with ties
+    that outweigh any size, these are the groups of equal texts."""
+    t = bind.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
+    first = t.groupBy("hash").agg(F.min("doc_id").alias("first"))
+    ties = t.join(first, "hash").where("doc_id <> first").select(F.col("first").alias("from_id"), F.col("doc_id").alias("to_id"), F.lit(1e6).alias("weight"))
+    return graph.communities(ties).select(F.col("node").cast("long").alias("doc_id"), "community")
+
+
 # truth
 
 
@@ -312,7 +321,7 @@ def event_sessions(spark, d):
     return rows.groupBy("user_id", "session_no").agg(F.count("*").alias("n"), F.min("ts").alias("begins"), F.max("ts").alias("ends"))
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, near_duplicate_pairs, embedding_coverage, embedding_reuse, hash_embedding, l2_violations, expand_graph, weighted_paths, best_paths, downstream_invalidation, one_hop_neighbours, graph_summary, connected_components, ppr_k_iterations, ppr_converged, leiden_communities, facts_asof, truth_state, supersession_checks, support_eval, validate_derived, gap_ordered_apply, claimable_events, retry_schedule, change_coalesce, idempotent_dedupe, score_retrieval, score_observation, aggregate_run, select_default, chunk_units, html_text, symbol_text, query_decompose, classify_query, normalize_identity, page_link_counts, revision_chain, daily_event_windows, event_sessions)}
+QUERIES = {f.__name__: f for f in (copy_communities, vector_topk, near_duplicate_pairs, embedding_coverage, embedding_reuse, hash_embedding, l2_violations, expand_graph, weighted_paths, best_paths, downstream_invalidation, one_hop_neighbours, graph_summary, connected_components, ppr_k_iterations, ppr_converged, leiden_communities, facts_asof, truth_state, supersession_checks, support_eval, validate_derived, gap_ordered_apply, claimable_events, retry_schedule, change_coalesce, idempotent_dedupe, score_retrieval, score_observation, aggregate_run, select_default, chunk_units, html_text, symbol_text, query_decompose, classify_query, normalize_identity, page_link_counts, revision_chain, daily_event_windows, event_sessions)}
 
 _AT = "timestamp '2024-01-15 12:00:00'"
 EDGES = """edges as (select 'N:' || n_nationkey as from_id, 'R:' || n_regionkey as to_id, 'related_to' as relation, 1.0::double as weight from nation
@@ -370,6 +379,7 @@ SQL = {
     "near_duplicate_pairs": "select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as score from embeddings a join embeddings b on a.vec_id < b.vec_id where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.35",
     "embedding_coverage": f"with {VECTOR_UNITS} select count(u.unit_id) as expected, count(o.unit_id) as stored, count(*) filter (u.hash = o.hash) as matching from units u full join own o on u.unit_id = o.unit_id",
     "embedding_reuse": f"with {VECTOR_UNITS}, best as (select hash, unit_id as vector_id from (select *, row_number() over (partition by hash order by generation desc, unit_id desc) as n from own) where n = 1) select unit_id, vector_id, vector_id is null as to_compute from units left join best using (hash)",
+    "copy_communities": "select doc_id, min(cast(doc_id as varchar)) over (partition by sha256(text)) as community from documents qualify count(*) over (partition by sha256(text)) > 1",
     "hash_embedding": r"""with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) as token from documents), c as (select doc_id, sha256(token) as h, count(*) as n from w group by doc_id, token),
       s as (select doc_id, cast(('0x' || h[1:4]) as bigint) % 32 as idx, cast(sum(case when cast(('0x' || h[5:6]) as bigint) % 2 = 0 then n else -n end) as bigint) as v from c group by 1, 2)
       select doc_id, idx, round(v / sqrt(sum(v * v) over (partition by doc_id)::double), 6) as value from s where v <> 0""",

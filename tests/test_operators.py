@@ -176,11 +176,16 @@ def test_topk_batch_matches_brute_force(spark):
     u = x / np.linalg.norm(x, axis=1)[:, None]
     want = {(q, int(i)) for q in range(5) for i in np.argsort(-np.round(u @ u[q], 9), kind="stable")[:7]}
     assert {(r.query_id, r.vec_id) for r in vectors.topk_batch(df, asked, 7).collect()} == want
-    with pytest.raises(ValueError):
-        vectors.topk_batch(df, asked, 7, most=10)
+    assert {(r.query_id, r.vec_id) for r in vectors.topk_batch(df, asked, 7, most=100).collect()} == want
 
 
 def test_coverage_links(spark):
     ran = spark.createDataFrame([("a.py", "f", 2), ("a.py", "f", 3), ("a.py", "g", 0), ("b.py", "x", 1)], "path string, function string, count long")
     nodes = spark.createDataFrame([("n1", "a.py", "f"), ("n2", "b.py", "x"), ("n3", "b.py", "x")], "node_id string, path string, name string")
     assert rows(codegraph.coverage_links(ran, nodes)) == [("a.py", "f", 5, "n1", "LINKED"), ("b.py", "x", 1, None, "AMBIGUOUS")]
+
+
+def test_exact_lookup_by_alias_and_abbreviation(spark):
+    docs = spark.createDataFrame([(1, "DOC-SRP", ["One Thing"], "T1", "a.md"), (2, "DOC-2", ["CQRS"], "t1", "b.md"), (3, "DOC-3", ["CQRS", "x"], None, "c.md"), (4, None, None, None, None)], "doc_id long, external_id string, aliases array<string>, title string, path string")
+    asked = spark.createDataFrame([(1, "one THING"), (2, "what is SRP here"), (3, "what is CQRS here"), (4, "CQRS"), (5, "T1"), (6, "B.MD"), (7, "SRP"), (8, "doc-2 X")], "query_id long, lookup string")
+    assert rows(retrieval.exact_lookup(docs, asked)) == [(1, 1, 1), (2, 1, 4), (4, 2, 1), (4, 3, 1), (5, 1, 2), (5, 2, 2), (6, 2, 3)]
