@@ -15,6 +15,8 @@ from hashlib import sha256
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..functions.cues import retains
+
 #: Gaps and actions that a packet states.
 NOTHING = "No supported material matched the request."
 NO_EVIDENCE = "No source or evidence citation matched the request."
@@ -110,9 +112,10 @@ class Draft:
         return self.primary is not None and all(_key(c) != _key(self.primary) for c, _ in self.sections) and any(_key(c) == _key(self.primary) for c in self.omitted)
 
     def weakened(self) -> bool:
-        """Whether the best ranked candidate is cut so that the query isn't in it any more."""
+        """Whether the best ranked candidate is cut so that it doesn't support the query any
+        more, an echo of the query apart."""
         shown = [t for c, t in self.sections if self.primary is not None and _key(c) == _key(self.primary) and t != c["content"]]
-        return bool(shown) and self.query.strip().lower() not in shown[0].lower()
+        return bool(shown) and not retains(shown[0], self.query)
 
     def packet(self, mode: str) -> dict:
         citations = sorted({x for c, _ in self.sections for x in c["citations"] or []})

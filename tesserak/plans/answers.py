@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import cues, planning, text
 from ..operators import packets
 from ..operators import retrieval as op
 from ..sources import bind
@@ -125,7 +125,41 @@ def pack_context(spark, d):
     return packets.pack_context(asked)
 
 
-QUERIES = {f.__name__: f for f in (pack_context, match_reason, support_reasons, answerability, partition_hits, candidate_order, disclosure_levels, best_term_window, evidence_fragment, parent_rehydration, projection_retains_support, material_conflicts)}
+#: How questions begin, by the query's number; the sixth is a name to look up.
+STARTS = ["how to avoid ", "why is ", "when must ", "what is ", "", "DOC-7 ", "compare ", "the rule of "]
+
+
+def answer_cues(spark, d):
+    """Whether each hit answers what its question asks for, by text, cues and vectors."""
+    start = F.element_at(F.array(*map(F.lit, STARTS)), (F.col("query_id") % len(STARTS) + 1).cast("int"))
+    asked = _queries(spark, d).select("query_id", F.trim(F.concat(start, F.when(F.col("query_id") % 8 != 5, F.col("query")).otherwise(""))).alias("query"))
+    hits = retrieval.hybrid_search_rrf(spark, d).select("query_id", "doc_id")
+    docs = bind.table(spark, d, "documents").select("doc_id", F.col("text").alias("passage"))
+    near = retrieval.vector_channel(spark, d).select("query_id", "doc_id", F.col("rank").alias("vector_rank"))
+    rows = hits.join(docs, "doc_id").join(asked, "query_id").join(near, ["query_id", "doc_id"], "left")
+    rows = rows.withColumn("asked", cues.folded("query")).withColumn("held", cues.folded("passage"))
+    rows = rows.withColumn("asked", cues.words(F.col("asked"))).withColumn("held", cues.words(F.col("held")))
+    found = cues.signal(F.col("query"), F.col("asked"), F.col("passage"), F.col("held"), F.col("vector_rank"))
+    return rows.select("query_id", "doc_id", *[c.alias(n) for n, c in found.items()])
+
+
+#: What turns of a conversation are asked for, by number, and intents that are requested.
+TASKS = ["What is ", "compare ", "impact of ", "workflow for ", "verify the source of ", "ADR-12 ", "global panorama of ", "repository code in OrderService.run ", "", "permission as of today: "]
+REQUESTED = [None, "global_synthesis", None, "nonsense", "NO_RETRIEVAL_REQUIRED", None, None]
+
+
+def plan_query(spark, d):
+    """Intent, shapes, strategy and channels of every turn of the conversations."""
+    t = bind.table(spark, d, "conversations")
+    k = F.col("conv_id") * 3 + F.col("turn")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+    bits = {"vector": 2, "graph": 3, "community": 5, "raw": 4, "code": 2, "context_pack": 3}
+    rows = t.select("conv_id", "turn", F.concat(pick(TASKS), F.coalesce("text", F.lit(""))).alias("query"), pick(REQUESTED).alias("requested"), *[(k % n != 0).alias(name) for name, n in bits.items()])
+    found = planning.plan(F.col("query"), F.col("requested"), F.col)
+    return rows.select("conv_id", "turn", *[(F.array_join(c, ",") if n in ("shapes", "channels", "omitted") else c).alias(n) for n, c in found.items()])
+
+
+QUERIES = {f.__name__: f for f in (answer_cues, plan_query, pack_context, match_reason, support_reasons, answerability, partition_hits, candidate_order, disclosure_levels, best_term_window, evidence_fragment, parent_rehydration, projection_retains_support, material_conflicts)}
 
 REASONS = f"""{HYBRID}, hit as (select r.query_id, r.doc_id, r.rank, r.channels, {_salient("b.text")} as want, {_salient("d.text")} as have from ranked r join documents d using (doc_id) join benchmark b on b.item_id = r.query_id where r.rank <= 10),
   sup as (select *, len(want) as n, len(list_intersect(want, have)) as o from hit),
@@ -133,7 +167,57 @@ REASONS = f"""{HYBRID}, hit as (select r.query_id, r.doc_id, r.rank, r.channels,
 CANDIDATES = f"{HYBRID}, cand as (select r.query_id, r.doc_id, r.score, r.rank, d.*exclude(doc_id) from ranked r join docs d using (doc_id) where r.rank <= 10)"
 _LINE = "trim(regexp_replace(content, '[ \\t\\r\\n]+', ' ', 'g'))"
 
+
+
+def _held_cues(tokens: str, table: dict[str, str]) -> str:
+    line = f"' ' || array_to_string({tokens}, ' ') || ' '"
+    return "list_filter([" + ", ".join(f"case when regexp_matches({line}, '{cues.pattern(v)}') then '{k}' end" for k, v in table.items()) + "], lambda x: x is not null)"
+
+
+def _in_order(x: str) -> str:
+    """Distinct items of a list, each at its first place."""
+    return f"list_filter({x}, lambda t, i: list_position({x}, t) = i)"
+
+
+_WORDS = lambda x: rf"list_filter(regexp_extract_all(lower(strip_accents({x})), '[\p{{L}}\p{{N}}]+'), lambda t: length(t) >= {cues.LEAST})"
+_STARTS = "[" + ", ".join(f"'{x}'" for x in STARTS) + "]"
+CUES = f"""{HYBRID}, question as (select item_id as query_id, trim(({_STARTS})[item_id % {len(STARTS)} + 1] || case when item_id % 8 <> 5 then text else '' end) as query from benchmark),
+  met as (select r.query_id, r.doc_id, q.query, d.text as passage, v.rank as vector_rank, {_WORDS("q.query")} as a, {_WORDS("d.text")} as h
+    from ranked r join documents d using (doc_id) join question q using (query_id) left join vector v on v.query_id = r.query_id and v.doc_id = r.doc_id where r.rank <= 10),
+  pair as (select *, {_in_order("a")} as asked, {_in_order("h")} as held, list_distinct(h) as bag from met),
+  cue as (select *, case when regexp_matches(query, '{cues.NAME}') and (regexp_matches(query, '[0-9_:/.]') or (contains(query, '-') and query = upper(query))) then [] else {_held_cues("asked", cues.ASKED)} end as required, {_held_cues("held", cues.ANSWERED)} as answers,
+    list_filter(asked, lambda t: length(t) >= 3 and not list_contains([{retrieval._STOP}], t)) as salient from pair),
+  sums as (select *, list_filter(required, lambda x: list_contains(answers, x)) as matched, len(salient) as n, len(list_intersect(salient, bag)) as met from cue),
+  ok as (select *, len(matched) = len(required) as answered, case when n > 0 then met / n::double else 0 end as share from sums)"""
+_Q = "coalesce(q, '')"
+_LINE_OF = r"' ' || array_to_string(regexp_extract_all(lower(q), '[\p{L}\p{N}]+'), ' ') || ' '"
+
+
+def _shown(words: list[str], beginnings: bool = False) -> str:
+    return f"regexp_matches({_LINE_OF}, '{planning.words_pattern(words, beginnings)}')"
+
+
+def _shape(name: str) -> str:
+    test = {"EXACT_IDENTIFIER": f"regexp_matches(q, '{planning.IDENTIFIER}')", "PERMISSION_SENSITIVE_FEDERATED": _shown(planning.ACCESS)}.get(name) or _shown(text.SHAPES[name])
+    more = [f"intent = '{i}'" for i, s in planning.IMPLIED.items() if s == name] + ([f"regexp_matches(q, '{planning.CODE}')"] if name == "CODE_SYMBOL_OR_PATH" else [])
+    return f"case when {' or '.join([test, *more])} then '{name}' end"
+
+
+_PICK = lambda values: "([" + ", ".join("null" if v is None else f"'{v}'" for v in values) + f"])[(conv_id * 3 + turn) % {len(values)} + 1]"
+PLAN = f"""turns as (select conv_id, turn, {_PICK(TASKS)} || coalesce(text, '') as q, upper({_PICK(REQUESTED)}) as asked, (conv_id * 3 + turn) as k from conversations),
+  can as (select *, k % 2 <> 0 as vector, k % 3 <> 0 as graph, k % 5 <> 0 as community, k % 4 <> 0 as raw, k % 2 <> 0 as code, k % 3 <> 0 as context_pack from turns),
+  i as (select *, case when asked in ({", ".join(f"'{x}'" for x in planning.CHANNELS)}) then asked {" ".join(f"when {_shown(w, n in planning.BEGINNINGS)} then '{n}'" for n, w in planning.INTENTS.items())} when regexp_matches(q, '{planning.IDENTIFIER}') then 'EXACT_LOOKUP' else 'CONCEPTUAL' end as intent from can),
+  s as (select *, list_filter([{", ".join(_shape(n) for n in planning.shape_names())}], lambda x: x is not null) as shapes, case intent {" ".join(f"when '{n}' then {c}::varchar[]" for n, c in planning.CHANNELS.items())} end as listed from i),
+  w as (select *, list_filter(listed, lambda c: not (c = 'vector' and not vector and intent in ('CONCEPTUAL', 'COMPARISON'))) as wanted, list_filter([{", ".join(f"case when not {n} then '{c}' end" for c, n in planning.NEEDS.items())}], lambda x: x is not null) as missing from s),
+  c as (select *, list_filter(wanted, lambda c: not list_contains(missing, c)) as channels from w)"""
+
 SQL = {
+    "answer_cues": f"""with recursive {CUES}, r as (select *, case when trim(passage) = '' then 'NO_CONCRETE_PASSAGE' when n > 0 and met >= least({cues.OVERLAP}, greatest(n, 1)) and share >= {cues.COVERAGE} and answered then 'PASSAGE_TEXT_SUPPORT'
+      when len(required) > 0 and answered and coalesce(vector_rank <= {cues.VECTOR_RANK}, false) then 'PASSAGE_CUE_SUPPORT' when not answered then 'ANSWER_CUE_MISMATCH' else 'PASSAGE_SUPPORT_NOT_DEMONSTRATED' end as reason from ok)
+      select query_id, doc_id, reason in ('PASSAGE_TEXT_SUPPORT', 'PASSAGE_CUE_SUPPORT') as supported, reason, round(share, 6) as coverage, array_to_string(required, ',') as required, array_to_string(matched, ',') as matched from r""",
+    "plan_query": f"""with {PLAN} select conv_id, turn, intent, array_to_string(shapes, ',') as shapes, case when intent = 'IMPACT_ANALYSIS' and graph then 'ASSOCIATIVE' when intent = 'GLOBAL_SYNTHESIS' and community then 'GLOBAL' when intent in ('CONCEPTUAL', 'COMPARISON') and community then 'DRIFT' else 'LOCAL' end as strategy,
+      array_to_string(channels, ',') as channels, array_to_string(list_filter(wanted, lambda c: list_contains(missing, c)), ',') as omitted, case when not list_contains(channels, 'graph') then 0 when list_contains(shapes, 'MULTI_HOP') then 3 else 1 end as max_hops,
+      intent = 'SOURCE_VERIFICATION' as require_evidence, case when list_contains(shapes, 'CORPUS_GLOBAL_SYNTHESIS') then 1 else 3 end as per_document from c""",
     "match_reason": f"with recursive {HYBRID} select layer, reason, count(*) as n, max(raw_score) as best from lexical join governed using (doc_id) group by 1, 2",
     "support_reasons": f"with recursive {REASONS} select query_id, doc_id, rank, reason, reason <> 'PASSAGE_SUPPORT_NOT_DEMONSTRATED' as supported from reasons",
     "answerability": f"""with recursive {REASONS}, k as (select query_id, count(*) as n, count(*) filter (reason <> 'PASSAGE_SUPPORT_NOT_DEMONSTRATED') as n_supported, bool_or(reason = 'DIRECT_CHANNEL_SUPPORT') as direct from reasons group by 1),

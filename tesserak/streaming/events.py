@@ -6,13 +6,12 @@ the session's cluster shares.
 
 from __future__ import annotations
 
-import io
 import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators.graph import shared_dir
 from ..sources import bind
@@ -73,27 +72,56 @@ def distinct_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(e.dropDuplicatesWithinWatermark(["event_id"]).select("event_id", "user_id", "event_type"))
 
 
-_STATE = "applied long, waiting string"
 _OUT = "connector long, sequence long, object string, change string, value double"
-
-
-def _apply(key, frames, state):
-    """Apply a connector's events in sequence; later ones wait until the gap closes."""
-    applied, waiting = state.get if state.exists else (0, "[]")
-    held = pd.read_json(io.StringIO(waiting)) if waiting != "[]" else pd.DataFrame()
-    rows = pd.concat([held, *[f[["sequence", "object", "change", "value"]] for f in frames]], ignore_index=True)
-    rows = rows.drop_duplicates("sequence").sort_values("sequence").reset_index(drop=True)
-    rows = rows[rows.sequence > applied].reset_index(drop=True)
-    ready = rows[rows.sequence == applied + 1 + rows.index]
-    rest = rows.iloc[len(ready) :]
-    state.update((int(applied + len(ready)), rest.to_json(orient="records")))
-    yield ready.assign(connector=key[0])[["connector", "sequence", "object", "change", "value"]]
+_WAITING = "object string, change string, value double"
+
+
+class GapOrdered(StatefulProcessor):
+    """Applies a connector's events in sequence; later ones wait until the gap closes.
+
+    What waits is one state entry per sequence number, so a batch reads and writes
+    its own events and those that come free, however long the backlog is.  A sequence
+    that was applied, or waits, is passed over when it comes again.
+    """
+
+    def init(self, handle) -> None:
+        self.applied = handle.getValueState("applied", "sequence long")
+        self.waiting = handle.getMapState("waiting", "sequence long", _WAITING)
+
+    def handleInputRows(self, key, rows, timerValues):
+        applied = self.applied.get()[0] if self.applied.exists() else 0
+        first, out, backlog = applied, [], self.waiting.exists()
+        for frame in rows:
+            for r in frame.sort_values("sequence").itertuples():
+                row = (r.object, r.change, None if pd.isna(r.value) else float(r.value))
+                if r.sequence == applied + 1:
+                    applied += 1
+                    out.append((key[0], applied, *row))
+                    while backlog and self.waiting.containsKey((applied + 1,)):
+                        applied += 1
+                        out.append((key[0], applied, *self.waiting.getValue((applied,))))
+                        self.waiting.removeKey((applied,))
+                elif r.sequence > applied and not self.waiting.containsKey((int(r.sequence),)):
+                    self.waiting.updateValue((int(r.sequence),), row)
+                    backlog = True
+        if applied > first:
+            self.applied.update((applied,))
+        if out:
+            yield pd.DataFrame(out, columns=["connector", "sequence", "object", "change", "value"])
+
+    def close(self) -> None:
+        pass
+
+
+#: The state store that keeps entries of a map apart.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def gap_ordered_changes(inbox: DataFrame) -> DataFrame:
     """A stream (connector, sequence, object, change, value) in order, without what
-    comes after a gap.  State per connector: the last sequence and what waits."""
-    return inbox.groupBy("connector").applyInPandasWithState(_apply, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    comes after a gap."""
+    inbox.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    return inbox.groupBy("connector").transformWithStateInPandas(statefulProcessor=GapOrdered(), outputStructType=_OUT, outputMode="append", timeMode="none")
 
 
 def gap_ordered_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
