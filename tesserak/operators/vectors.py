@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .graph import cut
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -124,30 +125,93 @@ def embedded(rows: DataFrame, dims: int = 64) -> DataFrame:
     return rows.select(F.col("id").cast("long").alias("id"), "text").mapInArrow(run, "id long, embedding array<int>")
 
 
-def near_duplicate_pairs(vectors: DataFrame, least: float, axes: int = 3, dims: int = 64) -> DataFrame:
-    """(a, b, score): pairs of unit vectors with cosine >= least, exactly, a < b.
-
-    Such pairs lie within d = sqrt(2 - 2 least).  Along each of ``axes`` fixed unit
-    directions their coordinates differ by at most d, so with cells of width d
-    they are in the same or neighbouring cells; one side is copied to the
-    neighbours and the join is an equi join.  The nearer ``least`` is to 1, the
-    finer the cells.
+def near_duplicate_pairs(vectors: DataFrame, least: float, per_pivot: int = 1024, pivots: int = 1024, part: int = 4096) -> DataFrame:
+    """(a, b, score): pairs of vectors (vec_id, embedding) with cosine >= least, exactly,
+    a < b.
+
+    Every vector has the nearest of some pivots as its home, and a home's radius is its
+    farthest vector's angle.  By the triangle inequality a vector x has partners at home
+    h only if its angle to that pivot is at most the radius and the wanted angle
+    together; it is sent to those homes alone, and compared there by blocks.  Of two
+    homes the later one compares.  Vectors in clusters meet few homes.  In data
+    without any structure, or for a low ``least``, all homes are within reach, and the
+    join is a product in blocks: angles then hardly differ, and no bound on them can
+    tell pairs apart.  Pivots are one vector in ``per_pivot``, ``pivots`` at most, so
+    they fit every task; a home of more than ``part`` vectors is dealt to parts.
+    Vectors that are null or zero, or whose length isn't the usual one, have no pairs.
     """
-    width = math.sqrt(max(2 - 2 * least, 1e-6)) * (1 + 1e-6)
-    cells = []
-    for axis in range(axes):
-        signs = [1.0 if (i >> axis) & 1 else -1.0 for i in range(dims)]
-        along = dot(F.col("embedding"), F.array(*map(F.lit, signs))) / math.sqrt(dims)
-        cells.append(F.floor(along / width).cast("long"))
-    own = vectors.select("vec_id", "embedding", *[c.alias(f"c{i}") for i, c in enumerate(cells)])
-    near = own
-    for i in range(axes):
-        near = near.withColumn(f"c{i}", F.explode(F.sequence(F.col(f"c{i}") - 1, F.col(f"c{i}") + 1)))
-    right = near.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"), *[f"c{i}" for i in range(axes)])
-    left = own.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x"), *[f"c{i}" for i in range(axes)])
-    met = left.join(right, [f"c{i}" for i in range(axes)]).where("a < b")
+    import numpy as np
+    import pyarrow as pa
+
+    x = F.col("embedding").cast("array<double>")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("embedding")).where(F.exists("embedding", lambda v: v != 0))
+    usual = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    none = vectors.sparkSession.createDataFrame([], "a long, b long, score double")
+    if usual is None:
+        return none
+    rows = cut(rows.where(F.size("embedding") == usual["n"]))
+    wanted = max(1, min(pivots, -(-usual["count"] // per_pivot)))
+    chosen = rows.select("embedding", F.xxhash64("vec_id").alias("h")).orderBy("h").limit(wanted).collect()
+    centre = np.array([r.embedding for r in chosen])
+    shared = vectors.sparkSession.sparkContext.broadcast(centre / np.linalg.norm(centre, axis=1)[:, None])
+
+    def unit(b) -> np.ndarray:
+        flat = b.column("embedding").combine_chunks() if isinstance(b.column("embedding"), pa.ChunkedArray) else b.column("embedding")
+        v = flat.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+        return v / np.linalg.norm(v, axis=1)[:, None]
+
+    def angles(b) -> np.ndarray:
+        return np.arccos(np.clip(unit(b) @ shared.value.T, -1, 1))
+
+    def homes(batches):
+        for b in batches:
+            far = angles(b)
+            home = far.argmin(axis=1)
+            yield pa.record_batch([b.column("vec_id"), b.column("embedding"), pa.array(home), pa.array(far[np.arange(len(home)), home])], ["vec_id", "embedding", "home", "angle"])
+
+    at_home = cut(rows.mapInArrow(homes, "vec_id long, embedding array<double>, home long, angle double"))
+    held = {r.home: (r.radius, r.n) for r in at_home.groupBy("home").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()}
+    radius = np.array([held.get(i, (-np.inf, 0))[0] for i in range(len(centre))])
+    parts = {h: -(-n // part) for h, (_, n) in held.items()}
+    reach = math.acos(min(1.0, max(-1.0, least))) + 1e-6
+
+    def sent(batches):
+        for b in batches:
+            home = b.column("home").to_numpy()
+            far = angles(b)
+            near = (far <= radius + reach) & (np.arange(len(radius)) >= home[:, None])
+            row, to = np.nonzero(near)
+            count = np.array([parts.get(int(h), 0) for h in to], dtype=np.int64)
+            row, to = np.repeat(row, count), np.repeat(to, count)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            for i in range(0, len(row), 20_000):
+                take = pa.array(row[i : i + 20_000])
+                yield pa.record_batch([pa.array(to[i : i + 20_000]), pa.array(piece[i : i + 20_000]), b.column("vec_id").take(take), b.column("embedding").take(take), b.column("home").take(take)], ["cell", "part", "vec_id", "embedding", "home"])
+
+    visits = at_home.mapInArrow(sent, "cell long, part long, vec_id long, embedding array<double>, home long")
+    dealt = F.create_map(*[F.lit(v) for h, n in parts.items() for v in (h, n)]) if parts else F.create_map(F.lit(0), F.lit(1))
+    residents = at_home.select(F.col("home").alias("cell"), F.pmod(F.xxhash64("vec_id"), dealt[F.col("home")]).alias("part"), "vec_id", "embedding")
+
+    def compared(key, left, right):
+        if not left.num_rows or not right.num_rows:
+            return none_found
+        cell = key[0].as_py()
+        own, ids = right.column("vec_id").to_numpy(), left.column("vec_id").to_numpy()
+        home, x, y = left.column("home").to_numpy(), unit(left), unit(right)
+        out = []
+        for at in range(0, len(ids), 1024):
+            near = x[at : at + 1024] @ y.T
+            inside = (home[at : at + 1024, None] < cell) | (ids[at : at + 1024, None] < own)
+            i, j = np.nonzero((near >= least - 1e-9) & inside & (ids[at : at + 1024, None] != own))
+            out.append((ids[at + i], own[j]))
+        a, b = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    none_found = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    pairs = visits.groupBy("cell", "part").cogroup(residents.groupBy("cell", "part")).applyInArrow(compared, "a long, b long").distinct()
+    named = lambda side, v: at_home.select(F.col("vec_id").alias(side), F.col("embedding").alias(v))
     score = cosine(F.col("x"), F.col("y"))
-    return met.where(score >= least).select("a", "b", F.round(score, 6).alias("score"))
+    return pairs.join(named("a", "x"), "a").join(named("b", "y"), "b").where(score >= least).select("a", "b", F.round(score, 6).alias("score"))
 
 
 def embedding_coverage(units: DataFrame, vectors: DataFrame) -> DataFrame:

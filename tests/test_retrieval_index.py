@@ -229,3 +229,34 @@ def test_top_k_in_blocks_and_by_best_row(spark):
             best = {j: max(round(cos[i, r], 9) for r in range(j, 400, 150)) for j in range(150)}
             want = sorted(best, key=lambda j: (-best[j], j))[:7]
             assert got[got.query_id == i].sort_values("rank").vec_id.tolist() == want
+
+
+@pytest.mark.parametrize(("per", "part"), [(1024, 4096), (20, 4096), (7, 11)])
+@pytest.mark.parametrize("least", [0.3, 0.9, 0.999])
+def test_near_pairs_are_exact(spark, per, part, least):
+    rng = np.random.default_rng(4)
+    x = np.concatenate((rng.normal(size=(120, 16)), np.repeat(rng.normal(size=(6, 16)), 15, axis=0) + rng.normal(scale=0.15, size=(90, 16)), np.repeat(rng.normal(size=(1, 16)), 30, axis=0)))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 16), (902, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(u @ u.T >= least, 1)), strict=True)}
+    got = vectors.near_duplicate_pairs(df, least, per_pivot=per, part=part).collect()
+    assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
+    assert vectors.near_duplicate_pairs(df.where("vec_id > 899"), least).count() == 0
+
+
+def test_clustered_vectors_meet_few_homes(spark):
+    rng = np.random.default_rng(6)
+    centre = rng.normal(size=(40, 32))
+    x = np.repeat(centre, 50, axis=0) + rng.normal(scale=0.1, size=(2000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    pivots = [r.vec_id for r in df.select("vec_id", F.xxhash64("vec_id").alias("h")).orderBy("h").limit(200).collect()]
+    angle = np.arccos(np.clip(u @ u[pivots].T, -1, 1))
+    home = angle.argmin(axis=1)
+    radius = np.array([angle[home == i, i].max(initial=-np.inf) for i in range(200)])
+    near = (angle <= radius + np.arccos(0.9)) & (np.arange(200) >= home[:, None])
+    compared = sum(int(near[:, i].sum()) * int((home == i).sum()) for i in range(200))
+    assert compared < 0.05 * len(x) ** 2 / 2
+    got = {(r.a, r.b) for r in vectors.near_duplicate_pairs(df, 0.9, per_pivot=10).collect()}
+    assert got == {(i, j) for i, j in zip(*np.nonzero(np.triu(u @ u.T >= 0.9, 1)), strict=True)}
