@@ -9,13 +9,15 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import filters, lexical, retrieval, vectors
+from ..operators import filters, graph, lexical, retrieval, vectors
 from ..operators.graph import cut, shared_dir
 from ..sources import bind
 from .chunks import PLAIN_UNITS
+from .rules import link_resolution
 
 SCOPES = [("src0", None), ("src1", "src1/en"), ("src2", "src2/fr"), ("src3", None), ("src4", "src4/de"), ("src5", None), ("src6", None), ("src7", "src7/en"), ("src8", None), ("src9", None), ("src10", None)]
 
@@ -131,6 +133,21 @@ def _channels(spark, d):
     return out
 
 
+def ppr_channel(spark, d):
+    """(query_id, doc_id, score, rank): the 20 documents that links lead to most from a
+    query's exact, lexical and vector hits, which are seeds by their fused ranks."""
+    n = link_resolution(spark, d).where("to_doc is not null and doc_id <> to_doc")
+    links = n.select(F.col("doc_id").alias("from_id"), F.col("to_doc").alias("to_id"), F.lit("links_to").alias("relation"), F.lit(1.0).alias("weight"))
+    lexical_hits = retrieval.ranked(lexical_search(spark, d), [F.desc("raw_score"), "doc_id"], "lexical")
+    near = vector_channel(spark, d).select("query_id", "doc_id", F.lit("vector").alias("channel"), "rank")
+    exact = retrieval.ranked(retrieval.exact_lookup(governed(spark, d), own_lookups(spark, d)), ["match_rank", "doc_id"], "exact")
+    fused = cut(retrieval.rrf_fuse(exact.unionByName(lexical_hits).unionByName(near)))
+    score = graph.ppr_push(fused.select("query_id", F.col("doc_id").alias("seed"), F.col("score").alias("weight")), links)
+    found = score.withColumnRenamed("node", "doc_id").join(fused.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").join(governed(spark, d).select("doc_id"), "doc_id", "left_semi")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 8)), "doc_id")
+    return found.withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 20").select("query_id", "doc_id", F.round("score", 8).alias("score"), "rank")
+
+
 def rrf_fuse_rows(channels, limit):
     return retrieval.rrf_fuse(channels, limit=limit)
 
@@ -303,7 +320,7 @@ def _salient(column: str) -> str:
     return rf"list_distinct(list_filter(regexp_extract_all(lower({column}), '[\p{{L}}\p{{N}}]+'), lambda t: length(t) >= 3 and not list_contains([{_STOP}], t)))"
 
 
-QUERIES = {f.__name__: f for f in (hybrid_search_rrf, exact_lookup, lexical_search, vector_channel, scope_trust_filter, mode_filter, rrf_fuse, lexical_rerank, passage_support, diversity_interleave, pack_context_char4)}
+QUERIES = {f.__name__: f for f in (ppr_channel, hybrid_search_rrf, exact_lookup, lexical_search, vector_channel, scope_trust_filter, mode_filter, rrf_fuse, lexical_rerank, passage_support, diversity_interleave, pack_context_char4)}
 
 SQL = {
     "hybrid_search_rrf": f"with recursive {HYBRID} select query_id, doc_id, score, channels, rank from ranked where rank <= 10",

@@ -189,3 +189,35 @@ def test_exact_lookup_by_alias_and_abbreviation(spark):
     docs = spark.createDataFrame([(1, "DOC-SRP", ["One Thing"], "T1", "a.md"), (2, "DOC-2", ["CQRS"], "t1", "b.md"), (3, "DOC-3", ["CQRS", "x"], None, "c.md"), (4, None, None, None, None)], "doc_id long, external_id string, aliases array<string>, title string, path string")
     asked = spark.createDataFrame([(1, "one THING"), (2, "what is SRP here"), (3, "what is CQRS here"), (4, "CQRS"), (5, "T1"), (6, "B.MD"), (7, "SRP"), (8, "doc-2 X")], "query_id long, lookup string")
     assert rows(retrieval.exact_lookup(docs, asked)) == [(1, 1, 1), (2, 1, 4), (4, 2, 1), (4, 3, 1), (5, 1, 2), (5, 2, 2), (6, 2, 3)]
+
+
+def test_ppr_push_is_within_its_tolerance(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    n = 40
+    pairs = [(int(a), int(b), "r", float(w)) for a, b, w in zip(rng.integers(0, 30, 140), rng.integers(0, n, 140), rng.uniform(0.1, 2, 140), strict=True)] + [(0, 1, "r", 0.0), (1, 2, "q", 3.0), (1, 2, "q", 1.0)]
+    seeds = [(1, 0, 2.0), (1, 5, 1.0), (2, 35, 1.0), (3, 999, 1.0), (4, 3, 0.0), (5, 7, 1.0), (5, 7, 1.0)]
+    weight = {}
+    for a, b, r, w in pairs:
+        weight[a, b, r] = max(weight.get((a, b, r), 0), w)
+    step = np.zeros((n, n))
+    for (a, b, _), w in weight.items():
+        step[a, b] += w
+    out = step.sum(axis=1)
+    df = graph.ppr_push(spark.createDataFrame(seeds, "query_id long, seed long, weight double"), spark.createDataFrame(pairs, "from_id long, to_id long, relation string, weight double"), tolerance=0.004)
+    got = {}
+    for r in df.collect():
+        got.setdefault(r.query_id, {})[r.node] = r.score
+    assert got.keys() == {1, 2, 3, 5} and got[3] == pytest.approx({999: 1.0}, abs=0.004)
+    for q in (1, 2, 5):
+        start = np.zeros(n)
+        for i, seed, w in seeds:
+            start[seed if seed < n else 0] += w if i == q else 0
+        start = start / start.sum()
+        score = start.copy()
+        for _ in range(400):
+            flow = np.divide(score, out, out=np.zeros(n), where=out > 0) @ step + score[out == 0].sum() * start
+            score = 0.15 * start + 0.85 * flow
+        mine = np.array([got[q].get(i, 0.0) for i in range(n)])
+        assert np.abs(mine - score).sum() <= 0.004 and (mine <= score + 1e-12).all()
