@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Keys that an export leaves out, as a pattern on the key and as names
 #: without underscores and hyphens.
@@ -55,6 +60,44 @@ def redacted(payload: Column, most: int) -> Column:
     return F.transform_values(safe, lambda _, v: F.when(F.octet_length(v) > most, F.concat(F.substring(v, 1, most), F.lit("…[TRUNCATED]"))).otherwise(v))
 
 
+#: What an absolute path looks like, and the mark of a value that was cut.
+ABSOLUTE = r"^(?:[A-Za-z]:[\\/]|\\\\|/)"
+CUT = "…[TRUNCATED]"
+
+
+def _safe(value, key: str, most: int):
+    """A JSON value without what an export leaves out, at any depth; ... if all of it."""
+    name = key.replace("_", "").replace("-", "").lower()
+    if re.search(SENSITIVE_KEY, key) or name in SENSITIVE_NAMES:
+        return ...
+    if isinstance(value, str):
+        if name.endswith("path") and re.match(ABSOLUTE, value):
+            return ...
+        return value if len(value.encode()) <= most else value[:most] + CUT
+    if isinstance(value, list):
+        return [x for x in (_safe(v, "", most) for v in value) if x is not ...]
+    if isinstance(value, dict):
+        return {k: x for k, x in ((k, _safe(v, k, most)) for k, v in value.items()) if x is not ...}
+    return value
+
+
+def safe_json(payload: Column, most: int) -> Column:
+    """A JSON text without sensitive keys and absolute paths at any depth, with keys in
+    order; texts of over ``most`` bytes are cut and marked.  What is no JSON is null."""
+
+    def clean(values: pd.Series) -> pd.Series:
+        def one(v: str | None) -> str | None:
+            try:
+                return None if v is None else json.dumps(_safe(json.loads(v), "", most), ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+            except ValueError:
+                return None
+
+        return values.map(one)
+
+    clean.__annotations__ = {"values": pd.Series, "return": pd.Series}
+    return F.pandas_udf(clean, T.StringType())(payload)
+
+
 def canonical_json(payload: Column) -> Column:
     """A map<string,string> as JSON with keys in order."""
     entries = F.array_sort(F.map_entries(payload))

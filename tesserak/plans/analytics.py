@@ -262,6 +262,14 @@ def select_default(spark, d):
     return evaluation.select_default(runs)
 
 
+def promotion_gates(spark, d):
+    """Which releases (nations) may make the measured winner the default."""
+    runs = aggregate_run(spark, d).withColumn("uses_vectors", F.col("configuration").isin([n for n, c in CONFIGURATIONS.items() if "vector" in c]))
+    gate = F.posexplode(F.array(*map(F.lit, evaluation.GATES))).alias("i", "gate")
+    evidence = bind.table(spark, d, "nation").select(F.col("n_name").alias("release"), "n_nationkey", gate).withColumn("passed", F.expr("n_nationkey % 7 = 0 or shiftright(n_nationkey, 1) % (i + 2) <> 1"))
+    return evaluation.promotion(runs, evidence.select("release", "gate", "passed"))
+
+
 # content
 
 
@@ -321,7 +329,7 @@ def event_sessions(spark, d):
     return rows.groupBy("user_id", "session_no").agg(F.count("*").alias("n"), F.min("ts").alias("begins"), F.max("ts").alias("ends"))
 
 
-QUERIES = {f.__name__: f for f in (copy_communities, vector_topk, near_duplicate_pairs, embedding_coverage, embedding_reuse, hash_embedding, l2_violations, expand_graph, weighted_paths, best_paths, downstream_invalidation, one_hop_neighbours, graph_summary, connected_components, ppr_k_iterations, ppr_converged, leiden_communities, facts_asof, truth_state, supersession_checks, support_eval, validate_derived, gap_ordered_apply, claimable_events, retry_schedule, change_coalesce, idempotent_dedupe, score_retrieval, score_observation, aggregate_run, select_default, chunk_units, html_text, symbol_text, query_decompose, classify_query, normalize_identity, page_link_counts, revision_chain, daily_event_windows, event_sessions)}
+QUERIES = {f.__name__: f for f in (promotion_gates, copy_communities, vector_topk, near_duplicate_pairs, embedding_coverage, embedding_reuse, hash_embedding, l2_violations, expand_graph, weighted_paths, best_paths, downstream_invalidation, one_hop_neighbours, graph_summary, connected_components, ppr_k_iterations, ppr_converged, leiden_communities, facts_asof, truth_state, supersession_checks, support_eval, validate_derived, gap_ordered_apply, claimable_events, retry_schedule, change_coalesce, idempotent_dedupe, score_retrieval, score_observation, aggregate_run, select_default, chunk_units, html_text, symbol_text, query_decompose, classify_query, normalize_identity, page_link_counts, revision_chain, daily_event_windows, event_sessions)}
 
 _AT = "timestamp '2024-01-15 12:00:00'"
 EDGES = """edges as (select 'N:' || n_nationkey as from_id, 'R:' || n_regionkey as to_id, 'related_to' as relation, 1.0::double as weight from nation
@@ -420,6 +428,11 @@ SQL = {
     "aggregate_run": f"with recursive {RUN} select * from agg",
     "select_default": f"""with recursive {RUN}, r as (select configuration, configuration in (select configuration from uses where channel = 'vector') as v, mrr, mean_recall from agg), p as (select max(mrr) as bm, max(mean_recall) as br from r where not v),
       g as (select r.*, not v or (mrr >= bm + 0.02 and mean_recall >= br) as eligible from r, p) select configuration, mrr, mean_recall, eligible, eligible and row_number() over (partition by eligible order by mrr desc, mean_recall desc, configuration) = 1 as selected from g""",
+    "promotion_gates": f"""with recursive {RUN}, r as (select *, configuration in (select configuration from uses where channel = 'vector') as v from agg), b as (select *, row_number() over (partition by v order by mrr desc, coalesce(mean_ndcg, 0) desc, mean_recall desc, configuration) as n from r),
+      t as (select max(configuration) filter (not v) as baseline, max(configuration) filter (v) as best_vector, max(mrr) filter (v) >= max(mrr) filter (not v) + 0.02 and max(mean_recall) filter (v) >= max(mean_recall) filter (not v) as ahead from b where n = 1),
+      g as (select n_name as release, n_nationkey as k, unnest({evaluation.GATES}) as gate, unnest(range(0, {len(evaluation.GATES)})) as i from nation),
+      e as (select release, coalesce(string_agg(gate, ',' order by i) filter (not (k % 7 = 0 or (k // 2) % (i + 2) <> 1)), '') as missing_gates from g group by 1)
+      select release, baseline, best_vector, case when ahead then best_vector else baseline end as measured, missing_gates, missing_gates = '' as eligible, case when missing_gates = '' then case when ahead then best_vector else baseline end end as selected from e, t""",
     "chunk_units": "select doc_id, cast(position as bigint) as position, content, sha256(content) as hash, cast(ceil(length(content) / 4.0) as bigint) as tokens from (select doc_id, unnest(generate_series(0, len(l) - 1)) as position, unnest(l) as content from (select doc_id, string_split(text, chr(10)) as l from documents)) where trim(content) <> ''",
     "html_text": r"select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?is)<noscript[^>]*>.*?</noscript>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) as content from pages",
     "symbol_text": r"select p_partkey, trim(lower(regexp_replace(regexp_replace(regexp_replace(p_brand || 'XMLParser_getName' || p_type, '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z]+)([A-Z][a-z])', '\1 \2', 'g'), '[^A-Za-z0-9]+', ' ', 'g'))) as symbols from part",

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import documents as doc
 from ..functions import text
-from ..operators import filters
+from ..operators import chunking, filters
 from ..sources import bind
+from .chunks import UNITS_OF_MARKED
 
 STATUSES = ["draft", "reviewed", "disputed by audit", "active", "deprecated", "Attested", "superseded"]
 
@@ -121,12 +122,21 @@ def extraction_routing(spark, d):
     return p.select("page_id", doc.complexity(pick(names), pick(media)).alias("complexity"))
 
 
+def nested_redaction(spark, d):
+    """Nested payloads as exports see them."""
+    t = bind.table(spark, d, "documents")
+    k = F.col("doc_id")
+    entry = F.struct(F.lit("p").alias("password"), F.col("lang").alias("Lang"), F.lit("o").alias("licensed_original"))
+    inner = F.struct(F.lit("b").alias("raw_body"), F.array(entry, entry).alias("list"), F.when(k % 2 == 0, F.lit("C:\\x")).otherwise(F.lit("x/y")).alias("filePathHint"), F.when(k % 3 == 0, F.lit("/etc")).otherwise(F.lit("etc")).alias("notePath"))
+    payload = F.to_json(F.struct(F.col("source").alias("z_source"), inner.alias("Inner"), F.lit("s").alias("apiSecret"), k.alias("n"), F.repeat(F.lit("é"), (k % 30).cast("int")).alias("a")))
+    return t.select("doc_id", doc.safe_json(payload, 40).alias("line"))
+
+
 def markdown_blocks(spark, d):
-    """The kinds of a note's blocks, where runs of lines between blanks are blocks."""
-    block = F.explode(F.split(F.regexp_replace("body", r"(?s)\A---\n.*?\n---\n", ""), r"\n[ \t]*(?:\n[ \t]*)+"))
-    rows = notes(spark, d).select("doc_id", block.alias("b")).where(F.trim("b") != "")
-    kind = F.when(F.col("b").rlike(r"^\s*#{1,6}\s"), "HEADING").when(F.col("b").rlike(r"^\s*```"), "CODE").when(F.col("b").rlike(r"^\s*\|.*\|"), "TABLE").when(F.col("b").rlike(r"^\s*([-*+] |[0-9]+[.)] )"), "LIST").otherwise("PARAGRAPH")
-    return rows.groupBy("doc_id", kind.alias("kind")).agg(F.count("*").alias("n"), F.sum(F.ceil(F.length("b") / 4)).alias("tokens"))
+    """How many blocks of each type a note has below its front matter, and their tokens."""
+    rows = notes(spark, d).select("doc_id", F.lit("Note").alias("title"), F.regexp_replace("body", r"(?s)\A---\n.*?\n---\n", "").alias("body"))
+    units = chunking.structural_units(rows).where("not container")
+    return units.groupBy("doc_id", F.col("unit_type").alias("kind")).agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
 
 
 def project_snapshot(spark, d):
@@ -194,7 +204,7 @@ def revision_gate(spark, d):
     return index.join(docs, "vault").select("vault", "channel", (own == F.col("corpus")).alias("usable"))
 
 
-QUERIES = {f.__name__: f for f in (front_matter, lifecycle_trust, wiki_links, link_resolution, redaction, audit_bundle, locator_filter, payload_containment, json_fields, json_recordset, extraction_routing, markdown_blocks, project_snapshot, jsonld_export, graphml_export, import_plan, nulls_last_sort, changed_since, revision_gate)}
+QUERIES = {f.__name__: f for f in (front_matter, lifecycle_trust, wiki_links, link_resolution, redaction, nested_redaction, audit_bundle, locator_filter, payload_containment, json_fields, json_recordset, extraction_routing, markdown_blocks, project_snapshot, jsonld_export, graphml_export, import_plan, nulls_last_sort, changed_since, revision_gate)}
 
 _STATUS = "['" + "', '".join(STATUSES) + "'][doc_id % 7 + 1]"
 NOTES = f"""notes as (select doc_id, source || '/' || lang || '/n' || (doc_id % 150) as path, source as vault, source || '/' || lang as folder, {_STATUS} as status, case when doc_id % 9 <> 0 then 'concept' end as type,
@@ -220,9 +230,10 @@ SQL = {
     "json_fields": """select event_id, cast(json_extract_string(props, '$.k') as integer) as k, json_extract(props, '$.x') is not null as has_x, 'number' as kind, '{"id":"' || event_id || '","type":"' || event_type || '"}' as built from events""",
     "json_recordset": "select user_id, event_id, event_type, cast(json_extract_string(props, '$.k') as integer) as k from events where ts < timestamp '2024-01-02 00:00:00'",
     "extraction_routing": "select page_id, ['digital', 'complex', 'simple', 'scanned', 'unknown', 'table-heavy', 'media'][page_id % 7 + 1] as complexity from pages",
-    "markdown_blocks": rf"""with {NOTES}, b as (select doc_id, unnest(regexp_split_to_array('# Note ' || doc_id || chr(10) || chr(10) || rest, '\n[ \t]*(?:\n[ \t]*)+')) as b from notes),
-      k as (select doc_id, b, case when regexp_matches(b, '^\s*#{{1,6}}\s') then 'HEADING' when regexp_matches(b, '^\s*```') then 'CODE' when regexp_matches(b, '^\s*\|.*\|') then 'TABLE' when regexp_matches(b, '^\s*([-*+] |[0-9]+[.)] )') then 'LIST' else 'PARAGRAPH' end as kind from b where trim(b) <> '')
-      select doc_id, kind, count(*) as n, cast(sum(ceil(length(b) / 4.0)) as bigint) as tokens from k group by 1, 2""",
+    "nested_redaction": """select doc_id, '{"Inner":{"filePathHint":"' || case when doc_id % 2 = 0 then 'C:\\\\x' else 'x/y' end || '","list":[{"Lang":"' || lang || '"},{"Lang":"' || lang || '"}]' || case when doc_id % 3 = 0 then '' else ',"notePath":"etc"' end
+      || '},"a":"' || case when (doc_id % 30) * 2 > 40 then repeat('é', doc_id % 30) || '…[TRUNCATED]' else repeat('é', doc_id % 30) end || '","n":' || doc_id || ',"z_source":"' || source || '"}' as line from documents""",
+    "markdown_blocks": f"""with recursive {NOTES}, marked as (select doc_id, 'Note' as title, '# Note ' || doc_id || chr(10) || chr(10) || rest as raw from notes), {UNITS_OF_MARKED}
+      select doc_id, unit_type as kind, count(*) as n, sum(tokens) as tokens from units where not container group by 1, 2""",
     "project_snapshot": """select p_partkey, unnest([2, 4, 6]) as line, unnest(['CLASS', 'FUNCTION', 'ENUM']) as kind, unnest([upper(regexp_replace(p_name, '[^a-z]', '', 'g')[1]) || regexp_replace(p_name, '[^a-z]', '', 'g')[2:], lower(regexp_extract(p_type, '^[A-Za-z_]+')) || case when regexp_matches(p_type, '^[A-Za-z_]+$') then p_partkey::varchar else '' end, 'E' || p_size]) as name from part""",
     "jsonld_export": f"""with e as (select 'N:' || n_nationkey as f, 'R:' || n_regionkey as t, n_regionkey as k from nation union select 'S:' || s_suppkey, 'N:' || s_nationkey, s_nationkey from supplier union select 'N:' || c_nationkey, 'C:' || c_custkey, c_custkey from customer),
       p as (select *, cast(ceil(count(*) over (partition by f) / {LINKS_PER_LINE}.0) as bigint) as parts from e), a as (select f, k % parts as part, list_sort(list(t)) as l from p group by 1, 2), n as (select f as node from e union select t from e)
