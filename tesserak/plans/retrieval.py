@@ -105,11 +105,11 @@ def lexical_search(spark, d):
 
 def vector_channel(spark, d):
     """(query_id, doc_id, score, rank): the 20 governed documents with the unit whose
-    hashed vector is nearest to the query's."""
+    hashed vector is nearest to the query's, at an angle under 90 degrees."""
     allowed = governed(spark, d).select("doc_id")
     held = unit_vectors(spark, d).join(allowed, "doc_id", "left_semi").withColumnRenamed("doc_id", "vec_id")
     asked = vectors.embedded(questions(spark, d).select(F.col("query_id").alias("id"), F.col("query").alias("text"))).withColumnRenamed("id", "query_id")
-    near = vectors.topk_batch(held, asked, 20)
+    near = vectors.topk_batch(held, asked, 20).where("score > 0")
     return near.select("query_id", F.col("vec_id").alias("doc_id"), "score", "rank")
 
 
@@ -285,10 +285,10 @@ VECTOR = f"""unit_words as ({_hashed("doc_id, structural_order as unit", "units
 asked_words as ({_hashed("item_id as query_id", "benchmark", "text")}),
 hash as (select t, cast('0x' || substring(sha256(t), 1, 4) as int) % 64 as idx, 1 - 2 * (cast('0x' || substring(sha256(t), 5, 2) as int) % 2) as sign from (select t from unit_words union select t from asked_words)),
 unit_sums as (select doc_id, unit, idx, sum(sign) as v from unit_words join hash using (t) group by all), asked_sums as (select query_id, idx, sum(sign) as v from asked_words join hash using (t) group by all),
-unit_norm as (select doc_id, unit, sum(v * v) as n from unit_sums group by all), asked_norm as (select query_id, sum(v * v) as n from asked_sums group by all),
+unit_norm as (select doc_id, unit, sum(v * v) as n from unit_sums group by all having sum(v * v) > 0), asked_norm as (select query_id, sum(v * v) as n from asked_sums group by all having sum(v * v) > 0),
 dots as (select query_id, doc_id, unit, sum(a.v * u.v) as dot from asked_sums a join unit_sums u using (idx) group by all),
 vector as (select query_id, doc_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from (
-  select query_id, doc_id, max(round(dot::double / sqrt((a.n * u.n)::double), 9)) as score from dots join unit_norm u using (doc_id, unit) join asked_norm a using (query_id) group by 1, 2)) where rank <= 20)"""
+  select query_id, doc_id, max(round(dot::double / sqrt((a.n * u.n)::double), 9)) as score from dots join unit_norm u using (doc_id, unit) join asked_norm a using (query_id) group by 1, 2)) where rank <= 20 and score > 0)"""
 
 
 def _fused(weighted: bool) -> str:
