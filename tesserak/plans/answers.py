@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import cues, planning, text
 from ..operators import packets
 from ..operators import retrieval as op
+from ..operators.graph import cut
 from ..sources import bind
 from . import retrieval
 from .retrieval import HYBRID, _salient
@@ -41,12 +43,24 @@ def partition_hits(spark, d):
     return op.partition_hits(_queries(spark, d), _reasons(spark, d))
 
 
+def _passages(spark, d, hits):
+    """The unit of each hit that holds most of the query's salient words, the first such."""
+    units = bind.structural(spark, d).where("not container").select("doc_id", "structural_order", "start_line", F.col("body").alias("content"))
+    rows = hits.select("query_id", "doc_id").join(units, "doc_id").join(_queries(spark, d), "query_id")
+    shown = F.size(F.array_intersect(text.salient(F.col("query")), text.tokens(F.col("content"))))
+    order = Window.partitionBy("query_id", "doc_id").orderBy(F.desc("shown"), "structural_order")
+    best = rows.withColumn("shown", shown).withColumn("_n", F.row_number().over(order)).where("_n = 1")
+    return best.select("query_id", "doc_id", "start_line", "content", "shown")
+
+
 def _candidates(spark, d):
-    hits = retrieval.hybrid_search_rrf(spark, d).select("query_id", "doc_id", "score", "rank")
+    hits = cut(retrieval.hybrid_search_rrf(spark, d).select("query_id", "doc_id", "score", "rank"))
     docs = bind.documents(spark, d).select("doc_id", "external_id", "title", "trust", "lifecycle", "freshness", "body")
     mandatory = F.col("layer") == "CONTEXT_PACK"
     layers = bind.documents(spark, d).select("doc_id", mandatory.alias("mandatory"))
-    return hits.join(docs, "doc_id").join(layers, "doc_id")
+    passages = _passages(spark, d, hits).select("query_id", "doc_id", "content")
+    rows = hits.join(docs, "doc_id").join(layers, "doc_id").join(passages, ["query_id", "doc_id"], "left")
+    return cut(rows.withColumn("content", F.coalesce("content", "body")))
 
 
 def candidate_order(spark, d):
@@ -54,17 +68,17 @@ def candidate_order(spark, d):
     return op.candidate_order(rows)
 
 
-def _disclosed(spark, d, level):
+def _disclosed(candidates, level):
     catalog = F.concat_ws("; ", *[F.concat(F.lit(n + "="), F.col(c)) for n, c in (("id", "external_id"), ("title", "title"), ("lifecycle", "lifecycle"), ("refresh", "freshness"))])
-    rows = _candidates(spark, d).select("query_id", "doc_id", catalog.alias("catalog"), F.substring("body", 1, 900).alias("content"), F.col("body").alias("full"))
+    rows = candidates.select("query_id", "doc_id", catalog.alias("catalog"), "content", F.col("body").alias("full"))
     return op.disclosed(rows, level)
 
 
 def disclosure_levels(spark, d):
     """Tokens and a digest of each candidate at every level of disclosure."""
-    out = None
+    out, candidates = None, _candidates(spark, d)
     for level in ("L0", "L1", "L2", "L3"):
-        rows = _disclosed(spark, d, level).select("query_id", "doc_id", "level", "tokens", F.sha2("content", 256).alias("digest"))
+        rows = _disclosed(candidates, level).select("query_id", "doc_id", "level", "tokens", F.sha2("content", 256).alias("digest"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -77,11 +91,11 @@ def best_term_window(spark, d):
 
 
 def evidence_fragment(spark, d):
-    """The first line of a document that holds text, in 2,000 characters at most, with
-    its place and digest; documents without one are left out."""
-    first = bind.units(spark, d).groupBy("doc_id").agg(F.min(F.struct("position", "content")).alias("u"))
-    excerpt = F.trim(F.substring(F.trim("u.content"), 1, 2000))
-    return first.select("doc_id", F.col("u.position").alias("line"), F.length(excerpt).cast("long").alias("characters"), F.sha2(excerpt, 256).alias("digest"))
+    """The unit that shows most of a hit's query, in 2,000 characters at most, with its
+    first line and digest; hits without a unit, or whose units show no word of it, have none."""
+    best = _passages(spark, d, retrieval.hybrid_search_rrf(spark, d)).where("shown > 0")
+    excerpt = F.trim(F.substring(F.trim("content"), 1, 2000))
+    return best.select("query_id", "doc_id", F.col("start_line").alias("line"), F.length(excerpt).cast("long").alias("characters"), F.sha2(excerpt, 256).alias("digest"))
 
 
 def parent_rehydration(spark, d):
@@ -99,10 +113,10 @@ def parent_rehydration(spark, d):
 
 
 def projection_retains_support(spark, d):
-    """Whether a hit's first 900 characters still hold the whole query, in any case."""
+    """Whether a hit's passage still holds the whole query, in any case."""
     rows = _candidates(spark, d).join(_queries(spark, d), "query_id")
     needle = F.lower(F.trim("query"))
-    return rows.select("query_id", "doc_id", ((needle != "") & F.contains(F.lower(F.substring("body", 1, 900)), needle)).alias("retained"))
+    return rows.select("query_id", "doc_id", ((needle != "") & F.contains(F.lower("content"), needle)).alias("retained"))
 
 
 def material_conflicts(spark, d):
@@ -116,7 +130,7 @@ def pack_context(spark, d):
     """A full and a compact packet of each query's hits, under budgets on their exact size."""
     rows = _candidates(spark, d)
     cited = F.when(F.col("doc_id") % 4 > 0, F.array(F.concat(F.lit("cite-"), F.col("doc_id").cast("string")))).otherwise(F.array().cast("array<string>"))
-    one = F.struct("doc_id", F.lit(None).cast("string").alias("unit"), "title", F.col("body").alias("content"), "rank", "score", "mandatory", "trust", "freshness", cited.alias("citations"))
+    one = F.struct("doc_id", F.lit(None).cast("string").alias("unit"), "title", "content", "rank", "score", "mandatory", "trust", "freshness", cited.alias("citations"))
     found = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("candidates"))
     pairs = material_conflicts(spark, d).groupBy("query_id", F.col("doc_id").alias("first")).agg(F.array_sort(F.collect_set("other")).alias("others"))
     side = F.struct(F.concat(F.lit("conflict-"), F.col("first").cast("string")).alias("id"), F.concat(F.array("first"), F.col("others")).alias("documents"))
@@ -164,7 +178,9 @@ QUERIES = {f.__name__: f for f in (answer_cues, plan_query, pack_context, match_
 REASONS = f"""{HYBRID}, hit as (select r.query_id, r.doc_id, r.rank, r.channels, {_salient("b.text")} as want, {_salient("d.text")} as have from ranked r join documents d using (doc_id) join benchmark b on b.item_id = r.query_id where r.rank <= 10),
   sup as (select *, len(want) as n, len(list_intersect(want, have)) as o from hit),
   reasons as (select query_id, doc_id, rank, case when list_has_any(string_split(channels, ','), ['exact', 'code', 'raw', 'context-pack', 'temporal']) then 'DIRECT_CHANNEL_SUPPORT' when n > 0 and o >= least(2, greatest(n, 1)) and o / greatest(n, 1)::double >= 0.4 then 'PASSAGE_TEXT_SUPPORT' else 'PASSAGE_SUPPORT_NOT_DEMONSTRATED' end as reason from sup)"""
-CANDIDATES = f"{HYBRID}, cand as (select r.query_id, r.doc_id, r.score, r.rank, d.*exclude(doc_id) from ranked r join docs d using (doc_id) where r.rank <= 10)"
+PASSAGES = f"""{HYBRID}, passage as (select query_id, doc_id, content, start_line, shown from (select *, row_number() over (partition by query_id, doc_id order by shown desc, structural_order) as n from (
+  select r.query_id, r.doc_id, u.body as content, u.start_line, u.structural_order, len(list_intersect({_salient("b.text")}, regexp_extract_all(lower(u.body), '[\\p{{L}}\\p{{N}}]+'))) as shown from ranked r join units u using (doc_id) join benchmark b on b.item_id = r.query_id where r.rank <= 10 and not u.container)) where n = 1)"""
+CANDIDATES = f"{PASSAGES}, cand as (select r.query_id, r.doc_id, r.score, r.rank, d.*exclude(doc_id), coalesce(p.content, d.body) as content from ranked r join docs d using (doc_id) left join passage p on p.query_id = r.query_id and p.doc_id = r.doc_id where r.rank <= 10)"
 _LINE = "trim(regexp_replace(content, '[ \\t\\r\\n]+', ' ', 'g'))"
 
 
@@ -228,19 +244,18 @@ SQL = {
       select b.item_id as query_id, case when s is not null then 'SUPPORTED' when e is not null then 'EXPLORATORY_ONLY' else 'NO_CANDIDATES' end as outcome, coalesce(s, '') as supported, coalesce(e, '') as exploratory from benchmark b left join p on p.query_id = b.item_id""",
     "candidate_order": f"""with recursive {CANDIDATES} select query_id, doc_id, row_number() over (partition by query_id order by layer = 'CONTEXT_PACK' desc, case when rank % 3 <> 0 then rank end asc nulls last, case trust when 'ATTESTED' then 1 when 'HUMAN_REVIEWED' then 2 when 'MACHINE_SUPPORTED' then 3 else 4 end,
       case freshness when 'FRESH' then 1 when 'STALE_PENDING_REVIEW' then 2 else 3 end, doc_id % 4 desc, score desc, doc_id) as place from cand""",
-    "disclosure_levels": f"""with recursive {CANDIDATES}, c as (select query_id, doc_id, 'id=' || external_id || '; title=' || title || '; lifecycle=' || lifecycle || '; refresh=' || freshness as catalog, substring(body, 1, 900) as content, body as f from cand),
+    "disclosure_levels": f"""with recursive {CANDIDATES}, c as (select query_id, doc_id, 'id=' || external_id || '; title=' || title || '; lifecycle=' || lifecycle || '; refresh=' || freshness as catalog, content, body as f from cand),
       l as (select *, {_LINE} as flat from c), h as (select *, substring(flat, 1, 320) as head from l), e as (select *, 320 - case when length(head) < 320 then 320 - length(head) else 0 end - instr(reverse(head), ' ') as last, instr(head, ' ') > 0 as blank from h),
       o as (select *, case when length(flat) <= 320 then flat else rtrim(substring(flat, 1, case when blank and last >= 192 then last else 319 end)) || '…' end as line from e),
       a as (select query_id, doc_id, unnest(['L0', 'L1', 'L2', 'L3']) as level, unnest([catalog, case when line <> '' then line else catalog end, content, case when trim(f) <> '' then trim(f) else content end]) as x from o)
       select query_id, doc_id, level, cast(ceil(length(x) / 4.0) as bigint) as tokens, sha256(x) as digest from a""",
     "best_term_window": f"""with recursive {HYBRID}, h as (select r.query_id, r.doc_id, d.text, list_distinct(list_filter(regexp_extract_all(lower(b.text), '[\\p{{L}}\\p{{N}}]+'), lambda t: length(t) >= 6 and not list_contains([{retrieval._STOP}], t))) as terms from ranked r join documents d using (doc_id) join benchmark b on b.item_id = r.query_id where r.rank <= 10),
       p as (select *, greatest(coalesce(list_min(list_filter(list_transform(terms, lambda t: instr(lower(text), t)), lambda i: i > 0)), 1) - 60, 1) as s from h) select query_id, doc_id, substring(text, s, 200) as snippet from p""",
-    "evidence_fragment": """with l as (select doc_id, unnest(generate_series(0, len(l) - 1)) as p, unnest(l) as c from (select doc_id, string_split(text, chr(10)) as l from documents)), f as (select doc_id, min(p) as line, arg_min(c, p) as c from l where trim(c) <> '' group by 1),
-      e as (select doc_id, line, trim(substring(trim(c), 1, 2000)) as x from f) select doc_id, line, length(x) as characters, sha256(x) as digest from e""",
+    "evidence_fragment": f"""with recursive {PASSAGES}, e as (select query_id, doc_id, start_line as line, trim(substring(trim(content), 1, 2000)) as x from passage where shown > 0) select query_id, doc_id, line, length(x) as characters, sha256(x) as digest from e""",
     "parent_rehydration": f"""with recursive {HYBRID}, terms as (select item_id as query_id, {retrieval._TOKENS.format("text")} as terms from benchmark), l as (select doc_id, unnest(generate_series(0, len(l) - 1)) as line, unnest(l) as content from (select doc_id, string_split(text, chr(10)) as l from documents)),
       f as (select query_id, doc_id, line as unit from lexical join l using (doc_id) join terms using (query_id) where list_has_all(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+'), terms))
       select query_id, f.doc_id, cast(unit as integer) as unit, string_agg(content, chr(10) order by line) as context, count(*) as lines from f join l on l.doc_id = f.doc_id and l.line between unit - 1 and unit + 1 group by 1, 2, 3""",
-    "projection_retains_support": f"with recursive {CANDIDATES} select query_id, doc_id, trim(b.text) <> '' and contains(lower(substring(body, 1, 900)), lower(trim(b.text))) as retained from cand join benchmark b on b.item_id = query_id",
+    "projection_retains_support": f"with recursive {CANDIDATES} select query_id, doc_id, trim(b.text) <> '' and contains(lower(content), lower(trim(b.text))) as retained from cand join benchmark b on b.item_id = query_id",
     "material_conflicts": f"""with recursive {CANDIDATES}, k as (select query_id, doc_id, regexp_replace(lower(trim(title)), '[^a-z0-9]+', '', 'g') as identity, sha256(body) as h from cand)
       select a.query_id, a.doc_id, b.doc_id as other from k a join k b on a.query_id = b.query_id and a.identity = b.identity and a.doc_id < b.doc_id and a.h <> b.h where a.identity <> ''""",
 }
