@@ -310,7 +310,7 @@ def page_link_counts(spark, d):
 
 
 def revision_chain(spark, d):
-    rows = bind.table(spark, d, "nation").select(F.col("n_regionkey").cast("string").alias("vault"), F.col("n_nationkey").cast("long").alias("seq"), F.col("n_name").alias("content"))
+    rows = bind.table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("vault"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("content"))
     return truth.revision_chain(rows)
 
 
@@ -443,7 +443,7 @@ SQL = {
     "classify_query": _shapes_sql(),
     "normalize_identity": "select c_custkey, regexp_replace(lower(trim(c_name)), '[^a-z0-9]+', '', 'g') as identity from customer",
     "page_link_counts": """select page_id, count(*) as n_links, min(t) as first_target from (select distinct page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as t from pages) group by 1""",
-    "revision_chain": "with recursive r as (select n_regionkey::varchar as vault, n_nationkey::bigint as seq, n_name as content, row_number() over (partition by n_regionkey order by n_nationkey) as n from nation), c as (select vault, seq, n, sha256('|' || content) as hash from r where n = 1 union all select r.vault, r.seq, r.n, sha256(c.hash || '|' || r.content) from c join r on r.vault = c.vault and r.n = c.n + 1) select vault, seq, hash from c",
+    "revision_chain": "with recursive r as (select o_custkey::varchar as vault, o_orderkey as seq, o_orderpriority as content, row_number() over (partition by o_custkey order by o_orderkey) as n from orders), c as (select vault, seq, n, sha256('|' || content) as hash from r where n = 1 union all select r.vault, r.seq, r.n, sha256(c.hash || '|' || r.content) from c join r on r.vault = c.vault and r.n = c.n + 1) select vault, seq, hash from c",
     "daily_event_windows": "select date_trunc('day', ts)::timestamp as day, event_type, count(*) as n, round(sum(value), 2) as total from events group by 1, 2",
     "event_sessions": "with a as (select *, case when lag(ts) over w is null or ts - lag(ts) over w >= interval 6 hours then 1 else 0 end as new from events window w as (partition by user_id order by ts, event_id)), b as (select *, cast(sum(new) over (partition by user_id order by ts, event_id) as bigint) as session_no from a) select user_id, session_no, count(*) as n, min(ts) as begins, max(ts) as ends from b group by 1, 2",
 }

@@ -107,9 +107,9 @@ def json_fields(spark, d):
 
 
 def json_recordset(spark, d):
-    """A user's first day as a JSON array, and back to typed rows."""
-    e = bind.table(spark, d, "events").where("ts < timestamp_ntz'2024-01-02 00:00:00'")
-    packed = e.groupBy("user_id").agg(F.to_json(F.array_sort(F.collect_list(F.struct("event_id", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))))).alias("j"))
+    """A user's days as JSON arrays, and back to typed rows."""
+    e = bind.table(spark, d, "events")
+    packed = e.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.to_json(F.array_sort(F.collect_list(F.struct("event_id", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"))))).alias("j"))
     rows = F.from_json("j", "array<struct<event_id: bigint, event_type: string, k: int>>")
     return packed.select("user_id", F.explode(rows).alias("r")).select("user_id", "r.event_id", "r.event_type", "r.k")
 
@@ -228,7 +228,7 @@ SQL = {
     "locator_filter": "select doc_id, lang from documents where (lang = 'fr' and doc_id % 5 = 1) or doc_id % 5 = 3",
     "payload_containment": "select event_id, event_type from events where json_extract_string(props, '$.k') = '7'",
     "json_fields": """select event_id, cast(json_extract_string(props, '$.k') as integer) as k, json_extract(props, '$.x') is not null as has_x, 'number' as kind, '{"id":"' || event_id || '","type":"' || event_type || '"}' as built from events""",
-    "json_recordset": "select user_id, event_id, event_type, cast(json_extract_string(props, '$.k') as integer) as k from events where ts < timestamp '2024-01-02 00:00:00'",
+    "json_recordset": "select user_id, event_id, event_type, cast(json_extract_string(props, '$.k') as integer) as k from events",
     "extraction_routing": "select page_id, ['digital', 'complex', 'simple', 'scanned', 'unknown', 'table-heavy', 'media'][page_id % 7 + 1] as complexity from pages",
     "nested_redaction": """select doc_id, '{"Inner":{"filePathHint":"' || case when doc_id % 2 = 0 then 'C:\\\\x' else 'x/y' end || '","list":[{"Lang":"' || lang || '"},{"Lang":"' || lang || '"}]' || case when doc_id % 3 = 0 then '' else ',"notePath":"etc"' end
       || '},"a":"' || case when (doc_id % 30) * 2 > 40 then repeat('é', doc_id % 30) || '…[TRUNCATED]' else repeat('é', doc_id % 30) end || '","n":' || doc_id || ',"z_source":"' || source || '"}' as line from documents""",
