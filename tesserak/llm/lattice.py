@@ -305,7 +305,8 @@ def near_duplicates(vectors: DataFrame, s: Settings = Settings()) -> DataFrame:
     parts = part_pairs(in_bounded_groups(large, "cell", "vec", s.group))
     dense = cut(parts.join(mine, "vec").join(classes, "vec").groupBy("cell", "left", "right").applyInArrow(_group_links(s), "a long, b long, n long"), "dense")
 
-    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a vector stands in up to some fifty cells, and tasks come with vectors
+    n = max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-classes.count() // 20_000))
     small = small.repartition(n, "cell").sortWithinPartitions("cell").select("cell", "vec", "low", "high")
     pairs = small.mapInArrow(_near_pairs(s), "a long, b long").distinct()
     for side in ("a", "b"):
