@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -59,13 +60,24 @@ def stored(spark, d, name, write):
     meta = F.struct("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
     files = bind.table(spark, d, "documents").select(meta.alias("f")).distinct().agg(F.md5(F.array_join(F.array_sort(F.collect_list(F.to_json("f"))), ","))).first()[0]
     key = (spark.sparkContext.applicationId, files, name)
+    if key in _STORED and not _there(spark, _STORED[key]):
+        del _STORED[key]
     if key not in _STORED:
         path = f"{shared_dir(spark)}/tesserak-{uuid.uuid4().hex}/{name}"
         write(path)
+        spark.range(1).write.parquet(path + "-done")
         _STORED[key] = path
     return _STORED[key]
 
 
+def _there(spark, path):
+    """Whether what was stored is still there: a policy may have cleared the folder."""
+    try:
+        return bool(spark.read.parquet(path + "-done").columns)
+    except AnalysisException:
+        return False
+
+
 def lexical_index(spark, d):
     """The positional index over all documents and their units."""
 
