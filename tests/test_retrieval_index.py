@@ -201,6 +201,36 @@ def test_search_matches_brute_force(spark, corpus):
         assert few.get(i, []) == [(-s, d) for s, d in want]
 
 
+def test_more_terms_than_lead_to_candidates(spark, corpus):
+    docs, units, index = corpus
+    asked = ["alpha beta gamma delta eps title", "fooBar alpha eps delta gamma beta", "title x p md al"]
+    got = {}
+    for r in lexical.search(index, spark.createDataFrame(list(enumerate(asked)), "query_id long, query string"), docs, 1000).collect():
+        got.setdefault(r.query_id, {})[r.doc_id] = (r.raw_score, r.reason)
+    for i, q in enumerate(asked):
+        want = by_hand(spark, docs, units, q)
+        mine = got.get(i, {})
+        assert want and mine.keys() == want.keys(), q
+        assert all(mine[d][0] == pytest.approx(s, abs=2e-6) and mine[d][1] == why for d, (s, why) in want.items())
+
+
+def test_an_index_is_not_much_larger_than_its_texts(spark):
+    rnd = random.Random(5)
+    known = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(3, 9))) for _ in range(3000)]
+    bodies = ["\n\n".join(f"# {rnd.choice(known)}\n" + " ".join(rnd.choice(known) for _ in range(150)) for _ in range(4)) for _ in range(200)]
+    docs = spark.createDataFrame([(i, f"X-{i}", [f"a{i}"], "t", f"p/{i}", b) for i, b in enumerate(bodies)], "doc_id long, external_id string, aliases array<string>, title string, path string, body string")
+    index = lexical.Index(f"{shared_dir(spark)}/small-index", 4).write(docs, chunking.structural_units(docs))
+    size = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{index.path}/postings").agg(F.sum("length")).first()[0]
+    assert size < 1.2 * sum(map(len, bodies))
+
+
+def test_small_numbers_come_back():
+    values = np.array([0, 1, -1, 63, -64, 64, 2**31, -(2**31), 2**62, -(2**62), 2**63 - 1, -(2**63)])
+    data, ends = lexical.varints(values)
+    back, again = lexical.from_varints(data)
+    assert back.tolist() == values.tolist() and ends.tolist() == again.tolist()
+
+
 def test_queries_read_their_terms_folders_only(spark, corpus):
     _, _, index = corpus
     read = index.read(spark, spark.createDataFrame([("alpha",)], "term string"))
