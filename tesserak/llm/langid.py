@@ -22,12 +22,13 @@ from .toxicity import held_out
 @dataclass(frozen=True)
 class Settings:
     """``ranks``: n-grams of a profile.  ``sample``: about how many texts a language
-    is learned from at most; profiles grow with the number of languages alone.
+    is learned from at most, all of them if it is None; profiles grow with the number of
+    languages alone.
     A text is near its language if its distance is no more than ``margin`` beyond
     what the share ``usual`` of learned texts of its size keeps to."""
 
     ranks: int = 300
-    sample: int = 1200
+    sample: int | None = None
     usual: float = 0.99
     margin: float = 0.15
 
@@ -118,21 +119,16 @@ class Profiles:
 def fit(docs: DataFrame, s: Settings = Settings()) -> Profiles:
     """Profiles of ``docs(doc_id, text, lang)``, without rows of held_out().
 
-    Texts are chosen per language by a hash of their id; counting them and
-    merging the counts run in Spark, and the driver gets the profiles alone.
+    All texts are counted, unless the settings name a sample, which a hash of their id
+    chooses; counting them and merging the counts run in Spark, and the driver gets the
+    profiles alone.
     Every language that stands in ``docs`` is learned.  Distances of the same texts
     give the usual bounds by size.  Rows with a null id or language are left out.
     No rows: no languages.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = rows.groupBy("lang").count()
-    shares = {r["lang"]: min(1.0, s.sample / r["count"]) for r in sizes.collect()}
-    if not shares:
-        return Profiles([], np.zeros(0, np.int64), np.zeros((0, 0)), s.ranks)
-    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("lang")]
-    dense = 1 << 20
-    chosen = rows.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(dense)) < share * dense)
+    chosen = rows if s.sample is None else _sampled(rows, s.sample)
 
     def count(batches):
         for b in batches:
@@ -158,6 +154,13 @@ def fit(docs: DataFrame, s: Settings = Settings()) -> Profiles:
     return _bounded(chosen, Profiles(languages, grams, ranks, s.ranks), s)
 
 
+def _sampled(rows: DataFrame, most: int) -> DataFrame:
+    shares = {r["lang"]: min(1.0, most / r["count"]) for r in rows.groupBy("lang").count().collect()}
+    share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("lang")] if shares else F.lit(0.0)
+    dense = 1 << 20
+    return rows.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(5)), F.lit(dense)) < share * dense)
+
+
 def _bounded(chosen: DataFrame, profiles: Profiles, s: Settings) -> Profiles:
     """``profiles`` with the distances that learned texts keep to, by size."""
     shared = chosen.sparkSession.sparkContext.broadcast(profiles)

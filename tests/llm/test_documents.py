@@ -6,6 +6,7 @@ import os
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -320,6 +321,19 @@ def test_letters_beyond_the_first_plane(spark):
     assert langid.identify(df.where("false"), langid.fit(df)).count() == 0
 
 
+def test_profiles_count_all_texts(spark):
+    rnd = random.Random(8)
+    rows = [(i, " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(3)), "x") for i in range(3000)]
+    learned = [t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    n = Counter()
+    for _, gram, _, count in zip(*(x.tolist() for x in langid.ranked(learned, 1 << 30)), strict=True):
+        n[gram] += count
+    best = sorted(n, key=lambda g: (-n[g], g))[:300]
+    profiles = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert profiles.grams.tolist() == sorted(best)
+    assert profiles.ranks[:, 0].tolist() == [best.index(g) for g in sorted(best)]
+
+
 def test_unusual_texts(spark):
     rnd = random.Random(31)
     words = ["water", "the", "thing", "other", "with", "house", "again", "under"]
