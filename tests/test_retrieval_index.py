@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -224,6 +225,40 @@ def test_an_index_is_not_much_larger_than_its_texts(spark):
     assert size < 1.2 * sum(map(len, bodies))
 
 
+def test_an_index_is_written_without_a_shuffle(spark, corpus):
+    docs, _, index = corpus
+    docs = docs.repartition(3).localCheckpoint()
+    names = spark.read.parquet(f"{index.path}/units").where("unit > 0")
+    rows = lexical.packed(docs, names, 8)
+    assert "Exchange" not in rows._jdf.queryExecution().toString()
+    again = lexical.Index(f"{shared_dir(spark)}/unshuffled", 8).write(docs)
+    held = lambda i: sorted(map(tuple, i.terms(spark, rows.select("term")).collect()))
+    assert held(again) == held(index)
+
+
+def test_lines_are_counted_before_the_last_unit_only(spark):
+    docs = spark.createDataFrame([(1, "t", "a b\n\n# H\nc d\n\nlast"), (2, "t", "one\ntwo")], "doc_id long, title string, body string")
+    counted = spark.sparkContext.accumulator(0)
+
+    def count(line):
+        counted.add(1)
+        return len(line.split())
+
+    got = chunking.structural_units(docs, count).select("doc_id", "structural_order", "before").collect()
+    assert sorted(map(tuple, got)) == [(1, 0, 0), (1, 1, 0), (1, 2, 4), (1, 3, 4), (1, 4, 6), (2, 0, 0), (2, 1, 0)]
+    assert counted.value == 5
+
+
+def test_plain_text_tells_which_types_are_likely(spark):
+    assert chunking.literals("COUNTEREXAMPLE") == ["counterexample", "contraejemplo", "anti-pattern", "antipatr"]
+    bodies = ["an antipatrón!", "antipatrones", "dado que x", "a cita b", "cita", "citation", "must not", "plain words", "given"]
+    docs = spark.createDataFrame([(i, "t", b) for i, b in enumerate(bodies)], "doc_id long, title string, body string")
+    got = {r.doc_id: r.unit_type for r in chunking.structural_units(docs).where("not container").collect()}
+    for i, body in enumerate(bodies):
+        want = next((k for k in chunking.MEANINGS if re.search(chunking.meaning(k), "t " + body)), "PARAGRAPH")
+        assert got[i] == want, body
+
+
 def test_small_numbers_come_back():
     values = np.array([0, 1, -1, 63, -64, 64, 2**31, -(2**31), 2**62, -(2**62), 2**63 - 1, -(2**63)])
     data, ends = lexical.varints(values)
