@@ -325,3 +325,18 @@ def test_clustered_vectors_meet_few_homes(spark):
     assert compared < 0.05 * len(x) ** 2 / 2
     got = {(r.a, r.b) for r in vectors.near_duplicate_pairs(df, 0.9, per_pivot=10).collect()}
     assert got == {(i, j) for i, j in zip(*np.nonzero(np.triu(u @ u.T >= 0.9, 1)), strict=True)}
+
+
+@pytest.mark.parametrize("part, turn", [(50, 40), (400, 100), (5000, 1000)])
+def test_pairs_are_scored_where_they_are_found(spark, part, turn):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 16))
+    x[500:] = x[0]  # one home of copies, larger than a cell
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = vectors.near_duplicate_pairs(df, 0.35, per_pivot=60, part=part, turn=turn)
+    # no pair carries vectors through a join, and a task's visitors are bounded
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    named = lambda side: df.select(F.col("vec_id").alias(side), F.col("embedding").alias("v_" + side))
+    score = vectors.cosine(F.col("v_a"), F.col("v_b"))
+    want = named("a").join(named("b"), F.col("a") < F.col("b")).where(score >= 0.35).select("a", "b", F.round(score, 6).alias("score"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
