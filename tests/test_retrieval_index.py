@@ -272,6 +272,37 @@ def test_queries_read_their_terms_folders_only(spark, corpus):
     assert {f.split("bucket=")[1].split("/")[0] for f in read.select(F.input_file_name()).distinct().toPandas().iloc[:, 0]} == {str(spark.createDataFrame([("alpha",)], "term string").select(index.bucket(F.col("term"))).first()[0])}
 
 
+def test_a_sieve_leaves_out_most_of_what_is_not_wanted(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(i, f"E-{i}", [f"a{i}"], "Title", f"p/{i}.md", "# Head\n\n" + " ".join(rng.choices([f"w{j}" for j in range(40)] + ["été"], k=60))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, external_id string, aliases array<string>, title string, path string, body string")
+    index = lexical.Index(str(tmp_path / "index"), 4).write(docs)
+    asked = spark.createDataFrame([(f"w{j}",) for j in range(40)] + [("été",), ("t",)], "term string")
+    every = {(r.term, r.doc_id): r for r in index.spots(spark, asked).collect()}
+    wanted = set(rng.sample(sorted(every), 300))
+    held = lexical.sieve(spark.createDataFrame(sorted(wanted), "term string, doc_id long"))
+    got = {(r.term, r.doc_id): r for r in index.spots(spark, asked, held).collect()}
+    assert wanted <= got.keys() and len(got) < len(wanted) + len(every) / 50
+    assert all(every[k] == r for k, r in got.items())
+    homes = index.spots(spark, asked).mapInArrow(lexical._homes, "term string, doc_id long, unit int, symbol boolean")
+    posted = lexical.postings(index.spots(spark, asked)).select("term", "doc_id", "unit", "symbol").distinct()
+    assert sorted(map(tuple, homes.collect())) == sorted(map(tuple, posted.collect()))
+
+
+def test_a_search_takes_few_places_out_of_tasks(spark, tmp_path, monkeypatch):
+    """Every query asks for a word of its own and common ones: of the common words'
+    places only those in its own documents may go on, without a table sent to all tasks."""
+    body = lambda i: " ".join([f"own{i}", *(f"common{j}" for j in range(i % 50, i % 50 + 20))])
+    rows = [(i, f"E-{i}", [f"a{i}"], "Title", f"p/{i}.md", body(i)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, external_id string, aliases array<string>, title string, path string, body string")
+    index, seen, made = lexical.Index(str(tmp_path / "index"), 4).write(docs), [], lexical.postings
+    monkeypatch.setattr(lexical, "postings", lambda spots: seen.append(spots.count()) or made(spots))
+    queries = spark.createDataFrame([(i, f"own{i} common{i % 50 + 3}") for i in range(0, 300, 3)], "query_id long, query string")
+    got = lexical.search(index, queries, docs.select("doc_id"), 5).select("query_id", "doc_id").collect()
+    assert sorted(map(tuple, got)) == [(i, i) for i in range(0, 300, 3)]
+    assert max(seen) < 300  # 200 are wanted
+
+
 def test_hashed_vectors(spark):
     df = spark.createDataFrame([(1, "Él niño_x a-b niño_x"), (2, ""), (3, None), (4, "zz")], "id long, text string")
     got = {r.id: r.embedding for r in vectors.embedded(df, 16).collect()}
