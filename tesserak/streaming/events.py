@@ -6,10 +6,11 @@ the session's cluster shares.
 
 from __future__ import annotations
 
+import json
 import uuid
+from itertools import islice
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -73,41 +74,66 @@ def distinct_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OUT = "connector long, sequence long, object string, change string, value double"
-_WAITING = "object string, change string, value double"
+#: Sequence numbers whose waiting events are one state entry; rows of a
+#: connector that are held at once.
+CHUNK, AT_ONCE = 128, 10_000
 
 
 class GapOrdered(StatefulProcessor):
     """Applies a connector's events in sequence; later ones wait until the gap closes.
 
-    What waits is one state entry per sequence number, so a batch reads and writes
-    its own events and those that come free, however long the backlog is.  A sequence
-    that was applied, or waits, is passed over when it comes again.
+    What waits is one state entry for every ``CHUNK`` sequence numbers, so a batch reads
+    and writes the entries of its own events and of those that come free, however long
+    the backlog is, and not each event by itself.  A sequence that was applied, or waits,
+    is passed over when it comes again.
     """
 
     def init(self, handle) -> None:
         self.applied = handle.getValueState("applied", "sequence long")
-        self.waiting = handle.getMapState("waiting", "sequence long", _WAITING)
+        self.waiting = handle.getMapState("waiting", "chunk long", "events string")
 
     def handleInputRows(self, key, rows, timerValues):
-        applied = self.applied.get()[0] if self.applied.exists() else 0
-        first, out, backlog = applied, [], self.waiting.exists()
-        for frame in rows:
-            for r in frame.sort_values("sequence").itertuples():
-                row = (r.object, r.change, None if pd.isna(r.value) else float(r.value))
-                if r.sequence == applied + 1:
-                    applied += 1
-                    out.append((key[0], applied, *row))
-                    while backlog and self.waiting.containsKey((applied + 1,)):
-                        applied += 1
-                        out.append((key[0], applied, *self.waiting.getValue((applied,))))
-                        self.waiting.removeKey((applied,))
-                elif r.sequence > applied and not self.waiting.containsKey((int(r.sequence),)):
-                    self.waiting.updateValue((int(r.sequence),), row)
-                    backlog = True
+        was = self.applied.get()
+        first = was[0] if was else 0
+        applied, backlog = first, self.waiting.exists()
+        while come := list(islice(rows, AT_ONCE)):
+            come.sort(key=lambda r: r.sequence)
+            new: dict[int, tuple] = {}
+            for r in come:
+                if r.sequence > applied:
+                    new.setdefault(r.sequence, (r.object, r.change, r.value))
+            held: dict[int, dict[int, tuple]] = {}
+            changed = set()
+            while True:
+                row, number = new.pop(applied + 1, None), (applied + 1) // CHUNK
+                if backlog and applied + 1 in self._chunk(held, number):  # it came before
+                    row = held[number].pop(applied + 1)
+                    changed.add(number)
+                if row is None:
+                    break
+                applied += 1
+                yield Row(connector=key[0], sequence=applied, object=row[0], change=row[1], value=row[2])
+            for sequence, row in new.items():
+                number = sequence // CHUNK
+                chunk = self._chunk(held, number) if backlog else held.setdefault(number, {})
+                if sequence not in chunk:
+                    chunk[sequence] = row
+                    changed.add(number)
+            for number in changed:
+                if held[number]:
+                    self.waiting.updateValue((number,), (json.dumps([[n, *row] for n, row in held[number].items()]),))
+                else:
+                    self.waiting.removeKey((number,))
+            backlog = backlog or bool(changed)
         if applied > first:
             self.applied.update((applied,))
-        if out:
-            yield pd.DataFrame(out, columns=["connector", "sequence", "object", "change", "value"])
+
+    def _chunk(self, held: dict[int, dict[int, tuple]], number: int) -> dict[int, tuple]:
+        """The waiting events of a chunk by sequence, read once for the rows at hand."""
+        if number not in held:
+            there = self.waiting.containsKey((number,))
+            held[number] = {n: tuple(row) for n, *row in json.loads(self.waiting.getValue((number,))[0])} if there else {}
+        return held[number]
 
     def close(self) -> None:
         pass
@@ -121,7 +147,7 @@ def gap_ordered_changes(inbox: DataFrame) -> DataFrame:
     """A stream (connector, sequence, object, change, value) in order, without what
     comes after a gap."""
     inbox.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-    return inbox.groupBy("connector").transformWithStateInPandas(statefulProcessor=GapOrdered(), outputStructType=_OUT, outputMode="append", timeMode="none")
+    return inbox.groupBy("connector").transformWithState(statefulProcessor=GapOrdered(), outputStructType=_OUT, outputMode="append", timeMode="none")
 
 
 def gap_ordered_apply(spark: SparkSession, sf_dir: str) -> DataFrame:

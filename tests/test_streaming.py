@@ -1,5 +1,6 @@
 """Streams: order over gaps and replays, an index that follows versions."""
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tesserak.operators import lexical
@@ -27,6 +28,51 @@ def test_events_wait_until_the_gap_closes(spark):
     assert got == [(1, 1, "a", None), (1, 2, "b", 2.0), (1, 3, "c", 3.0), (1, 4, "d", 4.0), (2, 1, "y", 0.5), (2, 2, "z", 1.0)]
 
 
+class Held:
+    """A state, value or map, that counts what is asked of it."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def _do(self, result=None):
+        self.calls += 1
+        return result
+
+    def exists(self):
+        return self._do(bool(self.held))
+
+    def get(self):
+        return self._do(self.held.get(0))
+
+    def update(self, value):
+        self._do(self.held.update({0: value}))
+
+    def containsKey(self, key):
+        return self._do(key in self.held)
+
+    def getValue(self, key):
+        return self._do(self.held.get(key))
+
+    def updateValue(self, key, value):
+        self._do(self.held.update({key: value}))
+
+    def removeKey(self, key):
+        self._do(self.held.pop(key))
+
+
+def test_waiting_events_share_state_entries():
+    processor = events.GapOrdered()
+    processor.applied, processor.waiting = Held(), Held()
+    run = lambda numbers: [(r.sequence, r.value) for r in processor.handleInputRows((1,), iter([Row(sequence=n, object="o", change="UPSERT", value=v) for n, v in numbers]), None)]
+    n = 25_000  # more than are held at once
+    late = [(k, float(k)) for k in range(n, 1, -1)]
+    assert run(late) == [] and len(processor.waiting.held) <= n // events.CHUNK + 1
+    assert run([(2, -1.0), (n, -1.0), (7, -1.0)]) == []  # what came first counts
+    assert processor.waiting.calls + processor.applied.calls < n / 10
+    assert run([(1, 1.0), (3, -1.0)]) == [(k, float(k)) for k in range(1, n + 1)]
+    assert not processor.waiting.held and processor.applied.held == {0: (n,)}
+
+
 def versions(spark, rows):
     return spark.createDataFrame([(i, v, gone, f"X-{i}", ["al"], title, f"p/{i}", body) for i, v, gone, title, body in rows], "doc_id long, version long, deleted boolean, external_id string, aliases array<string>, title string, path string, body string")
 
