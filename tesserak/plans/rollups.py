@@ -50,7 +50,7 @@ def support_sets_containing(spark, d):
 
 def synthesis_candidates(spark, d):
     """Communities of three or more active documents that share a text."""
-    docs = bind.documents(spark, d).where("lifecycle = 'ACTIVE'").select(F.sha2("body", 256).alias("community"), "doc_id")
+    docs = bind.documents(spark, d).where("lifecycle = 'ACTIVE'").select(F.col("digest").alias("community"), "doc_id")
     return docs.groupBy("community").agg(F.count("*").alias("n_members"), F.min("doc_id").alias("lead")).where("n_members >= 3")
 
 

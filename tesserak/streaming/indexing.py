@@ -25,7 +25,7 @@ def index_of_versions(spark: SparkSession, sf_dir: str, at: str) -> Segmented:
     """An index in folder ``at`` over documents that came in three parts: old versions with the text of
     another order, all documents, and late copies of old versions with deletions of
     documents that were never there."""
-    docs = bind.documents(spark, sf_dir).select("doc_id", "external_id", "aliases", "title", "path", "body")
+    docs = bind.identified(spark, sf_dir).select("doc_id", "external_id", "aliases", "title", "path", "body")
     stamp = lambda version, deleted: [F.lit(version).cast("long").alias("version"), F.lit(deleted).alias("deleted")]
     old = docs.where("doc_id % 3 = 0").select("doc_id", *stamp(1, False), "external_id", "aliases", F.lit("old title").alias("title"), "path", F.reverse("body").alias("body"))
     gone = docs.where("doc_id % 5 = 0").select((-1 - F.col("doc_id")).alias("doc_id"), *stamp(1, False), "external_id", "aliases", "title", "path", "body")

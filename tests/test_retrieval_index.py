@@ -371,3 +371,35 @@ def test_pairs_are_scored_where_they_are_found(spark, part, turn):
     score = vectors.cosine(F.col("v_a"), F.col("v_b"))
     want = named("a").join(named("b"), F.col("a") < F.col("b")).where(score >= 0.35).select("a", "b", F.round(score, 6).alias("score"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_joins_with_labels_move_no_texts(spark, monkeypatch, capsys):
+    """Where labels are too many to be broadcast, as at 1 GB, a join with them shuffles what it holds."""
+    import oracle
+
+    from tesserak.plans import answers, retrieval
+    from tesserak.sources import bind
+
+    def shuffled(df):
+        """The columns that each shuffle of a plan takes."""
+        df.explain("formatted")
+        return re.findall(r"\(\d+\) Exchange\s*\nInput \[\d+\]: \[(.*)\]", capsys.readouterr().out)
+
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        d, seen = oracle.sf("sf0.001"), []
+        monkeypatch.setattr(retrieval, "stored", lambda spark, d, name, write: write(name) or name)
+        monkeypatch.setattr(lexical.Index, "write", lambda self, docs: seen.append(docs))
+        retrieval.lexical_index(spark, d)
+        assert not shuffled(seen[0].select("doc_id", "external_id", "aliases", "title", "path", "body"))
+        taken = shuffled(retrieval.governed(spark, d).select("doc_id", "title", "digest"))
+        assert taken and not any("text#" in x for x in taken)
+        assert bind.documents(spark, d).select("doc_id", F.sha2("body", 256).alias("digest")).exceptAll(bind.identified(spark, d).select("doc_id", "digest")).isEmpty()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)  # hits are few
+        hits = spark.createDataFrame([(1, 2), (1, 3), (2, 2)], "query_id long, doc_id long")
+        few = bind.documents(spark, d, among=answers._met(hits))
+        assert [r.doc_id for r in few.select("doc_id").orderBy("doc_id").collect()] == [2, 3]
+        assert {r.doc_id for r in bind.structural(spark, d, among=answers._met(hits)).collect()} == {2, 3}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
