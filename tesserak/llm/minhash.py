@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import Words, mix, text_buffers, word_chunks
-from .shared import components, cut, in_bounded_groups, part_pairs
+from .shared import components, cut, in_bounded_groups, part_pairs, small_batches
 
 
 @dataclass(frozen=True)
@@ -272,6 +272,11 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     component.  Rows with the same doc_id are one document to links, with all their
     texts; each row is returned.  A null doc_id has null component and is kept.  No rows: none.
     """
+    with small_batches(docs.sparkSession):
+        return _near_duplicates(docs, s)
+
+
+def _near_duplicates(docs: DataFrame, s: Settings) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("same"), "text")
     rows = cut(sketch(docs, s), "sketches")
     real = rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())

@@ -623,3 +623,23 @@ def test_held_out_accuracy(spark):
     got = op10_toxicity(spark, sf).where("held_out").join(labels, "doc_id").toPandas()
     hit = ((got.predicted == 1) & (got.toxic == 1)).sum()
     assert hit / (got.toxic == 1).sum() > 0.85 and hit / (got.predicted == 1).sum() > 0.95
+
+
+def test_near_dedup_hands_few_texts_to_python_at_once(spark, monkeypatch):
+    from tesserak.llm import shared
+
+    key, held = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    was = spark.conf.get(key)
+    monkeypatch.setattr(minhash, "cut", lambda df, name: held.append(int(spark.conf.get(key))) or shared.cut(df, name))
+    docs = spark.createDataFrame([(i, f"one two three four five six seven {i // 2}") for i in range(20)], "doc_id long, text string")
+    assert {r.doc_id for r in minhash.near_duplicates(docs, minhash.Settings(words=2)).where("kept").collect()} == set(range(0, 20, 2))
+    assert held and max(held) <= 1000 and spark.conf.get(key) == was
+
+    import pyarrow as pa
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows])], ["n"])
+
+    with shared.small_batches(spark):
+        assert max(r.n for r in spark.range(0, 2500, 1, 1).mapInArrow(sizes, "n long").collect()) <= 1000
