@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import evaluation, graph, ordered, truth, vectors
-from ..operators.retrieval import lexical_search as lexical
+from ..operators.graph import cut
 from ..sources import bind
 from . import relational, retrieval
 
@@ -191,22 +191,12 @@ def idempotent_dedupe(spark, d):
 
 
 def _gold(spark, d):
-    """(query_id, gold): documents that hold a benchmark passage as a whole.
-
-    A document that holds the passage holds its inner words (all but the first and
-    the last, which may be cut), so those alone select candidates, by the rarest of
-    them; the whole passage is then looked for in their texts.
-    """
+    """(query_id, gold): documents that hold a benchmark passage as a whole.  Written, for
+    it is read more than once."""
     b = bind.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("needle"))
-    words = text.tokens(F.col("needle"))
-    inner = b.select("query_id", F.array_distinct(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(1)))).alias("terms"))
-    docs = bind.table(spark, d, "documents").select("doc_id", "text")
-    near = F.lit("").alias
-    shown = docs.select("doc_id", near("external_id"), near("path"), near("title"), F.col("text").alias("body"))
-    met = lexical(shown, inner).select("query_id", "doc_id").join(b, "query_id").join(docs, "doc_id")
-    found = met.where(F.contains("text", F.col("needle"))).select("query_id", "doc_id").distinct()
+    found = evaluation.holders(b, bind.table(spark, d, "documents").select("doc_id", "text"))
     gold = found.groupBy("query_id").agg(F.array_sort(F.collect_list("doc_id")).alias("gold"))
-    return b.select("query_id").join(gold, "query_id", "left").select("query_id", F.coalesce("gold", F.array().cast("array<long>")).alias("gold"))
+    return cut(b.select("query_id").join(gold, "query_id", "left").select("query_id", F.coalesce("gold", F.array().cast("array<long>")).alias("gold")))
 
 
 def score_retrieval(spark, d):
@@ -238,23 +228,28 @@ CONFIGURATIONS = {
 }
 
 
-def _run_scores(spark, d):
-    """Scores of every configuration over the benchmark: the channels' rows are copied
-    to the configurations that use them and fused per (configuration, query)."""
-    names = F.create_map(*[x for n, c in CONFIGURATIONS.items() for x in (F.lit(n), F.array(*map(F.lit, c)))])
-    each = F.explode(F.array(*map(F.lit, CONFIGURATIONS))).alias("configuration")
+def _run_scores(spark, d, configurations):
+    """Scores of configurations over the benchmark: the channels' rows are copied to the
+    configurations that use them and fused per (configuration, query)."""
+    names = F.create_map(*[x for n, c in configurations.items() for x in (F.lit(n), F.array(*map(F.lit, c)))])
+    each = F.explode(F.array(*map(F.lit, configurations))).alias("configuration")
     rows = retrieval._channels(spark, d).select("*", each).where(F.array_contains(names[F.col("configuration")], F.col("channel")))
     key = F.concat_ws("#", "configuration", F.col("query_id").cast("string"))
     fused = retrieval.rrf_fuse_rows(rows.withColumn("query_id", key), 10)
-    cases = _gold(spark, d).select(F.explode(F.array(*map(F.lit, CONFIGURATIONS))).alias("configuration"), "query_id", "gold")
+    cases = _gold(spark, d).select(each, "query_id", "gold")
     scored = evaluation.score_retrieval(cases.select(key.alias("query_id"), "gold"), fused.select("query_id", "doc_id", "rank"))
     sizes = cases.select(key.alias("query_id"), "configuration", (F.size("gold") == 0).alias("none"))
     met = scored.join(sizes, "query_id")
     return met.select("configuration", "recall", "rr", F.when(~F.col("none"), F.col("ndcg")).alias("ndcg"), F.col("hit").alias("passed"))
 
 
+def runs_of(spark, d, names):
+    """The aggregates of the configurations that are named."""
+    return evaluation.aggregate_run(_run_scores(spark, d, {n: CONFIGURATIONS[n] for n in names}))
+
+
 def aggregate_run(spark, d):
-    return evaluation.aggregate_run(_run_scores(spark, d))
+    return runs_of(spark, d, CONFIGURATIONS)
 
 
 def select_default(spark, d):

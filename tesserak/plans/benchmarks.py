@@ -18,7 +18,7 @@ BASELINE, CANDIDATE = "exact+lexical", "full-hybrid-rrf"
 
 def run_comparison(spark, d):
     """Each metric of two runs side by side, and how far the candidate is ahead."""
-    runs = analytics.aggregate_run(spark, d).where(F.col("configuration").isin(BASELINE, CANDIDATE))
+    runs = analytics.runs_of(spark, d, (BASELINE, CANDIDATE))
     long = runs.select("configuration", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in METRICS])).alias("m")).select("configuration", "m.metric", "m.value")
     of = lambda name: F.max(F.when(F.col("configuration") == name, F.col("value")))
     met = long.groupBy("metric").agg(of(BASELINE).alias("baseline"), of(CANDIDATE).alias("candidate"))
