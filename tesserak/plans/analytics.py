@@ -200,12 +200,12 @@ def _gold(spark, d):
 
 
 def score_retrieval(spark, d):
-    return evaluation.score_retrieval(_gold(spark, d), retrieval.hybrid_search_rrf(spark, d).select("query_id", "doc_id", "rank"))
+    return evaluation.score_retrieval(_gold(spark, d), retrieval.fused_hits(spark, d).select("query_id", "doc_id", "rank"))
 
 
 def _observations(spark, d):
     cases = _gold(spark, d).select("query_id", (F.size("gold") == 0).alias("expect_no_answer"))
-    hits = retrieval.hybrid_search_rrf(spark, d).select("query_id", F.lit(True).alias("returned")).distinct()
+    hits = retrieval.fused_hits(spark, d).select("query_id", F.lit(True).alias("returned")).distinct()
     return evaluation.score_observation(score_retrieval(spark, d), cases, hits)
 
 
