@@ -106,9 +106,10 @@ def ppr_converged(spark, d):
 
 
 def leiden_communities(spark, d):
-    """Communities of the whole graph, with their quality."""
-    e = bind.edges(spark, d)
-    return graph.community_quality(e, graph.communities(e))
+    """The partition of all regions, nations, suppliers and customers: every one with its
+    community, the community's key, size and quality, and the edges that support it."""
+    e, nodes = bind.edges(spark, d), bind.nodes(spark, d)
+    return graph.memberships(e, graph.communities(e, nodes=nodes), nodes=nodes)
 
 
 def copy_communities(spark, d):
